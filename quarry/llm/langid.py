@@ -2,13 +2,16 @@
 
 For each language a raw-content zstandard dictionary of at most `dictionary_bytes` is filled from a bounded sample: of the labelled
 documents of up to `sample_bytes` bytes outside the held-out fifth, the one with the smallest hash in each of `samples` hash classes.
-A whole text is encoded once per language; the smallest result wins (ties go to the language whose dictionary shares more of the text's
+Texts and samples are read in lower case with every run of other
+characters than letters as one space. A whole text is encoded once per language; the smallest result wins (ties go to the language whose dictionary shares more of the text's
 words, then to the first by name). Where the two best differ by less than `margin` of the larger, `rejected` is set. A null text, or one
 without any letter, is `und` with score 0. Repeated rows are judged alike; other columns are ignored; nothing labelled means all `und`.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +20,12 @@ from pyspark.sql import functions as F
 from .common import held_out, map_text
 
 LEVEL = 3
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """The letters of a text in lower case, words parted by one space."""
+    return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
 def fit(docs: DataFrame, samples: int = 64, sample_bytes: int = 1 << 14, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
@@ -33,7 +42,7 @@ def fit(docs: DataFrame, samples: int = 64, sample_bytes: int = 1 << 14, diction
     order = {(r["lang"], r["id"]): r["h"] for r in ids}
     for r in sorted(texts, key=lambda r: (r["lang"], order.get((r["lang"], r["id"]), 0), r["id"])):
         if len(out.get(r["lang"], b"")) < dictionary_bytes:
-            out[r["lang"]] = (out.get(r["lang"], b"") + r["text"].encode() + b"\n")[:dictionary_bytes]
+            out[r["lang"]] = (out.get(r["lang"], b"") + letters(r["text"]) + b" ")[:dictionary_bytes]
     return out
 
 
@@ -48,18 +57,18 @@ def classifier(dictionaries: dict[str, bytes], margin: float = 0.01):
             for n in names:
                 d = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                state.append((zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False), set(dictionaries[n].lower().split())))
+                state.append((zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False), set(dictionaries[n].split())))
         lang, score, rejected = [], [], []
         for text in column.to_pylist():
             if not names or not text or not any(map(str.isalpha, text)):
                 lang.append("und"), score.append(0.0), rejected.append(True)
                 continue
-            raw = text.encode()
+            raw = letters(text)
             size = [len(c.compress(raw)) for c, _ in state]
             best = min(size)
             tied = [k for k, s in enumerate(size) if s == best]
             if len(tied) > 1:
-                own = raw.lower().split()
+                own = raw.split()
                 tied.sort(key=lambda k: (-sum(w in state[k][1] for w in own), k))
             k = tied[0]
             second = min((s for j, s in enumerate(size) if j != k), default=best * 2)

@@ -37,7 +37,7 @@ def _features(w: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal logistic regression with binary features; coordinate 2**bits is the intercept."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 30.0, l2: float = 0.01):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -53,7 +53,7 @@ class Ftrl:
         self.n[i] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, epochs: int = 4, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, epochs: int = 16, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature numbers with a weight, those weights, and the intercept; at most 2 * samples documents are fitted on."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct()
