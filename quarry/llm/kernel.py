@@ -93,8 +93,8 @@ class Words:
 def chain(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Order-sensitive hashes of k consecutive elements of h, for each start."""
     n = len(h) - k + 1
-    b = _U((0xD6E8FEB86659FD93 * (2 * seed + 1)) & (2**64 - 1) | 1)
-    g = np.full(n, _U(k * 0x1000193 + seed), np.uint64)
+    b = _U((0xD6E8FEB86659FD93 * (2 * int(seed) + 1)) & (2**64 - 1) | 1)
+    g = np.full(n, _U(int(k) * 0x1000193 + int(seed)), np.uint64)
     for j in range(k):
         g *= b
         g += h[j : j + n]
