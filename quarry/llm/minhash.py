@@ -2,8 +2,8 @@
 
 Rows: a text's set holds its distinct shingles of five words (A-Z lower-cased; fewer words make one shingle; no words or a null text
 make an empty set, linked with nothing). Rows with equal sets form one class through an aggregate. Between classes, candidates share
-a band of registers; candidates that hang together are compared block against block, first by estimate, then on their full sets, and
-each block returns a spanning forest of its links, never its pairs. Repeated rows and repeated ids are one class; a row with a null
+a band of registers and have estimates near or above the threshold; candidates that hang together are compared on their full sets. Both
+steps work block against block, so that no bucket or group has to fit one task, and return spanning forests of links, never all pairs. Repeated rows and repeated ids are one class; a row with a null
 doc_id takes part in no link and is kept. Empty tables give empty results; other columns are ignored.
 """
 
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 SHINGLE = 5
 #: Texts compared at once in one task; larger groups are split into pairs of blocks.
 BLOCK = 768
+#: Registers compared at once in one task; fuller buckets are split into pairs of blocks.
+BUCKET = 2048
 
 
 def shingles(words: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -74,24 +76,62 @@ def likely(rows: np.ndarray, all_: np.ndarray, threshold: float) -> np.ndarray:
     minima of one leading-zero count), estimates the similarity; five standard deviations below the threshold still pass.
     """
     equal = np.zeros((len(rows), len(all_)), np.int16)
-    filled = np.zeros((len(rows), len(all_)), np.int16)
     fr, fa = rows != EMPTY, all_ != EMPTY
     for k in range(rows.shape[1]):
-        filled += fr[:, k, None] | fa[None, :, k]
         equal += (rows[:, k, None] == all_[None, :, k]) & fr[:, k, None]
+    both = fr.astype(np.float32) @ fa.astype(np.float32).T
+    return _passes(equal, fr.sum(1, dtype=np.float32)[:, None] + fa.sum(1, dtype=np.float32)[None, :] - both, threshold)
+
+
+def _passes(equal: np.ndarray, filled: np.ndarray, threshold: float) -> np.ndarray:
     f = np.maximum(filled, 1).astype(np.float32)
     chance = np.float32(2.0**-MANTISSA_BITS / 3)
     estimate = (equal / f - chance) / (1 - chance)
     return estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / f) - 1 / f
 
 
+class Union:
+    """Disjoint sets of 0..n-1."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = x = p[p[x]]
+        return x
+
+    def join(self, pairs) -> list[tuple[int, int]]:
+        """Those of the pairs that join two sets."""
+        out = []
+        for u, v in pairs:
+            a, b = self.root(u), self.root(v)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((u, v))
+        return out
+
+
+def bucket_forest(reg: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Spanning forest of a bucket's pairs that the estimate lets pass, across the two sides if there are two."""
+    union, out, n = Union(len(reg)), [], len(reg)
+    one = side.min() == side.max()
+    for a in range(0, n, 256):
+        may = likely(reg[a : a + 256], reg, threshold) & (np.arange(a, min(a + 256, n))[:, None] < np.arange(n)[None, :])
+        if not one:
+            may &= side[a : a + 256, None] != side[None, :]
+        out += union.join((a + int(i), int(j)) for i, j in np.argwhere(may))
+    return out
+
+
 def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the links (100 * intersection >= percent * union) among texts, across the two sides if there are two."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     reg = np.stack([registers(s) for s in sets])
     one = len(np.unique(side)) < 2
-    parent = np.arange(n)
+    groups = Union(n)
     out: list[tuple[int, int]] = []
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(n), size)
@@ -122,21 +162,13 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
                     m[i, c[(c >= lo) & (c < lo + columns)] - lo] = 1
             both += x @ y.T
         union = size[rows, None] + size[None, others] - both
-        for i, j in np.argwhere(may[:, others] & (100 * both >= percent * union)):
-            u, v = int(rows[i]), int(others[j])
-            ru, rv = u, v
-            while parent[ru] != ru:
-                parent[ru] = ru = parent[parent[ru]]
-            while parent[rv] != rv:
-                parent[rv] = rv = parent[parent[rv]]
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-                out.append((u, v))
+        linked = np.argwhere(may[:, others] & (100 * both >= percent * union))
+        out += groups.join((int(rows[i]), int(others[j])) for i, j in linked)
     return out
 
 
 def _describe(batches):
-    """doc_id, number of shingles, 128-bit key of the set, band keys."""
+    """doc_id, number of shingles, 128-bit key of the set, registers."""
     for b in batches:
         text = b.column(1)
         for i, j, buf, off in slices(text):
@@ -145,70 +177,107 @@ def _describe(batches):
             for s in sets:
                 k1.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 k2.append(int(mix(s + _U(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                keys.append(band_keys(registers(s)).tobytes())
+                keys.append(registers(s).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                names=["doc_id", "n_shingles", "k1", "k2", "registers"],
             )
 
 
-def _unpack(batches):
+def _bands(batches):
     for b in batches:
-        keys = [np.frombuffer(x or b"", np.int64) for x in b.column(1).to_pylist()]
+        keys = [band_keys(np.frombuffer(x, np.uint16)) for x in b.column(1).to_pylist()]
         ids = np.repeat(np.asarray(b.column(0)), [len(k) for k in keys])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(ids)], names=["band", "rep"])
 
 
+def _parts(table: pa.Table):
+    """The table sorted by (group, i, j, rep), its columns, and the spans of equal (group, i, j)."""
+    d = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+    cols = {c: d.column(c).to_numpy() for c in ("group", "i", "j", "side", "rep")}
+    cuts = np.flatnonzero(np.r_[True, np.any([cols[c][1:] != cols[c][:-1] for c in ("group", "i", "j")], axis=0)]) if d.num_rows else np.zeros(0, np.int64)
+    return d, cols, np.r_[cuts, d.num_rows]
+
+
+def _edges(a, b) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _estimator(percent: int):
+    """Buckets of bands -> pairs that the estimate lets pass, a spanning forest for each bucket."""
+
+    def estimate(table: pa.Table) -> pa.Table:
+        d, cols, cuts = _parts(table)
+        reg = np.frombuffer(b"".join(d.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        size, rep = np.diff(cuts), cols["rep"]
+        a, b = [], []
+        two = cuts[:-1][size == 2]  # most buckets: all at once
+        for k in range(0, len(two), 4096):
+            x, y = reg[two[k : k + 4096]], reg[two[k : k + 4096] + 1]
+            ok = _passes(((x == y) & (x != EMPTY)).sum(1), ((x != EMPTY) | (y != EMPTY)).sum(1), percent / 100)
+            a.append(rep[two[k : k + 4096][ok]])
+            b.append(rep[two[k : k + 4096][ok] + 1])
+        for lo, n in zip(cuts[:-1], size, strict=True):
+            if n > 2:
+                pairs = np.array(bucket_forest(reg[lo : lo + n], cols["side"][lo : lo + n], percent / 100), np.int64).reshape(-1, 2)
+                a.append(rep[lo + pairs[:, 0]])
+                b.append(rep[lo + pairs[:, 1]])
+        none = np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([np.concatenate([*a, none]), np.concatenate([*b, none])]), axis=1)
+        return _edges(pairs[0], pairs[1])
+
+    return estimate
+
+
 def _linker(percent: int):
+    """Groups of texts -> their links, a spanning forest for each group or pair of blocks."""
+
     def link(table: pa.Table) -> pa.Table:
-        d = table.sort_by([("group", "ascending"), ("i", "ascending"), ("j", "ascending"), ("rep", "ascending")])
+        d, cols, cuts = _parts(table)
         sets = [s for _, _, buf, off in slices(d.column("text")) for s in shingles(Words(buf, off, lower=True))]
-        cols = {c: d.column(c).to_numpy() for c in ("group", "i", "j", "side", "rep")}
-        cuts = np.flatnonzero(np.r_[True, np.any([cols[c][1:] != cols[c][:-1] for c in ("group", "i", "j")], axis=0)]) if d.num_rows else []
         a, b = [], []
-        for lo, hi in zip(cuts, [*cuts[1:], d.num_rows], strict=True):
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             for u, v in forest(sets[lo:hi], cols["side"][lo:hi], percent):
                 a.append(cols["rep"][lo + u])
                 b.append(cols["rep"][lo + v])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(a, b)
 
     return link
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least percent % Jaccard similarity), kept."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    desc = cut(texts.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, bands binary"))
-    sets = desc.where("n_shingles > 0 and doc_id is not null")
-    # equal sets: one class, its smallest doc_id stands for it
-    classes = cut(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    # band table over classes; one row per class and band
-    firsts = desc.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = firsts.select("doc_id", "bands").mapInArrow(_unpack, "band long, rep long")
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    edges = bands.join(buckets, "band").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    groups = components(edges)  # of candidates: a superset of the links
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(task, group, i, j, side, rep) of members(group, rep): groups of up to block members whole, several a task; larger ones as pairs of blocks."""
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     packs = max(1, total // block)
     nb = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), nb).cast("int")
-    pairs = (
-        groups.select(F.col("id").alias("rep"), F.col("component").alias("group"))
-        .join(sizes.withColumnRenamed("component", "group"), "group")
-        .withColumn("mine", mine)
+    return (
+        members.join(sizes, "group")
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), nb).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-        .select(
-            "rep", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("side"),
-            F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"),
-        )
-    )
-    found = (
-        texts.where("doc_id is not null").dropDuplicates(["doc_id"])
-        .join(pairs, F.col("doc_id") == F.col("rep")).select("task", "group", "i", "j", "side", "rep", "text")
-        .groupBy("task").applyInArrow(_linker(percent), "a long, b long")
+        .withColumn("i", F.least("mine", "other"))
+        .withColumn("j", F.greatest("mine", "other"))
+        .select(F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.xxhash64("group", "i", "j")).alias("task"), "group", "i", "j", F.col("mine").alias("side"), "rep")
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least percent % Jaccard similarity), kept."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    desc = cut(texts.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, registers binary"))
+    sets = desc.where("n_shingles > 0 and doc_id is not null")
+    # equal sets: one class, its smallest doc_id stands for it
+    classes = cut(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
+    firsts = desc.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "registers")
+    # buckets: classes that share a band
+    bands = firsts.mapInArrow(_bands, "band long, rep long")
+    full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(bands.join(full, "band").select(F.col("band").alias("group"), "rep"))
+    buckets = _dealt(met, met.groupBy("group").agg(F.count("*").alias("n")), bucket)
+    near = buckets.join(firsts, "rep").groupBy("task").applyInArrow(_estimator(percent), "a long, b long")
+    # groups of candidates, and the links in them
+    groups = components(near).select(F.col("component").alias("group"), F.col("id").alias("rep"))
+    pairs = _dealt(groups, groups.groupBy("group").agg(F.count("*").alias("n")), block)
+    found = texts.join(pairs, F.col("doc_id") == F.col("rep")).select("task", "group", "i", "j", "side", "rep", "text").groupBy("task").applyInArrow(_linker(percent), "a long, b long")
     linked = components(found)
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = desc.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")
