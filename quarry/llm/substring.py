@@ -253,11 +253,13 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
         chunks, buckets, window, gram = index.chunks, index.buckets, index.window, index.gram
     n = max(partitions(spark), chunks // 8)
     mine = _chunked(docs, chunks).repartition(n, "chunk")
-    runs = mine.select("doc_id", "text", "chunk").groupBy("chunk").applyInArrow(_runs_of(window, gram, buckets), _RUN + ", twice binary")
-    every = mine.select("doc_id", "text", "old", "chunk")
+    # the same columns for all three readers, so that the texts are shuffled once
+    runs = mine.groupBy("chunk").applyInArrow(_runs_of(window, gram, buckets), _RUN + ", twice binary")
+    every = mine
     if index is not None and index.tables and history is not None:
         runs = runs.unionByName(index.runs().withColumn("twice", F.lit(None).cast("binary")))
-        every = every.unionByName(_chunked(history, chunks, True).select("doc_id", "text", "old", "chunk"))
+        past = _chunked(history, chunks, True)
+        every = every.unionByName(past.withColumn("carried", F.lit(None).cast(mine.schema["carried"].dataType)))
     repeated = runs.groupBy("bucket").applyInArrow(_merge_runs, "old boolean, chunk int, keys binary")
     met = every.groupBy("chunk", "old").cogroup(repeated.groupBy("chunk", "old")).applyInArrow(_windows_of(window, gram, buckets), "bucket int, old boolean, chunk int, hi binary, lo binary, docs binary, counts binary")
     gone = met.groupBy("bucket").applyInArrow(_merge_windows, "chunk int, gone binary")
