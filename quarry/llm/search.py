@@ -24,7 +24,6 @@ from .kernel import ALNUM, Words
 K1, B = 1.2, 0.75
 #: Lists that more than this share of documents is in are bounded by block maxima, the others scored at once.
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
-_COUNT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +143,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     """query_id, rank (from 1), doc_id, score: the k best documents for each row of queries(doc_id, text)."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    n_docs, n_words = texts.agg(F.count("*"), F.coalesce(F.sum(F.regexp_count("text", F.lit(_COUNT))), F.lit(0))).first()
+    lengths = map_text(texts.select("text"), lambda x: [pa.array(np.concatenate([*(Words(buf, off, ALNUM, lower=True).counts() for _, _, buf, off in slices(x)), np.zeros(0, np.int64)]))], "words long")
+    n_docs, n_words = lengths.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     counts = texts.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), "text").where("query_id is not null").dropDuplicates(["query_id"])
     asked = map_text(asked, _query_terms, "terms array<struct<term:bigint,n:bigint>>").select("query_id", F.explode("terms").alias("t")).select("query_id", "t.term", "t.n")
