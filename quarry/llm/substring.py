@@ -36,7 +36,9 @@ def _split(order_by: np.ndarray, n: int):
     """Order of rows by bucket, and the buckets with their spans in that order."""
     order = np.argsort(order_by, kind="stable")
     b = order_by[order]
-    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    if not len(b):
+        return order, []
+    at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     return order, [(int(b[lo]), lo, hi) for lo, hi in zip(at, [*at[1:], len(b)], strict=True)]
 
 
@@ -65,7 +67,7 @@ def _runs_of(window: int, gram: int, buckets: int):
         h, twice = h[order], (low < high)[order]
         return pa.table(
             {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "old": pa.array([False] * len(parts)), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int32()),
+                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "old": pa.array([False] * len(parts), pa.bool_()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int32()),
                 "keys": pa.array([h[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()), "twice": pa.array([np.packbits(twice[lo:hi]).tobytes() for _, lo, hi in parts], pa.binary()),
             }
         )
