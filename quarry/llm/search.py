@@ -24,6 +24,8 @@ from .kernel import ALNUM, Words
 K1, B = 1.2, 0.75
 #: Lists that more than this share of documents is in are bounded by block maxima, the others scored at once.
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
+#: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
+CELLS = 1 << 19
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,10 +87,18 @@ class Shard:
         known = self.vocabulary[at] == h
         t, at, tf = t[known], at[known], tf[known]
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[t] / self.mean))
-        cuts = np.searchsorted(t, np.arange(0, len(ids) + STEP, STEP))
-        for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        edges = np.arange(0, len(ids) + BLOCK, BLOCK)
+        cuts = np.searchsorted(t, edges)
+        rare = np.where(self.is_frequent[at], 0, self.rare_at[at + 1] - self.rare_at[at])
+        postings = np.r_[0, np.cumsum(rare)][cuts]
+        most = max(1, min(STEP, CELLS // len(self.ids)) // BLOCK)
+        a = 0
+        while a < len(edges) - 1:
+            b = min(max(a + 1, int(np.searchsorted(postings, postings[a] + CELLS, "right")) - 1), a + most, len(edges) - 1)
+            lo, hi = cuts[a], cuts[b]
             if hi > lo:
-                self._step(ids[s * STEP : (s + 1) * STEP], t[lo:hi] - s * STEP, at[lo:hi], impact[lo:hi])
+                self._step(ids[edges[a] : edges[b]], t[lo:hi] - edges[a], at[lo:hi], impact[lo:hi])
+            a = b
 
     def _step(self, ids: np.ndarray, t: np.ndarray, term: np.ndarray, impact: np.ndarray) -> None:
         nq, blocks = len(self.ids), -(-len(ids) // BLOCK)
