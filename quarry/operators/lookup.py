@@ -42,12 +42,12 @@ def commonest(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def near_dates(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int) -> DataFrame:
-    """Pairs with dates at most days apart, as an equi-join on buckets of that width and its two neighbours."""
+def near_dates(left: DataFrame, right: DataFrame, left_date: str, right_date: str, days: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that agree in the columns by, with dates at most days apart: an equi-join on buckets of that width and its two neighbours."""
     width = max(days, 1)
     bucket = lambda c: F.floor(F.unix_date(c) / width)
     r = right.withColumn("_b", F.explode(F.array(*(bucket(F.col(right_date)) + k for k in (-1, 0, 1)))))
-    return left.withColumn("_b", bucket(F.col(left_date))).join(r, "_b").where(F.abs(F.datediff(left_date, right_date)) <= days).drop("_b")
+    return left.withColumn("_b", bucket(F.col(left_date))).join(r, [*by, "_b"]).where(F.abs(F.datediff(left_date, right_date)) <= days).drop("_b")
 
 
 def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates as D
-from .functions import geo, text, urls
-from .operators import duplicates, lookup, merge, quality, series
+from .functions import addresses, geo, text, titles, urls
+from .operators import articles, duplicates, lookup, merge, quality, series
 from .plans import discovery
 from .plans.discovery import State
 from .sources import calendar, pages
@@ -331,17 +331,18 @@ def html_to_text(spark, d):
     return t(spark, d, "pages").select("page_id", F.md5(text.strip_markup(c("html")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS key FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS key FROM documents")
 def title_normalize(spark, d):
-    return t(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(text.plain(c("text")).cast("binary")).alias("key"))
+    return t(spark, d, "documents").select("doc_id", F.md5(text.plain(c("text")).cast("binary")).alias("key"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, CAST(floor(1000.0 * len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))) AS BIGINT) AS per_mille FROM b x JOIN b y ON x.item_id < y.item_id AND x.item_id % 10 = y.item_id % 10""")
+@query("""WITH b AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM conversations)
+SELECT x.conv_id, x.turn, CAST(floor(1000.0 * len(list_intersect(x.w, y.w)) / nullif(len(list_distinct(list_concat(x.w, y.w))), 0)) AS BIGINT) AS per_mille FROM b x JOIN b y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1""")
 def token_jaccard(spark, d):
-    b = t(spark, d, "benchmark").select("item_id", text.tokens(c("text")).alias("w")).withColumn("k", c("item_id") % 10)
-    x, y = b.select("k", c("item_id").alias("a"), c("w").alias("wa")), b.select("k", c("item_id").alias("b"), c("w").alias("wb"))
-    return x.join(y, "k").where("a < b").select("a", "b", F.floor(F.lit(1000.0) * F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))).cast("long").alias("per_mille"))
+    b = t(spark, d, "conversations").select("conv_id", "turn", text.tokens(c("text")).alias("w"))
+    after = b.select("conv_id", (c("turn") - 1).alias("turn"), c("w").alias("next"))
+    shared, every = F.size(F.array_intersect("w", "next")), F.size(F.array_union("w", "next"))
+    return b.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.floor(F.try_divide(F.lit(1000.0) * shared, every)).cast("long").alias("per_mille"))
 
 
 @query("WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS k FROM documents), g AS (SELECT k, min(doc_id) AS first_id, count(*) AS n FROM k GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, first_id, n FROM k JOIN g USING (k)")
@@ -357,12 +358,13 @@ def survivor_pick(spark, d):
     return duplicates.survivors(k, ["k"], [F.desc(c("source") == "src0"), F.desc("n_chars"), c("doc_id")]).select("doc_id", "group_size", "rank")
 
 
-@query("""WITH q AS (SELECT doc_id, text, trim(text) AS d FROM documents)
-SELECT doc_id, CASE WHEN d = '' OR d IS NULL THEN 'missing' WHEN regexp_matches(d, '(?i)([(,;:&–-]|\\b(and|or|with|featuring|feat\\.?|plus|the|a|an|of|at|in|on|by|from|to))\\s*$') THEN 'truncated' ELSE 'ok' END AS quality FROM q
-WHERE NOT contains(coalesce(d, ''), '(') AND NOT contains(coalesce(d, ''), ')') AND regexp_matches(coalesce(d, ''), '[a-z]{3}')""")
+@query(r"""WITH q AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS d FROM documents),
+p AS (SELECT *, list_reduce(list_prepend(0, list_transform(regexp_extract_all(d, '[()]'), lambda m: CASE WHEN m = '(' THEN 1 ELSE -1 END)), lambda a, b: greatest(0, a + b)) AS depth FROM q)
+SELECT doc_id, CASE WHEN d = '' THEN 'missing' WHEN regexp_matches(d, '(?i)^(tba|tbd|n/?a|none|no description( available)?|details? (tba|coming soon))\.?$') THEN 'placeholder' WHEN regexp_matches(d, '(?i)^https?://\S+$') THEN 'bare_url'
+WHEN regexp_matches(d, '(?i)^\d{1,2}(:\d{2})?\s*[ap]m(\s*(-|to)\s*\d{1,2}(:\d{2})?\s*[ap]m)?$') THEN 'time_only'
+WHEN depth > 0 OR regexp_matches(d, '(?i)([(,;:&–-]|\b(and|or|with|featuring|feat\.?|plus|the|a|an|of|at|in|on|by|from|to))\s*$') THEN 'truncated' WHEN NOT regexp_matches(lower(d), '[a-z0-9]') THEN 'restates_title' ELSE 'ok' END AS quality FROM p""")
 def description_quality(spark, d):
-    x = t(spark, d, "documents").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("(")) & ~F.contains(F.coalesce("text", F.lit("")), F.lit(")")) & F.coalesce("text", F.lit("")).rlike("[a-z]{3}"))
-    return x.select("doc_id", text.description_quality(c("text"), F.lit("")).alias("quality"))
+    return t(spark, d, "documents").select("doc_id", text.description_quality(c("text"), F.lit("")).alias("quality"))
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN l_quantity > 45 THEN 'large' END, CASE WHEN l_discount > 0.09 THEN 'discount' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL)) AS code FROM lineitem)
@@ -521,11 +523,11 @@ def reason_funnel(spark, d):
     return t(spark, d, "orders").groupBy(r.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("WITH a AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 50 = 0), b AS (SELECT o_orderkey AS other, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 50 = 1) SELECT o_orderkey, other FROM a JOIN b ON abs(date_diff('day', a.day, b.day)) <= 3")
+@query("SELECT a.o_orderkey, b.o_orderkey AS other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(datediff('day', CAST(a.o_orderdate AS DATE), CAST(b.o_orderdate AS DATE))) <= 3")
 def near_date_pairs(spark, d):
-    o = t(spark, d, "orders").select("o_orderkey", c("o_orderdate").cast("date").alias("day"))
-    a, b = o.where("o_orderkey % 50 = 0"), o.where("o_orderkey % 50 = 1").select(c("o_orderkey").alias("other"), c("day").alias("other_day"))
-    return lookup.near_dates(a, b, "day", "other_day", 3).select("o_orderkey", "other")
+    a = t(spark, d, "orders").select("o_custkey", "o_orderkey", c("o_orderdate").cast("date").alias("day"))
+    b = a.select("o_custkey", c("o_orderkey").alias("other"), c("day").alias("other_day"))
+    return lookup.near_dates(a, b, "day", "other_day", 3, by=("o_custkey",)).where("o_orderkey < other").select("o_orderkey", "other")
 
 
 @query("""WITH w AS (SELECT doc_id, lang, source, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM documents),
@@ -553,3 +555,31 @@ def windowed_counts(spark, d):
 
     return counts(t(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(upper(p_name), ' '), lambda w: CASE WHEN regexp_matches(w, '[AEIOUY]') THEN w[1] || lower(w[2:]) ELSE w END), ' ') AS title, 'all_caps_to_title_case' AS reason FROM part""")
+def title_case(spark, d):
+    return t(spark, d, "part").select("p_partkey", titles.title_case(F.upper("p_name")).alias("x")).select("p_partkey", "x.title", "x.reason")
+
+
+@query("""SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS number, CASE WHEN c_custkey % 3 <> 0 THEN 'w' END AS dir, lower(c_mktsegment) AS name, 'st' AS type,
+c_custkey || CASE WHEN c_custkey % 3 <> 0 THEN ' W. ' ELSE ' ' END || c_mktsegment || ' Street #' || c_nationkey AS street, translate(n_name, '0123456789_', 'abcdefghij ') AS city, 'MI' AS state, CASE WHEN c_custkey % 2 = 0 THEN '48201' ELSE '' END AS zip FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def address_parts(spark, d):
+    cu = t(spark, d, "customer").join(t(spark, d, "nation"), c("c_nationkey") == c("n_nationkey"))
+    line = F.concat(c("c_custkey").cast("string"), F.when(c("c_custkey") % 3 != 0, " W. ").otherwise(" "), "c_mktsegment", F.lit(" Street #"), c("c_nationkey").cast("string"))
+    city = F.translate("n_name", "0123456789_", "abcdefghij ")  # a part with a digit is no city
+    whole = F.concat_ws(", ", line, city, F.when(c("c_custkey") % 2 == 0, "MI 48201").otherwise("MI"))
+    x = cu.select("c_custkey", addresses.street(whole).alias("s"), addresses.address(whole).alias("a"))
+    return x.select("c_custkey", "s.number", "s.dir", "s.name", "s.type", "a.street", "a.city", "a.state", "a.zip")
+
+
+@query("""WITH a AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS hay, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS published FROM documents),
+e AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) AS title, DATE '2024-01-01' + CAST(item_id % 60 AS INT) AS day FROM benchmark),
+f AS (SELECT *, array_to_string(string_split(title, ' ')[1:2], ' ') AS venue FROM e),
+m AS (SELECT doc_id AS article_id, item_id AS event_id, abs(datediff('day', published, day)) AS gap, length(title) >= 6 AND contains(hay, title) AS by_title, length(venue) >= 6 AND contains(hay, venue) AS by_venue FROM a JOIN f ON contains(hay, venue)),
+r AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY by_title DESC, gap, event_id) AS n FROM m WHERE by_title OR (by_venue AND gap <= 21))
+SELECT article_id, event_id, CASE WHEN by_title THEN 'title' ELSE 'venue_date' END AS match_type, CAST(gap AS INT) AS day_gap FROM r WHERE n = 1""")
+def article_match(spark, d):
+    first = F.lit(date(2024, 1, 1))
+    a = t(spark, d, "documents").select(c("doc_id").alias("article_id"), "text", F.date_add(first, (c("doc_id") % 60).cast("int")).alias("published"))
+    e = t(spark, d, "benchmark").select(c("item_id").alias("event_id"), c("text").alias("title"), F.array_join(F.slice(F.split(text.plain(c("text")), " "), 1, 2), " ").alias("venue"), F.date_add(first, (c("item_id") % 60).cast("int")).alias("start_date"))
+    return articles.match(a, e, TODAY)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry import queries
 from quarry.functions import dates as D
-from quarry.functions import geo, text, urls
-from quarry.operators import duplicates, lookup, merge, quality, series
+from quarry.functions import addresses, geo, text, titles, urls
+from quarry.operators import articles, duplicates, lookup, merge, quality, series
 from quarry.plans import discovery
 from quarry.plans.discovery import State, window
 from quarry.sources import calendar, pages
@@ -184,3 +184,58 @@ def test_streams(spark, tmp_path):
     assert {r["id"]: r["name"] for r in spark.read.parquet(f"{tmp_path}/t/v1").collect()} == {1: "a", 2: "B", 3: "c"}
     runs = spark.createDataFrame([("started", None, datetime(2026, 1, 1)), ("started", None, datetime(2026, 1, 1, 0, 58)), ("success", datetime(2026, 1, 1), datetime(2026, 1, 1))], "outcome string, finished_at timestamp, started_at timestamp")
     assert [r["outcome"] for r in batches.close_stalled(runs, datetime(2026, 1, 1, 1)).collect()] == ["abandoned", "started", "success"]
+
+
+TITLES = [
+    ("THE NIGHT OF THE DJ AT OCTOBER'S END", "The Night of the DJ at October's End"), ("HE$H LIVE: A TRIBUTE", "HE$H Live: A Tribute"), ("KREWELLA", "KREWELLA"),
+    ("W/ALAINA AND AFTER DARK/AFRO", "w/Alaina and After Dark/Afro"), ("SPKR R&B JAZZ-NIGHT O.A.R. II", "SPKR R&B Jazz-Night O.A.R. II"), ("Mixed Case HERE", "Mixed Case HERE"), (None, None), ("", ""),
+    ("A DAY - THE END", "A Day - The End"), ("(SOLD OUT) 21+ MC BRNCH 3RD X", "(Sold Out) 21+ MC BRNCH 3rd X"),
+]
+
+
+def test_title_case(spark):
+    df = spark.createDataFrame(TITLES, "t string, want string").select("want", titles.title_case(F.col("t"))["title"].alias("got"))
+    assert [r["got"] for r in df.collect()] == [w for _, w in TITLES]
+    assert one(spark, titles.title_case(F.lit("TWO WORDS"), F.lit("own"), ("own",))["reason"]) == ("source_keeps_caps",)
+
+
+STREETS = [
+    ("660 W. Baltimore Street #2", ("660", "w", "baltimore", "baltimore", "st", None)), ("Fox Theatre, 2211 Woodward Ave, Detroit", ("2211", None, "woodward", "woodward", "ave", None)),
+    ("100 Jefferson Ave W", ("100", None, "jefferson", "jefferson", "ave", "w")), ("100 st n", ("100", None, "st", "st", None, "n")), ("123a Saint Aubin, Suite 200", ("123a", None, "saint aubin", "staubin", None, None)),
+    ("7 pm, 100 N St", ("100", "n", "st", "st", None, None)), ("4120-4140 Woodward", None), ("7 pm", None), ("11 Mile Road", None), (None, None), ("", None),
+]
+
+
+def test_street(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(STREETS)], "i int, t string").select("i", addresses.street(F.col("t")).alias("s"))
+    assert [r["s"] and tuple(r["s"]) for r in df.orderBy("i").collect()] == [w for _, w in STREETS]
+    same = lambda a, b: one(spark, addresses.same_street(addresses.street(F.lit(a)), addresses.street(F.lit(b))))[0]
+    assert same("100 W Jefferson", "100 Jefferson Ave W") and same("5 St Aubin St", "5 Saint Aubin")
+    assert not same("100 W Jefferson", "100 E Jefferson") and not same("5 Elm St", "5 Elm Ave") and not same("no street", "no street")
+
+
+@pytest.mark.parametrize(
+    "whole, want",
+    [
+        ("Hall, 1 Main St, Detroit, MI 48201, USA", ("Hall, 1 Main St", "Detroit", "MI", "48201", "US")), ("1 Main St, Windsor, ON N9A 1A1, Canada", ("1 Main St", "Windsor", "ON", "N9A 1A1", "Canada")),
+        ("1 Main St, Detroit, MI, 48201", ("1 Main St", "Detroit", "MI", "48201", "")), ("MI 48201", ("", "", "MI", "48201", "")), ("1 Main, Detroit", ("1 Main", "Detroit", "", "", "")),
+        ("5 A St, Suite 2, MI", ("5 A St, Suite 2", "", "MI", "", "")), (None, ("", "", "", "", "")),
+    ],
+)
+def test_address(spark, whole, want):
+    assert tuple(one(spark, addresses.address(F.lit(whole).cast("string"), F.lit("detroit")))[0]) == want
+
+
+def test_articles(spark):
+    day = date(2026, 5, 1)
+    texts = ["Cart fairs come back", "The jazzfest2 opens", "At Fox Theatre tonight", "The long night market, and more", None, "", "x" * 5000]
+    a = spark.createDataFrame([(i, x, day) for i, x in enumerate(texts)], "article_id long, text string, published date")
+    events = [(1, "art fair", None, date(2026, 5, 3)), (2, "Jazzfest", None, date(2026, 6, 9)), (3, "Other name", "fox theatre", date(2026, 5, 22)), (4, "Other", "Fox Theatre", date(2026, 5, 23)), (5, "Long Night Market", None, None), (6, "long NIGHT market", None, day), (7, None, None, day)]
+    e = spark.createDataFrame(events, "event_id long, title string, venue string, start_date date")
+    got = sorted(tuple(r) for r in articles.match(a, e, day).collect())
+    assert got == [(0, 1, "title", 2), (1, 2, "title", 39), (2, 3, "venue_date", 21), (3, 6, "title", 0)]
+    rejected = spark.createDataFrame([(3, 6)], "article_id long, event_id long")
+    assert (3, 5, "title", None) in [tuple(r) for r in articles.match(a, e, day, rejected).collect()]
+    v = lambda *x: one(spark, articles.verdict(F.lit(x[0]), F.lit(x[1]), F.lit("night market"), F.lit("fox theatre"), F.lit("troy"), F.lit(x[2]), F.lit(x[3]), 60, "detroit", ["novi"]))[0]
+    assert v("title", "night market at fox theatre", 1, 60) == "verified" and v("title", "night market in troy", 1, 61) == "candidate"
+    assert v("title", "night market in novi", 1, 1) == "needs_follow_up" and v("title", "night market in troy", 2, 1) == "candidate" and v("venue_date", "night market in troy", 1, 1) == "candidate"
