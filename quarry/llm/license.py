@@ -2,7 +2,7 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased; shingles take five words. Templates of up to 16 words are sought in
 windows of their own length at every word; longer ones, in classes by powers of two, in windows of one and a quarter times the class's
-greatest length at every quarter of its least. Each of 32 hash functions is a band of one row: a window that holds three quarters of a
+greatest length at every quarter of its least. Windows start and end with their text, whatever texts stand beside it. Each of 32 hash functions is a band of one row: a window that holds three quarters of a
 template has a Jaccard similarity of at least 0.3 to it, so all 32 minima differ with probability below 0.7**32 = 1e-5. A retrieved
 template is found where at least `percent` % of its distinct shingles stand in the window.
 
@@ -73,50 +73,62 @@ class Templates:
 
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 _MULT = _U(0x9E3779B97F4A7C15)
+_NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def _window_minima(x: np.ndarray, width: int, stride: int) -> np.ndarray:
-    """Minimum of width consecutive values at every stride-th start."""
-    if stride > 1:  # minima of blocks of one stride, then of the blocks of a window
-        m = -(-len(x) // stride)
-        x = np.concatenate([x, np.full(m * stride - len(x), np.iinfo(np.uint64).max, np.uint64)]).reshape(m, stride).min(1)
-        width = -(-width // stride)
+def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of width consecutive values at every start."""
     done, out = 1, x
     while done < width:
         step = min(done, width - done)
-        out = np.minimum(out, np.concatenate([out[step:], np.full(min(step, len(out)), np.iinfo(np.uint64).max, np.uint64)]))
+        out = np.minimum(out, np.concatenate([out[step:], np.full(min(step, len(out)), _NONE, np.uint64)]))
         done += step
     return out
 
 
 def _scan(t: Templates, w: Words, percent: int) -> list[list[tuple[str, float, int, int]]]:
     """For each text of a slice: (license, containment, first word, words) of the best window of each license found."""
-    n_texts = len(w.first) - 1
-    best: list[dict] = [{} for _ in range(n_texts)]
-    g, ok = w.grams(SHINGLE)
-    if not ok.any():
+    best: list[dict] = [{} for _ in range(len(w.first) - 1)]
+    count = np.maximum(w.counts() - SHINGLE + 1, 0)  # shingles of each text
+    live = np.flatnonzero(count)
+    if not len(live):
         return [[] for _ in best]
-    g = np.where(ok, g, _U(0xFFFFFFFFFFFFFFFF))
+    # the shingles of each text, then SHORT empty places, which are blocks of their own at every stride: a window has at most ten blocks
+    # or twelve single shingles, so none reaches the next text
+    g, count, first = w.grams(SHINGLE)[0], count[live], w.first[live]
+    at = np.concatenate([[0], np.cumsum(count + SHORT)])
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place = np.repeat(at[:-1], count) + within
+    laid, empty = np.zeros(at[-1], np.uint64), np.ones(at[-1], bool)
+    laid[place], empty[place] = g[np.repeat(first, count) + within], False
+    blocks = {}  # stride -> starts of the blocks, counted from each text's first shingle
+    for _, stride in t.classes:
+        start = empty.copy()
+        start[place[within % stride == 0]] = True
+        blocks[stride] = np.flatnonzero(start)
     found: dict[tuple[int, int], set] = {}
     for h, seed in enumerate(_SEEDS):
-        x = (g ^ seed) * _MULT
-        x[~ok] = np.iinfo(np.uint64).max
+        x = (laid ^ seed) * _MULT
+        x[empty] = _NONE
+        lows = {stride: np.minimum.reduceat(x, start) if stride > 1 else x for stride, start in blocks.items()}
         for (width, stride), (own, minima) in t.classes.items():
-            m = _window_minima(x, width - SHINGLE + 1, stride)
+            m = _window_minima(lows[stride], -(-(width - SHINGLE + 1) // stride))
             for k, low in zip(own, minima[h], strict=True):
-                for p in np.flatnonzero(m == low):
-                    found.setdefault((int(k), width), set()).add(int(p) * stride)
-    text = w.text()
+                if len(p := np.flatnonzero(m == low)):
+                    found.setdefault((int(k), width), set()).update(blocks[stride][p].tolist())
     for (k, width), starts in found.items():
         for s in starts:
-            for at in {int(text[s]), int(text[min(s + width, len(text)) - 1])}:  # a window at the edge of two texts serves both
-                a, b = max(s, w.first[at]), min(s + width, w.first[at + 1])
-                own = np.unique(g[a : max(a, b - SHINGLE + 1)])
-                share = len(np.intersect1d(own, t.sets[k], assume_unique=True)) / len(t.sets[k])
-                now = (share, -int(a - w.first[at]), int(b - a))
-                if 100 * share >= percent and now > best[at].get(t.names[k], (0.0,)):
-                    best[at][t.names[k]] = now
-    return [[(name, share, -first, n) for name, (share, first, n) in sorted(d.items())] for d in best]
+            if empty[s]:
+                continue
+            j = int(np.searchsorted(at, s, side="right")) - 1
+            a = int(first[j] + s - at[j])
+            b = int(min(a + width, w.first[live[j] + 1]))
+            own, into = np.unique(g[a : b - SHINGLE + 1]), best[live[j]]
+            share = len(np.intersect1d(own, t.sets[k], assume_unique=True)) / len(t.sets[k])
+            now = (share, -int(a - first[j]), b - a)
+            if 100 * share >= percent and now > into.get(t.names[k], (0.0,)):
+                into[t.names[k]] = now
+    return [[(name, share, -start, n) for name, (share, start, n) in sorted(d.items())] for d in best]
 
 
 def licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = 75) -> DataFrame:

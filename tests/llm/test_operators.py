@@ -7,13 +7,16 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm.common import slices
 from quarry.llm.decontam import contamination
 from quarry.llm.html import LABELLED, Scores, extract, main_text
+from quarry.llm.kernel import ALNUM, Words
 from quarry.llm.langid import languages
-from quarry.llm.license import TEMPLATES, licenses
+from quarry.llm.license import TEMPLATES, Templates, _scan, licenses
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix
 from quarry.llm.search import search
@@ -303,6 +306,42 @@ def test_licenses(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_licenses_edited_notices(batch):
+    """Notices with 70 to 100 % of their shingles, in documents shorter than a window, against every window; neighbours change nothing."""
+    rng = random.Random(11)
+    table, rows = Templates(TEMPLATES), []
+    for name in ("MIT", "Apache-2.0", "ISC"):
+        for edits in (0, 1, 2, 3, 4, 4, 4, 4):
+            words = TEMPLATES[name][-1].split()
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = rng.choice(VOCAB)
+            rows += [prose(rng, rng.randrange(0, 40)), f"{prose(rng, rng.randrange(0, 20))} {' '.join(words)} {prose(rng, rng.randrange(0, 20))}"]
+
+    def brute(text):
+        w, out = re.findall("[0-9a-z]+", text.lower()), {}
+        for name, variants in TEMPLATES.items():
+            for v in variants:
+                v = re.findall("[0-9a-z]+", v.lower())
+                low = 1 << (len(v).bit_length() - 1)
+                width, stride = (len(v), 1) if len(v) <= 16 else (2 * low * 5 // 4, low // 4)
+                of = {tuple(v[i : i + 5]) for i in range(len(v) - 4)}
+                for a in range(0, len(w) - 4, stride):
+                    part = w[a : a + width]
+                    now = (len(of & {tuple(part[i : i + 5]) for i in range(len(part) - 4)}) / len(of), -a, len(part))
+                    if 100 * now[0] >= 75 and now > out.get(name, (0.0,)):
+                        out[name] = now
+        return [(name, share, -a, n) for name, (share, a, n) in sorted(out.items())]
+
+    got = []
+    for i in range(0, len(rows), batch):
+        for _, _, buf, off in slices(pa.array(rows[i : i + batch])):
+            got += _scan(table, Words(buf, off, ALNUM, lower=True), 75)
+    want = [brute(r) for r in rows]
+    assert got == want
+    assert any(want) and not all(want[1::2]) and any(m[1] < 0.8 for ms in want for m in ms)
+
+
 def test_main_text(spark):
     page = (
         '<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><header>Site</header>'
