@@ -6,7 +6,8 @@ scored: a word and each tag by the logarithm of how much more often it stands in
 linear scan finds the contiguous region with the greatest sum (the longest of equal ones), which is widened to whole blocks. Character
 references are decoded once, white space inside a block becomes one space, blocks are joined in page order by an empty line.
 
-A null or empty page, or one without words, gives the empty text. Unclosed elements end with the page, a stray closing tag is ignored.
+A null or empty page, or one without words, gives the empty text. An element ends with its end tag, with its parent's, or where the next
+start tag implies its end (p, li, dt, dd, tr, td, option and so on); one without any of these ends with the page. A stray closing tag is ignored.
 Very long pages take time and memory in proportion to their length. Repeated rows are judged alike; other columns are ignored.
 """
 
@@ -54,24 +55,96 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements: an end tag, or a start tag that implies one, ends what stands inside it (the HTML rules of scopes)."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}  # places of each name
+        self.marks = [(-1, -1, -1, -1, -1)]  # the innermost table, scope, list, end of an item's search, block
+
+    def push(self, name: str) -> None:
+        k, kept = len(self.names), self.marks[-1]
+        self.names.append(name)
+        self.at.setdefault(name, []).append(k)
+        self.marks.append(tuple(k if name in _BOUNDS[i] else kept[i] for i in range(4)) + (kept[4] if name in INLINE else k,))
+
+    def cut(self, k: int) -> list[str]:
+        """Close everything from place k on; the closed names, innermost first."""
+        out = []
+        while len(self.names) > k:
+            out.append(self.names.pop())
+            self.at[out[-1]].pop()
+            self.marks.pop()
+        return out
+
+    def inner(self, names, bound: int) -> list[int]:
+        """The innermost place of each name that lies in the scope."""
+        low = self.marks[-1][bound]
+        return [self.at[n][-1] for n in names if self.at.get(n) and self.at[n][-1] >= low]
+
+    def starts(self, name: str) -> int:
+        """From which place on a start tag closes."""
+        found = [len(self.names)]
+        if name in ("body", "html"):
+            return 0
+        if self.names and self.names[-1] == "head" and name not in ("meta", "link", "base"):
+            found.append(len(self.names) - 1)
+        if name in _IMPLIES:
+            closed, bound = _IMPLIES[name]
+            found += self.inner(closed, bound)
+        if name in _ENDS_P:
+            found += self.inner(("p",), 1)
+        if name in HEADINGS and self.names and self.names[-1] in HEADINGS:
+            found.append(len(self.names) - 1)
+        return min(found)
+
+    def ends(self, name: str) -> int | None:
+        """The place that an end tag closes, or None for a stray one."""
+        if name in ("body", "html"):
+            return None
+        found = self.inner(HEADINGS if name in HEADINGS else (name,), 0 if name in _TABLE else 2 if name == "li" else 1)
+        return max(found, default=None)
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TABLE = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+_SCOPE = frozenset("html table td th caption marquee applet".split())
+_ENDS_P = HEADINGS | frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul".split()
+)
+#: Elements at which the search for an open item ends: all blocks but address, div and p.
+_ITEM_END = (_ENDS_P | _SCOPE | _TABLE | frozenset("body button head html select".split())) - {"address", "div", "p", "hr"}
+_BOUNDS = (frozenset(["table"]), _SCOPE, _SCOPE | {"ul", "ol", "menu"}, _ITEM_END)
+#: Start tag -> the elements it closes, and the scope in which they are sought.
+_IMPLIES = (
+    {"li": (("li",), 3), "dt": (("dt", "dd"), 3), "dd": (("dt", "dd"), 3), "option": (("option",), 1), "optgroup": (("option", "optgroup"), 1)}
+    | dict.fromkeys(("td", "th"), (("td", "th", "caption", "colgroup"), 0)) | {"tr": (("tr", "td", "th", "caption", "colgroup"), 0)}
+    | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), 0))
+)
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
+
+
 def tokens(page: str, clean: bool = True) -> list[tuple[str, str]]:
     """(kind, value): ('text', decoded text run), ('tag', name), ('end', name); with clean, without the parts that are never the article."""
     out: list[tuple[str, str]] = []
-    at, n, skip, depth = 0, len(page), "", 0  # skip: the unwanted element that is open, depth: how often its name is
-    raw_end = page.lower() if "<" in page else ""
+    at, n, skip, opened = 0, len(page), -1, _Open()  # skip: place of the unwanted element that is open
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         m = (_TAG.match(page, lt) or _LOOSE.match(page, lt)) if lt < n else None
-        if lt > at and not skip:
+        if lt > at and skip >= 0 and opened.names[-1] == "head" and not page[at:lt].isspace():
+            opened.cut(len(opened.names) - 1)  # a text ends the head
+            skip = skip if skip < len(opened.names) else -1
+        if lt > at and skip < 0:
             out.append(("text", html.unescape(page[at:lt])))
         if lt == n:
             break
         if not m:  # a bare < is text
             end = page.find("<", lt + 1)
             end = n if end < 0 else end
-            if not skip:
+            if skip < 0:
                 out.append(("text", html.unescape(page[lt:end]) if end - lt > 1 or end < n else "<"))
             at = end
             continue
@@ -81,27 +154,37 @@ def tokens(page: str, clean: bool = True) -> list[tuple[str, str]]:
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
-                end = raw_end.find(f"</{name}", at)
-                end = n if end < 0 else end
+                found = _RAW_END[name].search(page, at)
+                end = found.start() if found else n
                 if not clean and name == "title":
                     out.append(("text", html.unescape(page[at:end])))
                 close = page.find(">", end)
                 at = n if end == n or close < 0 else close + 1
             continue
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-                    out.append(("end", name))
-            elif name in ("body", "html") or (name == "body" and skip == "head"):
-                skip = "" if not closing else skip
+        if not clean:
+            out.append(("end" if closing else "tag", name))
             continue
-        if clean and not closing and name not in VOID and _unwanted(name, m[3]):
-            skip, depth = name, 1
-            out.append(("end", name))  # it parts what stands before and after
+        k = (opened.ends(name) if name not in VOID else None) if closing else opened.starts(name)
+        if k is not None and not (closing and name in INLINE and opened.marks[-1][4] > k):
+            opened.cut(k)
+            ended = 0 <= k <= skip
+        else:  # stray, or the end of an inline element around open blocks, which stay open
+            ended = k is not None and k == skip
+        if ended:
+            skip = -1
+            out.append(("end", name))
+        elif skip >= 0:
+            if not closing and name not in VOID:
+                opened.push(name)
             continue
-        out.append(("end" if closing else "tag", name))
+        if not closing and name not in VOID:
+            opened.push(name)
+            if _unwanted(name, m[3]):
+                skip = len(opened.names) - 1
+                out.append(("end", name))  # it parts what stands before and after
+                continue
+        if not (closing and ended):
+            out.append(("end" if closing else "tag", name))
     return out
 
 

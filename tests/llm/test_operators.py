@@ -354,6 +354,26 @@ def test_main_text(spark):
     assert extract("plain words only", Scores(LABELLED)) == "plain words only"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class=notice>No<p>One two three.<p>Four.</article>", "One two three.\n\nFour."),
+    ("<article><p class=notice>No <span>no<div>One two</div><p>Three</p></article>", "One two\n\nThree"),
+    ("<main><ul><li class=ad>No<ul><li>no</ul><li>One two three four<li>Five six seven eight nine</ul><p>Ten</main>", "One two three four\n\nFive six seven eight nine\n\nTen"),
+    ("<main><dl><dt class=ad>No<dd>One two three four</dl><p>Five</p></main>", "One two three four\n\nFive"),
+    ("<table><tr><td class=ad>No<table><tr><td>no</table>no<td>One two three four five six</table>", "One two three four five six"),
+    ("<table><tr class=ad><td>No<td>no<tr><td>One two three four five six</table>", "One two three four five six"),
+    ("<div><div class=ad>No <b>no</div><p>One two three</p></div>", "One two three"),
+    ("<section><div class=ad><p>No</section><p>One two three</p>", "One two three"),
+    ("<div><a class=share>No<p>no</a><p>One two three</p></div>", "One two three"),
+    ("<div class=ad>No<table><tr><td>no</div>no</table>no</div><p>One two three</p>", "One two three"),
+    ("<head><meta x><p>One two three</p>", "One two three"),
+    ("<body><p>One two three</p><div class=ad>No</body></html>", "One two three"),
+    ("\u0130" * 12 + " one<script>x</script> two", "\u0130" * 12 + " one two"),
+])
+def test_main_text_ends(page, want):
+    """Unwanted elements whose end tag is missing end with their parent or where their end is implied."""
+    assert extract(page, Scores(LABELLED)) == want
+
+
 def test_pipeline(spark, tmp_path, texts):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
