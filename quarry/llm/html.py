@@ -3,7 +3,8 @@
 A page is read as a row of tokens: its words and its tags. Parts that are never the article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments; by element or by the words of class, id and role) give no tokens. What is left is
 scored: a word and each tag by the logarithm of how much more often it stands inside than outside the main text of labelled pages. One
-linear scan finds the contiguous region with the greatest sum (the longest of equal ones), which is widened to whole blocks. Character
+linear scan finds the contiguous region with the greatest sum (the longest of equal ones), which is widened to the article or main that it
+touches, else to the container around it, and to whole blocks. Links are scored as well: they tell lists of links from lists of the text. Character
 references are decoded once, white space inside a block becomes one space, blocks are joined in page order by an empty line.
 
 A null or empty page, or one without words, gives the empty text. An element ends with its end tag, with its parent's, or where the next
@@ -17,6 +18,7 @@ import html
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not text, and elements that are never part of an article.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math canvas object audio video".split())
 DROPPED = frozenset("head nav header footer aside form button select menu dialog fieldset".split())
+#: Blocks that hold a page's main text where no article or main does.
+CONTAINERS = frozenset("div section center td".split())
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright "
@@ -60,21 +64,25 @@ class _Open:
 
     def __init__(self):
         self.names: list[str] = []
+        self.shown: list[bool] = []  # whether a start tag was given
         self.at: dict[str, list[int]] = {}  # places of each name
         self.marks = [(-1, -1, -1, -1, -1)]  # the innermost table, scope, list, end of an item's search, block
 
-    def push(self, name: str) -> None:
+    def push(self, name: str, shown: bool) -> None:
         k, kept = len(self.names), self.marks[-1]
         self.names.append(name)
+        self.shown.append(shown)
         self.at.setdefault(name, []).append(k)
         self.marks.append(tuple(k if name in _BOUNDS[i] else kept[i] for i in range(4)) + (kept[4] if name in INLINE else k,))
 
     def cut(self, k: int) -> list[str]:
-        """Close everything from place k on; the closed names, innermost first."""
+        """Close everything from place k on; the names of those shown, innermost first."""
         out = []
         while len(self.names) > k:
-            out.append(self.names.pop())
-            self.at[out[-1]].pop()
+            name = self.names.pop()
+            if self.shown.pop():
+                out.append(name)
+            self.at[name].pop()
             self.marks.pop()
         return out
 
@@ -126,7 +134,11 @@ _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
 def tokens(page: str, clean: bool = True) -> list[tuple[str, str]]:
-    """(kind, value): ('text', decoded text run), ('tag', name), ('end', name); with clean, without the parts that are never the article."""
+    """(kind, value): ('text', decoded text run), ('tag', name), ('end', name); with clean, without the parts that are never the article.
+
+    With clean, ends are balanced: implied ones stand where they take effect, and ('gap', name) stands for stray end tags and for what
+    was left out. Elements that are open at the end of the page have no end.
+    """
     out: list[tuple[str, str]] = []
     at, n, skip, opened = 0, len(page), -1, _Open()  # skip: place of the unwanted element that is open
     while at < n:
@@ -166,25 +178,29 @@ def tokens(page: str, clean: bool = True) -> list[tuple[str, str]]:
             continue
         k = (opened.ends(name) if name not in VOID else None) if closing else opened.starts(name)
         if k is not None and not (closing and name in INLINE and opened.marks[-1][4] > k):
-            opened.cut(k)
+            closed = opened.cut(k)
             ended = 0 <= k <= skip
+            out.extend(("end", c) for c in closed)
         else:  # stray, or the end of an inline element around open blocks, which stay open
-            ended = k is not None and k == skip
+            closed, ended = [], k is not None and k == skip
         if ended:
             skip = -1
-            out.append(("end", name))
+            out.append(("gap", name))
         elif skip >= 0:
             if not closing and name not in VOID:
-                opened.push(name)
+                opened.push(name, False)
+            continue
+        if closing:
+            if not closed and not ended:
+                out.append(("gap", name))
             continue
-        if not closing and name not in VOID:
-            opened.push(name)
-            if _unwanted(name, m[3]):
+        if name not in VOID:
+            opened.push(name, not _unwanted(name, m[3]))
+            if not opened.shown[-1]:
                 skip = len(opened.names) - 1
-                out.append(("end", name))  # it parts what stands before and after
+                out.append(("gap", name))  # it parts what stands before and after
                 continue
-        if not (closing and ended):
-            out.append(("end" if closing else "tag", name))
+        out.append(("tag", name))
     return out
 
 
@@ -205,15 +221,36 @@ class Scores:
         self.of = {t: math.log(((inside[t] + 0.5) / (total[0] + 1)) / ((outside[t] + 0.5) / (total[1] + 1))) for t in {*inside, *outside}}
         # words score positive and markup negative, as far as the pages bear it out
         self.word = max(self.of.pop("word"), 0.1)
-        self.of = {t: min(s, -0.01) if t not in ("p", "article", "main", "h1") else min(max(s, -self.word / 2), 0.0) for t, s in self.of.items()}
-        self.other = -1.0
+        # a tag that the main text may hold, or one never seen, doesn't outweigh a word; a link does
+        self.other = -self.word / 2
+        self.of = {t: min(max(s, self.other) if inside[t] and t != "a" else s, 0.0 if t in ("p", "article", "main", "h1") else -0.01) for t, s in self.of.items()}
+
+
+def values(seq: list[tuple[str, str]], scores: Scores) -> list[float]:
+    """Score of each token; a link's whole score, its words with its tag, stands at its first text, so that no region takes a part of it."""
+    out, link, first = [], False, -1
+    for kind, value in seq:
+        s = 0.0
+        if kind == "text":
+            s = scores.word * len(value.split())
+            if link and first >= 0:
+                out[first] += s
+                s = 0.0
+            elif link and s:
+                first = len(out)
+                s += scores.of.get("a", scores.other)
+        elif value == "a":
+            link, first = kind == "tag", -1
+        elif kind == "tag" and value not in INLINE:
+            s = scores.of.get(value, scores.other)
+        out.append(s)
+    return out
 
 
 def region(seq: list[tuple[str, str]], scores: Scores) -> tuple[int, int]:
     """Start and end of the contiguous tokens with the greatest sum of scores."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, value) in enumerate(seq):
-        s = scores.word * len(value.split()) if kind == "text" else 0.0 if kind == "end" or value in INLINE else scores.of.get(value, scores.other)
+    for k, s in enumerate(values(seq, scores)):
         if total <= 0 < s:
             total, start = 0.0, k
         total += s
@@ -222,9 +259,35 @@ def region(seq: list[tuple[str, str]], scores: Scores) -> tuple[int, int]:
     return best_at
 
 
+def widened(seq: list[tuple[str, str]], lo: int, hi: int) -> tuple[int, int]:
+    """The region with the whole of every element of which it holds half the words, of every article or main that it touches, else of the innermost container around it."""
+    while hi > lo and seq[hi - 1][0] != "text":
+        hi -= 1
+    if lo == hi:
+        return lo, hi
+    spans, stack = [], []
+    for k, (kind, name) in enumerate(seq):
+        if kind == "tag" and name not in VOID:
+            stack.append((k, name))
+        elif kind == "end":
+            start, own = stack.pop()
+            spans.append((start, k + 1, own))
+    spans += [(start, len(seq), own) for start, own in reversed(stack)]
+    spans = [x for x in spans if x[0] < hi and x[1] > lo and x[2] not in INLINE and x[2] not in ("html", "body")]  # inner ones first
+    words = [0, *accumulate(len(value.split()) if kind == "text" else 0 for kind, value in seq)]
+    cut = [x for x in spans if (x[0] < lo < x[1] < hi) or (lo < x[0] < hi < x[1])]
+    cut = [x for x in cut if 2 * (words[min(x[1], hi)] - words[max(x[0], lo)]) >= words[x[1]] - words[x[0]]]
+    whole = cut + ([x for x in spans if x[2] == "article"] or [x for x in spans if x[2] == "main"])
+    lo, hi = min([lo, *(x[0] for x in whole)]), max([hi, *(x[1] for x in whole)])
+    if not any(x[2] in ("article", "main") for x in whole):
+        around = next((x for x in spans if x[2] in CONTAINERS and x[0] <= lo and x[1] >= hi), None)
+        lo, hi = around[:2] if around else (lo, hi)
+    return lo, hi
+
+
 def extract(page: str | None, scores: Scores) -> str:
     seq = tokens(page or "")
-    lo, hi = region(seq, scores)
+    lo, hi = widened(seq, *region(seq, scores))
     block = lambda t: t[0] != "text" and t[1] not in INLINE
     while lo > 0 and not block(seq[lo - 1]):
         lo -= 1
@@ -247,11 +310,18 @@ _MENU = '<nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two words</a></l
 _FOOT = '<footer><p>&copy; site</p><a href="/t">Terms</a><a href="/p">Privacy</a></footer></body></html>'
 _SIDE = '<div><h3>More</h3><ul><li><a href="/x">Link one</a></li><li><a href="/y">Link two</a></li></ul></div>'
 _PROSE = "<p>" + "A paragraph of plain prose goes on for a good many words before it ends. " * 3 + "</p>"
+#: Lists, tables and wrappers as they stand inside a text: short items, short cells, no links.
+_INNER = (
+    "<section><h2>Part</h2><ul>" + "<li>Two words</li>" * 60 + "</ul><ol>" + "<li>One</li>" * 40 + "</ol></section><h3>Table</h3><table><caption>Rows</caption><thead><tr><th>Name</th><th>Value</th></tr></thead><tbody>"
+    + "<tr><td>Word</td><td>2</td></tr>" * 60 + "</tbody></table>" + "<div><p>Two words</p></div>" * 40 + "<h4>Terms</h4><dl>" + "<dt>Word</dt><dd>Its meaning</dd>" * 30 + "</dl>"
+    + "<figure><figcaption>Some caption</figcaption></figure><blockquote>Quoted words.</blockquote><p>A line of the text with <a href='/l'>a link</a> in it.</p><p>And <a href='/m'>one</a> more of them.</p><pre>code</pre><hr><h5>Last</h5><h6>Lines</h6><center>Word</center><address>Some street</address><details><summary>More</summary></details>" * 8
+)
 #: Labelled pages: what stands before the main text, the main text, what stands after it.
 LABELLED = [
     (f"<html><body>{_MENU}<div>Ad</div>", f"<article><h1>A title</h1>{_PROSE * 4}<p>Short.</p></article>", _FOOT),
     (f"<html><body>{_MENU}{_SIDE}", f"<main><h1>Some title here</h1><h2>Part</h2>{_PROSE * 6}<ul><li>An item that is a sentence of the text.</li></ul></main>", f"{_SIDE}{_FOOT}"),
     (f"<html><body><table><tr><td><a href='/'>Home</a></td><td><a href='/n'>News</a></td></tr></table>", f"<div><p>{'Old pages have text in plain rows. ' * 5}</p>{_PROSE}<blockquote>Quoted words.</blockquote></div>", f"<form><input><button>Go</button></form>{_FOOT}"),
+    (f"<html><body>{_MENU}{_SIDE}", f"<article><h1>A title</h1>{_PROSE * 2}{_INNER}{_PROSE * 2}</article>", f"{_SIDE}{_FOOT}"),
 ]
 
 

@@ -374,6 +374,31 @@ def test_main_text_ends(page, want):
     assert extract(page, Scores(LABELLED)) == want
 
 
+WORDY = "<p>" + "Some words of a long text. " * 80 + "</p>"
+MENU = "<div><ul>" + "<li><a href=/x>Two words</a></li>" * 8 + "</ul></div>"
+
+
+@pytest.mark.parametrize("inner", [
+    "<table>" + "<tr><td>One</td><td>two</td></tr>" * 60 + "</table>", "<ul>" + "<li>Up to three</li>" * 9 + "</ul>", "<ul><li>One</li><li>Two</li></ul>",
+    "<div><p>Two words</p></div>", "<dl><dt>A</dt><dd>B</dd></dl>", "<section><h3>A</h3><my-row>B</my-row></section>",
+])
+@pytest.mark.parametrize("page", ["<body>{m}{x}</body>", "<body>{m}<article>{x}</article>{m}</body>", "<body>{m}<div><div>{x}</div></div>{m}</body>"])
+def test_main_text_keeps_lists_tables_wrappers(page, inner):
+    """Short items, cells and wrapped words stay, at the start, in the middle and at the end; a list of links beside the text goes."""
+    prose = " ".join(["Some words of a long text."] * 80)
+    parts = re.findall(r">([^<]+)<", inner)
+    for body in (inner + WORDY, WORDY + inner + WORDY, WORDY + inner):
+        want = [prose if t.startswith("Some") else t for t in re.findall(r">([^<]+)<", body)]
+        assert extract(page.format(x=body, m=MENU), Scores(LABELLED)).split("\n\n") == [t.strip() for t in want] and parts
+
+
+def test_main_text_keeps_an_articles_links():
+    """A list of links in the article or in the text's own block is part of it."""
+    for tag in ("article", "main", "div"):
+        got = extract(f"<body>{MENU}<{tag}>{WORDY}{MENU}</{tag}>{MENU}</body>", Scores(LABELLED))
+        assert got.count("Two words") == 8 and got.startswith("Some words")
+
+
 def test_pipeline(spark, tmp_path, texts):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(11)
