@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from datetime import timedelta
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.text import containment, tokens
+from ..functions.text import containment, squish, tokens
 
 
 def start_time(time: Column) -> Column:
@@ -26,33 +32,86 @@ def survivors(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("group_size", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(*order)))
 
 
-def plan(rows: DataFrame, order: list[Column], packs: int = 512) -> DataFrame:
-    """(survivor, loser, rule) of rows(id, title_key, start_date, place, source, clock).
-
-    Groups of one title and day, in order of authority: a row joins the first survivor at the same place whose other rows state no
-    different time. The scan of a group is sequential by nature; groups are keyed by (title, day) and hold the listings of one event.
-    Groups of one row need no scan; the others go in `packs` batches by hash.
-    """
-    w = Window.partitionBy("title_key", "start_date")
-    known = rows.where("title_key <> '' and start_date is not null and place is not null").withColumn("_size", F.count("*").over(w)).where("_size > 1")
-    ranked = known.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_pack", F.pmod(F.xxhash64("title_key", "start_date"), F.lit(packs)))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, group, kept = [], None, []
-        for r in pdf.rename(columns={"_n": "place_in_group"}).sort_values(["title_key", "start_date", "place_in_group"]).itertuples(index=False):
-            if (r.title_key, r.start_date) != group:
-                group, kept = (r.title_key, r.start_date), []
-            clock = r.clock if isinstance(r.clock, str) else None
-            here = next((k for k in kept if k["place"] == r.place and (not clock or not k["clock"] or k["clock"] == clock)), None)
-            if here is None:
-                kept.append({"id": r.id, "place": r.place, "clock": clock, "source": r.source})
+def _same_run(a, b) -> bool:
+    """The last days agree; an end on the day after the start is the same night."""
+    start, x, y = a.start_date, a.end_date or a.start_date, b.end_date or b.start_date
+    night = start + timedelta(days=1)
+    return x == y or (x == start and y == night) or (y == start and x == night)
+
+
+def _judge(a, b) -> tuple[str, str] | None:
+    """(kind, rule) of two listings of one title, day and place, or None where they are two performances."""
+    same = a.source == b.source
+    if same:
+        stated = a.clock == b.clock if a.clock and b.clock else bool(a.all_day and b.all_day and a.said == b.said)
+        if not stated:
+            return ("review", "same_source_time_unknown") if a.clock == b.clock else None
+    elif a.clock and b.clock and a.clock != b.clock:
+        return "review", "two_sources_same_place_time_conflict"
+    if not _same_run(a, b):
+        return "review", "end_dates_differ"
+    return "merge", "same_source_twice" if same else "two_sources_one_place"
+
+
+def _decide(group: list):
+    """Each decision on a group's rows, which come in order of authority."""
+    gone = set()
+    for i, a in enumerate(group):
+        if i in gone:
+            continue
+        times = {a.clock} - {None}  # what the row and those merged into it state
+        for j in range(i + 1, len(group)):
+            b = group[j]
+            if j in gone or not (found := _judge(a, b)):
                 continue
-            here["clock"] = here["clock"] or clock
-            out.append((here["id"], r.id, "same_source_twice" if here["source"] == r.source else "two_sources_one_place"))
-        return pd.DataFrame(out, columns=["survivor", "loser", "rule"])
+            kind, rule = found
+            if kind == "merge" and b.clock and times and b.clock not in times:
+                kind, rule = "review", "one_listing_two_performances"
+            if kind == "merge":
+                times |= {b.clock} - {None}
+                gone.add(j)
+            yield a.id, b.id, kind, rule
+
+
+def decisions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """(survivor, loser, kind, rule) of rows(id, title_key, start_date, place, source, clock and, where known, end_date, all_day, description).
+
+    Kind is merge, or review where a person decides: end dates that differ, one source twice without stated times, two sources with two
+    times, a listing without a time that has taken one performance. In order of authority each row that stays is compared with all later
+    rows of its title, day and place, and takes those that merge; a row is merged once. Two rows of one source state the same time by
+    equal clocks, or both are all-day and say the same. A group is one task's scan, with as many reviews as it has undecided pairs.
+    """
+    keys = ["title_key", "start_date", "place"]
+    known = rows.where("title_key <> '' and start_date is not null and place is not null")
+    for name, kind in (("end_date", "date"), ("all_day", "boolean"), ("description", "string")):
+        known = known if name in rows.columns else known.withColumn(name, F.lit(None).cast(kind))
+    said = F.lower(squish(F.regexp_replace(F.coalesce(F.col("description"), F.lit("")), r"(?i)https?://\S+", " ")))
+    w = Window.partitionBy(*keys)
+    ranked = (
+        known.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_size", F.count("*").over(w)).where("_size > 1")
+        .select("id", *keys, "source", F.nullif("clock", F.lit("")).alias("clock"), F.col("end_date").cast("date").alias("end_date"), F.coalesce("all_day", F.lit(False)).alias("all_day"), said.alias("said"), F.col("_n").alias("n"))
+        .sortWithinPartitions(*keys, "n")
+    )
+    names = ranked.columns
 
     kind = dict(rows.dtypes)["id"]
-    return ranked.drop("_size").groupBy("_pack").applyInPandas(scan, f"survivor {kind}, loser {kind}, rule string")
+    schema = f"survivor {kind}, loser {kind}, kind string, rule string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def scan(batches):
+        """A group lies in one partition (the window's), in order, and may go on in the next batch."""
+        row = namedtuple("row", names)
+        listed = (row._make(r) for b in batches for r in zip(*(b.column(n).to_pylist() for n in names), strict=True))
+        found = (d for _, group in groupby(listed, lambda r: (r.title_key, r.start_date, r.place)) for d in _decide(list(group)))
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ranked.mapInArrow(scan, schema)
+
+
+def plan(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """(survivor, loser, rule): the merges among the decisions."""
+    return decisions(rows, order).where("kind = 'merge'").drop("kind")
 
 
 def contained_pairs(docs: DataFrame, by: list[str], id_: str, text: str, least: int = 20, share: float = 0.85) -> DataFrame:

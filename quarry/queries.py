@@ -539,8 +539,8 @@ def containment_pairs(spark, d):
 
 @query()
 def consolidation_plan(spark, d):
-    e = listing(spark, d).select("id", text.title_key(F.concat_ws(" ", "source", "category"), c("start_date")).alias("title_key"), "start_date", c("city").alias("place"), "source", duplicates.start_time(c("time")).alias("clock"))
-    return duplicates.plan(e, [c("id")])
+    e = listing(spark, d).select("id", text.title_key(F.concat_ws(" ", "source", "category"), c("start_date")).alias("title_key"), "start_date", c("city").alias("place"), "source", duplicates.start_time(c("time")).alias("clock"), "end_date", "all_day")
+    return duplicates.decisions(e, [c("id")])
 
 
 @query()

@@ -150,6 +150,26 @@ def test_plan_keeps_performances_apart(spark):
     assert not {s for s, _, _ in got} & {x for _, x, _ in got}
 
 
+def test_decisions(spark):
+    """Runs of other lengths and unstated times of one source go to review; stated ones and one night told two ways merge."""
+    day = lambda k: date(2026, 1, k)
+    rows = [
+        (1, "run", "x", "7:00 pm", None, False, None), (2, "run", "y", "7:00 pm", day(9), False, None), (3, "run", "z", None, day(2), False, None),
+        (4, "unknown", "x", None, None, False, None), (5, "unknown", "x", None, None, False, None), (6, "unknown", "x", "8:00 pm", None, False, None),
+        (7, "days", "x", None, None, True, "A  b https://a.org/1"), (8, "days", "x", None, None, True, "a b https://a.org/2"), (9, "days", "x", None, None, True, "c"),
+        (10, "twice", "x", "7:00 pm", None, False, None), (11, "twice", "x", "7:00 pm", None, False, None), (12, "twice", "y", "9:00 pm", None, False, None),
+        (13, "late", "x", None, None, False, None), (14, "late", "y", "7:00 pm", None, False, None), (15, "late", "z", "9:00 pm", None, False, None), (16, "alone", "x", None, None, False, None),
+    ]
+    df = spark.createDataFrame([(i, t, day(1), "hall", s, c, e, a, d) for i, t, s, c, e, a, d in rows], "id long, title_key string, start_date date, place string, source string, clock string, end_date date, all_day boolean, description string")
+    want = {
+        (1, 2, "review", "end_dates_differ"), (1, 3, "merge", "two_sources_one_place"), (4, 5, "review", "same_source_time_unknown"),
+        (7, 8, "merge", "same_source_twice"), (7, 9, "review", "same_source_time_unknown"), (10, 11, "merge", "same_source_twice"), (10, 12, "review", "two_sources_same_place_time_conflict"),
+        (13, 14, "merge", "two_sources_one_place"), (13, 15, "review", "one_listing_two_performances"),
+    }
+    assert sorted(map(tuple, duplicates.decisions(df, [F.col("id")]).collect())) == sorted(want)
+    assert {tuple(r) for r in duplicates.plan(df, [F.col("id")]).collect()} == {(s, x, r) for s, x, k, r in want if k == "merge"}
+
+
 def test_lookup(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 3), ("", 4), (None, 5)], "k string, v long")
     assert {tuple(r) for r in lookup.unique_map(df, F.col("k"), "v").collect()} == {("a", 1)}
