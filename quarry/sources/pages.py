@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squish, strip_markup
+from ..functions.text import sanitized, squish
 
 
 def tag(xml: Column, name: str) -> Column:
     """Text of an element: CDATA is opened, markup goes."""
     raw = F.regexp_extract(xml, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-    return F.nullif(strip_markup(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit(""))
+    return F.nullif(sanitized(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit(""))
 
 
 def feed_items(df: DataFrame, column: str) -> DataFrame:

@@ -196,6 +196,20 @@ def test_feeds(spark):
     assert [r[0] for r in pages.locations(spark.createDataFrame([("<urlset><url><loc> https://a.org </loc></url></urlset>",)], "x string"), "x").collect()] == ["https://a.org"]
 
 
+def test_sanitized(spark):
+    """Cases of the reference's sanitizeText; feeds go through it."""
+    cases = {
+        "&copy; 2026 &middot; x &#8217;&#x2019; caf&eacute; &unknown; &amp;lt; &#0; &#xD800; &#1114112; &#x1F600; & &;": "© 2026 · x ’’ café &unknown; &lt; &#0; &#xD800; &#1114112; \U0001f600 & &;",
+        "AC/DC <Live> at <b>Fox</b>": "AC/DC <Live> at Fox", "a<!-- x > y\n -->b": "a b", "one<br/>two\n \n\n\n three": "one two\n\nthree",
+        ".cf0{font-family:Segoe UI;font-size:10.5pt;} James {R} Theatre": "James {R} Theatre", "<STYLE x>p{}</style >&lt;p&gt;x &#60;script>y</script>": "x",
+        "<p></p>": "<p></p>", "": "", "a&nbsp; b \u2003": "a b", "<a\nhref='x'>l</a>": "l", "a&#65279;b": "a\ufeffb", "w<w:sdt x>y<bold>": "w y<bold>",
+    }
+    got = {r["x"]: r["y"] for r in spark.createDataFrame([(k,) for k in [*cases, None]], "x string").select("x", text.sanitized(F.col("x")).alias("y")).collect()}
+    assert got == cases | {None: None}
+    rss = "<rss><item><title>Caf&#233; &lt;Live&gt; &rsquo;26</title><link>https://a.org/1</link></item></rss>"
+    assert [r["title"] for r in pages.feed_items(spark.createDataFrame([(rss,)], "xml string"), "xml").collect()] == ["Café <Live> ’26"]
+
+
 def test_streams(spark, tmp_path):
     for k, rows in enumerate(([(1, "a"), (2, "b")], [(2, "B"), (3, "c")])):
         spark.createDataFrame(rows, "id long, name string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
