@@ -2,23 +2,29 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased. A query is a whole text: the score of a document is the sum over the
 query's distinct words of (occurrences in the query) * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl /
-avgdl)), with N, df and avgdl of all documents. Each task is a shard: it indexes its documents in blocks of 32 with each frequent list's
-block maximum. For every query the rare lists are scored exactly, the frequent ones bounded by their block maxima; a block whose bound
-does not reach the query's current k-th score is skipped, the others are scored in full. Shards send packed lists of k, which are merged.
+avgdl)), with N, df and avgdl of all documents.
 
-Queries go in blocks of at most about `query_terms` words' weights, so what is broadcast is bounded whatever their number. Scores are
-rounded to six digits, ties go to the smaller doc_id, documents that share no word with a query are not returned. A null or empty text
-is found by no query and as a query finds nothing; rows with a null doc_id are left out; of repeated ids the best score counts.
+The index is built once and written to the shared folder: a row holds some MB of documents as blocks of 32, each block its posting lists
+in order of term. All statistics come from it. A task is a shard. A query's pivot is the next block where the maxima of its lists sum up
+to the query's current k-th score; the blocks before it are skipped, the pivot's documents are scored in full. Rare lists are so short
+that their exact sums take the place of their maxima. Shards send packed lists of k, which are merged by query.
+
+Queries go in blocks of at most about `query_terms` words' weights and `block_queries` queries; one block after another is broadcast, run,
+written and released. Scores are rounded to six digits, ties go to the smaller doc_id, documents that share no word with a query are not
+returned. A null or empty text is found by no query and as a query finds nothing; rows with a null doc_id are left out; of repeated ids
+the best score counts; very long texts are indexed whole. Other columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, slices
+from .common import cut, map_text, shared_dir, slices
 from .kernel import ALNUM, Words
 
 K1, B = 1.2, 0.75
@@ -26,6 +32,8 @@ K1, B = 1.2, 0.75
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
 CELLS = 1 << 19
+_INDEX = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "list_term": np.int32, "list_at": np.int32, "block_at": np.int32, "docs": np.uint8, "tf": np.int32}
+_FOUND = "query_id long, docs binary, scores binary"
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,15 +45,37 @@ def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t[at], h[at], np.diff(np.r_[at, len(t)])
 
 
-def _document_counts(batches):
-    """Documents with each term, once a task."""
-    terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _index(batches):
+    """Documents -> rows of the index: block b has lists block_at[b]..block_at[b + 1], list l the postings list_at[l]..list_at[l + 1]."""
+    for batch in batches:
+        ids = np.asarray(batch.column(0)).astype(np.int64)
+        for i, j, buf, off in slices(batch.column(1)):
+            w = Words(buf, off, ALNUM, lower=True)
+            t, h, tf = _terms(w)
+            terms, at = np.unique(h, return_inverse=True)
+            block = t // BLOCK
+            o = np.lexsort((t, at, block))
+            block, at, t, tf = block[o], at[o], t[o], tf[o]
+            new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (at[1:] != at[:-1])]) if len(o) else np.zeros(0, np.int64)
+            row = (ids[i:j], w.counts(), terms, at[new], np.r_[new, len(o)], np.searchsorted(block[new], np.arange(-(-(j - i) // BLOCK) + 1)), t % BLOCK, tf)
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(row, _INDEX.values(), strict=True)], names=list(_INDEX))
+
+
+def _read(batch: pa.RecordBatch, *names: str):
+    for row in zip(*(batch.column(n) for n in names), strict=True):
+        yield [np.frombuffer(x.as_buffer(), _INDEX[n]) for x, n in zip(row, names, strict=True)]
+
+
+def _statistics(batches):
+    """Documents with each term, once a task; under no term, the documents and their words."""
+    terms, counts, n_docs, n_words = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
     for b in batches:
-        for _, _, buf, off in slices(b.column(0)):
-            h = _terms(Words(buf, off, ALNUM, lower=True))[1]
-            terms, at = np.unique(np.concatenate([terms, h]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, np.ones(len(h), np.int64)]), len(terms)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], names=["term", "n"])
+        for lengths, own, list_term, list_at in _read(b, "lengths", "terms", "list_term", "list_at"):
+            n_docs, n_words = n_docs + len(lengths), n_words + int(lengths.sum())
+            here = np.bincount(list_term, np.diff(list_at), len(own)).astype(np.int64)
+            terms, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, here]), len(terms)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([n_docs, *counts], pa.int64()), pa.array([n_words, *np.zeros(len(terms), np.int64)], pa.int64())], names=["term", "n", "words"])
 
 
 def _query_terms(column) -> list[pa.Array]:
@@ -58,7 +88,7 @@ def _query_terms(column) -> list[pa.Array]:
 
 
 class Shard:
-    """The current k best documents of each query of a block, over the documents added so far."""
+    """The current k best documents of each query of a block, over the rows of the index added so far."""
 
     def __init__(self, queries: list, n_docs: int, mean: float, k: int):
         self.ids = np.array([q[0] for q in queries], np.int64)
@@ -69,8 +99,8 @@ class Shard:
         weight = times * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         share = np.zeros(len(self.vocabulary))
         share[at] = df / max(n_docs, 1)
-        self.frequent = np.cumsum(share > FREQUENT) - 1
         self.is_frequent = share > FREQUENT
+        self.frequent = np.cumsum(self.is_frequent) - 1
         dense = self.is_frequent[at]
         self.q = np.zeros((len(queries), int(self.is_frequent.sum())))
         self.q[owner[dense], self.frequent[at[dense]]] = weight[dense]
@@ -79,47 +109,61 @@ class Shard:
         self.rare_at = np.searchsorted(at[~dense][o], np.arange(len(self.vocabulary) + 1))
         self.mean, self.k = max(mean, 1e-9), k
         self.score, self.doc = np.zeros((len(queries), k)), np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.scored = self.blocks = 0
 
-    def add(self, ids: np.ndarray, w: Words) -> None:
-        length = w.counts()
-        t, h, tf = _terms(w)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == h
-        t, at, tf = t[known], at[known], tf[known]
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[t] / self.mean))
-        edges = np.arange(0, len(ids) + BLOCK, BLOCK)
-        cuts = np.searchsorted(t, edges)
-        rare = np.where(self.is_frequent[at], 0, self.rare_at[at + 1] - self.rare_at[at])
-        postings = np.r_[0, np.cumsum(rare)][cuts]
-        most = max(1, min(STEP, CELLS // len(self.ids)) // BLOCK)
+    def add(self, ids, lengths, terms, list_term, list_at, block_at, docs, tf) -> None:
+        blocks = len(block_at) - 1
+        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        place = np.where(self.vocabulary[at] == terms, at, -1)[list_term]  # of each list among the words asked
+        n, block = np.diff(list_at), np.repeat(np.arange(blocks), np.diff(block_at))
+        known = np.flatnonzero(place >= 0)
+        if not len(known):
+            return
+        place, block, n, start = place[known], block[known], n[known], list_at[known]
+        of = np.repeat(np.arange(len(known)), n)  # the list of each posting
+        p = np.arange(n.sum()) + np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n)
+        doc = block[of] * BLOCK + docs[p]
+        impact = tf[p] * (K1 + 1) / (tf[p] + K1 * (1 - B + B * lengths[doc] / self.mean))
+        most = np.maximum.reduceat(impact, np.r_[0, np.cumsum(n)[:-1]])  # block maxima
+        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        posting = np.r_[0, np.cumsum(n)]
+        weighted = np.r_[0, np.cumsum(np.where(self.is_frequent[place], 0, self.rare_at[place + 1] - self.rare_at[place]) * n)][cuts]
+        steps = max(1, min(STEP, CELLS // len(self.ids)) // BLOCK)
         a = 0
-        while a < len(edges) - 1:
-            b = min(max(a + 1, int(np.searchsorted(postings, postings[a] + CELLS, "right")) - 1), a + most, len(edges) - 1)
+        while a < blocks:
+            b = min(max(a + 1, int(np.searchsorted(weighted, weighted[a] + CELLS, "right")) - 1), a + steps, blocks)
             lo, hi = cuts[a], cuts[b]
             if hi > lo:
-                self._step(ids[edges[a] : edges[b]], t[lo:hi] - edges[a], at[lo:hi], impact[lo:hi])
+                x, y = posting[lo], posting[hi]
+                self._step(ids[a * BLOCK : b * BLOCK], b - a, place[lo:hi], block[lo:hi] - a, most[lo:hi], place[of[x:y]], doc[x:y] - a * BLOCK, impact[x:y])
             a = b
 
-    def _step(self, ids: np.ndarray, t: np.ndarray, term: np.ndarray, impact: np.ndarray) -> None:
-        nq, blocks = len(self.ids), -(-len(ids) // BLOCK)
-        nd = blocks * BLOCK
-        dense = self.is_frequent[term]
-        d = np.zeros((nd, self.q.shape[1]))
-        d[t[dense], self.frequent[term[dense]]] = impact[dense]
-        a, e = self.rare_at[term[~dense]], self.rare_at[term[~dense] + 1]
+    def _step(self, ids, blocks: int, list_place, list_block, most, place, doc, impact) -> None:
+        nq, nd = len(self.ids), blocks * BLOCK
+        is_list = self.is_frequent[list_place]
+        maxima = np.zeros((self.q.shape[1], blocks))
+        maxima[self.frequent[list_place[is_list]], list_block[is_list]] = most[is_list]
+        dense = self.is_frequent[place]
+        a, e = self.rare_at[place[~dense]], self.rare_at[place[~dense] + 1]
         n = e - a
         at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
-        rare = np.bincount(self.rare_query[at] * nd + np.repeat(t[~dense], n), np.repeat(impact[~dense], n) * self.rare_weight[at], nq * nd).reshape(nq, nd)
+        rare = np.bincount(self.rare_query[at] * nd + np.repeat(doc[~dense], n), np.repeat(impact[~dense], n) * self.rare_weight[at], nq * nd).reshape(nq, blocks, BLOCK)
         low = self.score[:, -1]
-        bound = self.q @ d.reshape(blocks, BLOCK, -1).max(1).T + rare.reshape(nq, blocks, BLOCK).max(2)
+        bound = self.q @ maxima + rare.max(2)
+        pivot = (bound > 0) & (bound >= low[:, None] - 1e-6)
+        f_place, f_doc, f_impact = self.frequent[place[dense]], doc[dense], impact[dense]
+        cuts = np.searchsorted(f_doc // BLOCK, np.arange(blocks + 1))
         found = []
-        for k in range(blocks):
-            alive = np.flatnonzero((bound[:, k] > 0) & (bound[:, k] >= low - 1e-6))
-            if len(alive):
-                s = np.round(self.q[alive] @ d[k * BLOCK : (k + 1) * BLOCK].T + rare[alive, k * BLOCK : (k + 1) * BLOCK], 6)
-                i, j = np.nonzero((s > 0) & (s >= low[alive, None]))
-                keep = j + k * BLOCK < len(ids)
+        for k in np.flatnonzero(pivot.any(0)):
+            alive, x, y = np.flatnonzero(pivot[:, k]), cuts[k], cuts[k + 1]
+            d = np.zeros((BLOCK, self.q.shape[1]))
+            d[f_doc[x:y] - k * BLOCK, f_place[x:y]] = f_impact[x:y]
+            s = np.round(self.q[alive] @ d.T + rare[alive, k], 6)
+            i, j = np.nonzero((s > 0) & (s >= low[alive, None]))
+            keep = j + k * BLOCK < len(ids)
+            if keep.any():
                 found.append((alive[i[keep]], ids[j[keep] + k * BLOCK], s[i[keep], j[keep]]))
+        self.scored, self.blocks = self.scored + int(pivot.sum()), self.blocks + pivot.size
         if found:
             self._merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
@@ -137,41 +181,68 @@ class Shard:
 
 def best(query: np.ndarray, doc: np.ndarray, score: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best (score, then smaller doc) of each query; a document once."""
+    docs, scores = np.full((len(queries), k), np.iinfo(np.int64).max), np.zeros((len(queries), k))
+    if not len(query):
+        return docs, scores
     o = np.lexsort((-score, doc, query))
     o = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (doc[o][1:] != doc[o][:-1])]]
     o = o[np.lexsort((doc[o], -score[o], query[o]))]
     at = np.searchsorted(query[o], queries)
     place = np.arange(len(o)) - at[np.searchsorted(queries, query[o])]
     o, place = o[place < k], place[place < k]
-    docs, scores = np.full((len(queries), k), np.iinfo(np.int64).max), np.zeros((len(queries), k))
     row = np.searchsorted(queries, query[o])
     docs[row, place], scores[row, place] = doc[o], score[o]
     return docs, scores
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 3_000_000) -> DataFrame:
+def _pack(batches):
+    for b in batches:
+        t = b.column(1)
+        off, v = t.offsets.to_numpy(), t.values
+        cols = [np.ascontiguousarray(v.field(c).to_numpy()).astype(np.int64) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c[a:e].tobytes() for a, e in zip(off[:-1], off[1:], strict=True)], pa.binary()) for c in cols), b.column(2).cast(pa.int64())], names=["query_id", "term", "n", "df", "block"])
+
+
+def _scored(index: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFrame:
+    """The k best of each query of a block in each shard."""
+
+    def run(batches):
+        shard = Shard(rows.value, n_docs, mean, k)
+        for b in batches:
+            for row in _read(b, *_INDEX):
+                shard.add(*row)
+        out = list(shard.rows())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["query_id", "docs", "scores"])
+
+    return index.mapInArrow(run, _FOUND)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 3_000_000, block_queries: int = 1 << 14) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents for each row of queries(doc_id, text)."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lengths = map_text(texts.select("text"), lambda x: [pa.array(np.concatenate([*(Words(buf, off, ALNUM, lower=True).counts() for _, _, buf, off in slices(x)), np.zeros(0, np.int64)]))], "words long")
-    n_docs, n_words = lengths.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    counts = texts.select("text").mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), "text").where("query_id is not null").dropDuplicates(["query_id"])
+    texts.mapInArrow(_index, ", ".join(f"{c} binary" for c in _INDEX)).write.parquet(f"{folder}/index")
+    index = spark.read.schema(", ".join(f"{c} binary" for c in _INDEX)).parquet(f"{folder}/index")
+    counts = cut(index.select("lengths", "terms", "list_term", "list_at").mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
+    n_docs, n_words = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
+    asked = asked.groupBy("query_id").agg(F.min("text").alias("text"))  # of several texts of one id, the first by code points
     asked = map_text(asked, _query_terms, "terms array<struct<term:bigint,n:bigint>>").select("query_id", F.explode("terms").alias("t")).select("query_id", "t.term", "t.n")
-    weighed = cut(asked.join(counts, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "n", "df")).alias("terms")))
-    blocks = max(1, -(-(weighed.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]) // query_terms))
-    weighed = weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    packed = weighed.mapInArrow(_pack, "query_id long, term binary, n binary, df binary, block long")
-    packed = cut(packed)
-    found = None
+    weighed = cut(asked.join(counts.select("term", "df"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "n", "df")).alias("terms")))
+    n_queries, n_terms = weighed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-n_terms // query_terms), -(-n_queries // block_queries))
+    packed = cut(weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).mapInArrow(_pack, "query_id long, term binary, n binary, df binary, block long"))
     for block in range(blocks):
-        rows = [tuple(r)[:4] for r in packed.where(F.col("block") == block).collect()]
+        rows = [tuple(r)[:4] for r in packed.where(F.col("block") == block).collect()]  # bounded by query_terms and block_queries
         if rows:
-            here = _block(texts, sc.broadcast(rows), n_docs, n_words / max(n_docs, 1), k)
-            found = here if found is None else found.unionAll(here)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    groups = max(1, n_docs // 50_000)
+            held = spark.sparkContext.broadcast(rows)
+            _scored(index, held, n_docs, n_words / max(n_docs, 1), k).write.mode("append").parquet(f"{folder}/found")
+            held.destroy()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    found = spark.read.schema(_FOUND).parquet(f"{folder}/found")
+    groups = max(1, found.count() // 50_000)
 
     def merge(table: pa.Table) -> pa.Table:
         d = [np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()]
@@ -183,24 +254,3 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
         return pa.table({"query_id": ids[i], "rank": pa.array(j + 1, pa.int32()), "doc_id": doc[i, j], "score": score[i, j]})
 
     return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g")).applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
-
-
-def _pack(batches):
-    for b in batches:
-        t = b.column(1)
-        off, v = t.offsets.to_numpy(), t.values
-        cols = [np.ascontiguousarray(v.field(c).to_numpy()).astype(np.int64) for c in range(3)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c[a:e].tobytes() for a, e in zip(off[:-1], off[1:], strict=True)], pa.binary()) for c in cols), b.column(2).cast(pa.int64())], names=["query_id", "term", "n", "df", "block"])
-
-
-def _block(texts: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFrame:
-    def run(batches):
-        shard = Shard(rows.value, n_docs, mean, k)
-        for b in batches:
-            ids = np.asarray(b.column(0))
-            for i, j, buf, off in slices(b.column(1)):
-                shard.add(ids[i:j], Words(buf, off, ALNUM, lower=True))
-        out = list(shard.rows())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["query_id", "docs", "scores"])
-
-    return texts.mapInArrow(run, "query_id long, docs binary, scores binary")

@@ -19,7 +19,6 @@ from quarry.llm.langid import languages
 from quarry.llm.license import TEMPLATES, Templates, _scan, licenses
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix
-from quarry.llm.search import search
 from quarry.llm.substring import FingerprintIndex, remove_repeats
 from quarry.llm.toxicity import toxicity
 from quarry.llm.urlfilter import url_verdicts
@@ -278,22 +277,6 @@ def test_mix_hot_slices(spark):
     assert got.where("source = 'hot'").agg(F.sum("taken")).first()[0] == round(got.where("source = 'hot'").first()["target"])
 
 
-def test_search(spark, docs, texts):
-    words = {r[0]: re.findall(rb"[0-9a-z\x80-\xff]+", (r[1] or "").encode().lower()) for r in texts if r[1] is None or r[1].isascii()}
-    d = docs.where(F.col("doc_id").isin(list(words)))
-    n, mean = len(words), sum(map(len, words.values())) / len(words)
-    df = Counter(w for x in words.values() for w in set(x))
-    tf = {k: Counter(x) for k, x in words.items()}
-    got = defaultdict(list)
-    for r in search(d, d.where("doc_id % 10 = 0"), 5, query_terms=500).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], r["score"]))
-    for q in (k for k in words if k % 10 == 0):
-        s = {k: round(sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[k][w] * 2.2 / (tf[k][w] + 1.2 * (0.25 + 0.75 * len(words[k]) / mean)) for w, m in tf[q].items() if w in tf[k]), 6) for k in words}
-        best = sorted(((-v, k) for k, v in s.items() if v > 0))[:5]
-        assert [k for k, _ in got[q]] == [k for _, k in best]
-        assert all(abs(a[1] + b[0]) < 3e-6 for a, b in zip(got[q], best, strict=True))
-
-
 def test_licenses(spark):
     rng = random.Random(5)
     mit = TEMPLATES["MIT"][-1].split()
