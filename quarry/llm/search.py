@@ -32,7 +32,8 @@ K1, B = 1.2, 0.75
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
 CELLS = 1 << 19
-_INDEX = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "list_term": np.int32, "list_at": np.int32, "block_at": np.int32, "docs": np.uint8, "tf": np.int32}
+#: A list has one posting at least and 32 at most; tf takes four bytes in a row where some word occurs more than 255 times in a text.
+_INDEX = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "list_term": np.int32, "list_n": np.uint8, "block_at": np.int32, "docs": np.uint8, "tf": np.uint8}
 _FOUND = "query_id long, docs binary, scores binary"
 
 
@@ -46,7 +47,7 @@ def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _index(batches):
-    """Documents -> rows of the index: block b has lists block_at[b]..block_at[b + 1], list l the postings list_at[l]..list_at[l + 1]."""
+    """Documents -> rows of the index: block b has the lists block_at[b]..block_at[b + 1], and list l the next list_n[l] postings."""
     for batch in batches:
         ids = np.asarray(batch.column(0)).astype(np.int64)
         for i, j, buf, off in slices(batch.column(1)):
@@ -57,22 +58,26 @@ def _index(batches):
             o = np.lexsort((t, at, block))
             block, at, t, tf = block[o], at[o], t[o], tf[o]
             new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (at[1:] != at[:-1])]) if len(o) else np.zeros(0, np.int64)
-            row = (ids[i:j], w.counts(), terms, at[new], np.r_[new, len(o)], np.searchsorted(block[new], np.arange(-(-(j - i) // BLOCK) + 1)), t % BLOCK, tf)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(row, _INDEX.values(), strict=True)], names=list(_INDEX))
+            row = (ids[i:j], w.counts(), terms, at[new], np.diff(np.r_[new, len(o)]), np.searchsorted(block[new], np.arange(-(-(j - i) // BLOCK) + 1)), t % BLOCK, tf)
+            kinds = _INDEX | ({"tf": np.int32} if len(tf) and tf.max() > 255 else {})
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(row, kinds.values(), strict=True)], names=list(_INDEX))
 
 
 def _read(batch: pa.RecordBatch, *names: str):
     for row in zip(*(batch.column(n) for n in names), strict=True):
-        yield [np.frombuffer(x.as_buffer(), _INDEX[n]) for x, n in zip(row, names, strict=True)]
+        out = [np.frombuffer(x.as_buffer(), _INDEX[n]) for x, n in zip(row, names, strict=True)]
+        if "tf" in names and len(out[-1]) > len(out[-2]):
+            out[-1] = out[-1].view(np.int32)
+        yield out
 
 
 def _statistics(batches):
     """Documents with each term, once a task; under no term, the documents and their words."""
     terms, counts, n_docs, n_words = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
     for b in batches:
-        for lengths, own, list_term, list_at in _read(b, "lengths", "terms", "list_term", "list_at"):
+        for lengths, own, list_term, list_n in _read(b, "lengths", "terms", "list_term", "list_n"):
             n_docs, n_words = n_docs + len(lengths), n_words + int(lengths.sum())
-            here = np.bincount(list_term, np.diff(list_at), len(own)).astype(np.int64)
+            here = np.bincount(list_term, list_n, len(own)).astype(np.int64)
             terms, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, here]), len(terms)).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([n_docs, *counts], pa.int64()), pa.array([n_words, *np.zeros(len(terms), np.int64)], pa.int64())], names=["term", "n", "words"])
@@ -111,11 +116,12 @@ class Shard:
         self.score, self.doc = np.zeros((len(queries), k)), np.full((len(queries), k), np.iinfo(np.int64).max)
         self.scored = self.blocks = 0
 
-    def add(self, ids, lengths, terms, list_term, list_at, block_at, docs, tf) -> None:
+    def add(self, ids, lengths, terms, list_term, list_n, block_at, docs, tf) -> None:
         blocks = len(block_at) - 1
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         place = np.where(self.vocabulary[at] == terms, at, -1)[list_term]  # of each list among the words asked
-        n, block = np.diff(list_at), np.repeat(np.arange(blocks), np.diff(block_at))
+        n, block = list_n.astype(np.int64), np.repeat(np.arange(blocks), np.diff(block_at))
+        list_at = np.cumsum(n) - n
         known = np.flatnonzero(place >= 0)
         if not len(known):
             return
@@ -123,7 +129,8 @@ class Shard:
         of = np.repeat(np.arange(len(known)), n)  # the list of each posting
         p = np.arange(n.sum()) + np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n)
         doc = block[of] * BLOCK + docs[p]
-        impact = tf[p] * (K1 + 1) / (tf[p] + K1 * (1 - B + B * lengths[doc] / self.mean))
+        tf = tf[p].astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / self.mean))
         most = np.maximum.reduceat(impact, np.r_[0, np.cumsum(n)[:-1]])  # block maxima
         cuts = np.searchsorted(block, np.arange(blocks + 1))
         posting = np.r_[0, np.cumsum(n)]
@@ -217,14 +224,14 @@ def _scored(index: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFra
     return index.mapInArrow(run, _FOUND)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 3_000_000, block_queries: int = 1 << 14) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 1_000_000, block_queries: int = 1 << 13) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents for each row of queries(doc_id, text)."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     texts.mapInArrow(_index, ", ".join(f"{c} binary" for c in _INDEX)).write.parquet(f"{folder}/index")
     index = spark.read.schema(", ".join(f"{c} binary" for c in _INDEX)).parquet(f"{folder}/index")
-    counts = cut(index.select("lengths", "terms", "list_term", "list_at").mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
+    counts = cut(index.select("lengths", "terms", "list_term", "list_n").mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
     n_docs, n_words = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
     asked = asked.groupBy("query_id").agg(F.min("text").alias("text"))  # of several texts of one id, the first by code points

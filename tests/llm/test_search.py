@@ -69,7 +69,7 @@ def row(docs):
     terms = np.array(sorted({t for d in docs for t in d}), np.uint64)
     lists = [(b // 32, t, [(i % 32, docs[i][t]) for i in range(b, min(b + 32, len(docs))) if t in docs[i]]) for b in range(0, len(docs), 32) for t in terms.tolist()]
     lists = [x for x in lists if x[2]]
-    at = np.r_[0, np.cumsum([len(x[2]) for x in lists])]
+    at = np.array([len(x[2]) for x in lists])
     postings = [p for x in lists for p in x[2]]
     return ids, lengths, terms, np.searchsorted(terms, np.array([x[1] for x in lists], np.uint64)), at, np.searchsorted([x[0] for x in lists], np.arange(-(-len(docs) // 32) + 1)), np.array([p[0] for p in postings]), np.array([p[1] for p in postings])
 
