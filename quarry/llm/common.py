@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -15,9 +16,11 @@ SLICE_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where unset, as in tests) a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or (where unset and all runs in one process, as in tests) a new temporary one."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
+    if not conf and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return conf or sc._jsc.sc().getCheckpointDir().get()
@@ -33,6 +36,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def without(columns: list[str], new: tuple[str, ...]) -> list[str]:
+    """Those of the columns whose names none of the new ones has, however it is written."""
+    return [c for c in columns if c.lower() not in {n.lower() for n in new}]
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Total bytes of a text column (one narrow aggregate)."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0)).alias("b")).first()["b"]

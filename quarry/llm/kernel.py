@@ -101,6 +101,16 @@ def chain(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return mix(g)
 
 
+def chain_at(h: np.ndarray, starts: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """chain(h, k, seed) at the given starts only."""
+    b = _U((0xD6E8FEB86659FD93 * (2 * int(seed) + 1)) & (2**64 - 1) | 1)
+    g = np.full(len(starts), _U(int(k) * 0x1000193 + int(seed)), np.uint64)
+    for j in range(k):
+        g *= b
+        g += h[starts + j]
+    return mix(g)
+
+
 def winnow(g: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
     """True at the minimum k-gram hash of each window of w consecutive valid k-grams (winnowing; equal minima all count).
 

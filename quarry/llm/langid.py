@@ -1,11 +1,12 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
 For each language a raw-content zstandard dictionary of at most `dictionary_bytes` is filled from a bounded sample: of the labelled
-documents of up to `sample_bytes` bytes outside the held-out fifth, the one with the smallest hash in each of `samples` hash classes.
+documents outside the held-out fifth, the one with the smallest hash in each of `samples` hash classes, with its first `sample_bytes` characters.
 Texts and samples are read in lower case with every run of other
 characters than letters as one space. A whole text is encoded once per language; the smallest result wins (ties go to the language whose dictionary shares more of the text's
 words, then to the first by name). Where the two best differ by less than `margin` of the larger, `rejected` is set. A null text, or one
-without any letter, is `und` with score 0. Repeated rows are judged alike; other columns are ignored; nothing labelled means all `und`.
+without any letter, is `und` with score 0; very long texts are encoded whole. Repeated rows are judged alike; other columns are ignored,
+whatever their names; nothing labelled means all `und`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ def letters(text: str) -> bytes:
 
 
 def fit(docs: DataFrame, samples: int = 64, sample_bytes: int = 1 << 14, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
-    """language -> dictionary content; at most samples * sample_bytes of text for each language come to the driver."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
+    """language -> dictionary content; at most samples * sample_bytes characters of each language come to the driver."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     h = F.xxhash64(F.col("doc_id").cast("string"))
     picked = known.groupBy("lang", F.pmod(h, F.lit(samples)).alias("class")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id").cast("string").alias("id"))).alias("least"))
     ids = picked.select("lang", F.col("least.h").alias("h"), F.col("least.id").alias("id")).collect()
     if not ids:
         return {}
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["id"],) for r in ids], "id string").distinct())  # at most samples rows a language
-    texts = known.select(F.col("doc_id").cast("string").alias("id"), "lang", "text").join(chosen, "id", "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    texts = known.select(F.col("doc_id").cast("string").alias("id"), "lang", F.substring("text", 1, sample_bytes).alias("text")).join(chosen, "id", "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
     order = {(r["lang"], r["id"]): r["h"] for r in ids}
     for r in sorted(texts, key=lambda r: (r["lang"], order.get((r["lang"], r["id"]), 0), r["id"])):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
 from .decontam import contamination
 from .html import main_text
 from .langid import languages
@@ -12,13 +15,15 @@ from .license import licenses
 from .minhash import near_duplicates
 from .mixing import mix
 from .search import search
-from .substring import remove_repeats
+from .substring import remove_repeats_in_batches
 from .toxicity import toxicity
 from .urlfilter import url_verdicts
 
 #: Production rules: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 TOP_K = 10
+#: Batches in which substring dedup takes the documents into its index.
+BATCHES = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +44,7 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = remove_repeats_in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/substring-{uuid.uuid4().hex}", BATCHES)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

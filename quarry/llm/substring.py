@@ -4,49 +4,67 @@ A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+`. A word goes if a
 doc_id. Fingerprints are winnowed: the minimum hash of each run of 7-word grams that spans one window, so that two equal windows always
 share one. They form sorted immutable runs, one for each bucket of hashes and chunk of documents; runs of the batch and of the index are
 merged per bucket, and fingerprints met twice lead to the windows over them. Those are verified by 96-bit hashes of all their words,
-again merged per bucket, and only then removed. Chunks and buckets are dealt by hashes and hold about `chunk_bytes` of text each, however
-often a passage occurs: a chunk sends each fingerprint or window once.
+again merged per bucket, and only then removed. Chunks and buckets are dealt by leading bits of hashes and hold about `chunk_bytes` of
+text each, however often a passage occurs: a chunk sends each fingerprint or window once.
 
-Null texts have no words; a null doc_id counts as larger than any other; rows that share a doc_id are one document to each other, so
-neither loses words to the other. Other columns are carried along unchanged, whatever their names.
+Null texts have no words, very long ones are read whole; a null doc_id counts as larger than any other; rows that share a doc_id are one
+document to each other, so neither loses words to the other. Other columns are carried along; one named like a result gives way to it.
+Repeated rows are judged alike; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, slices, text_bytes
-from .kernel import SPACED, Words, covered, member, winnow
+from .common import partitions, shared_dir, slices, text_bytes, without
+from .kernel import SPACED, Words, chain_at, covered, member, winnow
 
 WINDOW, GRAM = 13, 7
 CHUNK_BYTES = 4 << 20
 #: An id no document has: what a null doc_id counts as.
 LAST = np.iinfo(np.int64).max
-_RUN = "bucket int, old boolean, chunk int, keys binary"
+_RUN = "bucket int, chunk int, keys binary, twice binary"
+NEW = ("kept", "n_words", "n_removed")
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits: with more of them a bucket falls apart into whole ones."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _split(order_by: np.ndarray, n: int):
-    """Order of rows by bucket, and the buckets with their spans in that order."""
-    order = np.argsort(order_by, kind="stable")
-    b = order_by[order]
+def _parts(b: np.ndarray):
+    """The buckets of sorted bucket numbers with their spans."""
     if not len(b):
-        return order, []
+        return []
     at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    return order, [(int(b[lo]), lo, hi) for lo, hi in zip(at, [*at[1:], len(b)], strict=True)]
+    return [(int(b[lo]), int(lo), int(hi)) for lo, hi in zip(at, [*at[1:], len(b)], strict=True)]
 
 
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.combine_chunks().fill_null(LAST)).astype(np.int64) if len(column) else np.zeros(0, np.int64)
 
 
-def _runs_of(window: int, gram: int, buckets: int):
+def _bits(x: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) if x else np.zeros(n, bool)
+
+
+def _run_table(parts, chunk: int, h: np.ndarray, twice: np.ndarray) -> pa.Table:
+    return pa.table(
+        {
+            "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int32()),
+            "keys": pa.array([h[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()), "twice": pa.array([np.packbits(twice[lo:hi]).tobytes() for _, lo, hi in parts], pa.binary()),
+        }
+    )
+
+
+def _runs_of(window: int, gram: int, bits: int):
     """A chunk of documents -> its sorted run of fingerprints for each bucket; those in two of its own documents are marked."""
 
     def f(table: pa.Table) -> pa.Table:
@@ -63,35 +81,43 @@ def _runs_of(window: int, gram: int, buckets: int):
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         low, high = (np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)) if len(h) else (d, d)
         h = h[at]
-        order, parts = _split(_bucket(h, buckets), buckets)  # stable: sorted within each bucket
-        h, twice = h[order], (low < high)[order]
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "old": pa.array([False] * len(parts), pa.bool_()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(parts), pa.int32()),
-                "keys": pa.array([h[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()), "twice": pa.array([np.packbits(twice[lo:hi]).tobytes() for _, lo, hi in parts], pa.binary()),
-            }
-        )
+        return _run_table(_parts(_bucket(h, bits)), table.column("chunk")[0].as_py(), h, low < high)
+
+    return f
+
+
+def _resplit(bits: int):
+    """Runs of fewer buckets -> the same for 2**bits buckets."""
+
+    def f(batches):
+        for batch in batches:
+            for _, chunk, keys, twice in zip(*batch.columns, strict=True):
+                h = np.frombuffer(keys.as_py(), np.uint64)
+                yield from _run_table(_parts(_bucket(h, bits)), chunk.as_py(), h, _bits(twice.as_py(), len(h))).to_batches()
 
     return f
 
 
 def _merge_runs(table: pa.Table) -> pa.Table:
     """The runs of one bucket -> for each chunk, the fingerprints that another chunk has too, or two of its documents have."""
-    runs = [np.frombuffer(x or b"", np.uint64) for x in table.column("keys").to_pylist()]
-    twice = [np.unpackbits(np.frombuffer(x or b"", np.uint8))[: len(k)].astype(bool) if x else np.zeros(len(k), bool) for x, k in zip(table.column("twice").to_pylist(), runs, strict=True)]
-    at = np.cumsum([0, *map(len, runs)])
-    keys, mark = np.concatenate([*runs, np.zeros(0, np.uint64)]), np.concatenate([*twice, np.zeros(0, bool)])
+    runs = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    mark = np.concatenate([*(_bits(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), runs, strict=True)), np.zeros(0, bool)])
+    at, keys = np.cumsum([0, *map(len, runs)]), np.concatenate([*runs, np.zeros(0, np.uint64)])
     o = np.argsort(keys, kind="stable")  # runs are sorted: a merge
     k = keys[o]
     same = k[1:] == k[:-1]
     mark[o] |= np.r_[False, same] | np.r_[same, False] if len(k) else False
+    chunk = table.column("chunk").to_pylist()
+    if min(chunk) < 0:  # what only the index has is settled
+        mine = np.repeat(np.array(chunk) >= 0, np.diff(at))
+        new = np.unique(keys[mine & mark])
+        mark &= member(keys, new)
     out = [(i, keys[lo:hi][mark[lo:hi]].tobytes()) for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if mark[lo:hi].any()]
-    rows = table.take(pa.array([i for i, _ in out], pa.int64()))
-    return pa.table({"old": rows.column("old"), "chunk": rows.column("chunk"), "keys": pa.array([x for _, x in out], pa.binary())})
+    return pa.table({"chunk": pa.array([chunk[i] for i, _ in out], pa.int32()), "keys": pa.array([x for _, x in out], pa.binary())})
 
 
-def _windows_of(window: int, gram: int, buckets: int):
-    """A chunk's documents and its repeated fingerprints -> the windows over those, each once with its smallest doc_id, for each bucket."""
+def _windows_of(window: int, gram: int, bits: int):
+    """A chunk's documents and its repeated fingerprints -> the windows over those for each bucket, each once with its smallest doc_id; those of two documents are marked."""
 
     def f(docs_table: pa.Table, keys_table: pa.Table) -> pa.Table:
         keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in keys_table.column("keys").to_pylist()] or [np.zeros(0, np.uint64)]))
@@ -103,29 +129,32 @@ def _windows_of(window: int, gram: int, buckets: int):
                 g, ok = w.grams(gram)
                 hit = np.flatnonzero(ok)
                 hit = hit[member(g[hit], keys)]
-                hi, whole = w.grams(window)
-                lo, _ = w.grams(window, 2)
-                if not len(hi) or not len(hit):
+                n = len(w.start) - window + 1
+                if n <= 0 or not len(hit):
                     continue
                 back = window - gram
-                start = np.flatnonzero(covered(np.maximum(hit - back, 0), np.minimum(hit, back) + 1, len(hi)) & whole) if len(hit) else hit
-                hs.append(hi[start])
-                ls.append((lo[start] >> np.uint64(32)).astype(np.uint32))
+                start = np.flatnonzero(covered(np.maximum(hit - back, 0), np.minimum(hit, back) + 1, n))
+                start = start[start + window <= w.ends()[start]]
+                hs.append(chain_at(w.hash, start, window))
+                ls.append((chain_at(w.hash, start, window, 2) >> np.uint64(32)).astype(np.uint32))
                 ds.append(docs[i + w.text()[start]])
         h, low, d = np.concatenate(hs), np.concatenate(ls), np.concatenate(ds)
         o = np.lexsort((d, low, h))
         h, low, d = h[o], low[o], d[o]
         new = np.r_[True, (h[1:] != h[:-1]) | (low[1:] != low[:-1])] if len(h) else np.zeros(0, bool)
-        h, low, d = h[new], low[new], d[new]
-        o = np.lexsort((d, _bucket(h, buckets)))
-        h, low, d = h[o], low[o], d[o]
-        _, parts = _split(_bucket(h, buckets), buckets)
+        last = np.r_[np.flatnonzero(new)[1:], len(h)] - 1 if len(h) else np.zeros(0, np.int64)
+        h, low, twice, d = h[new], low[new], d[new] < d[last], d[new]
+        b = _bucket(h, bits)
+        o = np.lexsort((d, b))
+        h, low, d, twice = h[o], low[o], d[o], twice[o]
+        parts = _parts(b[o])
         runs = [np.flatnonzero(np.r_[True, d[lo + 1 : hi] != d[lo : hi - 1]]) for _, lo, hi in parts]
-        n, first = len(parts), (docs_table if docs_table.num_rows else keys_table)
+        chunk = (docs_table if docs_table.num_rows else keys_table).column("chunk")[0].as_py()
         return pa.table(
             {
-                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "old": pa.array([first.column("old")[0].as_py()] * n, pa.bool_()), "chunk": pa.array([first.column("chunk")[0].as_py()] * n, pa.int32()),
+                "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int32()),
                 "hi": pa.array([h[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()), "lo": pa.array([low[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
+                "twice": pa.array([np.packbits(twice[lo:hi]).tobytes() for _, lo, hi in parts], pa.binary()),
                 "docs": pa.array([d[lo:hi][r].tobytes() for (_, lo, hi), r in zip(parts, runs, strict=True)], pa.binary()),
                 "counts": pa.array([np.diff(np.r_[r, hi - lo]).astype(np.int32).tobytes() for (_, lo, hi), r in zip(parts, runs, strict=True)], pa.binary()),
             }
@@ -135,137 +164,217 @@ def _windows_of(window: int, gram: int, buckets: int):
 
 
 def _merge_windows(table: pa.Table) -> pa.Table:
-    """The windows of one bucket -> for each chunk of the batch, those that start in a document smaller than all of the chunk's own that have them."""
+    """The windows of one bucket -> for each chunk of the batch, those that start in a smaller document: of another chunk, or (own) only of its own."""
     get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
     his, los, docs, counts = get("hi", np.uint64), get("lo", np.uint32), get("docs", np.int64), get("counts", np.int32)
     at = np.cumsum([0, *map(len, his)])
     hi, lo = np.concatenate([*his, np.zeros(0, np.uint64)]), np.concatenate([*los, np.zeros(0, np.uint32)])
+    twice = np.concatenate([*(_bits(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), his, strict=True)), np.zeros(0, bool)])
     d = np.concatenate([*(np.repeat(x, c) for x, c in zip(docs, counts, strict=True)), np.zeros(0, np.int64)])
     o = np.lexsort((lo, hi))
     new = np.r_[True, (hi[o][1:] != hi[o][:-1]) | (lo[o][1:] != lo[o][:-1])] if len(hi) else np.zeros(0, bool)
     first = np.minimum.reduceat(d[o], np.flatnonzero(new)) if len(hi) else d
     later = np.zeros(len(hi), bool)
     later[o] = first[np.cumsum(new) - 1] < d[o] if len(hi) else False
-    old = table.column("old").to_pylist()
-    out = [(i, hi[a:b][later[a:b]].tobytes()) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if not old[i] and later[a:b].any()]
-    rows = table.take(pa.array([i for i, _ in out], pa.int64()))
-    return pa.table({"chunk": rows.column("chunk"), "gone": pa.array([x for _, x in out], pa.binary())})
+    chunk, gone, out = table.column("chunk").to_pylist(), later | twice, []
+    for c, a, b in zip(chunk, at[:-1], at[1:], strict=True):
+        if c >= 0 and gone[a:b].any():
+            g = gone[a:b]
+            out.append((c, hi[a:b][g].tobytes(), lo[a:b][g].tobytes(), np.packbits(~later[a:b][g]).tobytes()))
+    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int32()), **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in ((1, "hi"), (2, "lo"), (3, "own"))}})
+
+
+def _gone(w: Words, d: np.ndarray, hi: np.ndarray, lo: np.ndarray, window: int):
+    """(start, place among hi and lo) of each window of a slice that is among those; d: a document for each word."""
+    h, ok = w.grams(window)
+    start = np.flatnonzero(ok)
+    start = start[member(h[start], hi)] if len(hi) else start[:0]
+    low = (chain_at(w.hash, start, window, 2) >> np.uint64(32)).astype(np.uint32)
+    at = np.searchsorted(hi, h[start])
+    same = np.zeros(len(start), bool)
+    while True:  # more than once only where 64-bit hashes collide
+        same |= lo[np.minimum(at, len(lo) - 1)] == low if len(lo) else same
+        more = ~same & (at + 1 < len(hi)) & (hi[np.minimum(at + 1, len(hi) - 1)] == h[start]) if len(hi) else same & False
+        if not more.any():
+            return start[same], at[same]
+        at = at + more
 
 
 def _remove(window: int):
-    """A chunk's documents and the windows that start earlier elsewhere -> what is kept of each text."""
+    """A chunk's documents and the windows that start earlier -> what is kept of each text."""
 
     def f(docs_table: pa.Table, gone_table: pa.Table) -> pa.Table:
-        gone = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in gone_table.column("gone").to_pylist()] or [np.zeros(0, np.uint64)]))
+        get = lambda c, t: np.concatenate([*(np.frombuffer(x, t) for x in gone_table.column(c).to_pylist()), np.zeros(0, t)])
+        hi, lo = get("hi", np.uint64), get("lo", np.uint32)
+        own = np.concatenate([*(_bits(x, len(h) // 8) for x, h in zip(gone_table.column("own").to_pylist(), gone_table.column("hi").to_pylist(), strict=True)), np.zeros(0, bool)])
+        o = np.lexsort((lo, hi))
+        hi, lo, own = hi[o], lo[o], own[o]
         docs, parts = _ids(docs_table.column("doc_id")), []
+        least = np.full(len(hi), LAST)  # of a window that only this chunk has: its smallest document
         for i, j, buf, off in slices(docs_table.column("text")):
-            parts.append((i, j, Words(buf, off, SPACED)))
-        h = [(w.grams(window), docs[i + w.text()]) for i, _, w in parts]
-        hs = [g[ok] for (g, ok), _ in h]
-        ds = [d[: len(g)][ok] for (g, ok), d in h]
-        all_h, all_d = np.concatenate([*hs, np.zeros(0, np.uint64)]), np.concatenate([*ds, np.zeros(0, np.int64)])
-        o = np.argsort(all_h, kind="stable")
-        s = all_h[o]
-        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-        drop = np.zeros(len(s), bool)
-        if len(s):
-            low = np.minimum.reduceat(all_d[o], np.flatnonzero(new))
-            drop[o] = (low[np.cumsum(new) - 1] < all_d[o]) | member(s, gone)
-        at, kept, total, removed = 0, [], [], []
-        for (i, j, w), ((g, ok), _) in zip(parts, h, strict=True):
-            start = np.flatnonzero(ok)
-            start = start[drop[at : at + len(start)]]
-            at += int(ok.sum())
-            out = covered(start, window, len(w.start))
+            w = Words(buf, off, SPACED)
+            d = docs[i + w.text()]
+            start, at = _gone(w, d, hi, lo, window)
+            np.minimum.at(least, at, d[start])
+            parts.append((i, j, w, start, at, d[start]))
+        kept, total, removed = [], [], []
+        for i, j, w, start, at, d in parts:
+            out = covered(start[~own[at] | (d > least[at])], window, len(w.start))
             lost = np.add.reduceat(np.r_[out, False].astype(np.int64), w.first[:-1]) * (w.counts() > 0) if j > i else np.zeros(0, np.int64)
             total.append(w.counts())
             removed.append(lost)
             raw, clean = w.buf.tobytes(), bytearray(w.buf.tobytes())
             for t in np.flatnonzero(lost):  # blank the removed words, then join what is left
                 a, b = w.first[t], w.first[t + 1]
-                o_ = out[a:b]
-                edge = np.flatnonzero(np.diff(np.r_[False, o_, False].astype(np.int8)))
+                edge = np.flatnonzero(np.diff(np.r_[False, out[a:b], False].astype(np.int8)))
                 for x, y in edge.reshape(-1, 2):
                     p, q = int(w.start[a + x]), int(w.end[a + y - 1])
                     clean[p:q] = b" " * (q - p)
             for t in range(j - i):
                 p, q = int(w.start[w.first[t]]) if total[-1][t] else 0, int(w.end[w.first[t + 1] - 1]) if total[-1][t] else 0
                 kept.append(b" ".join((clean if lost[t] else raw)[p:q].split()).decode("utf-8"))
-        n = docs_table.num_rows
-        new_cols = {"kept": pa.array(kept, pa.string()), "n_words": pa.array(np.concatenate([*total, np.zeros(0, np.int64)]), pa.int64()), "n_removed": pa.array(np.concatenate([*removed, np.zeros(0, np.int64)]), pa.int64())}
-        assert len(kept) == n
+        none = np.zeros(0, np.int64)
+        new_cols = {"kept": pa.array(kept, pa.string()), "n_words": pa.array(np.concatenate([*total, none]), pa.int64()), "n_removed": pa.array(np.concatenate([*removed, none]), pa.int64())}
         return pa.table({"doc_id": docs_table.column("doc_id"), "carried": docs_table.column("carried"), **new_cols})
 
     return f
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints of the documents seen so far, as a Parquet table (bucket, old, chunk, keys).
+    """Sorted immutable runs of fingerprints of the documents seen so far: Parquet tables (bucket, chunk, keys, twice) beside a manifest.
 
-    `chunks` and `buckets` are fixed for the life of an index. Each batch adds runs beside the older ones; `compact` merges all runs of
-    a bucket and chunk into one, as a new table.
+    Each batch adds a table of runs; `compact` merges all runs of a bucket and chunk into one, as a new table. Every change appends a line
+    to the manifest, of which the last one holds, so another process that opens the folder finds the same index, and tables that a
+    failed writer left behind are never read. Batches may have different numbers of chunks and buckets (both powers of two, by the
+    bytes seen so far): leading bits deal both, so older runs are split as they are read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, chunks: int = 64, buckets: int = 16, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.path, self.chunks, self.buckets, self.window, self.gram = spark, path, chunks, buckets, window, gram
-        self.tables: list[str] = []
-
-    def runs(self) -> DataFrame | None:
-        return self.spark.read.schema(_RUN).parquet(*self.tables) if self.tables else None
-
-    def _write(self, df: DataFrame) -> str:
-        to = f"{self.path}/run-{len(self.tables)}-{self.spark.sparkContext.applicationId}-{id(df)}"
-        df.repartition("bucket").sortWithinPartitions("bucket", "chunk").write.parquet(to)
-        return to
-
-    def append(self, docs: DataFrame) -> None:
-        runs = _chunked(docs, self.chunks).groupBy("old", "chunk").applyInArrow(_runs_of(self.window, self.gram, self.buckets), _RUN + ", twice binary")
-        self.tables.append(self._write(runs.select("bucket", F.lit(True).alias("old"), "chunk", "keys")))
+    def __init__(self, spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.path, self.chunk_bytes, self.window, self.gram = spark, path, chunk_bytes, window, gram
+        self.version, self.bytes, self.tables = 0, 0, []  # tables: (name, chunk bits, bucket bits)
+        try:
+            last = spark.read.schema("version long, state string").json(f"{path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            last = None
+        if last:
+            state = json.loads(last["state"])
+            if (state["window"], state["gram"]) != (window, gram):
+                raise ValueError(f"the index has windows of {state['window']} words and grams of {state['gram']}")
+            self.version, self.bytes, self.tables = last["version"], state["bytes"], [tuple(t) for t in state["tables"]]
+
+    def _commit(self, tables, total: int) -> None:
+        state = json.dumps({"window": self.window, "gram": self.gram, "bytes": total, "tables": tables})
+        self.spark.createDataFrame([(self.version + 1, state)], "version long, state string").coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        self.version, self.bytes, self.tables = self.version + 1, total, tables
+
+    def _write(self, df: DataFrame, n: int) -> str:
+        name = f"run-{self.version + 1}-{uuid.uuid4().hex[:12]}"
+        df.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").write.parquet(f"{self.path}/{name}")
+        return name
+
+    def runs(self, tables, bucket_bits: int) -> DataFrame:
+        """(bucket, chunk, keys, twice) of some tables, for 2**bucket_bits buckets."""
+        out = None
+        for name, _, bits in tables:
+            here = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
+            here = here if bits == bucket_bits else here.mapInArrow(_resplit(bucket_bits), _RUN)
+            out = here if out is None else out.unionByName(here)
+        return out
+
+    def append(self, docs: DataFrame) -> tuple[int, int]:
+        """Add a batch's runs; the leading bits of its chunks and buckets."""
+        size = text_bytes(docs)
+        chunk_bits, bucket_bits = _sizes(self.bytes + size, self.chunk_bytes)
+        chunk_bits, bucket_bits = max([chunk_bits, *(t[1] for t in self.tables)]), max([bucket_bits, *(t[2] for t in self.tables)])
+        n = max(partitions(self.spark), (1 << chunk_bits) // 8)
+        runs = _chunked(docs, chunk_bits).repartition(n, "chunk").groupBy("chunk").applyInArrow(_runs_of(self.window, self.gram, bucket_bits), _RUN)
+        self._commit([*self.tables, (self._write(runs, max(partitions(self.spark), 1 << bucket_bits)), chunk_bits, bucket_bits)], self.bytes + size)
+        return chunk_bits, bucket_bits
 
     def compact(self) -> None:
+        """Merge all tables into one. A table with fewer chunks than the newest keeps its own run of each."""
+        if len(self.tables) < 2:
+            return
+        bits = max(t[2] for t in self.tables)
+
         def merge(table: pa.Table) -> pa.Table:
             keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]))
-            return table.slice(0, 1).set_column(3, "keys", pa.array([keys.tobytes()], pa.binary()))
+            return _run_table([(table.column("bucket")[0].as_py(), 0, len(keys))], table.column("chunk")[0].as_py(), keys, np.zeros(len(keys), bool))
 
-        runs = self.runs()
-        if runs is not None:
-            self.tables = [self._write(runs.groupBy("bucket", "chunk").applyInArrow(merge, _RUN))]
+        tables = []
+        for chunk_bits in sorted({t[1] for t in self.tables}):
+            own = [t for t in self.tables if t[1] == chunk_bits]
+            tables.append((self._write(self.runs(own, bits).groupBy("bucket", "chunk").applyInArrow(merge, _RUN), max(partitions(self.spark), 1 << bits)), chunk_bits, bits))
+        self._commit(tables, self.bytes)
 
 
-def _chunked(docs: DataFrame, chunks: int, old: bool = False) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others and not old else F.lit(None).cast("int")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried"), F.lit(old).alias("old"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
-    )
+def _sizes(total: int, chunk_bytes: int) -> tuple[int, int]:
+    """Leading bits of chunks and buckets for so many bytes of text."""
+    return max(0, total // chunk_bytes).bit_length(), max(0, total // (4 * chunk_bytes)).bit_length()
+
+
+def _chunked(docs: DataFrame, bits: int, old: bool = False) -> DataFrame:
+    """doc_id, text, carried, chunk; the chunks of earlier documents are numbered -1, -2 and so on."""
+    others = [] if old else without([c for c in docs.columns if c not in ("doc_id", "text")], NEW)
+    carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("int")
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))  # rows without id are spread by their texts
+    chunk = F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carried.alias("carried"), (-1 - chunk if old else chunk).alias("chunk"))
 
 
 def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All columns of docs but text, then kept (text of the words left, joined by one space), n_words, n_removed.
 
-    With an index and the earlier documents it was built from (history), windows of earlier documents count as well, by doc_id as ever.
+    With an index and the earlier documents it was built from (history), their windows count as well, by doc_id as ever; the batch's runs
+    are added to the index first, and of the earlier documents only those chunks are read again that share a fingerprint with it.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     if index is None:
-        size = text_bytes(docs)
-        chunks, buckets = max(1, size // chunk_bytes), max(1, size // (4 * chunk_bytes))
+        chunk_bits, bucket_bits = _sizes(text_bytes(docs), chunk_bytes)
     else:
-        chunks, buckets, window, gram = index.chunks, index.buckets, index.window, index.gram
-    n = max(partitions(spark), chunks // 8)
-    mine = _chunked(docs, chunks).repartition(n, "chunk")
-    # the same columns for all three readers, so that the texts are shuffled once
-    runs = mine.groupBy("chunk").applyInArrow(_runs_of(window, gram, buckets), _RUN + ", twice binary")
-    every = mine
-    if index is not None and index.tables and history is not None:
-        runs = runs.unionByName(index.runs().withColumn("twice", F.lit(None).cast("binary")))
-        past = _chunked(history, chunks, True)
-        every = every.unionByName(past.withColumn("carried", F.lit(None).cast(mine.schema["carried"].dataType)))
-    repeated = runs.groupBy("bucket").applyInArrow(_merge_runs, "old boolean, chunk int, keys binary")
-    met = every.groupBy("chunk", "old").cogroup(repeated.groupBy("chunk", "old")).applyInArrow(_windows_of(window, gram, buckets), "bucket int, old boolean, chunk int, hi binary, lo binary, docs binary, counts binary")
-    gone = met.groupBy("bucket").applyInArrow(_merge_windows, "chunk int, gone binary")
-    carried = mine.schema["carried"].dataType.simpleString()
-    out = mine.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_remove(window), f"doc_id long, carried {carried}, kept string, n_words long, n_removed long")
-    others = [F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    return out.select("doc_id", *others, F.col("kept").alias("kept"), "n_words", "n_removed")
+        earlier, window, gram = index.tables, index.window, index.gram
+        chunk_bits, bucket_bits = index.append(docs)
+    n = max(partitions(spark), (1 << chunk_bits) // 8)
+    mine = _chunked(docs, chunk_bits).repartition(n, "chunk")  # one shuffle of the texts for all readers
+    if index is None:
+        runs = mine.groupBy("chunk").applyInArrow(_runs_of(window, gram, bucket_bits), _RUN)
+    else:
+        runs = index.runs(index.tables[-1:], bucket_bits)
+        for t in earlier:  # the chunks of a table with fewer of them stand for all those they fall apart into
+            finer = F.explode(F.sequence(F.shiftleft("chunk", chunk_bits - t[1]), F.shiftleft(F.col("chunk") + 1, chunk_bits - t[1]) - 1))
+            old = index.runs([t], bucket_bits).select("bucket", finer.alias("chunk"), "keys")
+            runs = runs.unionByName(old.select("bucket", (-1 - F.col("chunk")).alias("chunk"), "keys", F.lit(None).cast("binary").alias("twice")))
+    repeated = runs.groupBy("bucket").applyInArrow(_merge_runs, "chunk int, keys binary")
+    met_schema = "bucket int, chunk int, hi binary, lo binary, twice binary, docs binary, counts binary"
+    met = mine.groupBy("chunk").cogroup(repeated.where("chunk >= 0").groupBy("chunk")).applyInArrow(_windows_of(window, gram, bucket_bits), met_schema)
+    if index is not None and earlier and history is not None:
+        past = _chunked(history, chunk_bits, True).repartition(n, "chunk")
+        met = met.unionByName(past.groupBy("chunk").cogroup(repeated.where("chunk < 0").groupBy("chunk")).applyInArrow(_windows_of(window, gram, bucket_bits), met_schema))
+    gone = met.groupBy("bucket").applyInArrow(_merge_windows, "chunk int, hi binary, lo binary, own binary")
+    carried = mine.schema["carried"].dataType
+    out = mine.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_remove(window), f"doc_id long, carried {carried.simpleString()}, kept string, n_words long, n_removed long")
+    others = [F.col(f"carried.`{f}`").alias(f) for f in (carried.names if hasattr(carried, "names") else [])]
+    return out.select("doc_id", *others, *NEW)
+
+
+def remove_repeats_in_batches(docs: DataFrame, path: str, batches: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """remove_repeats(docs) by way of an index in `path`: ranges of doc_id, the smallest first, come in as batches.
+
+    Each batch's result is written before the next one begins, so a job that stops can go on from the index.
+    """
+    spark = docs.sparkSession
+    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    index, low, out = FingerprintIndex(spark, f"{path}/index", chunk_bytes), F.lit(True), None
+    for k, cut in enumerate([*cuts, None]):
+        high = F.col("doc_id") <= int(cut) if cut is not None else F.lit(True)
+        batch = docs.where(low & high if cut is not None else low)
+        remove_repeats(batch, index, docs.where(~F.coalesce(low, F.lit(True))) if k else None).write.parquet(f"{path}/kept-{k}")
+        if k + 1 < batches and len(index.tables) > 2:
+            index.compact()
+        low = F.coalesce(F.col("doc_id") > int(cut), F.lit(True)) if cut is not None else low
+        here = spark.read.parquet(f"{path}/kept-{k}")
+        out = here if out is None else out.unionByName(here)
+    return out

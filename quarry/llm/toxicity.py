@@ -2,9 +2,13 @@
 
 Features of a text are the distinct hashes, modulo 2**bits, of its words, its pairs of neighbours and its pairs with one word between
 (words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, A-Z lower-cased). The model is fitted on a bounded sample: for each label, the labelled
-document outside the held-out fifth with the smallest hash in each of `samples` hash classes. Per-coordinate rates and L1 leave few
-weights, which are broadcast; the intercept is corrected to the label's share among all labelled documents. A null or empty text has the
-intercept only. Repeated rows score alike; conflicting labels of a document count as toxic; with no labels every score is 0.
+document outside the held-out fifth with the smallest hash in each of `samples` hash classes, in order of hash as far as `sample_bytes`
+of text go, one at least. Per-coordinate rates and L1 leave few weights, which are broadcast; the intercept is corrected to the label's
+share among all labelled documents.
+
+A null or empty text has the intercept only; very long texts are scored whole. Repeated rows score alike; of several texts of one doc_id
+the first by code points is fitted on; conflicting labels of a document count as toxic; with no labels every score is 0. Other columns
+are carried along; one named like a result gives way to it. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -53,16 +57,25 @@ class Ftrl:
         self.n[i] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, epochs: int = 16, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers with a weight, those weights, and the intercept; at most 2 * samples documents are fitted on."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    there = docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct()
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    rows = there.groupBy("toxic", F.pmod(h, F.lit(samples)).alias("class")).agg(F.count("*").alias("n"), F.min(F.struct(h.alias("h"), "doc_id")).alias("least")).collect()
+def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, sample_bytes: int = 32 << 20, epochs: int = 16, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature numbers with a weight, those weights, and the intercept; at most samples documents or sample_bytes of text a label are fitted on."""
+    docs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    size = F.octet_length("text").cast("long")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("toxic").alias("toxic"))
+    there = docs.select("id", size.alias("size")).join(known, "id").groupBy("id", "toxic").agg(F.max("size").alias("size"))
+    h = F.xxhash64("id")
+    rows = there.groupBy("toxic", F.pmod(h, F.lit(samples)).alias("class")).agg(F.count("*").alias("n"), F.min(F.struct(h.alias("h"), "id", "size")).alias("least")).collect()
     share = {y: sum(r["n"] for r in rows if r["toxic"] == y) for y in (0, 1)}
     if not share[0] or not share[1]:
         return np.zeros(0, np.int64), np.zeros(0), -np.inf if not share[1] else np.inf
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["least"]["doc_id"], r["toxic"], r["least"]["h"]) for r in rows], "id long, toxic int, h long"))
+    picked = []
+    for y in (0, 1):
+        left = sample_bytes
+        for r in sorted((r["least"] for r in rows if r["toxic"] == y), key=lambda r: (r["h"], r["id"])):
+            if left >= r["size"] or left == sample_bytes:
+                picked.append((r["id"], y, r["h"]))
+                left -= min(left - 1, r["size"])
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "id string, toxic int, h long"))  # at most 2 * samples rows
 
     def describe(column):
         out = []
@@ -72,9 +85,10 @@ def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, epochs: int = 1
             out += [np.unique(x).astype(np.int32).tobytes() for x in np.split(f[o], np.searchsorted(t[o], np.arange(1, j - i)))]
         return [pa.array(out, pa.binary())]
 
-    sample = map_text(docs.join(chosen, F.col("doc_id") == F.col("id")).select("h", "toxic", "text"), describe, "features binary").dropDuplicates(["h"]).collect()
+    texts = docs.join(chosen, "id").groupBy("id", "h", "toxic").agg(F.min("text").alias("text"))
+    sample = map_text(texts, describe, "features binary").collect()
     model, one = Ftrl(bits), 1 << bits
-    data = [(np.append(np.frombuffer(r["features"], np.int32).astype(np.int64), one), r["toxic"]) for r in sorted(sample, key=lambda r: r["h"])]
+    data = [(np.append(np.frombuffer(r["features"], np.int32).astype(np.int64), one), r["toxic"]) for r in sorted(sample, key=lambda r: (r["h"], r["id"]))]
     for _ in range(epochs):
         for x, y in data:
             model.learn(x, y)

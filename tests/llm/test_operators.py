@@ -19,7 +19,7 @@ from quarry.llm.langid import languages
 from quarry.llm.license import TEMPLATES, Templates, _scan, licenses
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.mixing import mix
-from quarry.llm.substring import FingerprintIndex, remove_repeats
+from quarry.llm.substring import FingerprintIndex, remove_repeats, remove_repeats_in_batches
 from quarry.llm.toxicity import toxicity
 from quarry.llm.urlfilter import url_verdicts
 
@@ -120,7 +120,7 @@ def test_remove_repeats(docs, texts, chunk_bytes):
 def test_remove_repeats_edges(spark, docs):
     long = " ".join(f"q{i}" for i in range(20))
     odd = spark.createDataFrame([(5, long, 1), (5, long, 2), (None, long, 3), (9, None, 4)], "doc_id long, text string, kept int")
-    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in remove_repeats(odd.select("doc_id", "text")).collect())
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in remove_repeats(odd).collect())
     assert got == [(-1, 20, 20), (5, 20, 0), (5, 20, 0), (9, 0, 0)]
     assert remove_repeats(odd.limit(0)).count() == 0
     assert set(remove_repeats(docs).columns) == {"doc_id", "lang", "source", "n_chars", "kept", "n_words", "n_removed"}
@@ -129,14 +129,35 @@ def test_remove_repeats_edges(spark, docs):
 def test_fingerprint_index(spark, docs, texts, tmp_path):
     want = brute_repeats([(r[0], r[1]) for r in texts])
     old, new = docs.where("doc_id < 70"), docs.where("doc_id >= 70")
-    index = FingerprintIndex(spark, str(tmp_path), chunks=8, buckets=3)
-    index.append(old.where("doc_id < 30"))
-    index.append(old.where("doc_id >= 30"))
-    for _ in range(2):
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(new, index, old).collect()}
+    index = FingerprintIndex(spark, f"{tmp_path}/a", chunk_bytes=1 << 11)
+    index.append(old.where("doc_id < 5"))
+    few = index.tables[0]
+    index.append(old.where("doc_id >= 5"))
+    assert index.tables[1][1] > few[1] and index.tables[1][2] > few[2]  # more chunks and buckets as it grows
+    for compacted in (False, True):
+        again = FingerprintIndex(spark, f"{tmp_path}/a", chunk_bytes=1 << 11)  # as another process would
+        assert again.tables == index.tables and again.bytes == index.bytes
+        if compacted:
+            again.compact()
+            assert len(again.tables) == 2 and len({t[2] for t in again.tables}) == 1
+            assert FingerprintIndex(spark, f"{tmp_path}/a", chunk_bytes=1 << 11).tables == again.tables
+        version, tables = again.version, again.tables
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(new, again, old).collect()}
         assert got == {k: v for k, v in want.items() if k >= 70}
-        index.compact()
-    assert len(index.tables) == 1
+        assert again.version == version + 1
+        again._commit(tables, index.bytes)  # without the batch, as before
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, f"{tmp_path}/a", window=20)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_through_the_index(spark, docs, texts, tmp_path, batches):
+    long = " ".join(f"q{i}" for i in range(20))
+    odd = docs.select("doc_id", "text").union(spark.createDataFrame([(None, long), (7, long)], "doc_id long, text string"))
+    want = brute_repeats([(r[0], r[1]) for r in texts])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats_in_batches(odd, str(tmp_path), batches, 1 << 12).where("kept not like 'q0%'").collect()}
+    assert got == want | {None: (20, 20, "")}
+    assert remove_repeats_in_batches(odd.limit(0), f"{tmp_path}/none", batches).count() == 0
 
 
 def test_contamination(spark, docs, texts):
