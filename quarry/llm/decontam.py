@@ -5,8 +5,10 @@ shorter one. Of each run of 7-word grams that spans a window the minimum hash is
 shares one. Where a document's fingerprint is among the benchmark's, the hit is extended to the windows around it, which are compared
 word by word. Shorter items are looked up by the hash of all their words.
 
-The benchmark's fingerprints are broadcast while its texts stay under `broadcast_bytes`; a larger benchmark is joined by fingerprint in
-shuffles. A null text has no words; an item without words has no window; repeated item_ids are one item; a null item_id is ignored.
+The benchmark's fingerprints are broadcast while its texts and rows stay under `broadcast_bytes`; a larger benchmark is joined by
+fingerprint in shuffles. A null text has no words, a very long one is read whole; an item without words has no window; repeated item_ids
+are one item; a null item_id is ignored. Rows with a null doc_id and repeated rows are judged like all others. Other columns are carried
+along; one named like a result gives way to it. Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, shared_dir, slices, text_bytes
+from .common import cut, map_text, shared_dir, slices, without
 from .kernel import ALNUM, Words, covered, member, winnow
 
 WINDOW, GRAM = 13, 7
@@ -106,7 +108,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """Columns of docs (text with keep), then n_words, n_hit, items (sorted), contaminated (20 * n_hit >= n_words > 0 hits)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     shared_dir(docs.sparkSession)
-    find = _broadcast if text_bytes(items) <= broadcast_bytes else _shuffled
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + F.octet_length("item_id") + 64), F.lit(0))).first()[0]
+    find = _broadcast if size <= broadcast_bytes else _shuffled
     out = find(docs, items, window, gram, keep)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
@@ -197,8 +200,10 @@ def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, keep: b
     bench = cut(items.select("item_id", "text").mapInArrow(_item_windows(window, gram), "item_id string, length int, words binary, prints array<long>"))
     lengths = [r["length"] for r in bench.where(F.col("length") < window).select("length").distinct().collect()]  # at most window - 1
     row = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    named = docs.withColumn("_row", row)
-    texts = named.select("_row", F.col("text").cast("string").alias("text")).dropDuplicates(["_row"])
+    back = without([c for c in docs.columns if keep or c != "text"], ("n_words", "n_hit", "items"))
+    others = F.struct(*(F.col(f"`{c}`") for c in back)) if back else F.lit(None).cast("int")
+    named = docs.select(row.alias("_row"), F.col("text").cast("string").alias("text"), others.alias("_others"))  # no column of docs can clash
+    texts = named.select("_row", "text").dropDuplicates(["_row"])
     prints = map_text(texts, _doc_prints(window, gram, lengths), "print array<long>", keep=False).select("_row", F.explode("print").alias("print"))
     known = bench.select(F.explode("prints").alias("print")).distinct()
     met = prints.join(known, "print", "left_semi").groupBy("_row").agg(F.collect_list("print").alias("met"))
@@ -208,7 +213,6 @@ def _shuffled(docs: DataFrame, items: DataFrame, window: int, gram: int, keep: b
     # windows by row, then their items: one row for each document and item
     found = hits.select("row", "words", "length").distinct().join(bench.select("words", "length", "item_id").distinct(), ["words", "length"])
     met_items = found.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    counted = map_text(named, lambda c: [pa.array(np.concatenate([*(Words(buf, off, ALNUM, lower=True).counts() for _, _, buf, off in slices(c)), np.zeros(0, np.int64)]))], "n_words long", keep=keep)
-    back = [c for c in docs.columns if c in counted.columns and c not in ("n_words", "n_hit", "items")]
-    joined = counted.drop("n_hit", "items").join(places.withColumnRenamed("row", "_row"), "_row", "left").join(met_items.withColumnRenamed("row", "_row"), "_row", "left")
-    return joined.select(*back, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    counted = map_text(named, lambda c: [pa.array(np.concatenate([*(Words(buf, off, ALNUM, lower=True).counts() for _, _, buf, off in slices(c)), np.zeros(0, np.int64)]))], "n_words long")
+    joined = counted.join(places.withColumnRenamed("row", "_row"), "_row", "left").join(met_items.withColumnRenamed("row", "_row"), "_row", "left")
+    return joined.select(*(F.col(f"_others.`{c}`").alias(c) for c in back), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

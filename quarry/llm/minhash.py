@@ -3,8 +3,11 @@
 Rows: a text's set holds its distinct shingles of five words (A-Z lower-cased; fewer words make one shingle; no words or a null text
 make an empty set, linked with nothing). Rows with equal sets form one class through an aggregate. Between classes, candidates share
 a band of registers and have estimates near or above the threshold; candidates that hang together are compared on their full sets. Both
-steps work block against block, so that no bucket or group has to fit one task, and return spanning forests of links, never all pairs. Repeated rows and repeated ids are one class; a row with a null
-doc_id takes part in no link and is kept. Empty tables give empty results; other columns are ignored.
+steps work in blocks and contract what hangs together, so that no bucket or group has to fit one task or grows with its square, and
+return spanning forests of links, never all pairs. The estimate takes off the collisions expected of the two sets' sizes.
+
+Repeated rows and repeated ids are one class; a row with a null doc_id takes part in no link and is kept; very long texts are read whole.
+Empty tables give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,23 +72,32 @@ def band_keys(r: np.ndarray) -> np.ndarray:
     return key[(r.reshape(BANDS, ROWS) != EMPTY).any(1)].view(np.int64)
 
 
-def likely(rows: np.ndarray, all_: np.ndarray, threshold: float) -> np.ndarray:
+def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Expected share of registers that different minima of sets of n and m elements fill alike.
+
+    The minima of a bucket are about exponential with rates n and m; a register is a cell of width 2**-mantissa of its value's power
+    of two, on the average 0.72 of the value itself, so the share is the integral of both densities times that width.
+    """
+    n, m = n.astype(np.float32), m.astype(np.float32)
+    return np.float32(0.72 * 2.0**-MANTISSA_BITS) * n * m / np.maximum(n + m, 1) ** 2
+
+
+def likely(rows: np.ndarray, all_: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
     """Pairs whose estimated Jaccard similarity doesn't rule out the threshold.
 
-    The share of equal registers among those filled in either, less the share expected to agree by chance (2**-mantissa for different
-    minima of one leading-zero count), estimates the similarity; five standard deviations below the threshold still pass.
+    The share of equal registers among those filled in either, less the collisions expected of sets of these sizes, estimates the
+    similarity; five standard deviations below the threshold still pass.
     """
     equal = np.zeros((len(rows), len(all_)), np.int16)
     fr, fa = rows != EMPTY, all_ != EMPTY
     for k in range(rows.shape[1]):
         equal += (rows[:, k, None] == all_[None, :, k]) & fr[:, k, None]
     both = fr.astype(np.float32) @ fa.astype(np.float32).T
-    return _passes(equal, fr.sum(1, dtype=np.float32)[:, None] + fa.sum(1, dtype=np.float32)[None, :] - both, threshold)
+    return _passes(equal, fr.sum(1, dtype=np.float32)[:, None] + fa.sum(1, dtype=np.float32)[None, :] - both, collisions(sizes[0][:, None], sizes[1][None, :]), threshold)
 
 
-def _passes(equal: np.ndarray, filled: np.ndarray, threshold: float) -> np.ndarray:
+def _passes(equal: np.ndarray, filled: np.ndarray, chance: np.ndarray, threshold: float) -> np.ndarray:
     f = np.maximum(filled, 1).astype(np.float32)
-    chance = np.float32(2.0**-MANTISSA_BITS / 3)
     estimate = (equal / f - chance) / (1 - chance)
     return estimate >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / f) - 1 / f
 
@@ -113,12 +125,12 @@ class Union:
         return out
 
 
-def bucket_forest(reg: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def bucket_forest(reg: np.ndarray, size: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Spanning forest of a bucket's pairs that the estimate lets pass, across the two sides if there are two."""
     union, out, n = Union(len(reg)), [], len(reg)
     one = side.min() == side.max()
     for a in range(0, n, 256):
-        may = likely(reg[a : a + 256], reg, threshold) & (np.arange(a, min(a + 256, n))[:, None] < np.arange(n)[None, :])
+        may = likely(reg[a : a + 256], reg, (size[a : a + 256], size), threshold) & (np.arange(a, min(a + 256, n))[:, None] < np.arange(n)[None, :])
         if not one:
             may &= side[a : a + 256, None] != side[None, :]
         out += union.join((a + int(i), int(j)) for i, j in np.argwhere(may))
@@ -146,7 +158,7 @@ def forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
 
     for a in range(0, n, step):
         rows = np.arange(a, min(a + step, n))
-        may = likely(reg[rows], reg, percent / 100)
+        may = likely(reg[rows], reg, (size[rows], size), percent / 100)
         may &= (np.minimum(size[rows, None], size[None, :]) * 100 >= percent * np.maximum(size[rows, None], size[None, :])) & (rows[:, None] < np.arange(n)[None, :])
         if not one:
             may &= side[rows, None] != side[None, :]
@@ -209,17 +221,18 @@ def _estimator(percent: int):
     def estimate(table: pa.Table) -> pa.Table:
         d, cols, cuts = _parts(table)
         reg = np.frombuffer(b"".join(d.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        size, rep = np.diff(cuts), cols["rep"]
+        size, rep, n_shingles = np.diff(cuts), cols["rep"], d.column("n_shingles").to_numpy()
         a, b = [], []
         two = cuts[:-1][size == 2]  # most buckets: all at once
         for k in range(0, len(two), 4096):
             x, y = reg[two[k : k + 4096]], reg[two[k : k + 4096] + 1]
-            ok = _passes(((x == y) & (x != EMPTY)).sum(1), ((x != EMPTY) | (y != EMPTY)).sum(1), percent / 100)
+            chance = collisions(n_shingles[two[k : k + 4096]], n_shingles[two[k : k + 4096] + 1])
+            ok = _passes(((x == y) & (x != EMPTY)).sum(1), ((x != EMPTY) | (y != EMPTY)).sum(1), chance, percent / 100)
             a.append(rep[two[k : k + 4096][ok]])
             b.append(rep[two[k : k + 4096][ok] + 1])
         for lo, n in zip(cuts[:-1], size, strict=True):
             if n > 2:
-                pairs = np.array(bucket_forest(reg[lo : lo + n], cols["side"][lo : lo + n], percent / 100), np.int64).reshape(-1, 2)
+                pairs = np.array(bucket_forest(reg[lo : lo + n], n_shingles[lo : lo + n], cols["side"][lo : lo + n], percent / 100), np.int64).reshape(-1, 2)
                 a.append(rep[lo + pairs[:, 0]])
                 b.append(rep[lo + pairs[:, 1]])
         none = np.zeros(0, np.int64)
@@ -245,19 +258,61 @@ def _linker(percent: int):
     return link
 
 
-def _dealt(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """(task, group, i, j, side, rep) of members(group, rep): groups of up to block members whole, several a task; larger ones as pairs of blocks."""
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    packs = max(1, total // block)
-    nb = F.ceil(F.col("n") / block).cast("int")
-    return (
-        members.join(sizes, "group")
-        .withColumn("mine", F.pmod(F.xxhash64("rep"), nb).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-        .withColumn("i", F.least("mine", "other"))
-        .withColumn("j", F.greatest("mine", "other"))
-        .select(F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.xxhash64("group", "i", "j")).alias("task"), "group", "i", "j", F.col("mine").alias("side"), "rep")
-    )
+_TASK = ("task", "group", "i", "j", "side", "rep")
+
+
+def _within(members: DataFrame, total: int, block: int) -> DataFrame:
+    """_TASK of members(group, rep, n): groups of up to block members whole, several a task; larger ones in blocks, each for itself."""
+    mine = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("int")
+    task = F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(max(1, total // block)))).otherwise(F.xxhash64("group", "mine"))
+    return members.withColumn("mine", mine).select(task.alias("task"), "group", F.col("mine").alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"), "rep")
+
+
+def _across(members: DataFrame, block: int) -> DataFrame:
+    """_TASK of members(group, rep, component): pairs of blocks that hold different components of a group.
+
+    A component of more than block members has blocks of its own, which are not compared with one another; the small ones share theirs.
+    """
+    sizes = members.groupBy("group", "component").agg(F.count("*").alias("s"))
+    kind = F.when(F.col("s") > block, F.col("component").cast("string")).otherwise("small")
+    kinds = cut(sizes.groupBy("group", kind.alias("kind")).agg(F.ceil(F.sum("s") / block).cast("int").alias("blocks")))
+    own = F.when(F.col("s") > block, F.xxhash64("rep")).otherwise(F.xxhash64("component"))
+    placed = members.join(sizes, ["group", "component"]).select("group", "rep", kind.alias("kind"), own.alias("h"))
+    placed = cut(placed.join(kinds, ["group", "kind"]).select("group", "rep", "kind", F.pmod("h", "blocks").cast("int").alias("at")))
+    x, y = (kinds.select("group", F.col("kind").alias(f"k{n}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"a{n}")) for n in "xy")
+    tasks = x.join(y, "group").where("kx < ky or (kx = 'small' and ky = 'small' and ax <= ay)")
+    tasks = tasks.withColumn("i", F.xxhash64("kx", "ax")).withColumn("j", F.xxhash64("ky", "ay")).withColumn("task", F.xxhash64("group", "i", "j"))
+    left = placed.join(tasks.withColumnsRenamed({"kx": "kind", "ax": "at"}), ["group", "kind", "at"]).select(*(F.lit(0).alias(c) if c == "side" else F.col(c) for c in _TASK))
+    right = placed.join(tasks.where("kx <> ky or ax <> ay").withColumnsRenamed({"ky": "kind", "ay": "at"}), ["group", "kind", "at"]).select(*(F.lit(1).alias(c) if c == "side" else F.col(c) for c in _TASK))
+    return left.unionByName(right)
+
+
+def _searched(members: DataFrame, data: DataFrame, kernel, block: int) -> DataFrame:
+    """Edges (a, b) that hold together what the kernel links in each group of members(group, rep); data has the kernel's input by rep.
+
+    Groups of up to block members are searched whole. A larger one is searched in blocks, what hangs together in a block is contracted to
+    one member, these are dealt anew, and so on; at last members of still different components are compared, whichever block they are
+    in. So a large group of near copies costs in proportion to its members, and no link is lost.
+    """
+    sizes = cut(members.groupBy("group").agg(F.count("*").alias("n")))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    run = lambda tasks: tasks.join(data, "rep").groupBy("task").applyInArrow(kernel, "a long, b long")
+    small = run(_within(members.join(sizes.where(F.col("n") <= block), "group"), total, block))
+    if most <= block:
+        return small
+    large = cut(members.join(sizes.where(F.col("n") > block), "group"))
+    edges, left, before = cut(run(_within(large, total, block))), None, None
+    while True:
+        named = large.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
+        counts = named.groupBy("group").agg(F.countDistinct("component").alias("n")).where("n > 1")
+        left = cut(named.join(counts, "group"))
+        firsts = left.groupBy("group", "component", "n").agg(F.min("rep").alias("rep"))
+        now = firsts.count()
+        if not now or (before is not None and 2 * now > before):
+            break
+        before = now
+        edges = cut(edges.unionByName(run(_within(firsts.select("group", "rep", "n"), now, block))))
+    return small.unionByName(edges).unionByName(run(_across(left.drop("n"), block))) if now else small.unionByName(edges)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
@@ -267,17 +322,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, buck
     sets = desc.where("n_shingles > 0 and doc_id is not null")
     # equal sets: one class, its smallest doc_id stands for it
     classes = cut(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    firsts = desc.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "registers")
+    firsts = desc.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "registers")
     # buckets: classes that share a band
-    bands = firsts.mapInArrow(_bands, "band long, rep long")
+    bands = firsts.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
     full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(bands.join(full, "band").select(F.col("band").alias("group"), "rep"))
-    buckets = _dealt(met, met.groupBy("group").agg(F.count("*").alias("n")), bucket)
-    near = buckets.join(firsts, "rep").groupBy("task").applyInArrow(_estimator(percent), "a long, b long")
+    near = _searched(met, firsts, _estimator(percent), bucket)
     # groups of candidates, and the links in them
     groups = components(near).select(F.col("component").alias("group"), F.col("id").alias("rep"))
-    pairs = _dealt(groups, groups.groupBy("group").agg(F.count("*").alias("n")), block)
-    found = texts.join(pairs, F.col("doc_id") == F.col("rep")).select("task", "group", "i", "j", "side", "rep", "text").groupBy("task").applyInArrow(_linker(percent), "a long, b long")
+    found = _searched(groups, texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text"), _linker(percent), block)
     linked = components(found)
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = desc.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")

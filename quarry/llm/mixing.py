@@ -8,7 +8,9 @@ second pass begins where the first has used them all, so no document is taken mo
 
 The running sums are split: documents are counted by (source, slice of the md5 range), the slices are summed up in order, and only within
 a slice are documents put in order, so a source with a third of all rows is many small windows. Sources themselves (one row each) are
-ranked in one task. A null doc_id sorts as the text ''; repeated rows count each; an empty table gives no rows.
+ranked in one task. A null doc_id sorts by its text, after a slash; repeated rows count each; a null text has no words, a very long one is
+counted whole. Other columns are carried along; one named like a result gives way to it. An empty table gives no rows. Rows come in order
+of their first position; a second pass has its own, `position2`.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 WEIGHTS, RAMPS = (3, 1, 2), (-0.5, 0.0, 0.5)
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -56,9 +58,8 @@ def position(y, ramp) -> F.Column:
 
 def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, ramps=RAMPS, cap: float = 2.0, keep: bool = False) -> DataFrame:
     """Columns of docs (text with keep), then size, source_size, target, taken, position, position2 (of a second pass), in order of position."""
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position", "position2") and (keep or c != "text")]
-    sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), words(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    sized = sized.withColumn("key", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")))
+    names = without([c for c in docs.columns if keep or c != "text"], ("size", "source_size", "target", "taken", "position", "position2"))
+    sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), "text"), F.lit("")).cast("binary")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     if not keep:
         sized = cut(sized)
     rows = sized.count()

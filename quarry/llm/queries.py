@@ -98,7 +98,7 @@ WITH p AS (SELECT page_id,
 r AS (SELECT *, {_RULE_CASE} AS rule FROM p)
 SELECT page_id, host, path, rule, {_VERDICT_CASE} AS verdict FROM r""",
     "op9_mixing": """
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '/' || text, '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rnk FROM s),
 w AS (SELECT *, CAST([3.0, 1.0, 2.0][rnk % 3 + 1] AS DOUBLE) AS weight, CAST([-0.5, 0.0, 0.5][rnk % 3 + 1] AS DOUBLE) AS ramp,
