@@ -2,8 +2,8 @@
 
 A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+`. A word goes if a window over it also starts in a document with a smaller
 doc_id. Fingerprints are winnowed: the minimum hash of each run of 7-word grams that spans one window, so that two equal windows always
-share one. They form sorted immutable runs, one for each bucket of hashes and chunk of documents; runs of the batch and of the index are
-merged per bucket, and fingerprints met twice lead to the windows over them. Those are verified by 96-bit hashes of all their words,
+share one. They form sorted immutable runs, one for each bucket of hashes and task, in order of chunk (a share of the documents); runs of
+the batch and of the index are merged per bucket, and fingerprints met twice lead each chunk to the windows over them. Those are verified by 96-bit hashes of all their words,
 again merged per bucket, and only then removed. Chunks and buckets are dealt by leading bits of hashes and hold about `chunk_bytes` of
 text each, however often a passage occurs: a chunk sends each fingerprint or window once.
 
@@ -30,7 +30,9 @@ WINDOW, GRAM = 13, 7
 CHUNK_BYTES = 4 << 20
 #: An id no document has: what a null doc_id counts as.
 LAST = np.iinfo(np.int64).max
-_RUN = "bucket int, chunk int, keys binary, twice binary"
+#: Fingerprints that a task holds before it writes a run.
+RUN_KEYS = 1 << 22
+_RUN = "bucket int, shift int, chunks binary, counts binary, keys binary, twice binary"
 NEW = ("kept", "n_words", "n_removed")
 
 
@@ -55,33 +57,61 @@ def _bits(x: bytes | None, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) if x else np.zeros(n, bool)
 
 
-def _run_table(parts, chunk: int, h: np.ndarray, twice: np.ndarray) -> pa.Table:
-    return pa.table(
-        {
-            "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int32()),
-            "keys": pa.array([h[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()), "twice": pa.array([np.packbits(twice[lo:hi]).tobytes() for _, lo, hi in parts], pa.binary()),
-        }
-    )
+def _run_table(h: np.ndarray, chunk: np.ndarray, twice: np.ndarray, bits: int, shift: int = 0) -> pa.RecordBatch:
+    """Rows of _RUN, one for each bucket: its keys in order of chunk and hash, with the number of each chunk's."""
+    b = _bucket(h, bits)
+    o = np.lexsort((h, chunk, b))
+    h, chunk, twice, rows = h[o], chunk[o].astype(np.int32), twice[o], []
+    for bucket, lo, hi in _parts(b[o]):
+        at = np.flatnonzero(np.r_[True, chunk[lo + 1 : hi] != chunk[lo : hi - 1]])
+        rows.append((bucket, shift, chunk[lo:hi][at].tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.int32).tobytes(), h[lo:hi].tobytes(), np.packbits(twice[lo:hi]).tobytes()))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "shift", "chunks", "counts", "keys", "twice"])
+
+
+def _flat(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, chunk, whether of two documents, shift) of all keys of some rows of _RUN."""
+    get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+    hs, chunks, counts = get("keys", np.uint64), get("chunks", np.int32), get("counts", np.int32)
+    h, none = np.concatenate([*hs, np.zeros(0, np.uint64)]), np.zeros(0, np.int32)
+    twice = np.concatenate([*(_bits(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), hs, strict=True)), np.zeros(0, bool)])
+    shift = np.repeat(np.array(table.column("shift").to_pylist(), np.int32), [len(k) for k in hs]) if hs else none
+    return h, np.concatenate([*(np.repeat(c, n) for c, n in zip(chunks, counts, strict=True)), none]), twice, shift
+
+
+def _distinct(h: np.ndarray, chunk: np.ndarray, twice: np.ndarray):
+    """Each key of a chunk once; of two documents if marked so or there more than once."""
+    o = np.lexsort((h, chunk))
+    h, chunk, twice = h[o], chunk[o], twice[o]
+    at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return h[at], chunk[at], (np.logical_or.reduceat(twice, at) if len(h) else twice) | (np.diff(np.r_[at, len(h)]) > 1)
 
 
 def _runs_of(window: int, gram: int, bits: int):
-    """A chunk of documents -> its sorted run of fingerprints for each bucket; those in two of its own documents are marked."""
+    """The documents of a task -> its sorted run of fingerprints for each bucket; those in two documents of a chunk are marked."""
 
-    def f(table: pa.Table) -> pa.Table:
-        docs, hs, ds = _ids(table.column("doc_id")), [], []
-        for i, _, buf, off in slices(table.column("text")):
-            w = Words(buf, off, SPACED)
-            g, ok = w.grams(gram)
-            at = np.flatnonzero(winnow(g, ok, window - gram + 1))
-            hs.append(g[at])
-            ds.append(docs[i + w.text()[at]])
-        h, d = np.concatenate([*hs, np.zeros(0, np.uint64)]), np.concatenate([*ds, np.zeros(0, np.int64)])
-        o = np.argsort(h, kind="stable")
-        h, d = h[o], d[o]
-        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        low, high = (np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)) if len(h) else (d, d)
-        h = h[at]
-        return _run_table(_parts(_bucket(h, bits)), table.column("chunk")[0].as_py(), h, low < high)
+    def f(batches):
+        held, size = [], 0
+        for batch in batches:
+            docs, chunks = np.asarray(batch.column(0).fill_null(LAST)).astype(np.int64), np.asarray(batch.column(2)).astype(np.int32)
+            for i, _, buf, off in slices(batch.column(1)):
+                w = Words(buf, off, SPACED)
+                g, ok = w.grams(gram)
+                at = np.flatnonzero(winnow(g, ok, window - gram + 1))
+                h, row = g[at], i + w.text()[at]
+                o = np.lexsort((docs[row], chunks[row], h))  # a document's own repetitions don't count
+                h, d, c = h[o], docs[row][o], chunks[row][o]
+                new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
+                held.append(_distinct(h[new], c[new], np.zeros(int(new.sum()), bool)))
+                size += len(held[-1][0])
+                if size > RUN_KEYS:  # merge what is held; write it if that doesn't help
+                    held = [_distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if 2 * size > RUN_KEYS:
+                        yield _run_table(*held.pop(), bits)
+                        size = 0
+        if held:
+            yield _run_table(*_distinct(*(np.concatenate(x) for x in zip(*held, strict=True))), bits)
 
     return f
 
@@ -91,29 +121,31 @@ def _resplit(bits: int):
 
     def f(batches):
         for batch in batches:
-            for _, chunk, keys, twice in zip(*batch.columns, strict=True):
-                h = np.frombuffer(keys.as_py(), np.uint64)
-                yield from _run_table(_parts(_bucket(h, bits)), chunk.as_py(), h, _bits(twice.as_py(), len(h))).to_batches()
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                h, chunk, twice, shift = _flat(row)
+                yield _run_table(h, chunk, twice, bits, int(shift[0]) if len(shift) else 0)
 
     return f
 
 
 def _merge_runs(table: pa.Table) -> pa.Table:
     """The runs of one bucket -> for each chunk, the fingerprints that another chunk has too, or two of its documents have."""
-    runs = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    mark = np.concatenate([*(_bits(x, len(k)) for x, k in zip(table.column("twice").to_pylist(), runs, strict=True)), np.zeros(0, bool)])
-    at, keys = np.cumsum([0, *map(len, runs)]), np.concatenate([*runs, np.zeros(0, np.uint64)])
-    o = np.argsort(keys, kind="stable")  # runs are sorted: a merge
-    k = keys[o]
-    same = k[1:] == k[:-1]
-    mark[o] |= np.r_[False, same] | np.r_[same, False] if len(k) else False
-    chunk = table.column("chunk").to_pylist()
-    if min(chunk) < 0:  # what only the index has is settled
-        mine = np.repeat(np.array(chunk) >= 0, np.diff(at))
-        new = np.unique(keys[mine & mark])
-        mark &= member(keys, new)
-    out = [(i, keys[lo:hi][mark[lo:hi]].tobytes()) for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if mark[lo:hi].any()]
-    return pa.table({"chunk": pa.array([chunk[i] for i, _ in out], pa.int32()), "keys": pa.array([x for _, x in out], pa.binary())})
+    h, chunk, twice, shift = _flat(table)
+    o = np.argsort(h, kind="stable")  # runs are sorted: a merge
+    h, chunk, twice, shift = h[o], chunk[o], twice[o], shift[o]
+    same = h[1:] == h[:-1]
+    mark = twice | np.r_[False, same] | np.r_[same, False] if len(h) else twice
+    if (chunk < 0).any():  # what only the index has is settled
+        mark &= member(h, np.unique(h[mark & (chunk >= 0)]))
+    h, chunk, shift, out = h[mark], chunk[mark], shift[mark], []
+    o = np.lexsort((h, shift, chunk))
+    h, chunk, shift = h[o], chunk[o], shift[o]
+    for c, lo, hi in _parts(chunk.astype(np.int64) << 6 | shift):
+        c, s, keys = c >> 6, c & 63, np.unique(h[lo:hi]).tobytes()
+        # a chunk of an older table stands for all those it has fallen apart into since
+        out += [(c, keys)] if c >= 0 else [(-1 - x, keys) for x in range((-1 - c) << s, (-c) << s)]
+    return pa.table({"chunk": pa.array([c for c, _ in out], pa.int32()), "keys": pa.array([x for _, x in out], pa.binary())})
 
 
 def _windows_of(window: int, gram: int, bits: int):
@@ -241,9 +273,9 @@ def _remove(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints of the documents seen so far: Parquet tables (bucket, chunk, keys, twice) beside a manifest.
+    """Sorted immutable runs of fingerprints of the documents seen so far: Parquet tables beside a manifest.
 
-    Each batch adds a table of runs; `compact` merges all runs of a bucket and chunk into one, as a new table. Every change appends a line
+    Each batch adds a table of runs; `compact` merges all runs of a bucket into one, as a new table. Every change appends a line
     to the manifest, of which the last one holds, so another process that opens the folder finds the same index, and tables that a
     failed writer left behind are never read. Batches may have different numbers of chunks and buckets (both powers of two, by the
     bytes seen so far): leading bits deal both, so older runs are split as they are read.
@@ -271,11 +303,11 @@ class FingerprintIndex:
 
     def _write(self, df: DataFrame, n: int) -> str:
         name = f"run-{self.version + 1}-{uuid.uuid4().hex[:12]}"
-        df.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk").write.parquet(f"{self.path}/{name}")
+        df.repartition(n, "bucket").sortWithinPartitions("bucket").write.parquet(f"{self.path}/{name}")
         return name
 
     def runs(self, tables, bucket_bits: int) -> DataFrame:
-        """(bucket, chunk, keys, twice) of some tables, for 2**bucket_bits buckets."""
+        """The runs of some tables, for 2**bucket_bits buckets."""
         out = None
         for name, _, bits in tables:
             here = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
@@ -288,8 +320,7 @@ class FingerprintIndex:
         size = text_bytes(docs)
         chunk_bits, bucket_bits = _sizes(self.bytes + size, self.chunk_bytes)
         chunk_bits, bucket_bits = max([chunk_bits, *(t[1] for t in self.tables)]), max([bucket_bits, *(t[2] for t in self.tables)])
-        n = max(partitions(self.spark), (1 << chunk_bits) // 8)
-        runs = _chunked(docs, chunk_bits).repartition(n, "chunk").groupBy("chunk").applyInArrow(_runs_of(self.window, self.gram, bucket_bits), _RUN)
+        runs = _fingerprints(docs, chunk_bits, self.window, self.gram, bucket_bits)
         self._commit([*self.tables, (self._write(runs, max(partitions(self.spark), 1 << bucket_bits)), chunk_bits, bucket_bits)], self.bytes + size)
         return chunk_bits, bucket_bits
 
@@ -300,13 +331,13 @@ class FingerprintIndex:
         bits = max(t[2] for t in self.tables)
 
         def merge(table: pa.Table) -> pa.Table:
-            keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]))
-            return _run_table([(table.column("bucket")[0].as_py(), 0, len(keys))], table.column("chunk")[0].as_py(), keys, np.zeros(len(keys), bool))
+            h, chunk, twice, _ = _flat(table)
+            return pa.Table.from_batches([_run_table(*_distinct(h, chunk, twice), bits)])
 
         tables = []
         for chunk_bits in sorted({t[1] for t in self.tables}):
             own = [t for t in self.tables if t[1] == chunk_bits]
-            tables.append((self._write(self.runs(own, bits).groupBy("bucket", "chunk").applyInArrow(merge, _RUN), max(partitions(self.spark), 1 << bits)), chunk_bits, bits))
+            tables.append((self._write(self.runs(own, bits).groupBy("bucket").applyInArrow(merge, _RUN), max(partitions(self.spark), 1 << bits)), chunk_bits, bits))
         self._commit(tables, self.bytes)
 
 
@@ -315,6 +346,21 @@ def _sizes(total: int, chunk_bytes: int) -> tuple[int, int]:
     return max(0, total // chunk_bytes).bit_length(), max(0, total // (4 * chunk_bytes)).bit_length()
 
 
+def _as_old(shift: int, bits: int):
+    """Runs of the index: their chunks get negative numbers, and marks of two documents are settled."""
+
+    def f(batches):
+        for batch in batches:
+            h, chunk, twice, _ = _flat(batch)
+            yield _run_table(h, -1 - chunk, twice & False, bits, shift)
+
+    return f
+
+
+def _fingerprints(docs: DataFrame, chunk_bits: int, window: int, gram: int, bucket_bits: int) -> DataFrame:
+    return _chunked(docs.select("doc_id", "text"), chunk_bits).select("doc_id", "text", "chunk").mapInArrow(_runs_of(window, gram, bucket_bits), _RUN)
+
+
 def _chunked(docs: DataFrame, bits: int, old: bool = False) -> DataFrame:
     """doc_id, text, carried, chunk; the chunks of earlier documents are numbered -1, -2 and so on."""
     others = [] if old else without([c for c in docs.columns if c not in ("doc_id", "text")], NEW)
@@ -340,13 +386,11 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
     n = max(partitions(spark), (1 << chunk_bits) // 8)
     mine = _chunked(docs, chunk_bits).repartition(n, "chunk")  # one shuffle of the texts for all readers
     if index is None:
-        runs = mine.groupBy("chunk").applyInArrow(_runs_of(window, gram, bucket_bits), _RUN)
+        runs = _fingerprints(docs, chunk_bits, window, gram, bucket_bits)
     else:
         runs = index.runs(index.tables[-1:], bucket_bits)
-        for t in earlier:  # the chunks of a table with fewer of them stand for all those they fall apart into
-            finer = F.explode(F.sequence(F.shiftleft("chunk", chunk_bits - t[1]), F.shiftleft(F.col("chunk") + 1, chunk_bits - t[1]) - 1))
-            old = index.runs([t], bucket_bits).select("bucket", finer.alias("chunk"), "keys")
-            runs = runs.unionByName(old.select("bucket", (-1 - F.col("chunk")).alias("chunk"), "keys", F.lit(None).cast("binary").alias("twice")))
+        for t in earlier:
+            runs = runs.unionByName(index.runs([t], bucket_bits).mapInArrow(_as_old(chunk_bits - t[1], bucket_bits), _RUN))
     repeated = runs.groupBy("bucket").applyInArrow(_merge_runs, "chunk int, keys binary")
     met_schema = "bucket int, chunk int, hi binary, lo binary, twice binary, docs binary, counts binary"
     met = mine.groupBy("chunk").cogroup(repeated.where("chunk >= 0").groupBy("chunk")).applyInArrow(_windows_of(window, gram, bucket_bits), met_schema)
