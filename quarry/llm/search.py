@@ -32,6 +32,8 @@ K1, B = 1.2, 0.75
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
 CELLS = 1 << 19
+#: Bytes of text in a row of the index; a longer text makes a row of its own.
+ROW_BYTES = 1 << 20
 #: A list has one posting at least and 32 at most; tf takes four bytes in a row where some word occurs more than 255 times in a text.
 _INDEX = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "list_term": np.int32, "list_n": np.uint8, "block_at": np.int32, "docs": np.uint8, "tf": np.uint8}
 _FOUND = "query_id long, docs binary, scores binary"
@@ -50,7 +52,7 @@ def _index(batches):
     """Documents -> rows of the index: block b has the lists block_at[b]..block_at[b + 1], and list l the next list_n[l] postings."""
     for batch in batches:
         ids = np.asarray(batch.column(0)).astype(np.int64)
-        for i, j, buf, off in slices(batch.column(1)):
+        for i, j, buf, off in slices(batch.column(1), ROW_BYTES):
             w = Words(buf, off, ALNUM, lower=True)
             t, h, tf = _terms(w)
             terms, at = np.unique(h, return_inverse=True)
@@ -80,16 +82,20 @@ def _statistics(batches):
             here = np.bincount(list_term, list_n, len(own)).astype(np.int64)
             terms, at = np.unique(np.concatenate([terms, own]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, here]), len(terms)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([None, *terms.view(np.int64)], pa.int64()), pa.array([n_docs, *counts], pa.int64()), pa.array([n_words, *np.zeros(len(terms), np.int64)], pa.int64())], names=["term", "n", "words"])
+    no_term = np.r_[True, np.zeros(len(terms), bool)]
+    columns = np.r_[np.int64(0), terms.view(np.int64)], np.r_[np.int64(n_docs), counts], np.r_[np.int64(n_words), np.zeros(len(terms), np.int64)]
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], mask=no_term), pa.array(columns[1]), pa.array(columns[2])], names=["term", "n", "words"])
 
 
 def _query_terms(column) -> list[pa.Array]:
-    out = []
+    sizes, terms, counts = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, buf, off in slices(column):
         t, h, n = _terms(Words(buf, off, ALNUM, lower=True))
-        at = np.searchsorted(t, np.arange(j - i + 1))
-        out += [[{"term": int(x), "n": int(c)} for x, c in zip(h[a:b].view(np.int64), n[a:b], strict=True)] for a, b in zip(at[:-1], at[1:], strict=True)]
-    return [pa.array(out, pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())])))]
+        sizes.append(np.bincount(t, minlength=j - i))
+        terms.append(h.view(np.int64))
+        counts.append(n)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(terms)), pa.array(np.concatenate(counts))], names=["term", "n"])
+    return [pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pairs)]
 
 
 class Shard:
