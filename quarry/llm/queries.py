@@ -44,8 +44,8 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_substring_dedup(spark, sf_dir):
-    out = remove_repeats_in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/substring-{uuid.uuid4().hex}", BATCHES)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    digest = ("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return remove_repeats_in_batches(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/substring-{uuid.uuid4().hex}", BATCHES, columns=digest)
 
 
 def op5_license_scan(spark, sf_dir):

@@ -404,10 +404,10 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
     return out.select("doc_id", *others, *NEW)
 
 
-def remove_repeats_in_batches(docs: DataFrame, path: str, batches: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """remove_repeats(docs) by way of an index in `path`: ranges of doc_id, the smallest first, come in as batches.
+def remove_repeats_in_batches(docs: DataFrame, path: str, batches: int, chunk_bytes: int = CHUNK_BYTES, columns: tuple = ("*",)) -> DataFrame:
+    """columns of remove_repeats(docs) by way of an index in `path`: ranges of doc_id, the smallest first, come in as batches.
 
-    Each batch's result is written before the next one begins, so a job that stops can go on from the index.
+    Each batch's columns are written before the next one begins, so a job that stops can go on from the index.
     """
     spark = docs.sparkSession
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
@@ -415,7 +415,7 @@ def remove_repeats_in_batches(docs: DataFrame, path: str, batches: int, chunk_by
     for k, cut in enumerate([*cuts, None]):
         high = F.col("doc_id") <= int(cut) if cut is not None else F.lit(True)
         batch = docs.where(low & high if cut is not None else low)
-        remove_repeats(batch, index, docs.where(~F.coalesce(low, F.lit(True))) if k else None).write.parquet(f"{path}/kept-{k}")
+        remove_repeats(batch, index, docs.where(~F.coalesce(low, F.lit(True))) if k else None).select(*columns).write.parquet(f"{path}/kept-{k}")
         if k + 1 < batches and len(index.tables) > 2:
             index.compact()
         low = F.coalesce(F.col("doc_id") > int(cut), F.lit(True)) if cut is not None else low
