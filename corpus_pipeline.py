@@ -1,4 +1,9 @@
-"""From documents to an ordered training mix, stage by stage."""
+"""From documents to an ordered training mix, stage by stage.
+
+Every stage takes and returns the columns of documents, whatever else these are; the last adds its own. Documents with a null text pass
+the first four (they have no words), rows that share a doc_id are one document and stay or go together, repeated rows count each, very
+long texts are read whole, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -13,25 +18,25 @@ from quarry.llm.toxicity import toxicity
 
 
 def toxicity_stage(spark, docs, sf_dir):
-    """Documents that the model calls toxic go."""
+    """Documents that the model calls toxic go; without labels of both kinds none is toxic, or all are that the only kind says."""
     return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=True).where("predicted = 0").select(*docs.columns)
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays; one with a null doc_id is nobody's copy."""
     gone = near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark, docs, sf_dir):
-    """Passages that occur in an earlier document are cut; a text that loses nothing stays as it is."""
+    """Passages that occur in a document with a smaller doc_id are cut (a null doc_id counts as the greatest); a text that loses nothing stays as it is."""
     kept = remove_repeats(docs.withColumn("_text", F.col("text")))
     cut = kept.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text")))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def decontamination_stage(spark, docs, sf_dir):
-    """Contaminated documents go."""
+    """Contaminated documents go; with an empty benchmark none does."""
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=True).where(~F.col("contaminated")).select(*docs.columns)
 
 
