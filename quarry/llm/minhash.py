@@ -33,6 +33,8 @@ SHINGLE = 5
 BLOCK = 768
 #: Registers compared at once in one task; fuller buckets are split into pairs of blocks.
 BUCKET = 2048
+#: Groups of up to so many blocks are searched in pairs of blocks; larger ones are contracted block by block.
+FEW = 16
 
 
 def shingles(words: Words, size: int = SHINGLE) -> list[np.ndarray]:
@@ -261,11 +263,14 @@ def _linker(percent: int):
 _TASK = ("task", "group", "i", "j", "side", "rep")
 
 
-def _within(members: DataFrame, total: int, block: int) -> DataFrame:
-    """_TASK of members(group, rep, n): groups of up to block members whole, several a task; larger ones in blocks, each for itself."""
-    mine = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block)).cast("int")
-    task = F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(max(1, total // block)))).otherwise(F.xxhash64("group", "mine"))
-    return members.withColumn("mine", mine).select(task.alias("task"), "group", F.col("mine").alias("i"), F.col("mine").alias("j"), F.lit(0).alias("side"), "rep")
+def _within(members: DataFrame, total: int, block: int, few: int) -> DataFrame:
+    """_TASK of members(group, rep, n): groups of up to block members whole, several a task; up to few blocks in pairs of blocks; larger ones in blocks, each for itself."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    split = members.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    split = split.withColumn("other", F.explode(F.when(blocks <= few, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    split = split.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    task = F.when(F.col("n") <= block, F.pmod(F.xxhash64("group"), F.lit(max(1, total // block)))).otherwise(F.xxhash64("group", "i", "j"))
+    return split.select(task.alias("task"), "group", "i", "j", F.when(blocks <= few, F.col("mine")).otherwise(0).alias("side"), "rep")
 
 
 def _across(members: DataFrame, block: int) -> DataFrame:
@@ -287,21 +292,22 @@ def _across(members: DataFrame, block: int) -> DataFrame:
     return left.unionByName(right)
 
 
-def _searched(members: DataFrame, data: DataFrame, kernel, block: int) -> DataFrame:
+def _searched(members: DataFrame, data: DataFrame, kernel, block: int, few: int) -> DataFrame:
     """Edges (a, b) that hold together what the kernel links in each group of members(group, rep); data has the kernel's input by rep.
 
-    Groups of up to block members are searched whole. A larger one is searched in blocks, what hangs together in a block is contracted to
-    one member, these are dealt anew, and so on; at last members of still different components are compared, whichever block they are
-    in. So a large group of near copies costs in proportion to its members, and no link is lost.
+    Groups of up to block members are searched whole, those of up to few blocks in pairs of blocks. A larger one is searched in blocks,
+    what hangs together in a block is contracted to one member, these are dealt anew, and so on; at last members of still different
+    components are compared, whichever block they are in. So a large group of near copies costs in proportion to its members, and no
+    link is lost.
     """
     sizes = cut(members.groupBy("group").agg(F.count("*").alias("n")))
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     run = lambda tasks: tasks.join(data, "rep").groupBy("task").applyInArrow(kernel, "a long, b long")
-    small = run(_within(members.join(sizes.where(F.col("n") <= block), "group"), total, block))
-    if most <= block:
+    small = run(_within(members.join(sizes.where(F.col("n") <= few * block), "group"), total, block, few))
+    if most <= few * block:
         return small
-    large = cut(members.join(sizes.where(F.col("n") > block), "group"))
-    edges, left, before = cut(run(_within(large, total, block))), None, None
+    small, large = cut(small), cut(members.join(sizes.where(F.col("n") > few * block), "group"))
+    edges, left, before = cut(run(_within(large, total, block, few))), None, None
     while True:
         named = large.join(components(edges).withColumnRenamed("id", "rep"), "rep", "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
         counts = named.groupBy("group").agg(F.countDistinct("component").alias("n")).where("n > 1")
@@ -311,11 +317,12 @@ def _searched(members: DataFrame, data: DataFrame, kernel, block: int) -> DataFr
         if not now or (before is not None and 2 * now > before):
             break
         before = now
-        edges = cut(edges.unionByName(run(_within(firsts.select("group", "rep", "n"), now, block))))
-    return small.unionByName(edges).unionByName(run(_across(left.drop("n"), block))) if now else small.unionByName(edges)
+        edges = cut(edges.unionByName(run(_within(firsts.select("group", "rep", "n"), now, block, few))))
+    edges = small.unionByName(edges)
+    return edges.unionByName(cut(run(_across(left.drop("n"), block)))) if now else edges
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least percent % Jaccard similarity), kept."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     desc = cut(texts.mapInArrow(_describe, "doc_id long, n_shingles long, k1 long, k2 long, registers binary"))
@@ -327,10 +334,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = BLOCK, buck
     bands = firsts.select("rep", "registers").mapInArrow(_bands, "band long, rep long")
     full = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(bands.join(full, "band").select(F.col("band").alias("group"), "rep"))
-    near = _searched(met, firsts, _estimator(percent), bucket)
+    near = _searched(met, firsts, _estimator(percent), bucket, few)
     # groups of candidates, and the links in them
     groups = components(near).select(F.col("component").alias("group"), F.col("id").alias("rep"))
-    found = _searched(groups, texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text"), _linker(percent), block)
+    found = _searched(groups, texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text"), _linker(percent), block, few)
     linked = components(found)
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = desc.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left")

@@ -79,7 +79,7 @@ def components(sets, percent=75):
     return {k: root(k) for k in ids}
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block": 24, "bucket": 1000}])
+@pytest.mark.parametrize("blocks", [{}, {"block": 24, "bucket": 16}, {"block": 24, "bucket": 1000, "few": 1}])
 def test_near_duplicates(docs, texts, blocks):
     sets = {r[0]: shingles(r[1]) for r in texts}
     want = components(sets)
