@@ -125,7 +125,7 @@ def time_range(text: Column) -> Column:
             t.rlike(r"(?i)noon|midnight").alias("word"),
         ),
     )
-    sized = F.transform(plain, lambda x, i: F.struct(x["m"].alias("m"), x["word"].alias("word"), F.coalesce(x["half"], F.try_element_at(F.filter(F.slice(plain, i + 1, F.lit(1000)), lambda y: y["half"].isNotNull()), F.lit(1))["half"]).alias("half")))
+    sized = F.transform(plain, lambda x, i: F.struct(x["m"].alias("m"), x["word"].alias("word"), F.coalesce(x["half"], F.try_element_at(F.filter(F.slice(plain, i + 1, F.size(plain)), lambda y: y["half"].isNotNull()), F.lit(1))["half"]).alias("half")))
     whole = F.transform(F.filter(sized, lambda x: x["half"].isNotNull()), lambda x: x["m"] + F.when(x["word"], 0).otherwise(x["half"]))
     return F.struct(F.try_element_at(whole, F.lit(1)).alias("start"), F.try_element_at(whole, F.lit(2)).alias("end"))
 
@@ -148,19 +148,6 @@ def nth_weekday(month: Column, day: str, n: int) -> Column:
     return F.when(F.trunc(d, "MM") == F.trunc(month, "MM"), d)
 
 
-def weekly(start: Column, until: Column, day: str, interval: int = 1, count: int | None = None) -> Column:
-    """Every interval-th week's day from start to until; count holds for each weekday of a rule by itself."""
-    first = F.next_day(F.date_sub(start, 1), day)
-    days = F.when(first <= until, F.filter(F.sequence(first, until), lambda d: F.datediff(d, first) % (7 * interval) == 0)).otherwise(F.array().cast("array<date>"))
-    return F.slice(days, 1, count) if count else days
-
-
-def monthly(start: Column, until: Column, day: str, n: int, interval: int = 1, count: int | None = None) -> Column:
-    months = F.filter(F.sequence(F.trunc(start, "MM"), F.trunc(until, "MM"), F.expr("interval 1 month")), lambda m: F.months_between(m, F.trunc(start, "MM")).cast("int") % interval == 0)
-    days = F.filter(F.transform(months, lambda m: nth_weekday(m, day, n)), lambda d: d.isNotNull() & d.between(start, until))
-    return F.slice(days, 1, count) if count else days
-
-
 def all_day_last(start: Column, end: Column) -> Column:
     """Last day of an all-day span whose end is exclusive; null for a single day."""
     d = F.date_sub(end, 1)

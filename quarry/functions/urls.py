@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.quality import first_reason
 from .text import present
 
 #: Link classes, best first.
-CLASSES = ("specific", "shared_generic", "homepage", "feed_export", "relative", "malformed", "missing")
-_EXPORT = r"(?i)icalendar\.aspx|/icalendar/|\.ics([?#]|$)|[?&](format|output)=(ical|ics|rss|xml|json)\b|/(feed|rss)/?([?#]|$)|/wp-json/"
+CLASSES = ("specific", "shared_generic", "homepage", "wrong_event", "feed_export", "relative", "malformed", "missing")
+#: Paths and parameters of feeds and exports, and pages that many events share.
+EXPORT_PARTS = ("/common/modules/icalendar/", "icalendar.aspx", "/wp-json/", "/calendar/ical/")
+EXPORT_ENDS = (".ics", "/ics", "/feed", "/rss")
+EXPORT_FORMATS = ("ical", "ics", "rss", "xml", "json")
+HOME_PATHS = r"(?i)^/?(?:index\.(?:html?|php|aspx?)|home/?|en/?)?$"
+
+
+def is_export(path_: Column, query_: Column) -> Column:
+    """A calendar's feed or export by its path or by a format parameter."""
+    p = F.lower(F.rtrim(path_, F.lit("/")))
+    inside = reduce(lambda a, b: a | b, [F.contains(F.lower(path_), F.lit(x)) for x in EXPORT_PARTS])
+    ends = reduce(lambda a, b: a | b, [F.endswith(p, F.lit(x)) for x in EXPORT_ENDS])
+    asked = F.exists(F.split(F.lower(query_), "&"), lambda x: F.split_part(x, F.lit("="), F.lit(1)).isin("format", "output") & F.split_part(x, F.lit("="), F.lit(2)).isin(*EXPORT_FORMATS))
+    return inside | ends | asked
 
 
 def host(url: Column) -> Column:
@@ -24,16 +40,17 @@ def query(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
 
 
-def link_class(url: Column, shared: Column | None = None) -> Column:
-    """The class of a link; shared marks links that many different titles carry."""
+def link_class(url: Column, shared: Column | None = None, own_id: Column | None = None, generic: tuple[str, ...] = ()) -> Column:
+    """The class of a link; shared marks links that many different titles carry, own_id is the row's id at the link's site, generic has further pages of many events."""
     u = F.coalesce(present(url), F.lit(""))
-    scheme = u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    return (
-        F.when(u == "", "missing").when(u.rlike(r"\s"), "malformed").when(~scheme, "relative").when(~u.rlike("(?i)^https?://"), "malformed")
-        .when(~F.contains(host(u), F.lit(".")), "malformed").when(F.concat(path(u), F.lit("?"), query(u)).rlike(_EXPORT), "feed_export")
-        .when(F.coalesce(shared, F.lit(False)) if shared is not None else F.lit(False), "shared_generic")
-        .when(path(u).rlike(r"^/?(index\.\w+)?$") & (query(u) == ""), "homepage").otherwise("specific")
-    )
+    no, page = F.lit(False), F.lower(F.rtrim(F.regexp_replace(u, "(?i)^https?://(www[.])?", ""), F.lit("/")))
+    linked = F.regexp_extract(u, r"(?i)/events/(\d+|[0-9a-f-]{36})(?:[/?#]|$)", 1)
+    other = (linked != "") & own_id.isNotNull() & (F.lower(linked) != F.lower(own_id)) if own_id is not None else no
+    http = u.rlike("(?i)^https?://")
+    return first_reason([
+        ("missing", u == ""), ("malformed", u.rlike(r"\s")), ("relative", ~u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")), ("malformed", ~http | ~F.contains(host(u), F.lit("."))), ("feed_export", is_export(path(u), query(u))), ("wrong_event", other),
+        ("shared_generic", (shared if shared is not None else no) | (page.isin(*generic) if generic else no)), ("homepage", path(u).rlike(HOME_PATHS) & (query(u) == "")),
+    ], "specific")
 
 
 def image_url(url: Column) -> Column:
@@ -51,8 +68,3 @@ def resolve(url: Column, base: Column) -> Column:
         F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(F.startswith(u, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), u))
         .when(F.startswith(u, F.lit("/")), F.concat(origin, u)).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), u))
     )
-
-
-def status_class(status: Column) -> Column:
-    """Class of an HTTP status met by a link check."""
-    return F.when(status.between(200, 399), "ok").when(status.isin(404, 410), "dead").when(status.isin(401, 403, 405, 429), "blocked").when(status >= 500, "error").otherwise("unknown")

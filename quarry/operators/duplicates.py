@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.text import containment, squish, tokens
+from ..functions.text import squish, tokens
 
 
 def start_time(time: Column) -> Column:
@@ -117,16 +117,20 @@ def plan(rows: DataFrame, order: list[Column]) -> DataFrame:
 def contained_pairs(docs: DataFrame, by: list[str], id_: str, text: str, least: int = 20, share: float = 0.85) -> DataFrame:
     """Pairs in one bucket whose smaller token set is nearly contained in the other's.
 
-    An inverted join on tokens yields the shared counts; pairs come only from tokens they share, a token in over `common` rows of a
-    bucket can't be the only one shared by sets of that size and is counted after the pair is known.
+    A set that has at least `share` of its words in a larger one has one of its rarest (1 - share) * size + 1 there: only these are
+    joined with the words of sets that are no smaller. Words are counted before they are joined back, so a word that all rows have is
+    counted in every task; only ids and words travel, the sets of a pair come last.
     """
-    t = docs.select(*by, F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).where(F.size("t") >= least)
-    one = t.select(*by, "id", F.explode("t").alias("w"))
-    rare = one.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "w")))
-    # a set that shares at least `share` of its words shares one of its rarest (1 - share) * size + 1
-    r = rare.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "id").orderBy("_n", "w"))).join(t.select(*by, "id", F.size("t").alias("size")), [*by, "id"])
-    prefix = r.where(F.col("_r") <= F.floor((1 - share) * F.col("size")) + 1).select(*by, "w", "id")
-    pairs = prefix.select(*by, "w", F.col("id").alias("x")).join(one.select(*by, "w", F.col("id").alias("y")), [*by, "w"]).where("x <> y").select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    t = docs.select(*by, F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).where(F.size("t") >= least).withColumn("size", F.size("t"))
+    one = t.select(*by, "id", "size", F.explode("t").alias("w"))
+    counts = one.groupBy(*by, "w").agg(F.count("*").alias("n")).where("n > 1")  # a word of one set alone joins nothing
+    ranked = one.join(counts, [*by, "w"]).groupBy(*by, "id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("rare"), F.count("*").alias("met"))
+    # words of one set alone are its rarest: they use up places of the prefix
+    places = F.floor((1 - share) * F.col("size")).cast("int") + 1 - (F.col("size") - F.col("met")).cast("int")
+    prefix = ranked.where(places > 0).select(*by, F.col("id").alias("x"), F.col("size").alias("sx"), F.explode(F.slice("rare", F.lit(1), places)).alias("r")).select(*by, "x", "sx", F.col("r.w").alias("w"))
+    others = one.join(counts.select(*by, "w"), [*by, "w"], "left_semi").select(*by, "w", F.col("id").alias("y"), F.col("size").alias("sy"))
+    pairs = prefix.join(others, [*by, "w"]).where("(sx < sy or (sx = sy and x < y))").select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     a, b = t.select(*by, F.col("id").alias("a"), F.col("t").alias("ta")), t.select(*by, F.col("id").alias("b"), F.col("t").alias("tb"))
-    full = pairs.join(a, [*by, "a"]).join(b, [*by, "b"])
-    return full.where((F.size(F.array_intersect("ta", "tb")) >= least) & (containment(F.col("ta"), F.col("tb")) >= share)).select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("shared"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    full = pairs.join(a, [*by, "a"]).join(b, [*by, "b"]).select("a", "b", shared.alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("small"))
+    return full.where((F.col("shared") >= least) & (F.col("shared") >= share * F.col("small"))).select("a", "b", F.col("shared").cast("long").alias("shared"))

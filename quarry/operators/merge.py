@@ -42,10 +42,8 @@ def fill_blank(stored: Column, fresh: Column) -> Column:
 def withdraw(stored: DataFrame, produced: DataFrame, key: str, most: int = MOST_WITHDRAWN, share: float = MOST_SHARE) -> DataFrame:
     """Stored keys that are produced no more; none at all where they are too many to be plausible."""
     gone = stored.select(key).join(produced.select(key), key, "left_anti")
-    total = stored.agg(F.count("*").alias("total"))
-    n = gone.agg(F.count("*").alias("gone"))
-    ok = total.join(F.broadcast(n)).where(~((F.col("gone") > most) & (F.col("gone") > share * F.col("total")))).select(F.lit(1).alias("ok"))  # one row each
-    return gone.join(F.broadcast(ok)).select(key)
+    total, n = stored.agg(F.count("*")).scalar(), gone.agg(F.count("*")).scalar()
+    return gone.where((n <= most) | (n <= share * total))
 
 
 def preserve_range(start: Column, end: Column, old_start: Column, old_end: Column, semantics: Column, old_dates: Column, complete: Column) -> Column:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 RUN_DAYS, BASELINE_RUNS, DEVIATION, LEAST_DEVIATION = 3, 7, 0.5, 5
 
 
-def streak(df: DataFrame, by: str, newest: list[Column], holds: Column) -> DataFrame:
-    """(by, streak): rows from the newest on for which holds is true; null counts as false."""
-    w = Window.partitionBy(by).orderBy(*newest)
-    n = df.select(by, F.row_number().over(w).alias("_n"), F.coalesce(holds, F.lit(False)).alias("_ok"))
-    return n.groupBy(by).agg((F.coalesce(F.min(F.when(~F.col("_ok"), F.col("_n"))), F.max("_n") + 1) - 1).cast("long").alias("streak"))
+def streak(df: DataFrame, by: str, order: list[str], holds: Column) -> DataFrame:
+    """(by, streak): rows newer, in the order of columns, than the newest for which holds is not true; null counts as false.
+
+    Two aggregates that combine before they shuffle: a group with a third of all rows is never sorted in one task.
+    """
+    rows = df.select(by, F.struct(*order).alias("_at"), F.coalesce(holds, F.lit(False)).alias("_ok"))
+    ended = rows.groupBy(by).agg(F.max(F.when(~F.col("_ok"), F.col("_at"))).alias("_end"))
+    return rows.join(ended, by).groupBy(by).agg(F.count_if(F.col("_end").isNull() | (F.col("_at") > F.col("_end"))).alias("streak"))
 
 
 def fold_days(days: DataFrame, by: list[str], day: str, least: int = RUN_DAYS) -> DataFrame:

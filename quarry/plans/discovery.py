@@ -137,7 +137,7 @@ def where(state: State, skip: str | None = None) -> Column:
         out = out & F.coalesce(F.col("neighborhood") == state.neighborhood, F.lit(False))
     if state.radius is not None and state.origin and skip != "place":
         far = haversine(F.lit(state.origin[0]), F.lit(state.origin[1]), F.col("lat"), F.col("lng"))
-        out = out & F.coalesce(far <= min(state.radius, 2 * ORBIT), F.lit(False))
+        out = out & F.coalesce(far <= state.radius, F.lit(False))
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates as D
 from .functions import addresses, geo, text, titles, urls
+from . import cases
 from .operators import articles, duplicates, lookup, merge, quality, series
 from .plans import discovery
 from .plans.discovery import State
@@ -135,7 +136,7 @@ def place_distance(spark, d):
     return listing(spark, d).where("city is not null").select("city", F.floor(m + 0.5).cast("long").alias("miles"), (m <= 2000).alias("near")).distinct()
 
 
-@query(f"WITH {EV} SELECT id FROM ed WHERE {_when(TODAY, None, 'all')} AND {_HAV} <= 150")
+@query(f"WITH {EV} SELECT id FROM ed WHERE {_when(TODAY, None, 'all')} AND {_HAV} <= 500")
 def discover_radius(spark, d):
     return discovery.prepare(listing(spark, d)).where(discovery.predicate(State(origin=(42.0, -80.0), radius=500.0), TODAY, CLOCK)).select("id")
 
@@ -220,7 +221,7 @@ def run_folding(spark, d):
 
 @query("WITH r AS (SELECT event_type, value < 50 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, coalesce(min(CASE WHEN NOT coalesce(ok, false) THEN n END), max(n) + 1) - 1 AS streak FROM r GROUP BY 1")
 def streak_zero(spark, d):
-    return series.streak(t(spark, d, "events"), "event_type", [F.desc("ts"), F.desc("event_id")], c("value") < 50)
+    return series.streak(t(spark, d, "events"), "event_type", ["ts", "event_id"], c("value") < 50)
 
 
 @query("""WITH v AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(floor(sum(value)) AS BIGINT) AS volume FROM events GROUP BY 1, 2), b AS (SELECT *, quantile_cont(volume, 0.5) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m FROM v)
@@ -310,7 +311,7 @@ def shared_links(spark, d):
 
 
 @query("""WITH p AS (SELECT page_id, trim(coalesce(url, '')) AS u FROM pages), q AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\\?([^#]*)', 1) AS qs FROM p)
-SELECT page_id, host, CASE WHEN u = '' THEN 'missing' WHEN regexp_matches(u, '\\s') OR NOT regexp_matches(u, '(?i)^https?://') OR NOT contains(host, '.') THEN 'malformed' WHEN regexp_matches(path, '^/?(index\\.\\w+)?$') AND qs = '' THEN 'homepage' ELSE 'specific' END AS link_class FROM q""")
+SELECT page_id, host, CASE WHEN u = '' THEN 'missing' WHEN regexp_matches(u, '\\s') OR NOT regexp_matches(u, '(?i)^https?://') OR NOT contains(host, '.') THEN 'malformed' WHEN regexp_matches(path, '(?i)^/?(index\\.(html?|php|aspx?)|home/?|en/?)?$') AND qs = '' THEN 'homepage' ELSE 'specific' END AS link_class FROM q""")
 def link_class(spark, d):
     return t(spark, d, "pages").select("page_id", urls.host(c("url")).alias("host"), urls.link_class(c("url")).alias("link_class"))
 
@@ -358,15 +359,6 @@ def survivor_pick(spark, d):
     return duplicates.survivors(k, ["k"], [F.desc(c("source") == "src0"), F.desc("n_chars"), c("doc_id")]).select("doc_id", "group_size", "rank")
 
 
-@query(r"""WITH q AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS d FROM documents),
-p AS (SELECT *, list_reduce(list_prepend(0, list_transform(regexp_extract_all(d, '[()]'), lambda m: CASE WHEN m = '(' THEN 1 ELSE -1 END)), lambda a, b: greatest(0, a + b)) AS depth FROM q)
-SELECT doc_id, CASE WHEN d = '' THEN 'missing' WHEN regexp_matches(d, '(?i)^(tba|tbd|n/?a|none|no description( available)?|details? (tba|coming soon))\.?$') THEN 'placeholder' WHEN regexp_matches(d, '(?i)^https?://\S+$') THEN 'bare_url'
-WHEN regexp_matches(d, '(?i)^\d{1,2}(:\d{2})?\s*[ap]m(\s*(-|to)\s*\d{1,2}(:\d{2})?\s*[ap]m)?$') THEN 'time_only'
-WHEN depth > 0 OR regexp_matches(d, '(?i)([(,;:&–-]|\b(and|or|with|featuring|feat\.?|plus|the|a|an|of|at|in|on|by|from|to))\s*$') THEN 'truncated' WHEN NOT regexp_matches(lower(d), '[a-z0-9]') THEN 'restates_title' ELSE 'ok' END AS quality FROM p""")
-def description_quality(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.description_quality(c("text"), F.lit("")).alias("quality"))
-
-
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, unnest(list_filter([CASE WHEN l_quantity > 45 THEN 'large' END, CASE WHEN l_discount > 0.09 THEN 'discount' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL)) AS code FROM lineitem)
 SELECT code, count(*) AS n, CASE code WHEN 'large' THEN 'advisory' WHEN 'discount' THEN 'needs_decision' ELSE 'blocked' END AS state FROM f GROUP BY 1""")
 def integrity_summary(spark, d):
@@ -583,3 +575,7 @@ def article_match(spark, d):
     a = t(spark, d, "documents").select(c("doc_id").alias("article_id"), "text", F.date_add(first, (c("doc_id") % 60).cast("int")).alias("published"))
     e = t(spark, d, "benchmark").select(c("item_id").alias("event_id"), c("text").alias("title"), F.array_join(F.slice(F.split(text.plain(c("text")), " "), 1, 2), " ").alias("venue"), F.date_add(first, (c("item_id") % 60).cast("int")).alias("start_date"))
     return articles.match(a, e, TODAY)
+
+
+QUERIES |= cases.QUERIES
+ORACLE |= cases.ORACLE

@@ -70,7 +70,8 @@ def expand(events: DataFrame, until: Column) -> DataFrame:
     week = e.where(r["freq"] == "WEEKLY").withColumn("_d", F.explode(F.coalesce(r["byday"], own)))
     first = F.date_add("start_date", (F.element_at(names, F.substring(F.col("_d"), -2, 2)) - F.dayofweek("start_date") + 7) % 7)
     days = F.when(first <= F.col("_to"), F.filter(F.sequence(first, F.col("_to")), lambda d: F.datediff(d, first) % (7 * r["interval"]) == 0)).otherwise(F.array().cast("array<date>"))
-    week = week.withColumn("_days", F.slice(days, F.lit(1), F.coalesce(r["count"], F.lit(1000))))
+    first_of = lambda d: F.when(r["count"].isNull(), d).otherwise(F.slice(d, F.lit(1), r["count"]))
+    week = week.withColumn("_days", first_of(days))
     code = F.element_at(r["byday"], 1)
     nth, dow = F.coalesce(F.nullif(F.regexp_extract(code, r"^(-?\d+)", 1), F.lit("")).try_cast("int"), F.lit(-1)), F.element_at(names, F.substring(code, -2, 2))
 
@@ -82,7 +83,7 @@ def expand(events: DataFrame, until: Column) -> DataFrame:
 
     begin = F.trunc("start_date", "MM")
     months = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.months_between(F.trunc("_to", "MM"), begin).cast("int"))), lambda k: F.struct(k.alias("k"), F.add_months(begin, k).alias("m"))), lambda x: x["k"] % r["interval"] == 0)
-    month = e.where((r["freq"] == "MONTHLY") & (F.size(r["byday"]) == 1)).withColumn("_d", F.lit(None).cast("string")).withColumn("_days", F.slice(F.filter(F.transform(months, lambda x: nth_day(x["m"])), lambda d: d.between(F.col("start_date"), F.col("_to"))), F.lit(1), F.coalesce(r["count"], F.lit(1000))))
+    month = e.where((r["freq"] == "MONTHLY") & (F.size(r["byday"]) == 1)).withColumn("_d", F.lit(None).cast("string")).withColumn("_days", first_of(F.filter(F.transform(months, lambda x: nth_day(x["m"])), lambda d: d.between(F.col("start_date"), F.col("_to")))))
     once = e.where("rrule is null").withColumn("_d", F.lit(None).cast("string")).withColumn("_days", F.array("start_date"))
     out = week.unionByName(month).unionByName(once).withColumn("day", F.explode("_days"))
     over = events.where("recurrence_date is not null").select("uid", F.col("recurrence_date").alias("day")).distinct()

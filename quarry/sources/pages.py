@@ -63,10 +63,15 @@ def grouped_instances(listing: DataFrame, key: str, instances: str) -> DataFrame
     return listing.groupBy(key).agg(*(F.first(c, True).alias(c) for c in cols), F.array_sort(F.array_distinct(F.flatten(F.collect_list(instances)))).alias(instances))
 
 
-def sitemap(static: list[str], *dynamic: DataFrame, most: int = 50_000) -> DataFrame:
-    """(loc) lines of a sitemap: static addresses first, at most `most`."""
+def sitemap(static: list[str], *dynamic: DataFrame) -> DataFrame:
+    """(loc) lines of a sitemap, each once: static addresses first."""
     spark = dynamic[0].sparkSession
     out = spark.createDataFrame([(0, s) for s in static], "kind int, loc string")
     for k, d in enumerate(dynamic, 1):
         out = out.unionByName(d.select(F.lit(k).alias("kind"), F.col("loc")))
-    return out.distinct().orderBy("kind", "loc").limit(most).select("loc")
+    return out.groupBy("loc").agg(F.min("kind").alias("kind")).orderBy("kind", "loc").select("loc")
+
+
+def write_sitemap(lines: DataFrame, path: str, most: int = 50_000) -> None:
+    """Text files of at most `most` addresses each, as many as it takes."""
+    lines.write.option("maxRecordsPerFile", most).text(path)

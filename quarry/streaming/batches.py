@@ -44,10 +44,15 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return q
 
 
-def close_stalled(runs: DataFrame, now, minutes: int = 10) -> DataFrame:
-    """Runs still open after `minutes` become abandoned."""
-    stale = (F.col("outcome") == "started") & F.col("finished_at").isNull() & (F.col("started_at") < F.lit(now) - F.make_dt_interval(mins=F.lit(minutes)))
-    return runs.withColumn("outcome", F.when(F.coalesce(stale, F.lit(False)), "abandoned").otherwise(F.col("outcome")))
+def close_stalled(runs: DataFrame, now, minutes: int = 10, slug: str | None = None) -> DataFrame:
+    """Runs (of one source) still open after `minutes` have failed now, and say since when they were open."""
+    at = F.lit(now).cast("timestamp")
+    stale = (F.col("outcome") == "started") & F.col("finished_at").isNull() & (F.col("started_at") < at - F.make_dt_interval(mins=F.lit(minutes)))
+    stale = F.coalesce(stale & (F.col("source_slug") == slug), F.lit(False)) if slug else F.coalesce(stale, F.lit(False))
+    said = F.concat(F.lit("Abandoned: started "), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(", never finished (probable function time limit). Closed by a later run."))
+    sample = F.col("error_sample") if "error_sample" in runs.columns else F.lit(None).cast("string")
+    changed = {"outcome": F.when(stale, "failed").otherwise(F.col("outcome")), "finished_at": F.when(stale, at).otherwise(F.col("finished_at")), "error_sample": F.when(stale, said).otherwise(sample)}
+    return runs.withColumns(changed)
 
 
 def retain(df: DataFrame, ts: str, cutoff) -> DataFrame:
