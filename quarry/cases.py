@@ -401,3 +401,115 @@ cases(
     [("Short  text.", "Short text."), ("A" * 60 + ". " + "b" * 500, "A" * 60 + "."), ("A. " + "b" * 500, "A. " + "b" * 397 + "…"), (None, None)],
     lambda: {"t": N.sentence_trim(c("t"))},
 )
+
+from .operators import repair as R  # noqa: E402
+from .operators import venues as V  # noqa: E402
+
+
+def frames(name: str, inputs: str, kinds: dict[str, str], rows: list[tuple], apply: Callable[[SparkSession, DataFrame], DataFrame]) -> None:
+    """The same for an operator on tables: apply gets the orders as o_orderkey and the inputs, and returns o_orderkey and the outputs."""
+    cases(name, inputs, kinds, rows, dict)
+    table = QUERIES[name]
+    width = len(rows[0]) - len(kinds)
+
+    def run(spark, d):
+        given = spark.createDataFrame([(i, *r[:width]) for i, r in enumerate(rows)], f"case_ int, {inputs}")
+        orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.pmod("o_orderkey", F.lit(len(rows))).cast("int").alias("case_"))
+        return apply(spark, orders.join(F.broadcast(given), "case_").drop("case_")).select("o_orderkey", *kinds)
+
+    run.__name__ = table.__name__
+    QUERIES[name] = run
+
+
+_PLACES = [("Detroit", "Michigan", 42.33, -83.05, None), ("Troy", "Michigan", 42.6, -83.1, None), ("Grosse Pointe", "Michigan", 42.4, -82.9, None), ("Kingsville", "Ontario", 42.0, -82.7, None), ("Canton Township", "Michigan", 42.3, -83.5, None)]
+_SECOND = [("Troy", "Ohio", 1.0, 1.0, None), ("Monroe", "Michigan", 41.9, -83.4, ["city feed"])]
+frames(
+    "city_located", "city string, source string, venue string", {"place_status": S, "place_reason": S, "place_key": S, "assumed": B, "lat": D},
+    [
+        (None, None, None, "placed", None, "detroit", True, 42.33), ("Troy", None, None, "placed", None, "troy", False, 42.6), ("  troy, MI 48084", None, None, "placed", None, "troy", False, 42.6), ("Troy, OH", None, None, "unplaced", "not-in-table", None, False, None), ("Grosse Pointe Park", None, None, "placed", None, "grosse pointe", False, 42.4),
+        ("Ontario", None, "Town of Kingsville", "placed", None, "kingsville", False, 42.0), ("Ontario", None, "Hall", "unplaced", "not-in-table", None, False, None), ("Charter Twp of Canton", None, None, "placed", None, "canton township", False, 42.3), ("Charter Township of Canton", None, None, "placed", None, "canton township", False, 42.3),
+        ("Canton Twp.", None, None, "placed", None, "canton township", False, 42.3), ("Monroe", "City Feed", None, "placed", None, "monroe", False, 41.9), ("Monroe", "Blog", None, "unplaced", "source-not-evidence", None, False, None), ("Monroe, MI", "Blog", None, "placed", None, "monroe", False, 41.9), ("Atlantis", None, None, "unplaced", "not-in-table", None, False, None),
+    ],
+    lambda spark, df: V.locate(df, V.city_lookup(*(spark.createDataFrame(x, "name string, region string, lat double, lng double, sources array<string>") for x in (_PLACES, _SECOND)))),
+)
+cases(
+    "city_compared", "a string, b string", {"key": S, "differ": B},
+    [
+        ("Mt. Clemens, MI 48043", "Mount Clemens", "mount clemens", False), ("Charter Township of Canton", "Canton Twp", "canton", False), ("City of Troy", "Troy, Michigan, USA", "troy", False), ("Novi", "Troy", "novi", True), (None, "Troy", "", False), ("Sterling Hts", "Sterling Heights", "sterling heights", False), ("MI", "Troy", "mi", True),
+        ("Isle of Palms", "Palms", "isle of palms", True),
+    ],
+    lambda: {"key": V.compare_city(c("a")), "differ": V.cities_differ(c("a"), c("b"))},
+)
+cases(
+    "eligible_place", "status string, reason string, border double, miles double", {"why": S},
+    [("placed", None, 10.0, 3.0, None), ("unplaced", "not-in-table", None, None, "not-in-table"), ("placed", None, 80.0, 3.0, "outside-orbit"), ("placed", None, 10.0, 30.0, "too-far")],
+    lambda: {"why": V.eligible(c("status"), c("reason"), c("border"), c("miles"), 25.0)},
+)
+_VENUES = [(1, "The Majestic", "4140 Woodward Ave", "Detroit"), (2, "Hall", "1 Main St", "Troy"), (3, "Hall", "2 Main St", "Novi"), (4, "Bob’s Bar", None, "Troy"), (5, "Annex", "9 Oak St", "Troy"), (6, "Loft", "9 Oak St", "Troy"), (7, "Garden", "5 Elm St", "Novi")]
+_KNOWN = [(1, True, "a"), (7, False, "a"), (7, False, "b"), (4, False, "a")]
+frames(
+    "venue_resolved", "venue_id long, name string, address string, city string, note string, source string", {"status": S, "reason": S, "venue": I, "tier": S},
+    [
+        (None, "The Majestic", None, None, "OWNER-CORRECTION x", None, "preserved", "OWNER_LOCKED", None, None), (None, "The Majestic", None, None, None, "Manual", "preserved", "OWNER_LOCKED", None, None), (None, "Online", None, None, None, None, "preserved", "ONLINE", None, None),
+        (None, "Taco Food Truck", None, None, None, None, "preserved", "MOBILE", None, None), (None, "Multiple venues", None, None, None, None, "preserved", "MULTISITE", None, None), (None, "TBA", None, None, None, None, "preserved", "TBA", None, None), (99, "The Majestic", None, None, None, None, "conflict", "IDENTITY_CONFLICT", None, None),
+        (2, "The Majestic", None, None, None, None, "conflict", "IDENTITY_CONFLICT", None, None), (2, "HALL", None, None, None, None, "verified", "VERIFIED_LINKED", 2, "linked"), (None, "the  majestic", None, "Detroit, MI", None, None, "verified", "VERIFIED_NAME", 1, "name"), (None, "Hall", None, None, None, None, "ambiguous", "AMBIGUOUS_NAME", None, None),
+        (None, "Bob's Bar", None, None, None, None, "proposed", "SINGLE_SOURCE", 4, "name"), (None, "Garden", None, None, None, None, "verified", "VERIFIED_NAME", 7, "name"), (None, "Garden", None, "Troy", None, None, "conflict", "CITY_CONFLICT", None, None), (None, "Garden", "77 Elm St", "Novi", None, None, "conflict", "IDENTITY_CONFLICT", None, None),
+        (None, "Somewhere", "9 Oak St", "Troy", None, None, "ambiguous", "AMBIGUOUS_ADDRESS", None, None), (None, "Somewhere", "5 Elm St", "Novi", None, None, "verified", "VERIFIED_ADDRESS", 7, "address"), (None, "Somewhere", "8 Elm St", "Novi", None, None, "unresolved", "NO_MATCH", None, None),
+    ],
+    lambda spark, df: df.join(
+        V.resolve(df.withColumnRenamed("o_orderkey", "id"), spark.createDataFrame(_VENUES, "id long, name string, address string, city string"), spark.createDataFrame(_KNOWN, "venue_id long, canonical boolean, source string")).select(
+            F.col("id").alias("o_orderkey"), "status", "reason", F.col("venue_id").cast("int").alias("venue"), "tier"), "o_orderkey"),
+)
+_LEARNED = [("the majestic", "canonical", "4140 Woodward Ave", "Detroit"), ("hall", "ambiguous", None, None), ("bob's bar", "single_source", "3 Oak St", "Troy"), ("garden", "conflict", None, None), ("loft", "learned", "9 Oak St", "Troy")]
+frames(
+    "gap_fill", "name string, address string, city string", {"action": S, "new_address": S, "new_city": S},
+    [
+        ("The Majestic", None, None, "fill", "4140 Woodward Ave", "Detroit"), ("Loft", None, "Troy, MI", "fill", "9 Oak St", None), ("Loft", None, "Novi", "conflict", None, None), ("Hall", None, None, "excluded", None, None), ("Bob’s Bar", None, None, "confirm", None, None), ("Garden", None, "Troy", "conflict", None, None),
+        ("Nowhere", None, None, "unknown", None, None), ("Loft", "10 Oak St", None, "conflict", None, None), ("Loft", "9 Oak St", " ", "fill", None, "Troy"),
+    ],
+    lambda spark, df: V.fill_gaps(df.withColumnRenamed("o_orderkey", "id"), spark.createDataFrame(_LEARNED, "name_key string, status string, address string, city string")).select(F.col("id").alias("o_orderkey"), "action", F.col("address").alias("new_address"), F.col("city").alias("new_city")),
+)
+cases(
+    "loose_title", "a string, b string", {"same": B},
+    [("The Big Show!", "the big show", True), ("Big Show", "The Big Show 2026", True), ("Show", "Concert", False), (None, "x", False), ("", "", False)],
+    lambda: {"same": R.loose_title(c("a"), c("b"))},
+)
+cases(
+    "canonical_listing", "u string", {"url": S},
+    [("/event/Big-Show/123/", "https://visit.org/event/big-show/123/"), ("https://visit.org/event/big-show/123?x=1", "https://visit.org/event/big-show/123/"), ("/events/123", None), (None, None)],
+    lambda: {"url": R.canonical_listing(c("u"), "https://visit.org", "event")},
+)
+cases(
+    "organizer_links", "title string, organizer string", {"url": S},
+    [("Shake Some Action WFMU live", None, "https://x.org/1"), ("Party", "@shakesomeactionwfmu", "https://x.org/1"), ("Jazz at Bob's", None, "https://x.org/2"), ("Other", None, None)],
+    lambda: {"url": R.by_pattern(F.concat_ws(" ", "title", "organizer"), [(r"(?i)shake\s+some\s+action\s+wfmu|@?shakesomeactionwfmu", "https://x.org/1"), ("(?i)jazz", "https://x.org/2")])},
+)
+cases(
+    "calendar_page", "host string, source string, page string, feed boolean", {"url": S},
+    [
+        ("redfordtwp.gov", "x", None, True, "https://www.redfordtwp.gov/calendar.aspx"), ("redfordtwp.gov", "x", None, False, None), ("a.org", "HALO Detroit", None, False, "https://www.thehalodetroit.com/currentevents"), ("a.org", "x", "https://a.org/events/", True, "https://a.org/events/"), ("a.org", "x", "https://a.org/news", True, None),
+        ("a.org", "x", "https://a.org/Calendar.aspx?m=1", True, "https://a.org/Calendar.aspx?m=1"),
+    ],
+    lambda: {"url": R.calendar_page(c("host"), c("source"), c("page"), c("feed"), {"redfordtwp.gov": "https://www.redfordtwp.gov/calendar.aspx"}, {"HALO Detroit": "https://www.thehalodetroit.com/currentevents"})},
+)
+cases(
+    "description_tiers", "own string, page string, made string", {"value": S, "tier": S},
+    [("A text", "B", "C", "A text", "stored"), (" ", "B ", "C", "B", "page"), (None, None, "C", "C", "generated"), (None, "", None, None, None)],
+    lambda: {"value": (x := R.precedence(("stored", c("own")), ("page", c("page")), ("generated", c("made"))))["value"], "tier": x["tier"]},
+)
+_EDIT = 'note\nOWNER-CORRECTION 2026-01-02 e1 fields=title,city | {"actor":"a","changes":[{"f":"title","b":"x","a":"y"},{"f":"city","b":null,"a":"Troy"}]}\nOWNER-CORRECTION 2026-01-03 e2 fields=city | broken'
+cases(
+    "owner_corrections", "note string", {"fields": S, "edits": S},
+    [(_EDIT, "city|title", "e1 title x y|e1 city - Troy"), ("nothing", "", ""), (None, "", "")],
+    lambda: {"fields": F.array_join(R.owner_fields(c("note")), "|"), "edits": F.array_join(F.transform(R.owner_edits(c("note")), lambda e: F.concat_ws(" ", e["edit_id"], e["field"], F.coalesce(e["before"], F.lit("-")), e["after"])), "|")},
+)
+cases(
+    "note_values", "note string", {"values": S, "line": S},
+    [("ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13", "ra_id=12|url=https://a.b/?x=1", "ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13\nnew"), ("", "", "new"), (None, "", "new"), ("a  ", "", "a\nnew")],
+    lambda: {"values": F.array_join(F.transform(F.map_entries(R.note_values(c("note"))), lambda e: F.concat_ws("=", e["key"], e["value"])), "|"), "line": R.note_line(c("note"), F.lit("new"))},
+)
+cases(
+    "capped_json", "t string", {"t": S},
+    [('{"a":1}', '{"a":1}'), ('{"a":1,"sample":["xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"]}', '{"a":1}'), ('{"a":"' + "y" * 60 + '"}', None), (None, None)],
+    lambda: {"t": R.capped_json(c("t"), 40)},
+)
