@@ -513,3 +513,47 @@ cases(
     [('{"a":1}', '{"a":1}'), ('{"a":1,"sample":["xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx"]}', '{"a":1}'), ('{"a":"' + "y" * 60 + '"}', None), (None, None)],
     lambda: {"t": R.capped_json(c("t"), 40)},
 )
+
+from .functions import describe as P  # noqa: E402
+from .operators import areas as A  # noqa: E402
+
+cases(
+    "factual_description", "title string, venue string, day date, time string, whole boolean, free boolean, price double, said string", {"made": S, "only": B},
+    [
+        ("Jazz", "Hall", date(1997, 6, 5), "7 PM – 11:59 PM", False, False, 12.5, "Jazz takes place at Hall on June 5 at 7 PM.", "Jazz takes place at Hall on June 5 at 7 PM. Tickets from $12.5.", True),
+        ("Jazz", "Venue TBA", date(1997, 6, 5), "7 PM", True, True, None, "Jazz takes place on June 5. Free admission.", "Jazz takes place on June 5. Free admission.", True), ("Jazz", None, None, None, False, False, None, "Jazz", None, False), (" ", "Hall", None, None, False, False, None, None, None, False),
+        ("Jazz", "Hall", None, None, None, None, 10.0, "Jazz takes place at Hall. It is good.", "Jazz takes place at Hall. Tickets from $10.", False),
+    ],
+    lambda: {"made": P.factual(*(c(x) for x in ("title", "venue", "day", "time", "whole", "free", "price"))), "only": P.is_factual(c("said"), *(c(x) for x in ("title", "venue", "day", "time", "whole", "free", "price")))},
+)
+cases(
+    "description_blocks", "t string", {"blocks": S},
+    [("One\ntwo\n\n- a\n- b\nthree", "p:One/two|ul:a/b|p:three"), ("  \n\nx  \n\n\ny", "p:x|p:y"), ("1. a\n2) b", "ul:a/b"), (None, "")],
+    lambda: {"blocks": F.array_join(F.transform(P.blocks(c("t")), lambda b: F.concat(b["kind"], F.lit(":"), F.array_join(b["lines"], "/"))), "|")},
+)
+cases(
+    "covers_event", "title string, excerpt string", {"may": B},
+    [("Jazz festival returns", None, True), ("Council votes", "On the budget", False), ("Opinion: the festival", None, False), ("A night out", "Tickets: $5, ticket office", True), (None, None, False)],
+    lambda: {"may": P.covers_event(c("title"), c("excerpt"), ("opinion:",))},
+)
+cases(
+    "city_in_address", "t string", {"street": S, "city": S, "state": S, "zip": S},
+    [
+        ("123 Main St Troy, MI 48084", "123 Main St", "Troy", "MI", "48084"), ("5 Oak Ave, Grosse Pointe Park Michigan", "5 Oak Ave", "Grosse Pointe Park", "MI", None), ("Main St Troy, MI", None, None, None, None), ("1 Elm St, Toledo, Ohio 43604-1234", "1 Elm St", "Toledo", "OH", "43604"), ("1 Elm St Toledo", None, None, None, None), (None, None, None, None, None),
+        ("12 Troy, MI", None, None, None, None),
+    ],
+    lambda: {"street": (x := P.city_in_address(c("t"), {"MI": ("Troy", "Pointe Park", "Grosse Pointe Park"), "OH": ("Toledo",)}))["street"], "city": x["city"], "state": x["state"], "zip": P.zip_code(c("t"))},
+)
+cases(
+    "feed_city", "city string, towns array<string>, tier string, place boolean, inside boolean", {"status": S, "evidence": S},
+    [
+        ("Troy", ["Troy", "Clawson"], "strong", False, None, "stored", "municipality"), ("Canton Twp", ["Canton Township"], "weak", False, None, "stored_compatible", "census_supported"), ("Place", ["Place"], "strong", True, None, "stored_compatible", "cdp_compatible"), ("Novi", ["Troy"], None, False, None, "stored_unverified", "none"),
+        ("Detroit", ["Redford"], None, False, False, "needs_follow_up", "none"), ("Detroit", None, None, False, True, "stored", "boundary"), ("Detroit", ["Redford"], None, False, None, "needs_follow_up", "none"), ("Troy", None, None, False, None, "stored_unverified", "none"), (" ", ["Troy"], None, False, None, "no_city", "none"),
+    ],
+    lambda: {"status": (x := P.feed_city(c("city"), c("towns"), c("tier"), c("place"), c("inside")))["status"], "evidence": x["evidence"]},
+)
+cases(
+    "geocode_answer", "found array<struct<lat:double,lng:double,state:string>>", {"status": S, "lat": D},
+    [([(42.0, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.0005, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.5, -83.0, "MI")], "ambiguous", None), ([(42.0, -83.0, "OH")], "other_state", None), ([], "no_match", None), (None, "no_match", None)],
+    lambda: {"status": (x := A.geocode_answer(c("found"), F.lit("MI")))["status"], "lat": x["lat"]},
+)

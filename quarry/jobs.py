@@ -336,3 +336,105 @@ def admin_search(spark, d):
 @query("SELECT n_name, CAST(row_number() OVER (ORDER BY n_name <> 'NATION_7', n_name) AS INT) AS place FROM nation")
 def pinned_directory(spark, d):
     return paging.pinned_first(t(spark, d, "nation").select("n_name"), "n_name", "NATION_7")
+
+
+from .operators import areas  # noqa: E402
+from .sources import apis  # noqa: E402
+from .streaming import runs as R  # noqa: E402
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, -83.5 + (c_custkey % 50) * 0.02 AS lng, 42.0 + (c_custkey % 37) * 0.02 AS lat FROM customer),
+a AS (SELECT * FROM (VALUES ('west', -83.5, 42.0, -83.1, 42.5), ('east', -83.1, 42.0, -82.6, 42.8)) v(name, w, s, e, n))
+SELECT id, name FROM p JOIN a ON lng >= w - 1e-9 AND lng < e - 1e-9 AND lat >= s - 1e-9 AND lat < n - 1e-9 WHERE NOT (name = 'west' AND lng >= -83.41 AND lng < -83.31 AND lat >= 42.11 AND lat < 42.21)""")
+def polygon_areas(spark, d):
+    box = lambda w, s, e, n: f"[[{w},{s}],[{e},{s}],[{e},{n}],[{w},{n}],[{w},{s}]]"
+    west = f'{{"properties":{{"name":"west"}},"geometry":{{"type":"Polygon","coordinates":[{box(-83.505, 41.995, -83.105, 42.495)},{box(-83.41, 42.11, -83.31, 42.21)}]}}}}'
+    east = f'{{"properties":{{"name":"east"}},"geometry":{{"type":"MultiPolygon","coordinates":[[{box(-83.105, 41.995, -82.805, 42.795)}],[{box(-82.805, 41.995, -82.605, 42.795)}]]}}}}'
+    shapes = apis.polygons(spark.createDataFrame([(f'{{"features":[{west},{east}]}}',)], "json string"), "json", "name")
+    k = c("c_custkey")
+    points = t(spark, d, "customer").select(k.alias("id"), (F.lit(-83.5) + (k % 50) * 0.02).alias("lng"), (F.lit(42.0) + (k % 37) * 0.02).alias("lat"))
+    return areas.within(points, shapes).select("id", "name")
+
+
+@query("""SELECT 'tm-' || o_orderkey AS external_id, 'Show ' || o_custkey AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, '7:30 PM' AS time, CASE o_orderkey % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'comedy' ELSE 'theater' END AS category, 'Hall' AS venue, 'Troy' AS city, o_totalprice AS price_from
+FROM orders WHERE o_orderkey % 4 < 3 AND o_orderstatus <> 'P'""")
+def ticket_service(spark, d):
+    k = c("o_orderkey")
+    pair = lambda s, g: F.struct(F.struct(F.lit(s).alias("name")).alias("segment"), F.struct(F.lit(g).alias("name")).alias("genre"))
+    kinds = F.array(F.when(k % 4 == 0, pair("Music", "Rock")).when(k % 4 == 1, pair("Arts & Theatre", "Comedy")).when(k % 4 == 2, pair("Arts & Theatre", "Opera")).otherwise(pair("Film", "Any")))
+    event = F.struct(
+        k.cast("string").alias("id"), F.concat(F.lit(" Show "), c("o_custkey").cast("string")).alias("name"), F.struct(F.struct(c("o_orderdate").cast("date").cast("string").alias("localDate"), F.lit("19:30:00").alias("localTime")).alias("start"), F.struct(F.when(c("o_orderstatus") == "P", "cancelled").otherwise("onsale").alias("code")).alias("status")).alias("dates"),
+        kinds.alias("classifications"), F.array(F.struct((c("o_totalprice") + 5).alias("min")), F.struct(c("o_totalprice").alias("min"))).alias("priceRanges"), F.struct(F.array(F.struct(F.lit("Hall").alias("name"), F.struct(F.lit("Troy").alias("name")).alias("city"))).alias("venues")).alias("_embedded"),
+    )
+    answers = t(spark, d, "orders").select(F.to_json(F.struct(F.struct(F.array(event).alias("events")).alias("_embedded"))).alias("json"))
+    return apis.ticket_events(answers, "json").select("external_id", "title", c("start_date").cast("string").alias("start_date"), "time", "category", "venue", "city", "price_from")
+
+
+@query("""SELECT 'show-' || o_orderkey || '-' || CAST(day AS VARCHAR) || 'T20:00' AS external_id, 'Improv' AS title, CAST(day AS VARCHAR) AS start_date, '8:00 PM' AS time, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 3 * 10.5 AS DOUBLE) END AS price_from, o_orderkey % 3 = 0 AS is_free
+FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(j * 7 AS INT) AS day FROM orders, (SELECT unnest([0, 1, 2]) AS j)) WHERE day >= DATE '1998-01-01'""")
+def show_dates(spark, d):
+    k = c("o_orderkey")
+    days = F.transform(F.array(F.lit(0), F.lit(7), F.lit(14)), lambda j: F.concat(F.date_add(c("o_orderdate").cast("date"), j).cast("string"), F.lit("T20:00:00-05:00")))
+    show = F.struct(k.cast("string").alias("id"), F.lit("Improv").alias("name"), F.concat(days, F.slice(days, 1, 1)).alias("dates"), F.array(F.struct(F.lit(0).alias("cost_after_fees")), F.struct((k % 3 * 1050).alias("cost_after_fees"))).alias("cost_tiers"))
+    return apis.show_dates(t(spark, d, "orders").select(F.to_json(F.struct(F.array(show).alias("data"))).alias("json")), "json", F.lit(date(1998, 1, 1))).select("external_id", "title", c("start_date").cast("string").alias("start_date"), "time", "price_from", "is_free")
+
+
+@query("""SELECT 'tribe-' || o_orderkey AS external_id, 'A' AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 2 AS VARCHAR) END AS end_date,
+CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN '6:00 PM' ELSE '6:00 PM – 9:15 PM' END AS time, 'w1200' AS image FROM orders""")
+def calendar_service(spark, d):
+    k, day = c("o_orderkey"), c("o_orderdate").cast("date")
+    sizes = F.create_map(F.lit("a"), F.struct(F.lit("w300").alias("url"), F.lit(300).alias("width")), F.lit("b"), F.struct(F.lit("w1200").alias("url"), F.lit(1200).alias("width")), F.lit("c"), F.struct(F.lit("w3000").alias("url"), F.lit(3000).alias("width")))
+    event = F.struct(
+        k.alias("id"), F.lit("A").alias("title"), F.concat(day.cast("string"), F.lit(" 18:00:00")).alias("start_date"), F.concat(F.when(k % 3 == 0, F.date_add(day, 2)).otherwise(day).cast("string"), F.lit(" 21:15:00")).alias("end_date"), (k % 5 == 0).alias("all_day"),
+        F.struct(F.lit("full").alias("url"), sizes.alias("sizes")).alias("image"),
+    )
+    out = apis.calendar_events(t(spark, d, "orders").select(F.to_json(F.struct(F.array(event).alias("events"))).alias("json")), "json")
+    return out.select("external_id", "title", c("start_date").cast("string").alias("start_date"), c("end_date").cast("string").alias("end_date"), "time", "image")
+
+
+@query("""SELECT 'eventbrite-' || o_orderkey AS external_id, 'Talk' AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + 1 AS VARCHAR) END AS end_date, '9:05 AM' AS time, 'https://e.org/' || o_orderkey AS url, o_orderkey % 3 = 0 AS is_free FROM orders WHERE o_orderstatus <> 'F'""")
+def organiser_service(spark, d):
+    k, day = c("o_orderkey"), c("o_orderdate").cast("date")
+    event = F.struct(
+        k.cast("string").alias("id"), F.struct(F.lit("Talk ").alias("text")).alias("name"), F.concat(F.lit("https://e.org/"), k.cast("string"), F.lit("?aff=x")).alias("url"), F.when(c("o_orderstatus") == "F", "canceled").otherwise("live").alias("status"), (k % 3 == 0).alias("is_free"),
+        F.struct(F.concat(day.cast("string"), F.lit("T09:05:00")).alias("local")).alias("start"), F.struct(F.concat(F.when(k % 2 == 0, F.date_add(day, 1)).otherwise(day).cast("string"), F.lit("T17:00:00")).alias("local")).alias("end"),
+    )
+    out = apis.organiser_events(t(spark, d, "orders").select(F.to_json(F.struct(F.array(event).alias("events"))).alias("json")), "json")
+    return out.select("external_id", "title", c("start_date").cast("string").alias("start_date"), c("end_date").cast("string").alias("end_date"), "time", "url", "is_free")
+
+
+@query("SELECT event_id AS run_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'started' END ELSE 'failed' END AS outcome, CASE WHEN event_id % 6 = 0 THEN 7 END AS written FROM events")
+def runs_finished(spark, d):
+    r = t(spark, d, "events").select(c("event_id").alias("run_id"), F.when(c("event_id") % 3 == 0, "started").otherwise("failed").alias("outcome"), F.lit(None).cast("int").alias("written"))
+    return R.finished(r, r.where("run_id % 2 = 0").select("run_id", F.lit("success").alias("outcome"), F.lit(7).alias("written")))
+
+
+@query("SELECT event_id AS run_id FROM events WHERE event_type = 'view' AND event_id % 2 = 0 AND ts BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-30'")
+def run_in_progress(spark, d):
+    r = t(spark, d, "events").select(c("event_id").alias("run_id"), c("event_type").alias("source_slug"), F.when(c("event_id") % 2 == 0, "started").otherwise("success").alias("outcome"), F.lit(None).cast("timestamp").alias("finished_at"), c("ts").cast("timestamp").alias("started_at"))
+    return R.in_progress(r, "view", F.lit(NOW).cast("timestamp"), 10 * 24 * 60).select("run_id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'approved' WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'WITHDRAWN' || chr(10) || 'RESTORED' ELSE 'WITHDRAWN' END END AS internal_note FROM orders")
+def rows_restored(spark, d):
+    k = c("o_orderkey")
+    s = t(spark, d, "orders").select(k.alias("id"), F.when(k % 2 == 0, "approved").otherwise("rejected").alias("status"), F.when(k % 3 == 0, "WITHDRAWN").alias("internal_note"))
+    return R.restored(s, s.where("id % 5 = 0"), "id")
+
+
+@query("SELECT c_custkey AS id, 140 AS next_cursor, (SELECT count(*) FROM customer) <= 140 AS complete FROM customer WHERE c_custkey BETWEEN 100 AND 139")
+def session_slice(spark, d):
+    return R.session_slice(t(spark, d, "customer").select(c("c_custkey").alias("id"), c("c_custkey").alias("at")), F.lit(100), 40).select("id", "next_cursor", "complete")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def backlog(spark, d):
+    o = t(spark, d, "orders").select(c("o_orderkey").alias("id"), "o_orderdate")
+    return R.backlog(o, o.where("id % 3 = 0"), "id", [c("o_orderdate"), c("id")], 25).select("id")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 2 = 1 AND CASE WHEN o_orderkey % 5 = 0 THEN false ELSE CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 0 END < DATE '1998-01-01' - 1 END AS dropped FROM orders")
+def past_rows(spark, d):
+    k, day = c("o_orderkey"), c("o_orderdate").cast("date")
+    o = t(spark, d, "orders").select(k.alias("id"), day.cast("string").alias("start_date"), F.when(k % 5 == 0, "soon").when(k % 3 == 0, F.date_add(day, 10).cast("string")).alias("end_date"))
+    return R.split_past(o, o.where("id % 2 = 0"), "id", F.lit(date(1998, 1, 1))).select("id", "dropped")
