@@ -557,3 +557,49 @@ cases(
     [([(42.0, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.0005, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.5, -83.0, "MI")], "ambiguous", None), ([(42.0, -83.0, "OH")], "other_state", None), ([], "no_match", None), (None, "no_match", None)],
     lambda: {"status": (x := A.geocode_answer(c("found"), F.lit("MI")))["status"], "lat": x["lat"]},
 )
+
+from .functions import nonevents as Q  # noqa: E402
+from .sources import calendar as C  # noqa: E402
+
+cases(
+    "non_event_rule", "t string", {"rule": S},
+    [
+        ("Closed for a private event", "closed_for_private_event"), ("CLOSED FOR PRIVATE EVENTS tonight at 6", "closed_for_private_event"), ("Big Game - VIP Suite Rental", "suite_rental"), ("Private Event", "private_event_label"), ("DIA: Private Party!", "private_event_label"), ("THE Private Party", None),
+        ("Library Closed", "closure_notice"), ("City Offices Closed for Labor Day", "closure_notice"), ("Labor Day - Library Closed", "closure_notice"), ("Why the library closed", None), ("Library closed but our hearts open", None), ("City Council Meeting", "governance_meeting"), ("Planning Commission", "governance_meeting"),
+        ("Regular Meeting of the Village Council", "governance_meeting"), ("CANCELLED: Zoning Board of Appeals - Agenda", "governance_meeting"), ("Public Hearing on the budget", "governance_meeting"), ("Garden Club General Meeting 7 PM", "governance_meeting"), ("Meet the City Council", None), ("City Council Holiday Party", None), ("Jazz Night", None), (None, None),
+        ("x" * 201, None),
+    ],
+    lambda: {"rule": Q.non_event(c("t"))},
+)
+cases(
+    "folded_lines", "t string", {"folded": S, "octets": I},
+    [("short", "short", 5), ("a" * 75, "a" * 75, 75), ("a" * 76, "a" * 75 + "\r\n a", 75), ("a" * 150, "a" * 75 + "\r\n " + "a" * 74 + "\r\n a", 75), ("é" * 40, "é" * 37 + "\r\n " + "é" * 3, 74), (None, None, None)],
+    lambda: {"folded": C.fold(c("t")), "octets": F.array_max(F.transform(F.split(C.fold(c("t")), "\r\n"), F.octet_length))},
+)
+cases(
+    "run_together", "t string", {"t": S},
+    [("Ends at 8:50 p.m.Saturdays too", "Ends at 8:50 p.m. Saturdays too"), ("Music Hall!Our mission", "Music Hall! Our mission"), ("See a.org.The end", "See a.org.The end"), ("J.R.Smith", "J.R.Smith"), (None, None)],
+    lambda: {"t": X.parted(c("t"))},
+)
+cases(
+    "names_overlap", "a string, b string", {"same": B, "words": S},
+    [("The Majestic Theatre", "Majestic", True, "majestic|theatre"), ("Hall", "Hall’s", True, "hall"), ("", "Hall", False, ""), ("Café Zoë", "café", True, "café|zoë"), ("A B", "A C", False, "a|b")],
+    lambda: {"same": X.names_overlap(c("a"), c("b")), "words": F.array_join(X.name_words(c("a")), "|")},
+)
+_READY = ("official", "relevant", "identified", "acquired", "rights", "image_started", "approved", "ended", "excluded")
+cases(
+    "readiness", ", ".join(f"{x} boolean" for x in _READY), {"state": S},
+    [
+        (True, True, True, True, True, True, True, False, False, "PUBLISHED"), (True, True, True, True, True, True, True, True, False, "ENDED"), (True, True, True, True, True, True, False, False, False, "READY_FOR_REVIEW"), (True, True, True, True, False, True, True, False, False, "IMAGE_PENDING"),
+        (True, True, True, False, False, False, True, False, False, "CONTENT_VERIFIED"), (True, False, True, True, True, True, True, False, False, "HOLD_UNVERIFIED"), (True, True, True, True, True, True, True, False, True, "HOLD_UNVERIFIED"), (None, True, True, True, True, True, True, False, False, "HOLD_UNVERIFIED"),
+    ],
+    lambda: {"state": K.readiness({x: c(x) for x in _READY})},
+)
+cases(
+    "season_expiration", "last string, evidence string, review string, action string", {"states": S, "failing": B},
+    [
+        ("1997-06-01", "site", None, None, "SEASON_ENDED", True), ("1997-06-01", "site", "1997-06-11", "keep", "SEASON_ENDED|REVIEW_DUE", False), ("1997-06-01", "site", None, "unpublish", "SEASON_ENDED", True), ("1997-06-30", "site", None, None, "", False), ("1997-06-01", None, None, None, "INSUFFICIENT_EVIDENCE", False),
+        ("soon", "site", "1998-01-01", None, "INSUFFICIENT_EVIDENCE", False), (None, None, "1997-01-01", None, "REVIEW_DUE|INSUFFICIENT_EVIDENCE", False),
+    ],
+    lambda: {"states": F.array_join((x := K.expiration(c("last"), c("evidence"), c("review"), c("action"), F.lit(date(1997, 6, 11))))["states"], "|"), "failing": x["failing"]},
+)

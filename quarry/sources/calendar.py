@@ -93,8 +93,37 @@ def expand(events: DataFrame, until: Column) -> DataFrame:
     return plain.unionByName(moved, allowMissingColumns=True).select("uid", "day", "summary", cancelled.alias("cancelled"))
 
 
-def to_ics(events: DataFrame) -> DataFrame:
-    """(value) lines of a feed, one VEVENT a row, in order of start and id; text is escaped, lines are CRLF."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"([\\,;])", r"\\$1"), r"\r?\n", r"\\n")
-    body = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id").cast("string")), F.concat(F.lit("DTSTART;VALUE=DATE:"), F.date_format("start_date", "yyyyMMdd")), F.concat(F.lit("SUMMARY:"), esc("title")), F.lit("END:VEVENT"))
-    return events.where("start_date is not null").orderBy("start_date", "id").select(body.alias("value"))
+def fold(line: Column, most: int = 75) -> Column:
+    """A line of more than `most` octets on several: later ones begin with a space, no character is parted."""
+
+    def step(a: Column, ch: Column) -> Column:
+        full = a["used"] + F.octet_length(ch) > most
+        return F.struct(F.concat(a["out"], F.when(full, "\r\n ").otherwise(""), ch).alias("out"), F.when(full, 1 + F.octet_length(ch)).otherwise(a["used"] + F.octet_length(ch)).alias("used"))
+
+    long = F.aggregate(F.split(line, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("used")), step)["out"]
+    return F.when(F.octet_length(line) <= most, line).otherwise(long)
+
+
+def to_ics(events: DataFrame, name: str = "events") -> DataFrame:
+    """(value) lines of a whole calendar: its frame, and each event in order of start, time and id.
+
+    events(id, title, start_date, and where known start_at (minutes), end_date, location, url). Texts are escaped, lines folded at 75
+    octets and parted by CRLF; a time is local, a day without one is all-day with the day after its last as its end.
+    """
+    e = events
+    for c, kind in (("start_at", "int"), ("end_date", "date"), ("location", "string"), ("url", "string")):
+        e = e if c in e.columns else e.withColumn(c, F.lit(None).cast(kind))
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([\\,;])", r"\\$1"), r"\r\n|\r|\n", r"\\n")
+    day = lambda d: F.date_format(d, "yyyyMMdd")
+    timed, last = F.col("start_at").isNotNull(), F.greatest("start_date", F.coalesce("end_date", "start_date"))
+    clock = F.concat(F.lpad(F.floor(F.col("start_at") / 60).cast("string"), 2, "0"), F.lpad((F.col("start_at") % 60).cast("string"), 2, "0"), F.lit("00"))
+    start = F.when(timed, F.concat(F.lit(f"DTSTART;TZID={ZONE}:"), day("start_date"), F.lit("T"), clock)).otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), day("start_date")))
+    end = F.when(~timed, F.concat(F.lit("DTEND;VALUE=DATE:"), day(F.date_add(last, 1))))
+    said = lambda key, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{key}:"), esc(c)))
+    rows = F.array(F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), esc("id")), start, end, F.concat(F.lit("SUMMARY:"), esc("title")), said("LOCATION", "location"), said("URL", "url"), F.lit("END:VEVENT"))
+    body = F.array_join(F.transform(F.array_compact(rows), fold), "\r\n")
+    spark = events.sparkSession
+    frame = spark.createDataFrame([(0, f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//{name}//EN"), (2, "END:VCALENDAR")], "part int, value string")
+    none = [F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("int").alias("start_at"), F.lit(None).cast("string").alias("id")]
+    each = e.where("start_date is not null").select(F.lit(1).alias("part"), body.alias("value"), "start_date", F.coalesce("start_at", F.lit(-1)).alias("start_at"), F.col("id").cast("string").alias("id"))
+    return frame.select("part", "value", *none).unionByName(each).orderBy("part", "start_date", "start_at", "id").select("value")

@@ -184,8 +184,12 @@ def test_calendar(spark, tmp_path):
     a, b = calendar.read_ics(spark, str(tmp_path)).orderBy("uid").collect()
     assert (a["summary"], a["location"], a["start_date"], a["start_at"], a["all_day"]) == ("A, b\nc", "Longer place", date(2026, 7, 2), datetime(2026, 7, 2, 19, 0), False)
     assert (b["start_date"], b["end_date"], b["all_day"], b["status"]) == (date(2026, 7, 1), date(2026, 7, 2), True, "CANCELLED")
-    out = calendar.to_ics(spark.createDataFrame([(1, "x, y", date(2026, 1, 2))], "id long, title string, start_date date")).first()[0]
-    assert "SUMMARY:x\\, y" in out and out.startswith("BEGIN:VEVENT\r\n")
+    rows = [(1, "x, y", date(2026, 1, 2), None, None, "Hall; 2"), (3, "é" * 60, date(2026, 1, 2), 1170, None, None), (2, None, date(2026, 1, 1), None, date(2026, 1, 3), None), (4, "z", None, None, None, None)]
+    out = [r[0] for r in calendar.to_ics(spark.createDataFrame(rows, "id long, title string, start_date date, start_at int, end_date date, location string")).collect()]
+    assert out[0] == "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//events//EN" and out[-1] == "END:VCALENDAR" and len(out) == 5
+    assert out[1] == "BEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20260101\r\nDTEND;VALUE=DATE:20260104\r\nSUMMARY:\r\nEND:VEVENT"
+    assert out[2] == "BEGIN:VEVENT\r\nUID:1\r\nDTSTART;VALUE=DATE:20260102\r\nDTEND;VALUE=DATE:20260103\r\nSUMMARY:x\\, y\r\nLOCATION:Hall\\; 2\r\nEND:VEVENT"
+    assert "DTSTART;TZID=America/Detroit:20260102T193000" in out[3] and all(len(x.encode()) <= 75 for x in out[3].split("\r\n"))
 
 
 def test_feeds(spark):
