@@ -88,7 +88,12 @@ def fit(docs: DataFrame, labels: DataFrame, samples: int = 4096, sample_bytes: i
     texts = docs.join(chosen, "id").groupBy("id", "h", "toxic").agg(F.min("text").alias("text"))
     sample = map_text(texts, describe, "features binary").collect()
     model, one = Ftrl(bits), 1 << bits
-    data = [(np.append(np.frombuffer(r["features"], np.int32).astype(np.int64), one), r["toxic"]) for r in sorted(sample, key=lambda r: (r["h"], r["id"]))]
+    sample.sort(key=lambda r: (r["h"], r["id"]))
+    data = []
+    while sample:  # each row goes as it is read
+        r = sample.pop()
+        data.append((np.append(np.frombuffer(r["features"], np.int32), np.int32(one)), r["toxic"]))
+    data.reverse()
     for _ in range(epochs):
         for x, y in data:
             model.learn(x, y)
