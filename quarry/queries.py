@@ -535,7 +535,8 @@ def consolidation_plan(spark, d):
     return duplicates.decisions(e, [c("id")])
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT o_orderkey % 6 AS k FROM orders), t AS (SELECT CASE k WHEN 0 THEN '7:00 PM - 9:30 PM' WHEN 1 THEN 'noon' WHEN 2 THEN '10:30 AM - 7:15 PM' END AS time, CASE k WHEN 0 THEN 1140 WHEN 1 THEN 720 WHEN 2 THEN 630 END AS start, CASE k WHEN 0 THEN 1290 WHEN 2 THEN 1155 END AS "end" FROM k)
+SELECT DISTINCT time, start, "end", coalesce(start >= 1020, false) AS evening, coalesce("end" < 1200, false) AS ended FROM t""")
 def duplicate_time_ranges(spark, d):
     r = D.time_range(c("time"))
     return listing(spark, d).groupBy("time").agg(F.min(r["start"]).alias("start"), F.min(r["end"]).alias("end"), F.bool_or(D.evening(c("time"))).alias("evening"), F.bool_or(D.ended(c("time"), F.lit(CLOCK))).alias("ended"))

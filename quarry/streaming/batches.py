@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -22,17 +23,36 @@ def first_seen(events: DataFrame, key: str, ts: str = "ts", late: str = "1 day")
     return events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_into(table: str, key: str, now: Callable[[], str] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: upsert into a Parquet table by versions, so that a batch that is repeated gives the same table."""
+def _state(spark, table: str, epoch: int) -> dict[str, int]:
+    """bucket -> the epoch that last wrote it, after an epoch; one line of JSON an epoch."""
+    return json.loads(spark.read.text(f"{table}/state/{epoch}").first()[0]) if epoch >= 0 else {}
+
+
+def read_merged(spark, table: str, schema, epoch: int) -> DataFrame:
+    """The table of merge_into after an epoch."""
+    paths = [f"{table}/v{e}/bucket={b}" for b, e in _state(spark, table, epoch).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_into(table: str, key: str, now: Callable[[], str] | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: upsert into a Parquet table in buckets of the key's hash.
+
+    A batch reads and writes only the buckets it touches; the state of an epoch says which epoch wrote each bucket last. Files are never
+    changed, and a batch that is repeated starts from the state before it, so it gives the same table.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         stamp = F.to_timestamp(F.lit(now())) if now else F.current_timestamp()
         patch = batch.withColumn("last_seen", stamp).withColumn("present", F.array(*(F.lit(c) for c in [*batch.columns, "last_seen"])))
-        before = f"{table}/v{epoch - 1}"
-        fields = patch.drop("present")
-        stored = spark.read.parquet(before) if epoch else fields.limit(0)
-        upsert(stored, patch, key).write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        fields, bucket = patch.drop("present"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [str(r[0]) for r in patch.select(bucket).distinct().collect()]  # at most buckets numbers
+        state = _state(spark, table, epoch - 1)
+        paths = [f"{table}/v{state[b]}/bucket={b}" for b in touched if b in state]
+        stored = spark.read.schema(fields.schema).parquet(*paths) if paths else fields.limit(0)
+        upsert(stored, patch, key).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{epoch}")
+        line = json.dumps(state | dict.fromkeys(touched, epoch))
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/state/{epoch}")
 
     return write
 

@@ -219,7 +219,14 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, "id long, name string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema("id long, name string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     batches.run_available(stream, batches.merge_into(f"{tmp_path}/t", "id", lambda: "2026-01-01"), f"{tmp_path}/c")
-    assert {r["id"]: r["name"] for r in spark.read.parquet(f"{tmp_path}/t/v1").collect()} == {1: "a", 2: "B", 3: "c"}
+    schema = "id long, name string, last_seen timestamp"
+    assert {r["id"]: r["name"] for r in batches.read_merged(spark, f"{tmp_path}/t", schema, 1).collect()} == {1: "a", 2: "B", 3: "c"}
+    assert {r["id"]: r["name"] for r in batches.read_merged(spark, f"{tmp_path}/t", schema, 0).collect()} == {1: "a", 2: "b"}
+    sink = batches.merge_into(f"{tmp_path}/t", "id", lambda: "2026-01-01")
+    for _ in range(2):  # a batch that is repeated
+        sink(spark.createDataFrame([(1, "A")], "id long, name string"), 2)
+        assert {r["id"]: r["name"] for r in batches.read_merged(spark, f"{tmp_path}/t", schema, 2).collect()} == {1: "A", 2: "B", 3: "c"}
+    assert len(list((tmp_path / "t/v2").glob("bucket=*"))) == 1  # only the bucket it touches
     runs = spark.createDataFrame([("started", None, datetime(2026, 1, 1)), ("started", None, datetime(2026, 1, 1, 0, 58)), ("success", datetime(2026, 1, 1), datetime(2026, 1, 1))], "outcome string, finished_at timestamp, started_at timestamp")
     assert [r["outcome"] for r in batches.close_stalled(runs, datetime(2026, 1, 1, 1)).collect()] == ["failed", "started", "success"]
 
