@@ -438,3 +438,76 @@ def past_rows(spark, d):
     k, day = c("o_orderkey"), c("o_orderdate").cast("date")
     o = t(spark, d, "orders").select(k.alias("id"), day.cast("string").alias("start_date"), F.when(k % 5 == 0, "soon").when(k % 3 == 0, F.date_add(day, 10).cast("string")).alias("end_date"))
     return R.split_past(o, o.where("id % 2 = 0"), "id", F.lit(date(1998, 1, 1))).select("id", "dropped")
+
+
+from .operators import merging  # noqa: E402
+
+
+@query("""WITH l AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 9 END AS e FROM orders WHERE o_orderkey % 2 = 0),
+m AS (SELECT k, k % 4 = 0 AS near, s, e FROM l WHERE k % 6 <> 2)
+SELECT 'l' || l.k AS external_id, 'left' AS kept_from, coalesce(near, false) AND NOT (l.k % 12 = 0) AS review, CASE WHEN l.k % 5 = 0 THEN 'own' WHEN near THEN 'i' || l.k END AS image_url FROM l LEFT JOIN m ON m.k = l.k
+UNION ALL SELECT 'r' || k, 'right', false, 'i' || k FROM m WHERE NOT near""")
+def two_source_merge(spark, d):
+    k, s = c("o_orderkey"), c("o_orderdate").cast("date")
+    o = t(spark, d, "orders").where(k % 2 == 0).select(k.alias("k"), s.alias("start_date"), F.when(k % 3 == 0, F.date_add(s, 9)).alias("end_date"))
+    n = c("k").cast("string")
+    left = o.select(F.concat(F.lit("l"), n).alias("external_id"), F.concat(F.lit("A & B "), n, F.lit(" | Hall")).alias("title"), "start_date", "end_date", F.when(c("k") % 5 == 0, "own").alias("image_url"))
+    shift = F.when(c("k") % 12 == 0, 0).when(c("k") % 4 == 0, F.when(c("k") % 3 == 0, 5).otherwise(0)).otherwise(400)
+    days = F.when((c("k") % 4 == 0) & (c("k") % 12 != 0) & (c("k") % 3 != 0), F.date_add("start_date", 3)).otherwise(F.date_add("end_date", shift))
+    right = o.where("k % 6 <> 2").select(F.concat(F.lit("r"), n).alias("external_id"), F.concat(F.lit("a and b "), n).alias("title"), F.date_add("start_date", shift).alias("start_date"), days.alias("end_date"), F.concat(F.lit("i"), n).alias("image_url"))
+    return merging.two_sources(left, right).select("external_id", "kept_from", "review", "image_url")
+
+
+@query("""WITH r AS (SELECT o_custkey AS g, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS title, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS w, o_orderkey % 50 = 0 AS f FROM orders)
+SELECT g, min_by(title, k) FILTER (title IS NOT NULL) AS title, CAST(max(day) AS VARCHAR) AS day, array_to_string(list_sort(list(DISTINCT w)), ',') AS terms, bool_or(f) AS flag FROM r GROUP BY 1""")
+def identities_merged(spark, d):
+    r = t(spark, d, "orders").select(c("o_custkey").alias("g"), c("o_orderkey").alias("k"), F.when(c("o_orderkey") % 3 == 0, c("o_orderpriority")).alias("title"), c("o_orderdate").cast("date").alias("day"), F.array("o_orderstatus").alias("terms"), (c("o_orderkey") % 50 == 0).alias("flag"))
+    return merging.one_identity(r, "g", c("k"), ("title",), ("day",), "terms", ("flag",)).select("g", "title", c("day").cast("string").alias("day"), F.array_join("terms", ",").alias("terms"), "flag")
+
+
+@query("""SELECT l_orderkey AS article_id, l_linenumber AS event_id, CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN 'pair' WHEN l_orderkey % 5 = 0 THEN 'art' WHEN l_linenumber = 3 THEN 'kind' ELSE l_returnflag END AS status,
+CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN 'pair' WHEN l_orderkey % 5 = 0 THEN 'article' WHEN l_linenumber = 3 THEN 'kind' ELSE 'default' END AS basis FROM lineitem""")
+def override_precedence(spark, d):
+    e = t(spark, d, "lineitem").select(c("l_orderkey").alias("article_id"), c("l_linenumber").alias("event_id"), "l_returnflag")
+    o = t(spark, d, "orders").select(c("o_orderkey").alias("article_id"))
+    tiers = [("pair", o.where("article_id % 7 = 0").select("article_id", F.lit(1).alias("event_id"), F.lit("pair").alias("status")), ["article_id", "event_id"]), ("article", o.where("article_id % 5 = 0").select("article_id", F.lit("art").alias("status")), ["article_id"]), ("kind", spark.createDataFrame([(3, "kind")], "event_id int, status string"), ["event_id"])]
+    return merging.overrides(e, tiers, c("l_returnflag")).select("article_id", "event_id", "status", "basis")
+
+
+@query("SELECT r_name AS kind, count(*) AS n, md5(string_agg(n_name || ':' || n_nationkey, chr(10) ORDER BY n_name || ':' || n_nationkey)) AS hash FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def catalog_fingerprint(spark, d):
+    n = t(spark, d, "nation").join(t(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    return merging.fingerprint(n.select(c("r_name").alias("kind"), F.concat("n_name", F.lit(":"), c("n_nationkey").cast("string")).alias("line")), "kind", "line")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 80 ELSE CASE o_orderstatus WHEN 'F' THEN 30 WHEN 'O' THEN 20 ELSE 0 END END AS rank FROM orders")
+def evidence_ranks(spark, d):
+    k = c("o_orderkey") % 5
+    return t(spark, d, "orders").select("o_orderkey", merging.evidence_rank(F.when(k == 0, "owner_correction").when(k == 1, "verified").when(k == 2, "manual"), c("o_orderstatus"), {"F": 3, "O": 2}).alias("rank"))
+
+
+@query("""WITH p AS (SELECT o_custkey % 40 AS place, o_orderkey % 3 AS url, o_orderkey % 7 AS day, CASE WHEN o_custkey % 40 < 5 AND o_orderkey % 11 = 0 THEN '8 PM' ELSE '7 PM' END AS hours FROM orders),
+g AS (SELECT place, day, count(DISTINCT hours) AS n, min(hours) AS h, count(DISTINCT url) AS pages FROM p GROUP BY 1, 2)
+SELECT place, day, CASE WHEN n = 1 THEN h END AS hours, pages, CASE WHEN n > 1 THEN 'conflict' WHEN pages >= 3 THEN 'high' WHEN pages = 2 THEN 'medium-high' ELSE 'medium' END AS status FROM g""")
+def hours_agreed(spark, d):
+    o = t(spark, d, "orders").select((c("o_custkey") % 40).alias("place"), (c("o_orderkey") % 3).alias("url"), (c("o_orderkey") % 7).alias("day"), F.when((c("o_custkey") % 40 < 5) & (c("o_orderkey") % 11 == 0), "8 PM").otherwise("7 PM").alias("hours"))
+    return merging.agreed_hours(o, "place")
+
+
+@query("""WITH x AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'troy' WHEN o_orderkey % 4 = 2 THEN 'Monroe' ELSE 'Atlantis' END AS city FROM orders)
+SELECT CASE WHEN city IS NULL OR city = 'troy' THEN 'placed' ELSE 'unplaced' END AS place_status, CASE city WHEN 'Monroe' THEN 'source-not-evidence' WHEN 'Atlantis' THEN 'not-in-table' END AS place_reason, count(*) AS n, count(*) FILTER (city IS NULL) AS assumed FROM x GROUP BY 1, 2""")
+def placement_counts(spark, d):
+    k = c("o_orderkey") % 4
+    e = t(spark, d, "orders").select(F.when(k == 1, "troy").when(k == 2, "Monroe").when(k == 3, "Atlantis").alias("city"), F.lit("blog").alias("source"), F.lit(None).cast("string").alias("venue"))
+    table = spark.createDataFrame([("Detroit", "Michigan", 42.3, -83.0, None), ("Troy", "Michigan", 42.6, -83.1, None), ("Monroe", "Michigan", 41.9, -83.4, ["city feed"])], "name string, region string, lat double, lng double, sources array<string>")
+    return venues.locate(e, venues.city_lookup(table, table.limit(0))).groupBy("place_status", "place_reason").agg(F.count("*").alias("n"), F.count_if("assumed").alias("assumed"))
+
+
+@query("""WITH x AS (SELECT o_orderkey % 4 AS k, o_orderpriority AS source FROM orders) SELECT source, count(*) AS n, count(*) FILTER (k = 0) AS administrative, count(*) FILTER (k = 1) AS civic_public, count(*) FILTER (k = 2) AS needs_review, GROUPING(source) = 1 AS total FROM x GROUP BY GROUPING SETS ((), (source))""")
+def meeting_audit(spark, d):
+    from .functions.classes import meeting_class
+
+    k = c("o_orderkey") % 4
+    title = F.when(k == 0, "City Council Meeting").when(k == 1, "Public Hearing on zoning").when(k == 2, "Monthly Meeting").otherwise("Harvest Festival")
+    o = t(spark, d, "orders").select(c("o_orderpriority").alias("source"), meeting_class(title, F.lit(None).cast("string"), F.lit("City of Troy"), F.lit(None).cast("string")).alias("m"))
+    return paging.total_and_by(o, "source", n=F.count("*"), administrative=F.count_if(c("m.meeting_class") == "administrative"), civic_public=F.count_if(c("m.meeting_class") == "civic_public"), needs_review=F.count_if("m.needs_review"))
