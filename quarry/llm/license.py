@@ -112,14 +112,18 @@ class Templates:
         self.classes = {}
         for kind, own in by_class.items():
             bands = []
-            for seed in _SEEDS:
-                low = np.array([mix(self.sets[t] ^ seed).min() for t in own])
+            for seed in range(HASHES):
+                low = np.array([(self.sets[t] * _ODD[seed] + _SEEDS[seed]).min() for t in own])
                 o = np.argsort(low, kind="stable")
-                bands.append((low[o], np.array(own)[o]))
+                table = np.zeros(1 << 16, bool)
+                table[low & _U(0xFFFF)] = True
+                bands.append((low[o], np.array(own)[o], table))
             self.classes[kind] = bands
 
 
+#: Hash function k takes the shingles' hashes, which are mixed, times an odd number plus another.
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+_ODD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) | _U(1)
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,13 +158,14 @@ def _scan(t: Templates, w: Words, percent: int) -> list[list[tuple[str, float, i
         start[place[within % stride == 0]] = True
         blocks[stride] = np.flatnonzero(start)
     found: dict[tuple[int, int], set] = {}
-    for h, seed in enumerate(_SEEDS):
-        x = mix(laid ^ seed)
+    for h in range(HASHES):
+        x = laid * _ODD[h] + _SEEDS[h]
         x[empty] = _NONE
         lows = {stride: np.minimum.reduceat(x, start) if stride > 1 else x for stride, start in blocks.items()}
         for (width, stride), bands in t.classes.items():
-            m, (low, own) = _window_minima(lows[stride], -(-(width - SHINGLE + 1) // stride)), bands[h]
-            p = np.flatnonzero(member(m, low))
+            m, (low, own, table) = _window_minima(lows[stride], -(-(width - SHINGLE + 1) // stride)), bands[h]
+            p = np.flatnonzero(table[m & _U(0xFFFF)])  # by their last bits first
+            p = p[member(m[p], low)]
             a, e = np.searchsorted(low, m[p]), np.searchsorted(low, m[p], "right")  # templates with equal minima stand side by side
             for q, x, y in zip(blocks[stride][p].tolist(), a.tolist(), e.tolist(), strict=True):
                 for k in own[x:y].tolist():
