@@ -232,6 +232,17 @@ def _gone(w: Words, d: np.ndarray, hi: np.ndarray, lo: np.ndarray, window: int):
         at = at + more
 
 
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed everywhere, as a schema in words has it."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(pa.field(t.value_field.name, _nullable(t.value_type)))
+    if pa.types.is_map(t):
+        return pa.map_(pa.field(t.key_field.name, _nullable(t.key_type), False), pa.field(t.item_field.name, _nullable(t.item_type)))
+    return t
+
+
 def _remove(window: int):
     """A chunk's documents and the windows that start earlier -> what is kept of each text."""
 
@@ -267,7 +278,8 @@ def _remove(window: int):
                 kept.append(b" ".join((clean if lost[t] else raw)[p:q].split()).decode("utf-8"))
         none = np.zeros(0, np.int64)
         new_cols = {"kept": pa.array(kept, pa.string()), "n_words": pa.array(np.concatenate([*total, none]), pa.int64()), "n_removed": pa.array(np.concatenate([*removed, none]), pa.int64())}
-        return pa.table({"doc_id": docs_table.column("doc_id"), "carried": docs_table.column("carried"), **new_cols})
+        carried = docs_table.column("carried")
+        return pa.table({"doc_id": docs_table.column("doc_id"), "carried": carried.cast(_nullable(carried.type)), **new_cols})
 
     return f
 
