@@ -505,7 +505,7 @@ cases(
 )
 cases(
     "note_values", "note string", {"values": S, "line": S},
-    [("ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13", "ra_id=12|url=https://a.b/?x=1", "ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13\nnew"), ("", "", "new"), (None, "", "new"), ("a  ", "", "a\nnew")],
+    [("ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13", "ra_id=12|url=https://a.b/?x=1", "ra_id=12 ¦ url = https://a.b/?x=1 ¦ free text ¦ ra_id=13\nnew"), ("", "", "new"), (None, "", "new"), ("a  ", "", "a\nnew"), ("0n=10", "0n=10", "0n=10\nnew")],
     lambda: {"values": F.array_join(F.transform(F.map_entries(R.note_values(c("note"))), lambda e: F.concat_ws("=", e["key"], e["value"])), "|"), "line": R.note_line(c("note"), F.lit("new"))},
 )
 cases(

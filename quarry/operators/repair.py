@@ -167,7 +167,7 @@ def owner_edits(note: Column) -> Column:
 
 def note_values(note: Column, separator: str = "¦") -> Column:
     """map of 'key=value' parts of a note between separators; a key met twice keeps its first value."""
-    pairs = F.filter(F.transform(F.split(F.coalesce(note, F.lit("")), separator), F.trim), lambda p: F.contains(p, F.lit("=")))
+    pairs = F.filter(F.transform(F.split(F.coalesce(note, F.lit("")), separator), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit("=")))
     made = F.transform(pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), F.trim(F.substr(p, F.locate("=", p) + 1)).alias("v")))
     return F.map_from_entries(F.filter(made, lambda x, i: F.size(F.filter(F.slice(made, F.lit(1), i), lambda y: y["k"] == x["k"])) == 0))
 

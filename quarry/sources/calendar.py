@@ -121,7 +121,7 @@ def to_ics(events: DataFrame, name: str = "events") -> DataFrame:
     end = F.when(~timed, F.concat(F.lit("DTEND;VALUE=DATE:"), day(F.date_add(last, 1))))
     said = lambda key, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{key}:"), esc(c)))
     rows = F.array(F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), esc("id")), start, end, F.concat(F.lit("SUMMARY:"), esc("title")), said("LOCATION", "location"), said("URL", "url"), F.lit("END:VEVENT"))
-    body = F.array_join(F.transform(F.array_compact(rows), fold), "\r\n")
+    body = F.array_join(F.transform(F.array_compact(rows), lambda x: fold(x)), "\r\n")
     spark = events.sparkSession
     frame = spark.createDataFrame([(0, f"BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//{name}//EN"), (2, "END:VCALENDAR")], "part int, value string")
     none = [F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("int").alias("start_at"), F.lit(None).cast("string").alias("id")]
