@@ -14,6 +14,7 @@ from .langid import languages
 from .license import licenses
 from .minhash import near_duplicates
 from .mixing import mix
+from .quality import quality
 from .search import search
 from .substring import remove_repeats_in_batches
 from .toxicity import toxicity
@@ -77,13 +78,17 @@ def op10_search(spark, sf_dir):
     return search(docs, docs.where(F.col("doc_id") % 50 == 0), TOP_K)
 
 
+def op12_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, op12_quality, pipeline)}
 
 _RULE_CASE = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
