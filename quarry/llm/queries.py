@@ -14,6 +14,7 @@ from .langid import languages
 from .license import licenses
 from .minhash import near_duplicates
 from .mixing import mix
+from .phrases import collocations
 from .quality import quality
 from .search import search
 from .substring import remove_repeats_in_batches
@@ -82,13 +83,17 @@ def op12_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_phrases(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, op12_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, op12_quality, op13_phrases, pipeline)}
 
 _RULE_CASE = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
@@ -155,4 +160,20 @@ e AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items, count(*) AS k
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.k, 0) AS BIGINT) AS n_hit, CAST(coalesce(e.k, 0) AS BIGINT) AS n_items, sha256(coalesce(e.items, '')) AS items_sha256,
     coalesce(c.k, 0) > 0 AND 20 * coalesce(c.k, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id""",
+    "op13_phrases": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT lang, k, w[i:i + k - 1] AS w FROM g, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, w, count(*) AS f FROM s GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, w, f AS a FROM f WHERE k >= 2 AND f >= 100),
+x AS (SELECT c.lang, c.w, c.a, c.k, n.n, unnest(range(1, c.k)) AS j FROM c JOIN n USING (lang)),
+y AS (SELECT x.lang, x.w, x.a, x.n, x.j, l.f AS l, r.f AS r, (1000::HUGEINT * x.a * x.n) // (l.f::HUGEINT * r.f) AS score
+    FROM x JOIN f l ON l.lang = x.lang AND l.w = x.w[1:x.j] JOIN f r ON r.lang = x.lang AND r.w = x.w[x.j + 1:x.k]),
+b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1),
+z AS (SELECT DISTINCT lang, w[i:i + m - 1] AS w, a AS longer FROM c, range(1, 5) AS t(i), range(2, 5) AS u(m) WHERE m < k AND i + m - 1 <= k),
+d AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.lang = b.lang AND z.w = b.w AND 100 * z.longer >= 100 * b.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
 }
