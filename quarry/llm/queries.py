@@ -19,6 +19,7 @@ from .quality import quality
 from .search import search
 from .substring import remove_repeats_in_batches
 from .toxicity import toxicity
+from .trie import ends_digest, numbered, prefix_trie, rebuilt
 from .urlfilter import url_verdicts
 
 #: Production rules: host, path, verdict.
@@ -79,6 +80,14 @@ def op10_search(spark, sf_dir):
     return search(docs, docs.where(F.col("doc_id") % 50 == 0), TOP_K)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = numbered(table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie(rebuilt(turns), turns)
+    none = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
+    out = nodes.join(ends_digest(ends), "node", "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
+
+
 def op12_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -93,7 +102,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, op12_quality, op13_phrases, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filters, op3_language_id, op4_substring_dedup, op5_license_scan, op6_html_extraction, op7_toxicity, op8_minhash_dedup, op9_mixing, op10_search, op11_prefix_trie, op12_quality, op13_phrases, pipeline)}
 
 _RULE_CASE = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
@@ -176,4 +185,18 @@ z AS (SELECT DISTINCT lang, w[i:i + m - 1] AS w, a AS longer FROM c, range(1, 5)
 d AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.lang = b.lang AND z.w = b.w AND 100 * z.longer >= 100 * b.a)),
 o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM d)
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
+    "op11_prefix_trie": """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda a, b: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END))) AS tab),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) AS w FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, w, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c))), lambda a, b: xor(a >> 8, tab[xor(a, b) % 256 + 1])), 4294967295) % 9 AS h FROM o, crc),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, unnest(range(len(w) + 1)) AS d, w FROM r),
+m AS (SELECT w[1:d] AS n, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(w) = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY ALL),
+k AS (SELECT n[1:d - 1] AS n, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1),
+v AS (SELECT m.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (m.n_convs - 1) * strlen(m.n[m.d].t) END AS saved FROM m LEFT JOIN k ON k.n = m.n),
+a AS (SELECT n, d, unnest(range(d + 1)) AS e, n_children, saved FROM v),
+s AS (SELECT n[1:e] AS n, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.n = v.n LEFT JOIN m u ON v.d > 0 AND u.n = v.n[1:v.d - 1]""",
 }
