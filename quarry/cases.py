@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import classes as K
 from .functions import clocktext as T
+from .functions import hours as H
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -231,7 +232,7 @@ cases(
 cases(
     "season_range", "t string", {"first": S, "last": S},
     [("Open September 5th through November 2nd", "1997-09-05", "1997-11-02"), ("Sept. 26 - Nov. 1, 1997", "1997-09-26", "1997-11-01"), ("Opens on October 3. Every weekend until October 31", "1997-10-03", "1997-10-31"), ("November 5 to June 1", None, None), ("Open all year", None, None), (None, None, None)],
-    lambda: {"first": text((x := T.season(c("t"), 1997))["start"]), "last": text(x["end"])},
+    lambda: {"first": text((x := H.season(c("t"), 1997))["start"]), "last": text(x["end"])},
 )
 _map = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(text(k), F.lit("="), F.element_at(m, k))), "|")
 cases(
@@ -240,17 +241,17 @@ cases(
         ("Monday - Wednesday 9am-5pm, Saturday: 10 a.m. to 2 p.m.", "1=9:00 AM-5:00 PM|2=9:00 AM-5:00 PM|3=9:00 AM-5:00 PM|6=10:00 AM-2:00 PM"), ("Fridays 8-11 PM", "5=8:00 PM-11:00 PM"), ("Fri & Sat 11-2 AM", "5=11:00 PM-2:00 AM|6=11:00 PM-2:00 AM"),
         ("Weekends noon-5 PM", "0=12:00 PM-5:00 PM|6=12:00 PM-5:00 PM"), ("Sunday 1-4 PM. Sunday 2-5 PM", ""), ("Tuesday 11-2 PM", ""), ("Daily 5-9", ""), ("Fri-Sun 7 PM-midnight", "0=7:00 PM-12:00 AM|5=7:00 PM-12:00 AM|6=7:00 PM-12:00 AM"), (None, ""),
     ],
-    lambda: {"hours": _map(T.weekly_hours(c("t")))},
+    lambda: {"hours": _map(H.weekly_hours(c("t")))},
 )
 cases(
     "closed_dates", "t string", {"days": S},
     [("Open daily. Closed October 12-14 and November 2. Closed July 4.", "1997-10-12|1997-10-13|1997-10-14|1997-11-02"), ("No performances Oct. 31", "1997-10-31"), ("Closed Mondays", ""), (None, "")],
-    lambda: {"days": listed(T.closed_dates(c("t"), 1997))},
+    lambda: {"days": listed(H.closed_dates(c("t"), 1997))},
 )
 cases(
     "season_calendar", "t string", {"rows": S},
     [("October 1 - October 5. Wed-Sat 7-9 PM. Closed October 3.", "1997-10-01 true 7:00 PM-9:00 PM|1997-10-02 true 7:00 PM-9:00 PM|1997-10-03 false -|1997-10-04 true 7:00 PM-9:00 PM"), ("October 1 - October 2", "")],
-    lambda: {"rows": F.coalesce(F.array_join(F.transform(T.season_calendar(T.season(c("t"), 1997), T.weekly_hours(c("t")), T.closed_dates(c("t"), 1997)), lambda r: F.concat_ws(" ", text(r["date"]), text(r["open"]), F.coalesce(r["hours"], F.lit("-")))), "|"), F.lit(""))},
+    lambda: {"rows": F.coalesce(F.array_join(F.transform(H.season_calendar(H.season(c("t"), 1997), H.weekly_hours(c("t")), H.closed_dates(c("t"), 1997)), lambda r: F.concat_ws(" ", text(r["date"]), text(r["open"]), F.coalesce(r["hours"], F.lit("-")))), "|"), F.lit(""))},
 )
 cases(
     "cron_cadence", "e string", {"hours": I, "slots": S},
