@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import owner_supplied
 from ..functions.text import blank, plain, present
+from ..lineage import cut
 from .quality import first_reason
 
 #: Columns that a survivor takes from the row merged into it.
@@ -103,15 +104,34 @@ def mark_distinct(rows: DataFrame, pairs: DataFrame, marker: str = "DISTINCT-FRO
     return j.select(*(F.when(F.col("_lines").isNotNull(), note_line(F.col("internal_note"), F.col("_lines"))).otherwise(F.col("internal_note")).alias(c) if c == "internal_note" else F.col(c) for c in rows.columns))
 
 
+def last_survivors(plan: DataFrame) -> DataFrame:
+    """loser, survivor, hops, rule, n_survivors of a plan(survivor, loser, rule): the survivor is the last one of the loser's chain, hops away.
+
+    Pointers are doubled, so a chain of n merges takes log2(n) rounds. A loser with several survivors goes to the smallest, and
+    n_survivors says so; the survivor is null where the chain runs into a ring, as no row of a ring outlives the others.
+    """
+    one = cut(plan.where("loser is not null and survivor is not null").groupBy("loser").agg(F.min(F.struct("survivor", "rule")).alias("m"), F.count_distinct("survivor").alias("n_survivors")).select("loser", "m.survivor", F.col("m.rule"), "n_survivors"))
+    now = one.select("loser", F.col("survivor").alias("to"), F.lit(1).cast("long").alias("hops"))
+    for _ in range(one.count().bit_length() + 1):
+        ahead = now.select(F.col("loser").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
+        now = cut(now.join(ahead, "to", "left").select("loser", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_to").isNotNull().alias("open")))
+        if now.where("open").isEmpty():
+            break
+    ring = now.select("loser", F.when(~F.col("open"), F.col("to")).alias("survivor"), F.when(~F.col("open"), F.col("hops")).alias("hops")) if "open" in now.columns else now.select("loser", F.col("to").alias("survivor"), "hops")
+    return ring.join(one.select("loser", "rule", "n_survivors"), "loser")
+
+
 def merged(rows: DataFrame, plan: DataFrame, fields: tuple[str, ...] = MERGED) -> DataFrame:
-    """rows after the merges of plan(survivor, loser, rule): survivors take from their losers what they lack, losers are rejected and say why.
+    """rows after the merges of plan(survivor, loser, rule): last survivors take from their losers what they lack, losers are rejected and say why.
 
-    A survivor takes from the first of its losers, by id, that has the field. A loser is not deleted, so a merge can be undone.
+    A survivor takes from the nearest of its losers that has the field, of equally near ones from the first by id. A loser is not deleted,
+    so a merge can be undone; losers whose chain runs into a ring stay as they are.
     """
     use = [f for f in fields if f in rows.columns]
-    from_ = rows.join(plan, F.col("id") == F.col("loser")).select("survivor", "id", *use)
-    gifts = from_.groupBy("survivor").agg(*(F.min_by(f, F.when(~_is_blank(rows, f), F.col("id"))).alias(f"_g_{f}") for f in use))
-    lost = plan.groupBy(F.col("loser").alias("_l")).agg(F.min(F.struct("survivor", "rule")).alias("_by"))
+    final = cut(last_survivors(plan).where("survivor is not null"))
+    from_ = rows.join(final.select("survivor", "loser", "hops"), F.col("id") == F.col("loser")).select("survivor", "hops", "id", *use)
+    gifts = from_.groupBy("survivor").agg(*(F.min_by(f, F.when(~_is_blank(rows, f), F.struct("hops", "id"))).alias(f"_g_{f}") for f in use))
+    lost = final.select(F.col("loser").alias("_l"), F.struct("survivor", "rule").alias("_by"))
     j = rows.join(gifts, F.col("id") == F.col("survivor"), "left").join(lost, F.col("id") == F.col("_l"), "left")
     gone = F.col("_l").isNotNull()
     said = F.concat(F.lit("MERGED-INTO "), F.col("_by.survivor").cast("string"), F.lit(" ("), F.col("_by.rule"), F.lit(")"))
@@ -121,12 +141,18 @@ def merged(rows: DataFrame, plan: DataFrame, fields: tuple[str, ...] = MERGED) -
 
 
 def moved_links(links: DataFrame, plan: DataFrame, key: str = "event_id") -> DataFrame:
-    """links with those of losers moved to their survivors; one that the survivor has already is dropped."""
-    to = plan.groupBy(F.col("loser").alias("_l")).agg(F.min("survivor").alias("_s"))
+    """links with those of losers moved to their last survivors; one that the survivor has already is dropped."""
+    to = last_survivors(plan if "rule" in plan.columns else plan.withColumn("rule", F.lit(None).cast("string"))).where("survivor is not null").select(F.col("loser").alias("_l"), F.col("survivor").alias("_s"))
     j = links.join(to, F.col(key) == F.col("_l"), "left")
     return j.select(*(F.coalesce("_s", key).alias(key) if c == key else F.col(c) for c in links.columns)).distinct()
 
 
+def retirement(rows: DataFrame, rule: Column) -> DataFrame:
+    """id, rule of the rows that a rule retires: approved or pending ones, that no owner has locked."""
+    kept = F.col("status").isin("approved", "pending") & ~owner_supplied(F.col("source"), F.col("internal_note"))
+    return rows.where(kept).select("id", rule.alias("rule")).where("rule is not null")
+
+
 def capped_merges(plan: DataFrame, order: list[Column], most: int = 60) -> DataFrame:
     """The first merges of a run, at most so many, with the number planned."""
     return candidates(plan, order, most)

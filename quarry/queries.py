@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates as D
 from .functions import addresses, geo, text, titles, urls
-from . import cases, jobs
+from . import cases, jobs, readings
 from .operators import articles, duplicates, lookup, merge, quality, series
 from .plans import discovery
 from .plans.discovery import State
@@ -578,5 +578,5 @@ def article_match(spark, d):
     return articles.match(a, e, TODAY)
 
 
-QUERIES |= cases.QUERIES | jobs.QUERIES
-ORACLE |= cases.ORACLE | jobs.ORACLE
+QUERIES |= cases.QUERIES | jobs.QUERIES | readings.QUERIES
+ORACLE |= cases.ORACLE | jobs.ORACLE | readings.ORACLE
