@@ -100,7 +100,7 @@ _now = datetime(1997, 6, 11, 12)
 cases(
     "run_health", "outcome string, started timestamp, finished timestamp, written int", {"health": S},
     [
-        ("started", datetime(1997, 6, 11, 11), None, None, "abandoned"), ("started", datetime(1997, 6, 11, 11, 50), None, None, "in_progress"), ("failed", datetime(1997, 6, 11, 11), datetime(1997, 6, 11, 11), 0, "failed"), ("blocked", datetime(1997, 6, 1), datetime(1997, 6, 1), 0, "blocked"),
+        ("started", datetime(1997, 6, 11, 11), None, None, "abandoned"), ("started", datetime(1997, 6, 11, 11, 44), None, None, "abandoned"), ("started", datetime(1997, 6, 11, 11, 45), None, None, "in_progress"), ("started", datetime(1997, 6, 11, 11, 50), None, None, "in_progress"), ("failed", datetime(1997, 6, 11, 11), datetime(1997, 6, 11, 11), 0, "failed"), ("blocked", datetime(1997, 6, 1), datetime(1997, 6, 1), 0, "blocked"),
         ("partial", datetime(1997, 6, 11), datetime(1997, 6, 11), 0, "no_progress"), ("partial", datetime(1997, 6, 11), datetime(1997, 6, 11), 3, "ok"), ("success", datetime(1997, 6, 9), datetime(1997, 6, 9), 3, "ok"), ("success", datetime(1997, 6, 7), datetime(1997, 6, 7), 3, "stale"),
     ],
     lambda: {"health": K.run_health(c("outcome"), c("started"), c("finished"), c("written"), F.lit(_now).cast("timestamp"), 3)},
@@ -355,7 +355,10 @@ cases(
         (*_row(), True, "publish", ""), (*_row(title=None), True, "skip", "TITLE_MISSING"), (*_row(title="TBA"), True, "hold", "TITLE_PLACEHOLDER"), (*_row(external_id=" "), True, "skip", "IDENTITY_MISSING"), (*_row(source=None, category=None), True, "skip", "SOURCE_MISSING|CATEGORY_MISSING"), (*_row(start_date="x"), True, "skip", "START_DATE_INVALID"),
         (*_row(start_date="2003-01-01"), True, "hold", "START_DATE_IMPLAUSIBLE"), (*_row(end_date="x"), True, "hold", "END_DATE_INVALID"), (*_row(end_date="1997-06-01"), True, "hold", "END_BEFORE_START"), (*_row(end_date="1999-06-01"), True, "hold", "SPAN_IMPLAUSIBLE"), (*_row(time="varies"), True, "publish", "TIME_PLACEHOLDER"),
         (*_row(raw_city="12 Main St"), True, "hold", "ADDRESS_IN_CITY"), (*_row(raw_city="Troy, MI"), True, "hold", "CITY_HAS_REGION"), (*_row(raw_city="TBD"), True, "hold", "CITY_PLACEHOLDER"), (*_row(raw_city="Atlantis"), True, "publish", "CITY_UNRECOGNIZED"), (*_row(), False, "hold", "OUTSIDE_ORBIT"), (*_row(), None, "hold", "ORBIT_UNKNOWN"),
-        (*_row(raw_name="Hall"), True, "publish", "VENUE_UNLINKED"), (*_row(rule="closure_notice"), True, "reject", "NOT_AN_EVENT"), (*_row(rule="closure_notice", title=None), True, "skip", "TITLE_MISSING|NOT_AN_EVENT"), (*_row(description="<b>x</b>"), True, "hold", "MARKUP_IN_TEXT"), (*_row(description_source="generated"), True, "publish", "PROVENANCE_WITHOUT_DESCRIPTION"),
+        (*_row(raw_name="Hall"), True, "publish", "VENUE_UNLINKED"), (*_row(rule="closure_notice"), True, "reject", "NOT_AN_EVENT:closure_notice"), (*_row(rule="closure_notice", title=None), True, "skip", "TITLE_MISSING|NOT_AN_EVENT:closure_notice"), (*_row(description="<b>x</b> R&amp;B"), True, "publish", ""), (*_row(description="x < Style y"), True, "hold", "MARKUP_IN_TEXT"), (*_row(raw_city="<script>"), True, "hold", "CITY_UNRECOGNIZED|MARKUP_IN_TEXT"), (*_row(title="Event"), True, "hold", "TITLE_PLACEHOLDER"), (*_row(title="unknown"), True, "publish", ""),
+        (*_row(start_date="1996-06-10"), True, "publish", ""), (*_row(start_date="1996-06-09"), True, "hold", "START_DATE_IMPLAUSIBLE"), (*_row(start_date="1999-06-11"), True, "publish", ""), (*_row(start_date="1999-06-12"), True, "hold", "START_DATE_IMPLAUSIBLE"), (*_row(title="Consultation by appointment"), True, "hold", "ELIGIBILITY_UNCERTAIN"),
+        (*_row(title="By appointment", rule="closure_notice"), True, "reject", "NOT_AN_EVENT:closure_notice"), (*_row(description="TODO: ask", raw_name="Hall, spot-check"), True, "hold", "VENUE_UNLINKED|INTERNAL_COMMENTARY_IN_PUBLIC_FIELD|INTERNAL_COMMENTARY_IN_PUBLIC_FIELD"), (*_row(description="Researched 2019-05"), True, "hold", "INTERNAL_COMMENTARY_IN_PUBLIC_FIELD"),
+        (*_row(description="A talk", description_source="authoritative"), True, "publish", "PROVENANCE_CLAIM_UNSUPPORTED"), (*_row(description_source="generated"), True, "publish", "PROVENANCE_WITHOUT_DESCRIPTION"),
     ],
     lambda: {"decision": (x := N.gate({f: c(f) for f in _GATE}, F.lit(date(1997, 6, 11)), c("raw_city").isin("Troy", "Novi"), c("rule"), c("inside")))["decision"], "issues": F.array_join(x["issues"], "|")},
 )
@@ -366,7 +369,8 @@ cases(
         ([], "Jazz", "A trio plays old songs.", "7 PM", False, 1, True, True, "https://a.org/e", None, "ok", date(1997, 6, 10), "https://a.org/i.png", [], "current", True, "pass|pass|pass|pass|pass|pass|pass|pass|pass"),
         (["venue_placeholder", "required_fact_missing"], "Jazz", None, None, False, None, False, False, None, None, None, None, None, [], "stale", True, "fail|fail|fail|review|unchecked|unchecked|fail|fail|fail"),
         (["start_time_unconfirmed", "same_event_link_collision"], "Jazz", "A trio plays old songs.", None, False, None, None, True, "https://a.org/e", None, "inconclusive", None, "/assets/placeholders/a.png", ["start_date"], "stale", False, "pass|unchecked|unchecked|unchecked|review|review|review|review|fail"),
-        (["venue_resolution_review"], "Jazz", "A trio plays old songs.", "7 PM", False, 4, True, True, "https://a.org/e", None, "ok", date(1997, 5, 1), "x", ["time_display"], "current", True, "pass|pass|review|pass|unchecked|pass|pass|unchecked|pass"),
+        (["venue_resolution_review"], "Jazz", "A trio plays old songs.", "7 PM", False, 4, True, True, "https://a.org/e", None, "ok", date(1997, 5, 27), "x", ["time_display"], "current", True, "pass|pass|review|pass|unchecked|pass|pass|unchecked|pass"),
+        (["venue_resolution_review"], "Jazz", "A trio plays old songs.", "7 PM", False, 4, True, True, "https://a.org/e", None, "ok", date(1997, 5, 28), "x", ["time_display"], "current", True, "pass|pass|review|pass|unchecked|pass|pass|pass|pass"),
         ([], "Jazz", "A trio plays old songs.", None, True, None, None, None, "x", "https://t.org/e", "dead", None, "x", [], None, None, "pass|unchecked|unchecked|unchecked|unchecked|unchecked|pass|fail|pass"),
     ],
     lambda: {"outcomes": (lambda x: F.concat_ws("|", *(x[k] for k in _CHECKS)))(N.coverage(c("found"), {f: c(f) for f in ("title", "description", "time", "all_day", "venue_id", "venue_verified", "compared", "event_url", "ticket_url", "link_status", "checked_at", "image_url")}, c("locked"), c("currency"), c("seen"), F.lit(date(1997, 6, 11))))},
@@ -555,7 +559,7 @@ cases(
 )
 cases(
     "geocode_answer", "found array<struct<lat:double,lng:double,state:string>>", {"status": S, "lat": D},
-    [([(42.0, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.0005, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.5, -83.0, "MI")], "ambiguous", None), ([(42.0, -83.0, "OH")], "other_state", None), ([], "no_match", None), (None, "no_match", None)],
+    [([(42.0, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.0002, -83.0, "MI")], "ok", 42.0), ([(42.0, -83.0, "MI"), (42.0003, -83.0, "MI")], "ambiguous", None), ([(42.0, -83.0, "MI"), (42.5, -83.0, "MI")], "ambiguous", None), ([(42.0, -83.0, "OH")], "other_state", None), ([], "no_match", None), (None, "no_match", None)],
     lambda: {"status": (x := A.geocode_answer(c("found"), F.lit("MI")))["status"], "lat": x["lat"]},
 )
 

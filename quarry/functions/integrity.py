@@ -9,6 +9,7 @@ from ..operators.quality import codes, first_reason, worst
 from . import urls
 from .classes import placeholder_venue, says
 from .text import blank, description_quality, plain, present
+from .tokens import bound
 
 #: Limits and the patterns that mark placeholders.
 LONG_RUN, LONGEST_RUN = 30, 366
@@ -22,8 +23,16 @@ BOILERPLATE = (
 )
 NO_TICKET = ("door", "rsvp_no_advance_sale", "free", "registration_required")
 GENERIC_PAGES = ("motorcitywine.com/calendar",)
-#: Years a listing may lie in the past or future, and days it may run, at the gate.
-PAST_DAYS, FUTURE_DAYS, SPAN_DAYS = 30, 730, 400
+#: Days a listing may lie in the past or future, and may run, at the gate; days a checked link is fresh.
+PAST_DAYS, FUTURE_DAYS, SPAN_DAYS, FRESH_DAYS = 366, 730, 400, 14
+#: Titles and cities that say nothing, staff's words that no visitor may read, markup, and titles that leave open whether all may come.
+NO_TITLES = r"(?i)^(?:untitled(?: event)?|tbd|tba|n/?a|none|null|undefined|event|test|no title)$"
+STAFF_WORDS = ("jody", "spot-check", "spotcheck", "before approving", "machine-guessed", "internal note", "included per", "dup_merged_into", "ra_enrichment")
+STAFF_FORMS = r"(?i)\b(?:todo|follow-?up):|\bresearched 20\d\d-\d\d|\bgate v\d"
+MARKUP_TAGS = ("style", "script")
+UNCERTAIN_TITLES = ("by appointment", "appointment only", "appointments only", "private tour", "private session", "private lesson", "consultation", "closed to the public")
+#: Columns that visitors read, by their names here.
+PUBLIC_TEXT = ("title", "description", "raw_name", "raw_address", "raw_city")
 
 
 def _text(x: Column) -> Column:
@@ -124,29 +133,46 @@ def integrity(fields: dict[str, Column]) -> Column:
     return F.struct(worst(found).alias("state"), found.alias("codes"))
 
 
-def gate(fields: dict[str, Column], today: Column, known_city: Column, non_event: Column, inside: Column | None = None, time_required: bool = False) -> Column:
-    """struct(decision, issues) for a row about to be written: skip, reject, hold or publish, by the gravest issue."""
-    e = {f: fields.get(f, F.lit(None).cast("string")) for f in ("title", "external_id", "source", "category", "start_date", "end_date", "time", "raw_city", "raw_name", "venue_id", "description", "description_source")}
-    s, f = present(e["start_date"]).try_cast("date"), present(e["end_date"]).try_cast("date")
-    city, time = _text(e["raw_city"]), _text(e["time"])
+def gate(
+    fields: dict[str, Column], today: Column, known_city: Column, non_event: Column, inside: Column | None = None, time_required: bool = False, strict_city: bool = False, authoritative: bool = False, uncertain: Column | None = None,
+) -> Column:
+    """struct(decision, issues, eligibility) for a row about to be written: skip, reject, hold or publish, by the gravest issue.
+
+    non_event names the rule by which a title is no event; inside is null where the orbit is unknown; uncertain is the caller's own doubt.
+    An issue of a public text comes once for each text that has it.
+    """
+    names = ("title", "external_id", "source", "category", "start_date", "end_date", "time", "raw_city", "raw_name", "raw_address", "venue_id", "description", "description_source")
+    e = {f: fields.get(f, F.lit(None).cast("string")) for f in names}
+    iso = lambda x: F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), x.try_cast("date"))
+    s, f = iso(e["start_date"]), iso(e["end_date"])
+    city, time, title = _text(e["raw_city"]), _text(e["time"]), F.coalesce(e["title"], F.lit(""))
     has_digit, region = city.rlike(r"\d"), city.rlike(r",|\b(?:MI|OH|Michigan|Ohio|Ontario|ON)\b\.?$")
-    unset = lambda x: _text(x).rlike(r"(?i)^(?:tba|tbd|untitled(?: event)?|to be announced|n/?a|none|unknown)$")
-    table = (
+    unset = lambda x: _text(x).rlike(NO_TITLES)
+    ends = ~blank(e["end_date"]) & s.isNotNull()
+    doubtful = non_event.isNull() & (says(title, UNCERTAIN_TITLES) | (F.coalesce(uncertain, F.lit(False)) if uncertain is not None else F.lit(False)))
+    staff = lambda x: says(x, STAFF_WORDS) | F.coalesce(x, F.lit("")).rlike(STAFF_FORMS)
+    markup = lambda x: F.exists(F.split(F.lower(F.coalesce(x, F.lit(""))), "<"), lambda p: F.regexp_extract(F.ltrim(p), r"^(\w+)", 1).isin(*MARKUP_TAGS)) & F.contains(x, F.lit("<"))
+    table = [
         ("TITLE_MISSING", "skip", blank(e["title"])), ("TITLE_PLACEHOLDER", "hold", unset(e["title"])), ("IDENTITY_MISSING", "skip", blank(e["external_id"])), ("SOURCE_MISSING", "hold", blank(e["source"])), ("CATEGORY_MISSING", "skip", blank(e["category"])),
-        ("START_DATE_INVALID", "skip", s.isNull()), ("START_DATE_IMPLAUSIBLE", "hold", ~F.datediff(s, today).between(-PAST_DAYS, FUTURE_DAYS)), ("END_DATE_INVALID", "hold", s.isNotNull() & ~blank(e["end_date"]) & f.isNull()), ("END_BEFORE_START", "hold", f < s),
-        ("SPAN_IMPLAUSIBLE", "hold", F.datediff(f, s) > SPAN_DAYS), ("TIME_MISSING", "hold", F.lit(time_required) & (time == "")), ("TIME_PLACEHOLDER", "info", time.rlike(r"(?i)^(?:evening|tba|tbd|varies|see (?:lineup|site|website))$")),
+        ("START_DATE_INVALID", "skip", s.isNull()), ("START_DATE_IMPLAUSIBLE", "hold", ~F.datediff(s, today).between(-PAST_DAYS, FUTURE_DAYS)), ("END_DATE_INVALID", "hold", ends & f.isNull()), ("END_BEFORE_START", "hold", ends & (f < s)),
+        ("SPAN_IMPLAUSIBLE", "hold", ends & (F.datediff(f, s) > SPAN_DAYS)), ("TIME_MISSING", "hold", F.lit(time_required) & (time == "")), ("TIME_PLACEHOLDER", "info", time.rlike(r"(?i)^(?:evening|tba|tbd|varies|see (?:lineup|site|website))$")),
         ("ADDRESS_IN_CITY", "hold", has_digit), ("CITY_HAS_REGION", "hold", ~has_digit & region), ("CITY_PLACEHOLDER", "hold", ~has_digit & ~region & unset(e["raw_city"])),
-        ("CITY_UNRECOGNIZED", "info", (city != "") & ~has_digit & ~region & ~unset(e["raw_city"]) & ~F.coalesce(known_city, F.lit(False))), ("OUTSIDE_ORBIT", "hold", ~inside if inside is not None else F.lit(False)),
-        ("ORBIT_UNKNOWN", "hold", inside.isNull() if inside is not None else F.lit(False)), ("VENUE_UNLINKED", "info", ~blank(e["raw_name"]) & blank(e["venue_id"].cast("string"))), ("NOT_AN_EVENT", "reject", non_event.isNotNull()),
-        ("MARKUP_IN_TEXT", "hold", F.concat_ws(" ", e["title"], e["description"]).rlike(r"<[a-zA-Z/!][^>]*>|&[a-z]+;|&#\d+;")), ("PROVENANCE_WITHOUT_DESCRIPTION", "info", ~blank(e["description_source"]) & blank(e["description"])),
-    )
-    holds = [(n, k, F.coalesce(c, F.lit(False))) for n, k, c in table]
-    some = lambda kind: F.greatest(*(c.cast("int") for _, k, c in holds if k == kind)) == 1 if sum(k == kind for _, k, _ in holds) > 1 else next(c for _, k, c in holds if k == kind)
-    decision = first_reason([(k, some(k)) for k in ("skip", "reject", "hold")], "publish")
-    return F.struct(decision.alias("decision"), F.array_compact(F.array(*(F.when(c, n) for n, _, c in holds))).alias("issues"))
+        ("CITY_UNRECOGNIZED", "hold" if strict_city else "info", (city != "") & ~has_digit & ~region & ~unset(e["raw_city"]) & ~F.coalesce(known_city, F.lit(False))), ("OUTSIDE_ORBIT", "hold", ~inside if inside is not None else F.lit(False)),
+        ("ORBIT_UNKNOWN", "hold", inside.isNull() if inside is not None else F.lit(False)), ("VENUE_UNLINKED", "info", ~blank(e["raw_name"]) & blank(e["venue_id"].cast("string"))), ("NOT_AN_EVENT", "reject", non_event.isNotNull()), ("ELIGIBILITY_UNCERTAIN", "hold", doubtful),
+        *((code, "hold", test(e[x])) for x in PUBLIC_TEXT for code, test in (("INTERNAL_COMMENTARY_IN_PUBLIC_FIELD", staff), ("MARKUP_IN_TEXT", markup))),
+        ("PROVENANCE_CLAIM_UNSUPPORTED", "info", (e["description_source"] == "authoritative") & F.lit(not authoritative)), ("PROVENANCE_WITHOUT_DESCRIPTION", "info", F.coalesce(e["description_source"] != "", F.lit(False)) & blank(e["description"])),
+    ]
+    holds = [(F.concat(F.lit("NOT_AN_EVENT:"), non_event) if n == "NOT_AN_EVENT" else F.lit(n), k, F.coalesce(c, F.lit(False))) for n, k, c in table]
+    found = F.array_compact(F.array(*(F.when(c, F.struct(n.alias("issue"), F.lit(k).alias("kind"))) for n, k, c in holds)))
+
+    def verdict(x: Column) -> Column:
+        decision = first_reason([(k, F.exists(x, lambda i: i["kind"] == k)) for k in ("skip", "reject", "hold")], "publish")  # noqa: B023
+        return F.struct(decision.alias("decision"), F.transform(x, lambda i: i["issue"]).alias("issues"), F.when(non_event.isNotNull(), "negative").when(F.coalesce(doubtful, F.lit(False)), "uncertain").otherwise("positive").alias("eligibility"))
+
+    return bound(found, verdict)
 
 
-def coverage(found: Column, fields: dict[str, Column], locked: Column, currency: Column, row_level: Column, now: Column, fresh_days: int = 7) -> Column:
+def coverage(found: Column, fields: dict[str, Column], locked: Column, currency: Column, row_level: Column, now: Column, fresh_days: int = FRESH_DAYS) -> Column:
     """struct of outcomes (pass, review, fail, unchecked), one for each check; found are the row's finding codes."""
     e, no = fields, F.lit(False)
     has = lambda *c: F.arrays_overlap(found, F.array(*(F.lit(x) for x in c)))

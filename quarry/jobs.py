@@ -56,7 +56,7 @@ zf AS (SELECT slug, coalesce(min(CASE WHEN coalesce(fetched, -1) <> 0 THEN k END
 g AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY started_at DESC, run_id DESC) AS q FROM d WHERE outcome IN ('success', 'partial')),
 v AS (SELECT slug, max(CASE WHEN q = 1 THEN started_at END) AS good, count(CASE WHEN q <= 8 THEN 1 END) AS ng, max(CASE WHEN q = 1 THEN fetched END) AS nf, max(CASE WHEN q = 1 THEN written END) AS nw,
   quantile_cont(CASE WHEN q BETWEEN 2 AND 8 THEN fetched END, 0.5) AS bf, quantile_cont(CASE WHEN q BETWEEN 2 AND 8 THEN written END, 0.5) AS bw FROM g GROUP BY 1),
-h AS (SELECT slug, count(*) AS examined, count(*) FILTER (outcome = 'started' AND finished_at IS NULL AND epoch(TIMESTAMP '{NOW}') - epoch(started_at) > 1800) AS aband, count(*) FILTER (outcome IN ('failed', 'blocked')) AS failed FROM n WHERE k BETWEEN 2 AND 15 GROUP BY 1),
+h AS (SELECT slug, count(*) AS examined, count(*) FILTER (outcome = 'started' AND finished_at IS NULL AND epoch(TIMESTAMP '{NOW}') - epoch(started_at) > 900) AS aband, count(*) FILTER (outcome IN ('failed', 'blocked')) AS failed FROM n WHERE k BETWEEN 2 AND 15 GROUP BY 1),
 ev AS (SELECT o_orderkey, (SELECT min(slug) FROM s) AS none, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'pending_review' END AS status, TIMESTAMP '2024-01-29' - CAST(o_orderkey % 40 AS INT) * INTERVAL 1 HOUR AS seen, o_orderkey % (SELECT count(*) FROM s) AS j FROM orders),
 so AS (SELECT *, row_number() OVER (ORDER BY slug) - 1 AS j FROM s),
 cu AS (SELECT s.slug, s.cadence, CASE WHEN cadence IS NULL THEN NULL WHEN last_retrieving IS NOT NULL THEN last_retrieving - INTERVAL 1 HOUR WHEN runs IS NULL THEN TIMESTAMP '{NOW}' - CAST(2 * cadence + 6 AS INT) * INTERVAL 1 HOUR END AS cutoff FROM s LEFT JOIN x USING (slug) LEFT JOIN a USING (slug)),
@@ -65,8 +65,8 @@ SELECT s.slug, coalesce(runs, 0) AS runs, l.outcome AS last_outcome, e.fetched A
   coalesce(pend, 0) AS upcoming_pending, cur / nullif(CAST(cur + stale AS DOUBLE), 0) AS reseen_share,
   coalesce(e.started_at = good AND ng >= 3 AND abs(nf - bf) >= 5 AND CASE WHEN bf = 0 THEN nf > 0 ELSE abs(nf - bf) > 0.5 * bf END, false) OR coalesce(e.started_at = good AND ng >= 3 AND abs(nw - bw) >= 5 AND CASE WHEN bw = 0 THEN nw > 0 ELSE abs(nw - bw) > 0.5 * bw END, false) AS volume_deviates,
   coalesce(examined, 0) AS runs_examined, coalesce(aband, 0) AS abandoned_earlier, coalesce(failed, 0) AS failed_earlier, strftime(x.last_success, '%Y-%m-%d %H:%M:%S') AS last_success_at, strftime(x.last_retrieving, '%Y-%m-%d %H:%M:%S') AS last_retrieving_at,
-  CASE WHEN l.slug IS NULL THEN 'unknown' WHEN (l.outcome = 'started' AND l.finished_at IS NULL AND epoch(TIMESTAMP '{NOW}') - epoch(l.started_at) > 1800) OR coalesce(e.outcome IN ('failed', 'blocked'), false) THEN 'fail' WHEN e.slug IS NOT NULL THEN 'ok' ELSE 'unknown' END AS execution,
-  CASE WHEN e.fetched IS NULL THEN 'unknown' WHEN e.fetched > 0 THEN 'ok' ELSE 'fail' END AS retrieval, CASE WHEN s.cadence IS NULL OR coalesce(cur + stale, 0) < 1 THEN 'unknown' WHEN cur + stale >= 5 AND cur / (cur + stale) < 0.5 THEN 'fail' ELSE 'ok' END AS currency
+  CASE WHEN l.slug IS NULL THEN 'unknown' WHEN (l.outcome = 'started' AND l.finished_at IS NULL AND epoch(TIMESTAMP '{NOW}') - epoch(l.started_at) > 900) OR coalesce(e.outcome IN ('failed', 'blocked'), false) THEN 'fail' WHEN e.slug IS NOT NULL THEN 'ok' ELSE 'unknown' END AS execution,
+  CASE WHEN e.fetched IS NULL THEN 'unknown' WHEN e.fetched > 0 THEN 'ok' ELSE 'fail' END AS retrieval, CASE WHEN s.cadence IS NULL OR coalesce(cur + stale, 0) < 1 THEN 'unknown' WHEN cur + stale >= 3 AND cur / (cur + stale) < 0.5 THEN 'fail' ELSE 'ok' END AS currency
 FROM s LEFT JOIN a USING (slug) LEFT JOIN l ON l.slug = s.slug LEFT JOIN e ON e.slug = s.slug LEFT JOIN x ON x.slug = s.slug LEFT JOIN zf ON zf.slug = s.slug LEFT JOIN v ON v.slug = s.slug LEFT JOIN h ON h.slug = s.slug LEFT JOIN ec ON ec.slug = s.slug""")
 def source_health(spark, d):
     runs = _runs(spark, d)
@@ -165,7 +165,7 @@ def flagged_rows(spark, d):
   CASE WHEN o_custkey % 40 < 20 THEN o_orderpriority ELSE '1-URGENT' END AS family, CAST(o_orderdate AS DATE) AS day FROM orders),
 f AS (SELECT name_key, family, family = '1-URGENT' AS own, count(DISTINCT day) AS days, family = '5-LOW' AS copies FROM s GROUP BY 1, 2), g AS (SELECT name_key, count(*) AS families, count(*) FILTER (NOT copies) AS agreeing, max(CASE WHEN NOT copies AND own THEN days END) AS own_days FROM f GROUP BY 1),
 p AS (SELECT name_key, count(DISTINCT street_key) AS streets, count(DISTINCT city) AS cities, min(address) AS address, min(CASE WHEN city = 'Troy' THEN city END) AS city, min(street_key) AS st FROM s GROUP BY 1),
-z AS (SELECT name_key, CASE WHEN name_key IN ('hall 0', 'hall 15') AND (streets > 1 OR cities > 1 OR st <> 'main' || split_part(name_key, ' ', 2)) THEN 'canonical_conflict' WHEN name_key IN ('hall 0', 'hall 15') THEN 'canonical' WHEN cities > 1 THEN 'ambiguous' WHEN streets > 1 THEN 'conflict' WHEN agreeing >= 2 THEN 'learned' WHEN agreeing = 1 AND own_days >= 3 THEN 'learned_first_party' ELSE 'single_source' END AS status, address, city, families FROM p JOIN g USING (name_key))
+z AS (SELECT name_key, CASE WHEN name_key IN ('hall 0', 'hall 15') AND (streets > 1 OR cities > 1 OR st <> 'main' || split_part(name_key, ' ', 2)) THEN 'canonical_conflict' WHEN name_key IN ('hall 0', 'hall 15') THEN 'canonical' WHEN cities > 1 THEN 'ambiguous' WHEN streets > 1 THEN 'conflict' WHEN agreeing >= 2 THEN 'learned' WHEN agreeing = 1 AND own_days >= 2 THEN 'learned_first_party' ELSE 'single_source' END AS status, address, city, families FROM p JOIN g USING (name_key))
 SELECT name_key, status, CASE WHEN status IN ('learned', 'learned_first_party', 'single_source') THEN address END AS address, CASE WHEN status IN ('learned', 'learned_first_party', 'single_source') THEN city END AS city, families FROM z""")
 def venue_knowledge(spark, d):
     h, k = c("o_custkey") % 40, c("o_orderkey")

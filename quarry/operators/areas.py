@@ -42,7 +42,11 @@ def metres(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.hypot((lat2 - lat1) * 111_320.0, (lng2 - lng1) * 111_320.0 * F.cos(F.radians((lat1 + lat2) / 2)))
 
 
-def geocode_answer(candidates: Column, state: Column, spread: float = 150.0) -> Column:
+#: Fixed value: metres within which candidates are one place.
+SAME_SPOT = 30.0
+
+
+def geocode_answer(candidates: Column, state: Column, spread: float = SAME_SPOT) -> Column:
     """struct(status, lat, lng) of array of struct(lat, lng, state): candidates of the state that lie together are one place, else ambiguous."""
     own = F.filter(candidates, lambda x: x["state"] == state)
     first = F.get(own, F.lit(0))

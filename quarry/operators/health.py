@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .quality import first_reason
 
 #: Limits of the measures.
-LOOKBACK_RUNS, BASELINE, STALLED_MINUTES, GRACE_HOURS, STREAK_FAILING = 14, 7, 30, 6, 3
-STALE_EVENTS, STALE_SHARE, DEVIATION, LEAST_DEVIATION, ABANDONED_DAYS = 5, 0.5, 0.5, 5, 7
+LOOKBACK_RUNS, BASELINE, STALLED_MINUTES, GRACE_HOURS, STREAK_FAILING = 14, 7, 15, 6, 3
+STALE_EVENTS, STALE_SHARE, DEVIATION, LEAST_DEVIATION, ABANDONED_DAYS = 3, 0.5, 0.5, 5, 3
 DONE = ("success", "partial")
 
 

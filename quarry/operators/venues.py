@@ -151,7 +151,11 @@ def resolve(events: DataFrame, venues: DataFrame, knowledge: DataFrame | None =
     return out
 
 
-def learn(statements: DataFrame, canonical: DataFrame, independent: int = 2, first_party_dates: int = 3) -> DataFrame:
+#: Independent sources, or dates of a place's own source, that settle where it is.
+INDEPENDENT, OWN_DATES = 2, 2
+
+
+def learn(statements: DataFrame, canonical: DataFrame, independent: int = INDEPENDENT, first_party_dates: int = OWN_DATES) -> DataFrame:
     """(name_key, status, address, city, families) from statements(name, street_key, address, city, family, copies, first_party, day).
 
     A venue's record (canonical(name, street_key, city)) stands unless a statement contradicts it. Without a record: two streets or
