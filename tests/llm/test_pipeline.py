@@ -114,3 +114,14 @@ def test_null_and_repeated_rows(spark, tables):
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "1", "None"]
     assert sorted((str(r["doc_id"]), r["text"]) for r in stages["substring_dedup"](spark, near, tables).collect()) == [("1", text), ("1", text), ("None", "")]
     assert stages["mixing"](spark, docs, tables).agg(F.sum("size")).first()[0] == 200
+
+
+def test_stages_keep_columns_named_like_results(spark, tables):
+    """Columns of documents that have the names of operators' results come out of every stage as they went in."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ("score", "kept", "_text", "items", "size", "n_words", "held_out", "predicted", "row", "text_as_it_was", "row_of_documents", "_")
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == f"{n} of {r['doc_id']}" for r in out.collect() for n in names), name
