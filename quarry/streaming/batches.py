@@ -57,6 +57,41 @@ def merge_into(table: str, key: str, now: Callable[[], str] | None = None, bucke
     return write
 
 
+def observed(write: Callable[[DataFrame, int], None], quality: str, checks: dict, by: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that writes a batch's rows by `write` and beside them, for each check, how many rows fail it.
+
+    checks: name -> Column that is true where a row fails. Counts of an epoch are one folder that is overwritten, as `write` does with its own, so an epoch
+    that is repeated changes neither; checks observe and never stop a row.
+    """
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = batch.persist()  # both sinks see the same rows
+        try:
+            counts = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()]
+            one = (rows.groupBy(by) if by else rows.groupBy()).agg(F.count("*").alias("rows"), *counts)
+            one.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{quality}/epoch-{epoch}")
+            write(rows, epoch)
+        finally:
+            rows.unpersist()
+
+    return sink
+
+
+def observations(spark, quality: str, by: str | None = None) -> DataFrame:
+    """Counts of all epochs together."""
+    seen = spark.read.parquet(f"{quality}/epoch-*").drop("epoch")
+    names = [c for c in seen.columns if c != by]
+    return (seen.groupBy(by) if by else seen.groupBy()).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def touched(df: DataFrame, before: DataFrame, key: str, columns: list[str], now) -> DataFrame:
+    """df with updated_at: now where a row is new or one of the columns differs from before, else what it was."""
+    old = before.select(F.col(key).alias("_k"), F.struct(*columns).alias("_old"), F.col("updated_at").alias("_was"))
+    j = df.drop("updated_at").join(old, F.col(key) == F.col("_k"), "left")
+    same = F.col("_k").isNotNull() & F.col("_old").eqNullSafe(F.struct(*columns))
+    return j.withColumn("updated_at", F.when(same, F.col("_was")).otherwise(F.lit(now).cast("timestamp"))).drop("_k", "_old", "_was")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what is there and stop."""
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
