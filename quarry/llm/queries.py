@@ -26,7 +26,7 @@ from .urlfilter import url_verdicts
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 TOP_K = 10
 #: Batches in which substring dedup takes the documents into its index.
-BATCHES = 4
+BATCHES = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

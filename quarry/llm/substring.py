@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_dir, slices, text_bytes, without
+from .common import partitions, shared_dir, slices, text_bytes, without
 from .kernel import SPACED, Words, chain_at, covered, member, winnow
 
 WINDOW, GRAM = 13, 7
@@ -386,8 +386,7 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
     """All columns of docs but text, then kept (text of the words left, joined by one space), n_words, n_removed.
 
     With an index and the earlier documents it was built from (history), their windows count as well, by doc_id as ever; the batch's runs
-    are added to the index first. To verify, the earlier documents are read again, and those in chunks that share a fingerprint with the
-    batch are shuffled.
+    are added to the index first. To verify, the earlier documents are read and shuffled again.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -405,13 +404,10 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, histo
         for t in earlier:
             runs = runs.unionByName(index.runs([t], bucket_bits).mapInArrow(_as_old(chunk_bits - t[1], bucket_bits), _RUN))
     repeated = runs.groupBy("bucket").applyInArrow(_merge_runs, "chunk int, keys binary")
-    if index is not None and earlier and history is not None:
-        repeated = cut(repeated)  # fingerprints that occur twice, for three readers
     met_schema = "bucket int, chunk int, hi binary, lo binary, twice binary, docs binary, counts binary"
     met = mine.groupBy("chunk").cogroup(repeated.where("chunk >= 0").groupBy("chunk")).applyInArrow(_windows_of(window, gram, bucket_bits), met_schema)
     if index is not None and earlier and history is not None:
-        hit = F.broadcast(repeated.where("chunk < 0").select("chunk").distinct())  # at most a row a chunk
-        past = _chunked(history, chunk_bits, True).join(hit, "chunk", "left_semi").repartition(n, "chunk")
+        past = _chunked(history, chunk_bits, True).repartition(n, "chunk")
         met = met.unionByName(past.groupBy("chunk").cogroup(repeated.where("chunk < 0").groupBy("chunk")).applyInArrow(_windows_of(window, gram, bucket_bits), met_schema))
     gone = met.groupBy("bucket").applyInArrow(_merge_windows, "chunk int, hi binary, lo binary, own binary")
     carried = mine.schema["carried"].dataType
@@ -432,7 +428,7 @@ def remove_repeats_in_batches(docs: DataFrame, path: str, batches: int, chunk_by
         high = F.col("doc_id") <= int(end) if end is not None else F.lit(True)
         batch = docs.where(low & high if end is not None else low)
         remove_repeats(batch, index, docs.where(~F.coalesce(low, F.lit(True))) if k else None).select(*columns).write.parquet(f"{path}/kept-{k}")
-        if k + 1 < batches and len(index.tables) > 2:
+        if k + 1 < batches and len(index.tables) > 1:
             index.compact()
         low = F.coalesce(F.col("doc_id") > int(end), F.lit(True)) if end is not None else low
         here = spark.read.parquet(f"{path}/kept-{k}")
