@@ -130,9 +130,9 @@ def listing_cards(spark, d):
     return pairs.listing_cards(rows, cards)
 
 
-@query("SELECT o_orderkey, 'uid-' || left(sha1(CAST(o_orderkey AS VARCHAR)), 12) || '-' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS stable, 'ical-' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '-' || left(md5(o_orderpriority), 10) AS legacy, 'x:' || least(o_orderkey, o_custkey) || ':' || greatest(o_orderkey, o_custkey) AS key FROM orders WHERE length(CAST(o_orderkey AS VARCHAR)) = length(CAST(o_custkey AS VARCHAR))")
+@query("SELECT o_orderkey, 'uid-' || left(sha1(CAST(o_orderkey AS VARCHAR)), 12) || '-' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS stable, 'ical-' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '-' || left(md5(o_orderpriority), 10) AS legacy, 'x:' || array_to_string(list_sort([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)]), ':') AS key FROM orders")
 def stable_ids(spark, d):
-    o = t(spark, d, "orders").where(F.length(c("o_orderkey").cast("string")) == F.length(c("o_custkey").cast("string")))
+    o = t(spark, d, "orders")
     day = c("o_orderdate").cast("date")
     return o.select("o_orderkey", pairs.stable_id("uid-", c("o_orderkey"), day).alias("stable"), pairs.legacy_id("ical-", day, c("o_orderpriority")).alias("legacy"), pairs.finding_key("x", c("o_orderkey"), c("o_custkey")).alias("key"))
 

@@ -5,15 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to spark.checkpoint.dir; where it is unset and all runs in one process, as in tests, to a new temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and all runs in one process, as in tests, a new temporary folder."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        conf = sc.getConf().get("spark.checkpoint.dir")
         if not conf and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return conf or sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .quality import worst
+from .quality import STATES, worst
 
 
 def counted(rows: DataFrame, values: Mapping[str, Column], upcoming: Column | None = None) -> DataFrame:
@@ -17,7 +17,11 @@ def counted(rows: DataFrame, values: Mapping[str, Column], upcoming: Column | No
     a row becomes a (section, key) for each of its values, and these are counted before they are shuffled.
     """
     is_list = {k: rows.select(v.alias("v")).schema["v"].dataType.typeName() == "array" for k, v in values.items()}
-    each = [F.transform(v.cast("array<string>") if is_list[k] else F.array(v.cast("string")), lambda x, k=k: F.struct(F.lit(k).alias("section"), x.alias("key"))) for k, v in values.items()]
+
+    def keys(section: str, v: Column) -> Column:
+        return F.transform(v.cast("array<string>") if is_list[section] else F.array(v.cast("string")), lambda x: F.struct(F.lit(section).alias("section"), x.alias("key")))
+
+    each = [keys(k, v) for k, v in values.items()]
     flat = rows.select(F.explode(F.filter(F.flatten(F.array(*(F.coalesce(e, F.array().cast("array<struct<section:string,key:string>>")) for e in each))), lambda x: x["key"].isNotNull())).alias("s"), (upcoming if upcoming is not None else F.lit(True)).alias("_u"))
     return flat.groupBy("s.section", "s.key").agg(F.count("*").alias("n"), F.count_if("_u").alias("upcoming"))
 
@@ -31,7 +35,7 @@ def first_keys(counts: DataFrame, section: str, most: int, prefix: str = "|") ->
 
 
 def inventory(rows: DataFrame, cutoffs: DataFrame, observation: Observation | None = None) -> DataFrame:
-    """counted() of rows(id, status, source, start_date, seen_at, codes: array of struct(code, state)) for a report.
+    """counted() of rows(id, status, source, start_date, seen_at, codes: array of struct(code, rank)) for a report.
 
     cutoffs(source, cutoff) say since when a source's events must have been seen: an older one is stale, and stale adds a finding before
     the worst state is taken, so that the second pass of a report needs no second scan. Only approved rows have states, codes and currency.
@@ -41,8 +45,8 @@ def inventory(rows: DataFrame, cutoffs: DataFrame, observation: Observation | No
     j = rows.join(cutoffs.select("source", "cutoff"), "source", "left")
     currency = F.when(F.col("cutoff").isNull() | F.col("seen_at").isNull(), "unknown").when(F.col("seen_at") >= F.col("cutoff"), "current").otherwise("stale")
     j = j.withColumn("currency", currency)
-    stale = F.array(F.struct(F.lit("currency.not_reseen").alias("code"), F.lit("advisory").alias("state")))
-    found = F.when(F.col("currency") == "stale", F.concat(F.coalesce("codes", F.array().cast("array<struct<code:string,state:string>>")), stale)).otherwise(F.col("codes"))
+    stale = F.array(F.struct(F.lit("currency.not_reseen").alias("code"), F.lit(STATES.index("advisory")).alias("rank")))
+    found = F.when(F.col("currency") == "stale", F.concat(F.coalesce("codes", F.array().cast("array<struct<code:string,rank:int>>")), stale)).otherwise(F.col("codes"))
     j = j.withColumn("found", found)
     if observation is not None:
         j = j.observe(observation, F.count("*").alias("rows"), F.count_if(F.col("status") == "approved").alias("approved"), F.count_if(F.col("source").isNull()).alias("unattributed"))

@@ -186,28 +186,46 @@ def tz_local_day(spark, d):
     return t(spark, d, "events").select("event_id", day.cast("string").alias("day"), minutes.cast("int").alias("minutes"))
 
 
-@query("""WITH r AS (SELECT * FROM (VALUES ('a', DATE '2026-01-06', 2, 1), ('b', DATE '2026-01-01', 5, 2), ('c', DATE '2026-02-10', 0, 3)) AS v(rule, start, dow, step)),
+# a rule for every customer: by its key the day of the week, the step, the number of the weekday in a month, the day left out and the day moved
+_DAYS = ("SU", "MO", "TU", "WE", "TH", "FR", "SA")
+
+
+def _ruled(spark, d, start, rrule):
+    none = lambda kind: F.lit(None).cast(kind)
+    return t(spark, d, "customer").select(c("c_custkey").alias("uid"), start.alias("start_date"), rrule.alias("rrule"), F.lit("x").alias("summary"), none("string").alias("status"), F.array().cast("array<date>").alias("exdates"), none("date").alias("recurrence_date"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS rule, DATE '2026-01-01' + CAST(c_custkey % 40 AS INT) AS start, c_custkey % 7 AS dow, 1 + c_custkey % 3 AS step FROM customer),
 f AS (SELECT *, start + CAST((dow - dayofweek(start) + 7) % 7 AS INT) AS first FROM r)
 SELECT rule, CAST(CAST(unnest(range(CAST(first AS TIMESTAMP), TIMESTAMP '2026-06-01', to_days(CAST(7 * step AS INT)))) AS DATE) AS VARCHAR) AS day FROM f""")
 def recurrence_weekly(spark, d):
-    rows = [("a", date(2026, 1, 6), "FREQ=WEEKLY;BYDAY=TU"), ("b", date(2026, 1, 1), "FREQ=WEEKLY;INTERVAL=2;BYDAY=FR"), ("c", date(2026, 2, 10), "FREQ=WEEKLY;INTERVAL=3;BYDAY=SU")]
-    e = spark.createDataFrame([(*r, "x", None, [], None) for r in rows], "uid string, start_date date, rrule string, summary string, status string, exdates array<date>, recurrence_date date")
+    k = c("c_custkey")
+    day = F.element_at(F.array(*(F.lit(x) for x in _DAYS)), (k % 7).cast("int") + 1)
+    e = _ruled(spark, d, F.date_add(F.lit(date(2026, 1, 1)), (k % 40).cast("int")), F.concat(F.lit("FREQ=WEEKLY;INTERVAL="), (1 + k % 3).cast("string"), F.lit(";BYDAY="), day))
     return calendar.expand(e, F.lit(date(2026, 5, 31))).select(c("uid").alias("rule"), c("day").cast("string").alias("day"))
 
 
-@query("""WITH m AS (SELECT CAST(unnest(range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 MONTH)) AS DATE) AS m),
-x AS (SELECT 'third_sat' AS rule, m + CAST((6 - dayofweek(m) + 7) % 7 AS INT) + 14 AS day FROM m UNION ALL SELECT 'last_fri', last_day(m) - CAST((dayofweek(last_day(m)) - 5 + 7) % 7 AS INT) FROM m)
+@query("""WITH m AS (SELECT CAST(unnest(range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 MONTH)) AS DATE) AS m), r AS (SELECT c_custkey AS rule, c_custkey % 7 AS dow, c_custkey % 5 AS n FROM customer),
+x AS (SELECT rule, CASE WHEN n < 4 THEN m + CAST((dow - dayofweek(m) + 7) % 7 AS INT) + CAST(7 * n AS INT) ELSE last_day(m) - CAST((dayofweek(last_day(m)) - dow + 7) % 7 AS INT) END AS day FROM r, m)
 SELECT rule, CAST(day AS VARCHAR) AS day FROM x""")
 def recurrence_monthly_nth(spark, d):
-    rows = [("third_sat", "FREQ=MONTHLY;BYDAY=3SA"), ("last_fri", "FREQ=MONTHLY;BYDAY=-1FR")]
-    e = spark.createDataFrame([(u, date(2026, 1, 1), r, "x", None, [], None) for u, r in rows], "uid string, start_date date, rrule string, summary string, status string, exdates array<date>, recurrence_date date")
+    k = c("c_custkey")
+    nth = F.when(k % 5 < 4, (k % 5 + 1).cast("string")).otherwise("-1")
+    e = _ruled(spark, d, F.lit(date(2026, 1, 1)), F.concat(F.lit("FREQ=MONTHLY;BYDAY="), nth, F.element_at(F.array(*(F.lit(x) for x in _DAYS)), (k % 7).cast("int") + 1)))
     return calendar.expand(e, F.lit(date(2026, 12, 31))).select(c("uid").alias("rule"), c("day").cast("string").alias("day"))
 
 
-@query("SELECT CAST(CAST(x AS DATE) AS VARCHAR) AS day FROM range(TIMESTAMP '2026-01-05', TIMESTAMP '2026-03-01', INTERVAL 7 DAY) AS r(x) WHERE CAST(x AS DATE) NOT IN (DATE '2026-01-19', DATE '2026-02-16') UNION ALL SELECT '2026-02-17'")
+@query("""WITH r AS (SELECT c_custkey AS rule, c_custkey % 8 AS x, (c_custkey + 3) % 8 AS y FROM customer), d AS (SELECT rule, x, y, unnest(range(8)) AS i FROM r)
+SELECT rule, CAST(DATE '2026-01-05' + CAST(7 * i + CASE WHEN i = y THEN 1 ELSE 0 END AS INT) AS VARCHAR) AS day FROM d WHERE i <> x""")
 def recurrence_exdate(spark, d):
-    ics = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Weekly\\, long\r\n  title\r\nDTSTART;VALUE=DATE:20260105\r\nDTEND;VALUE=DATE:20260106\r\nRRULE:FREQ=WEEKLY;UNTIL=20260228;BYDAY=MO\r\nEXDATE;VALUE=DATE:20260119\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:u1\r\nSUMMARY:Moved\r\nDTSTART;VALUE=DATE:20260217\r\nRECURRENCE-ID;VALUE=DATE:20260216\r\nEND:VEVENT\r\nEND:VCALENDAR"
-    return calendar.expand(calendar.vevents(spark.createDataFrame([(ics,)], "ics string"), "ics"), F.lit(date(2026, 12, 31))).select(c("day").cast("string").alias("day"))
+    k, first = c("c_custkey"), F.lit(date(2026, 1, 5))
+    stamp = lambda n, more=0: F.date_format(F.date_add(first, (7 * (n % 8) + more).cast("int")), "yyyyMMdd")
+    ics = F.concat(
+        F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u"), k.cast("string"), F.lit("\r\nSUMMARY:Weekly\\, long\r\n  title\r\nDTSTART;VALUE=DATE:20260105\r\nDTEND;VALUE=DATE:20260106\r\nRRULE:FREQ=WEEKLY;UNTIL=20260228;BYDAY=MO\r\nEXDATE;VALUE=DATE:"), stamp(k),
+        F.lit("\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:u"), k.cast("string"), F.lit("\r\nSUMMARY:Moved\r\nDTSTART;VALUE=DATE:"), stamp(k + 3, 1), F.lit("\r\nRECURRENCE-ID;VALUE=DATE:"), stamp(k + 3), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"),
+    )
+    read = calendar.vevents(t(spark, d, "customer").select(ics.alias("ics")), "ics")
+    return calendar.expand(read, F.lit(date(2026, 12, 31))).select(F.substring("uid", 2, 20).cast("long").alias("rule"), c("day").cast("string").alias("day"))
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INT) AS g FROM d),
@@ -277,9 +295,9 @@ def two_tier_resolve(spark, d):
     return lookup.tiered(s, [("name", c("s_suppkey") % 7, a, "v"), ("nation", c("s_nationkey"), b, "v")], "resolved").drop("s_nationkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_new_ids(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
+    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) OR c_custkey IN (3, 6, 9)")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cues
-from .operators import boundary, elements, repair, snapshots
+from .functions import cues, hours
+from .lineage import shared_folder
+from .operators import boundary, elements, families, quality, repair, report, snapshots
+from .sources import calendar, feeds
 from .sources import lines as L
 from .sources.pages import lines
+from .streaming import guard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -197,3 +201,115 @@ def chained_merges(spark, d):
     k = c("o_orderkey")
     rows = t(spark, d, "orders").select(k.alias("id"), F.when(k % 4 == 3, F.concat(F.lit("d"), k.cast("string"))).alias("description"), F.lit("approved").alias("status"), F.lit(None).cast("string").alias("internal_note"))
     return repair.merged(rows, _chains(spark, d)).select("id", "description", "status")
+
+
+@query("""WITH RECURSIVE w AS (SELECT text, source, min(doc_id) AS t0 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY ALL), f AS (SELECT text, min(t0) AS t1, arg_min(source, t0) AS original FROM w GROUP BY text),
+p AS (SELECT w.source, f.original, count(*) AS n FROM w JOIN f ON f.text = w.text WHERE w.source <> f.original AND w.t0 > f.t1 GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT source AS a, original AS b FROM p UNION SELECT original, source FROM p), r AS (SELECT DISTINCT source, source AS reached FROM documents WHERE source IS NOT NULL UNION SELECT r.source, e.b FROM r JOIN e ON e.a = r.reached),
+k AS (SELECT source, min(reached) AS family FROM r GROUP BY 1) SELECT k.source, k.family, (SELECT count(*) FROM p WHERE p.source = k.source) AS repeats FROM k""")
+def source_families(spark, d):
+    told = t(spark, d, "documents").select("source", "text", c("doc_id").alias("at"))
+    pairs = families.copies(told, least=2, share=0.0)
+    n = pairs.groupBy("source").agg(F.count("*").alias("repeats"))
+    return families.families(told, pairs).join(n, "source", "left").select("source", "family", F.coalesce("repeats", F.lit(0)).alias("repeats"))
+
+
+_TOWER = """o AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'pending_review' END AS status, CASE WHEN o_orderkey % 13 > 0 THEN o_orderpriority END AS source, TIMESTAMP '2024-01-29' - CAST(o_orderkey % 40 AS INT) * INTERVAL 1 HOUR AS seen, o_orderdate >= TIMESTAMP '1998-01-01' AS up FROM orders),
+u AS (SELECT (['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'])[event_id % 4 + 1] AS source, max(ts) FILTER (event_type IN ('view', 'click')) - INTERVAL 1 HOUR AS cutoff FROM events GROUP BY 1),
+j AS (SELECT o.*, CASE WHEN cutoff IS NULL THEN 'unknown' WHEN seen >= cutoff THEN 'current' ELSE 'stale' END AS currency FROM o LEFT JOIN u ON u.source = o.source),
+f AS (SELECT *, list_filter([CASE WHEN k % 7 = 0 THEN 'title.missing' END, CASE WHEN k % 5 = 0 THEN 'time.missing' END, CASE WHEN k % 11 = 0 THEN 'link.relative' END, CASE WHEN currency = 'stale' THEN 'currency.not_reseen' END], lambda x: x IS NOT NULL) AS codes, coalesce(source, 'unattributed') AS name FROM j),
+s AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'blocked' WHEN k % 11 = 0 THEN 'repairable' WHEN len(codes) > 0 THEN 'advisory' ELSE 'cleared' END AS state FROM f), a AS (SELECT * FROM s WHERE status = 'approved'),
+x AS (SELECT 'status' AS section, status AS key, up FROM s UNION ALL SELECT 'state', state, up FROM a UNION ALL SELECT 'currency', currency, up FROM a UNION ALL SELECT 'code', unnest(codes), up FROM a UNION ALL SELECT 'source', name, up FROM a
+  UNION ALL SELECT 'code_source', unnest(codes) || '|' || name, up FROM a UNION ALL SELECT 'source_currency', name || '|' || currency, up FROM a)"""
+
+
+def _tower(spark, d):
+    k, ts = c("o_orderkey"), c("ts").cast("timestamp")
+    rows = t(spark, d, "orders").select(
+        k.alias("id"), F.when(c("o_orderstatus") == "F", "approved").otherwise("pending_review").alias("status"), F.when(k % 13 > 0, c("o_orderpriority")).alias("source"), c("o_orderdate").cast("timestamp").alias("start_date"),
+        F.timestamp_add("HOUR", -(k % 40), F.lit("2024-01-29 00:00:00").cast("timestamp")).alias("seen_at"), quality.codes([("title.missing", "blocked", k % 7 == 0), ("time.missing", "advisory", k % 5 == 0), ("link.relative", "repairable", k % 11 == 0)]).alias("codes"),
+    )
+    name = F.element_at(F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"))), (c("event_id") % 4).cast("int") + 1)
+    runs = t(spark, d, "events").groupBy(name.alias("source")).agg((F.max(F.when(c("event_type").isin("view", "click"), ts)) - F.make_dt_interval(hours=F.lit(1))).alias("cutoff"))
+    return report.inventory(rows.withColumn("upcoming", c("start_date") >= F.lit("1998-01-01").cast("timestamp")), runs)
+
+
+@query(f"WITH {_TOWER} SELECT section, key, count(*) AS n FROM x GROUP BY ALL")
+def control_tower(spark, d):
+    return _tower(spark, d).select("section", "key", "n")
+
+
+@query(f"WITH {_TOWER}, g AS (SELECT key, count(*) AS n FROM x WHERE section = 'code_source' GROUP BY 1), w AS (SELECT split_part(key, '|', 1) AS \"group\", split_part(key, '|', 2) AS member, n FROM g) SELECT * FROM (SELECT \"group\", row_number() OVER (PARTITION BY \"group\" ORDER BY n DESC, member)::INT AS rank, member, n FROM w) WHERE rank <= 3")
+def code_sources(spark, d):
+    return report.first_keys(_tower(spark, d), "code_source", 3)
+
+
+@query("""WITH f AS (SELECT l_returnflag AS code, l_linestatus || (l_suppkey % 5) AS key, unnest(list_distinct([l_orderkey, l_partkey])) AS id FROM lineitem), g AS (SELECT id, code, list_sort(list_distinct(list(key))) AS keys FROM f GROUP BY ALL)
+SELECT id, string_agg(code || '=' || array_to_string(keys, '+'), ',' ORDER BY code) AS codes FROM g GROUP BY id""")
+def row_findings(spark, d):
+    found = t(spark, d, "lineitem").select(F.concat("l_linestatus", (c("l_suppkey") % 5).cast("string")).alias("key"), c("l_returnflag").alias("code"), F.array("l_orderkey", "l_partkey").alias("ids"))
+    return report.findings_by_row(found).select("id", F.array_join(F.transform("codes", lambda x: F.concat(x["code"], F.lit("="), F.array_join(x["keys"], "+"))), ",").alias("codes"))
+
+
+_WEEK = "Sunday Monday Tuesday Wednesday Thursday Friday Saturday".split()
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS a, (o_orderkey + 2 + o_custkey % 3) % 7 AS b, 7 + o_custkey % 4 AS h, 1 + o_orderkey % 5 AS e FROM orders),
+d AS (SELECT k, a, b, h, e, unnest(range(7)) AS day FROM o), s AS (SELECT *, CASE k % 3 WHEN 0 THEN (day - a + 7) % 7 <= (b - a + 7) % 7 WHEN 1 THEN day IN (a, b) ELSE day = a END AS on_ FROM d)
+SELECT k AS id, string_agg(day || '=' || h || ':30 AM-' || e || ':00 PM', ',' ORDER BY day) AS hours FROM s WHERE on_ GROUP BY k""")
+def order_hours(spark, d):
+    k, u = c("o_orderkey"), c("o_custkey")
+    day = lambda x: F.element_at(F.array(*(F.lit(w) for w in _WEEK)), x.cast("int") + 1)
+    a, b = day(k % 7), day((k + 2 + u % 3) % 7)
+    spec = F.when(k % 3 == 0, F.concat(a, F.lit(" – "), b, F.lit(": "))).when(k % 3 == 1, F.concat(F.substring(a, 1, 3), F.lit(". & "), b, F.lit("s, open from "))).otherwise(F.concat(a, F.lit("s at ")))
+    text = F.concat(F.lit("Seats for 12. "), spec, (7 + u % 4).cast("string"), F.lit(":30 AM to "), (1 + k % 5).cast("string"), F.lit(" p.m., later by call"))
+    read = hours.weekly_hours(c("text"))
+    rows = t(spark, d, "orders").select(k.alias("id"), text.alias("text")).withColumn("h", read)
+    return rows.select("id", F.array_join(F.transform(F.array_sort(F.map_keys("h")), lambda x: F.concat(x.cast("string"), F.lit("="), F.element_at(c("h"), x))), ",").alias("hours"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS u, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT 'feed-' || (u % 5) || '-' || k AS external_id, CASE WHEN k % 3 = 0 THEN 'Concert ' || k ELSE 'Talk ' || k END AS title, CASE WHEN k % 3 = 0 THEN 'music' ELSE 'community' END AS category,
+CASE WHEN u % 5 = 4 THEN 'House' WHEN k % 4 = 0 THEN 'Hall ' || (u % 9) WHEN k % 4 = 1 THEN 'Room ' || (u % 9) WHEN k % 4 = 2 THEN 'Venue TBA' ELSE 'behind the barn, side ' || u END AS venue_name_raw,
+CASE WHEN u % 5 < 4 AND k % 4 = 0 THEN u || ' Main St' END AS venue_address_raw, CASE WHEN u % 5 < 4 AND k % 4 < 2 THEN 'Troy' END AS venue_city_raw, CAST(day AS VARCHAR) AS start_date, CASE WHEN k % 5 > 0 THEN (1 + k % 9) || ':15 PM' || CASE WHEN k % 5 = 1 THEN ' – 10:45 PM' ELSE '' END END AS time_display,
+CASE WHEN k % 6 <> 1 THEN 'https://f' || (u % 5) || '.org/e/' || k END AS ticket_url FROM o WHERE k % 10 <> 9""")
+def feed_rows(spark, d):
+    k, u = c("o_orderkey"), c("o_custkey")
+    s = lambda x: x.cast("string")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    place = F.when(k % 4 == 0, F.concat(F.lit("Hall "), s(u % 9), F.lit("\\, "), s(u), F.lit(" Main St\\, Troy\\, MI\\, 48083"))).when(k % 4 == 1, F.concat(F.lit("Room "), s(u % 9), F.lit(" - Troy MI 48083"))).when(k % 4 == 2, "-").otherwise(F.concat(F.lit("behind the barn\\, side "), s(u)))
+    clock = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("T"), F.lpad(s(13 + k % 9), 2, "0"), F.lit("1500")))
+    end = F.when(k % 5 == 1, F.concat(F.lit("\r\nDTEND:"), day, F.lit("T224500"))).when(k % 5 == 2, F.concat(F.lit("\r\nDTEND:"), day, F.lit("T235900"))).otherwise("")
+    title = F.when(k % 10 == 9, "Library Closed").when(k % 3 == 0, F.concat(F.lit("Concert "), s(k))).otherwise(F.concat(F.lit("Talk "), s(k)))
+    event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), s(k), F.lit("\r\nSUMMARY:"), title, F.lit("\r\nDTSTART:"), day, clock, end, F.lit("\r\nLOCATION:"), place, F.when(k % 6 == 1, "\r\nURL:no link").otherwise(F.concat(F.lit("\r\nURL:/e/"), s(k))), F.lit("\r\nEND:VEVENT"))
+    files = t(spark, d, "orders").select((u % 5).alias("feed_id"), u.alias("part"), event.alias("e")).groupBy("feed_id", "part").agg(F.array_join(F.collect_list("e"), "\r\n").alias("ics"))  # a file a customer
+    table = spark.createDataFrame([(i, "House", f"https://f{i}.org/feed.ics", None, "community", i < 4) for i in range(5)], "id long, venue_name string, feed_url string, website string, default_category string, location_per_event boolean")
+    out = feeds.calendar_rows(calendar.vevents(files.drop("part"), "ics"), table)
+    return out.select("external_id", "title", "category", "venue_name_raw", "venue_address_raw", "venue_city_raw", c("start_date").cast("string").alias("start_date"), "time_display", "ticket_url")
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type || (user_id % 30) AS key, event_type || ' ' || (user_id % 12) AS title, 'Hall ' || (user_id % 60) AS venue, CAST(ts AS DATE) AS day, ts AS at FROM events),
+n AS (SELECT *, row_number() OVER (ORDER BY at, id) AS r FROM e), k AS (SELECT *, first_value(id) OVER w AS first, row_number() OVER w AS nth FROM n WINDOW w AS (PARTITION BY key, day ORDER BY r)),
+ft AS (SELECT title, day, min(r) AS r, arg_min(id, r) AS id FROM n GROUP BY ALL), fv AS (SELECT venue, day, min(r) AS r, arg_min(id, r) AS id FROM n GROUP BY ALL),
+m AS (SELECT n.id, ft.id AS other FROM n JOIN ft ON ft.day IN (n.day, n.day + 1) AND ft.r < n.r AND (contains(ft.title, n.title) OR contains(n.title, ft.title)) UNION SELECT n.id, fv.id FROM n JOIN fv ON fv.day = n.day AND fv.venue = n.venue AND fv.r < n.r),
+g AS (SELECT id, string_agg(other, ',' ORDER BY other) AS others FROM m GROUP BY id)
+SELECT k.id, CASE WHEN nth > 1 THEN 'already_exists' WHEN g.id IS NOT NULL THEN 'possible_duplicate' ELSE 'created' END AS outcome, CASE WHEN nth > 1 THEN CAST(first AS VARCHAR) ELSE coalesce(g.others, '') END AS matches FROM k LEFT JOIN g ON g.id = k.id""")
+def create_guard(spark, d):
+    """The events as a stream of listings, read to its end."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    u = c("user_id")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    listings = stream.select(
+        c("event_id").alias("id"), F.concat("event_type", (u % 30).cast("string")).alias("key"), F.concat("event_type", F.lit(" "), (u % 12).cast("string")).alias("title"), F.concat(F.lit("Hall "), (u % 60).cast("string")).alias("venue"), c("ts").cast("date").alias("day"), F.unix_micros(c("ts").cast("timestamp")).alias("at"),
+    )
+    to = f"{shared_folder(spark)}/guard-{uuid.uuid4().hex}"
+    was = {k: spark.conf.get(k) for k in guard.SETTINGS}
+    try:
+        for k, v in guard.SETTINGS.items():
+            spark.conf.set(k, v)
+        q = guard.guarded(listings).writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(guard.RESULT).parquet(f"{to}/out").select("id", "outcome", F.array_join(F.transform("matches", lambda m: m.cast("string")), ",").alias("matches"))

@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.text import plain
 
 RESULT = "id long, outcome string, matches array<long>"
+#: What a session needs: the state store that knows times to live, and no batches without rows, of which these would never come to an end.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 class SeenBefore(StatefulProcessor):
@@ -62,7 +64,7 @@ def guarded(listings: DataFrame, keep_days: int = 400) -> DataFrame:
     already_exists: a listing of that day with the same key came before; possible_duplicate: one whose title holds this one's or is held by it on the same or
     the next day, or one at the same venue on the same day; else created. Matches are the first listings with each such title and venue.
     Refused listings are remembered as well. Blank titles and venues match nothing; a listing without a day is left out. State is kept
-    `keep_days` and needs the RocksDB state store; a day's state holds its different titles.
+    `keep_days` after it was last written and needs the RocksDB state store (see SETTINGS); a day's state holds its different titles.
     """
     rows = listings.where("day is not null").select("id", F.col("key").cast("string").alias("key"), plain(F.col("title")).alias("title"), plain(F.col("venue")).alias("venue"), F.col("day").cast("string").alias("day"), "at")
     both = rows.withColumn("_d", F.explode(F.array(F.struct(F.col("day").alias("state_day"), F.lit(True).alias("judged")), F.struct(F.date_sub(F.col("day").cast("date"), 1).cast("string").alias("state_day"), F.lit(False).alias("judged")))))
