@@ -288,8 +288,8 @@ def feed_rows(spark, d):
     return out.select("external_id", "title", "category", "venue_name_raw", "venue_address_raw", "venue_city_raw", c("start_date").cast("string").alias("start_date"), "time_display", "ticket_url")
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type || (user_id % 30) AS key, event_type || ' ' || (user_id % 12) AS title, 'Hall ' || (user_id % 60) AS venue, CAST(ts AS DATE) AS day, ts AS at FROM events),
-n AS (SELECT *, row_number() OVER (ORDER BY at, id) AS r FROM e), k AS (SELECT *, first_value(id) OVER w AS first, row_number() OVER w AS nth FROM n WINDOW w AS (PARTITION BY key, day ORDER BY r)),
+@query("""WITH e AS (SELECT event_id AS id, event_type || (user_id % 30) AS key, event_type || ' ' || (user_id % 12) AS title, 'Hall ' || (user_id % 60) AS venue, CAST(ts AS DATE) AS day, ts AS t0 FROM events),
+n AS (SELECT *, row_number() OVER (ORDER BY t0, id) AS r FROM e), k AS (SELECT *, first_value(id) OVER w AS first, row_number() OVER w AS nth FROM n WINDOW w AS (PARTITION BY key, day ORDER BY r)),
 ft AS (SELECT title, day, min(r) AS r, arg_min(id, r) AS id FROM n GROUP BY ALL), fv AS (SELECT venue, day, min(r) AS r, arg_min(id, r) AS id FROM n GROUP BY ALL),
 m AS (SELECT n.id, ft.id AS other FROM n JOIN ft ON ft.day IN (n.day, n.day + 1) AND ft.r < n.r AND (contains(ft.title, n.title) OR contains(n.title, ft.title)) UNION SELECT n.id, fv.id FROM n JOIN fv ON fv.day = n.day AND fv.venue = n.venue AND fv.r < n.r),
 g AS (SELECT id, string_agg(other, ',' ORDER BY other) AS others FROM m GROUP BY id)
