@@ -18,12 +18,15 @@ def two_sources(left: DataFrame, right: DataFrame, fill: tuple[str, ...] = ("ima
     """left and right (external_id, title, start_date, end_date, fill...) as one list with kept_from and review.
 
     A row of the right that has the title of one of the left and overlaps its days is the same thing: the left one stays, takes what it
-    lacks, and is up for review where the days differ. Titles are unique in left; of several matches the first by id fills.
+    lacks, and is up for review where the days differ. Of several matches of a left row the first by id fills; a right row that fits several
+    left rows goes to the first by id.
     """
     last = lambda d, s: F.coalesce(d, s)
     a = left.withColumn("_t", short_title(F.col("title")))
     b = right.select(short_title(F.col("title")).alias("_t"), F.struct("external_id", "start_date", "end_date", *fill).alias("r"))
     j = a.join(b, "_t").where((F.col("r.start_date") <= last(F.col("end_date"), F.col("start_date"))) & (last(F.col("r.end_date"), F.col("r.start_date")) >= F.col("start_date")))
+    owner = j.groupBy(F.col("r.external_id").alias("_o")).agg(F.min("external_id").alias("_to"))
+    j = j.join(owner, F.col("r.external_id") == F.col("_o")).where("external_id = _to")
     differ = (F.col("r.start_date") != F.col("start_date")) | ~F.col("r.end_date").eqNullSafe(F.col("end_date"))
     met = j.groupBy("external_id").agg(F.bool_or(differ).alias("_differ"), *(F.min_by(f"r.{c}", F.when(~blank(F.col(f"r.{c}")), F.col("r.external_id"))).alias(f"_f_{c}") for c in fill))
     same = j.select(F.col("r.external_id").alias("external_id")).distinct()

@@ -344,10 +344,22 @@ def html_links(spark, d):
     return pages.links(t(spark, d, "pages"), "page_id", "html").select("page_id", "at", "href")
 
 
-@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages)
-SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))) AS digest FROM a""")
+_WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_REFS = " ".join(f"WHEN '&{k};' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in text._NAMED.items())
+_DECODED = rf"""array_to_string(list_transform(regexp_extract_all(html, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,9}});|[^&]+|&'), lambda p: CASE
+  WHEN regexp_matches(p, '^&#[0-9]+;$') AND CAST(regexp_extract(p, '([0-9]+)', 1) AS INT) BETWEEN 1 AND 1114111 THEN chr(CAST(regexp_extract(p, '([0-9]+)', 1) AS INT))
+  WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') THEN chr(CAST('0x' || regexp_extract(p, '([0-9a-fA-F]+);$', 1) AS INT)) ELSE CASE p {_REFS} ELSE p END END), '')"""
+
+
+@query(rf"""WITH a AS (SELECT page_id, html, {_DECODED} AS x FROM pages),
+b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '(?is)<script(?:[^A-Za-z0-9_].*?)??</script{_WS}*>|<style(?:[^A-Za-z0-9_].*?)??</style{_WS}*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(?:{text._HTML_TAGS})(?:(?:{_WS}|/)[^<>]*)?>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, html, regexp_replace(regexp_replace(x, '{text._CSS.replace('WS', _WS)}', ' ', 'g'), '[ 	\x{{00A0}}]+', ' ', 'g') AS x FROM b),
+d AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, ' *
+ *', chr(10), 'g'), '
+{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+\z', '', 'g') AS x FROM c)
+SELECT page_id, md5(CASE WHEN x = '' THEN html ELSE x END) AS digest FROM d""")
 def html_to_text(spark, d):
-    return t(spark, d, "pages").select("page_id", F.md5(text.strip_markup(c("html")).cast("binary")).alias("digest"))
+    return t(spark, d, "pages").select("page_id", F.md5(text.sanitized(c("html")).cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS key FROM documents")

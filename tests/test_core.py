@@ -42,10 +42,15 @@ def duck():
     return con
 
 
+#: Queries whose rules SQL doesn't hold; other tests do.
+WITHOUT_SQL = {"consolidation_plan"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
+    assert (name in queries.ORACLE) != (name in WITHOUT_SQL)
     if name in queries.ORACLE:
         cur = duck.execute(queries.ORACLE[name])
         names = [d[0] for d in cur.description]

@@ -183,3 +183,14 @@ def test_chains_and_rings_of_merges(spark):
     assert done == {1: ("only here", "rejected"), 2: (None, "rejected"), 3: ("", "rejected"), 4: ("only here", "approved"), 60: (None, "approved"), 61: ("ring", "approved")}
     links = spark.createDataFrame([("a", 1), ("a", 2), ("b", 61)], "article_id string, event_id int")
     assert {tuple(r) for r in repair.moved_links(links, plan).collect()} == {("a", 4), ("b", 61)}
+
+
+def test_one_right_row_fills_one_left_row(spark):
+    """Two rows of one title on the left: the first by id takes what the right has."""
+    from quarry.operators import merging
+
+    kind = "external_id string, title string, start_date date, end_date date, image_url string"
+    left = spark.createDataFrame([("l2", "Show", date(2026, 6, 1), None, None), ("l1", "show", date(2026, 6, 1), None, ""), ("l3", "Other", date(2026, 6, 1), None, None)], kind)
+    right = spark.createDataFrame([("r1", "Show | Hall", date(2026, 6, 1), None, "i1"), ("r2", "SHOW", date(2026, 6, 1), date(2026, 6, 2), "i2"), ("r3", "New", date(2026, 6, 1), None, "i3")], kind)
+    got = {r["external_id"]: (r["image_url"], r["kept_from"], r["review"]) for r in merging.two_sources(left, right).collect()}
+    assert got == {"l1": ("i1", "left", True), "l2": (None, "left", False), "l3": (None, "left", False), "r3": ("i3", "right", False)}
