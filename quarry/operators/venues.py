@@ -180,6 +180,14 @@ def learn(statements: DataFrame, canonical: DataFrame, independent: int = INDEPE
     return j.select("name_key", status.alias("status"), F.when(known, F.col("best.address")).alias("address"), F.when(known, F.col("best.city")).alias("city"), "families")
 
 
+def learn_from_sources(statements: DataFrame, canonical: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
+    """learn() of raw statements(name, street_key, address, city, source, text, at, first_party, day): sources that repeat one another's texts are one family and agree only once."""
+    from .families import independent
+
+    raw = independent(statements, least, share)
+    return learn(raw.withColumn("copies", F.lit(False)), canonical)
+
+
 def fill_gaps(events: DataFrame, learned: DataFrame) -> DataFrame:
     """(id, action, address, city) of events(id, name, address, city) that lack an address or city, by what is known of the name.
 

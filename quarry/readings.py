@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import cues, hours
 from .lineage import shared_folder
-from .operators import boundary, elements, families, quality, repair, report, snapshots
+from .operators import boundary, elements, families, quality, repair, report, snapshots, venues
 from .sources import calendar, feeds
 from .sources import lines as L
 from .sources.pages import lines
@@ -313,3 +313,21 @@ def create_guard(spark, d):
         for k, v in was.items():
             spark.conf.set(k, v)
     return spark.read.schema(guard.RESULT).parquet(f"{to}/out").select("id", "outcome", F.array_join(F.transform("matches", lambda m: m.cast("string")), ",").alias("matches"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT 'hall ' || (o_custkey % 40) AS name_key, CASE WHEN o_custkey % 40 < 6 AND o_orderkey % 50 = 0 THEN 'oak' ELSE 'main' END AS street, o_orderpriority AS source, o_custkey || CASE WHEN o_orderpriority >= '4' THEN '1' ELSE left(o_orderpriority, 1) END AS text, CASE WHEN o_orderpriority < '2' THEN 0 ELSE 1 END AS t0 FROM orders),
+w AS (SELECT text, source, min(t0) AS t0 FROM s GROUP BY ALL), f AS (SELECT text, min(t0) AS t1, min(source) FILTER (t0 = (SELECT min(t0) FROM w v WHERE v.text = w.text)) AS original FROM w GROUP BY text),
+n AS (SELECT source, count(*) AS said FROM w GROUP BY 1), p AS (SELECT w.source, f.original, count(*) AS n FROM w JOIN f ON f.text = w.text WHERE w.source <> f.original AND w.t0 > f.t1 GROUP BY ALL),
+e0 AS (SELECT p.source, p.original FROM p JOIN n ON n.source = p.source WHERE p.n >= 2 AND p.n >= 0.25 * said), e AS (SELECT source AS a, original AS b FROM e0 UNION SELECT original, source FROM e0),
+r AS (SELECT DISTINCT source, source AS reached FROM s UNION SELECT r.source, e.b FROM r JOIN e ON e.a = r.reached), k AS (SELECT source, min(reached) AS family FROM r GROUP BY 1),
+g AS (SELECT name_key, count(DISTINCT street) AS streets, min(street) AS st, count(DISTINCT family) AS families FROM s JOIN k ON k.source = s.source GROUP BY 1)
+SELECT name_key, CASE WHEN streets > 1 THEN 'conflict' WHEN families >= 2 THEN 'learned' ELSE 'single_source' END AS status, CASE WHEN streets = 1 THEN st END AS address, families FROM g""")
+def venue_families(spark, d):
+    u, p = c("o_custkey"), c("o_orderpriority")
+    street = F.when((u % 40 < 6) & (c("o_orderkey") % 50 == 0), "oak").otherwise("main")
+    told = t(spark, d, "orders").select(
+        F.concat(F.lit("Hall "), (u % 40).cast("string")).alias("name"), street.alias("street_key"), street.alias("address"), F.lit("Troy").alias("city"), p.alias("source"), F.concat(u.cast("string"), F.when(p >= "4", "1").otherwise(F.left(p, F.lit(1)))).alias("text"),
+        F.when(p < "2", 0).otherwise(1).alias("at"), F.lit(False).alias("first_party"), c("o_orderdate").cast("date").alias("day"),
+    )
+    none = spark.createDataFrame([], "name string, street_key string, city string")
+    return venues.learn_from_sources(told, none, least=2, share=0.25).select("name_key", "status", "address", "families")
