@@ -42,7 +42,7 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").join(t(spark, d, "customer"), c("o_custkey") == c("c_custkey"), "left").join(t(spark, d, "nation"), c("c_nationkey") == c("n_nationkey"), "left")
     k, start = c("o_orderkey"), c("o_orderdate").cast("date")
     return o.select(
-        k.alias("id"), F.concat_ws(" ", "c_name", "o_orderpriority").alias("title"), c("c_name").alias("venue"), c("n_name").alias("city"), F.lit(None).cast("string").alias("neighborhood"),
+        k.alias("id"), F.concat_ws(" ", "c_name", "o_orderpriority").alias("title"), c("c_name").alias("venue"), c("n_name").alias("city"), F.when(k % 3 > 0, F.concat(F.lit("Quarter "), (k % 9).cast("string"))).alias("neighborhood"),
         c("c_mktsegment").alias("category"), (k % 4 == 0).alias("free"), c("o_orderpriority").alias("source"), start.alias("start_date"), F.when(k % 3 != 0, F.date_add(start, (k % 45).cast("int"))).alias("end_date"),
         F.when(k % 5 == 0, "recurring").when(k % 5 == 1, "continuous").when(k % 5 == 2, "single").alias("semantics"),
         F.when(k % 10 == 0, F.array(start, F.date_add(start, 7), F.date_add(start, 14))).alias("occurrence_dates"),
@@ -51,7 +51,7 @@ def listing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-EV = """ev AS (SELECT o_orderkey AS id, concat_ws(' ', c_name, o_orderpriority) AS title, c_name AS venue, n_name AS city, c_mktsegment AS category, o_orderkey % 4 = 0 AS free, o_orderpriority AS source,
+EV = """ev AS (SELECT o_orderkey AS id, concat_ws(' ', c_name, o_orderpriority) AS title, c_name AS venue, n_name AS city, CASE WHEN o_orderkey % 3 > 0 THEN 'Quarter ' || (o_orderkey % 9) END AS neighborhood, c_mktsegment AS category, o_orderkey % 4 = 0 AS free, o_orderpriority AS source,
   CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 45 AS INT) END AS end_date,
   CASE o_orderkey % 5 WHEN 0 THEN 'recurring' WHEN 1 THEN 'continuous' WHEN 2 THEN 'single' END AS semantics, o_orderkey % 10 = 0 AS has_dates, o_orderkey % 6 AS tm,
   n_nationkey * 1.5 + 20 AS lat, n_nationkey * -2.0 - 60 AS lng, o_totalprice AS price, o_orderstatus AS status
@@ -122,11 +122,21 @@ def facet_city(spark, d):
     return discovery.facet(listing(spark, d), State(mode="next7", categories=("BUILDING",)), TODAY, "city", minutes=CLOCK)
 
 
-@query(f"WITH {EV} SELECT id, title FROM ed WHERE {_when(TODAY, None, 'all')} AND contains(lower(concat_ws(' ', title, venue, city, category, source)), '1-urgent')")
+@query(f"WITH {EV} SELECT id, title FROM ed WHERE {_when(TODAY, None, 'all')} AND contains(lower(concat_ws(' ', title, venue, city, category, neighborhood, source)), '1-urgent')")
 def discover_search(spark, d):
     return discovery.prepare(listing(spark, d)).where(discovery.predicate(State(search="1-Urgent"), TODAY, CLOCK)).select("id", "title")
 
 
+@query(f"WITH {EV} SELECT id, neighborhood FROM ed WHERE {_when(TODAY, None, 'all')} AND neighborhood = 'Quarter 4' AND contains(lower(concat_ws(' ', title, venue, city, category, neighborhood, source)), 'quarter 4 ')")
+def discover_neighborhood(spark, d):
+    return discovery.prepare(listing(spark, d)).where(discovery.predicate(State(neighborhood="Quarter 4", search="quarter 4 "), TODAY, CLOCK)).select("id", "neighborhood")
+
+
+@query(f"WITH {EV} SELECT neighborhood AS value, count(*) AS n FROM ed WHERE {_when(TODAY, date(1997, 6, 17), 'next7')} AND category = 'BUILDING' AND neighborhood IS NOT NULL GROUP BY 1")
+def facet_neighborhood(spark, d):
+    return discovery.facet(listing(spark, d), State(mode="next7", categories=("BUILDING",), neighborhood="Quarter 1"), TODAY, "neighborhood", minutes=CLOCK)
+
+
 _HAV = "2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - 42.0) / 2), 2) + cos(radians(42.0)) * cos(radians(lat)) * pow(sin(radians(lng + 80.0) / 2), 2))))"
 
 
