@@ -19,13 +19,30 @@ def title_words(title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(plain(title), " "), lambda w: (F.length(w) > 1) & ~w.rlike(r"^(\d{1,2}|\d+(st|nd|rd|th))$") & ~w.isin(*STOP)))
 
 
+#: Rows of a group that one task compares with as many others.
+BLOCK = 500
+
+
+def pairs_within(rows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, a, b) with a < b of all rows (keys, id) of a group: a group of more than `block` rows is cut into blocks by a hash of the id,
+    and every two blocks are an equi-join key of their own, so no task has a whole large group. Groups of one block are joined as they are."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).where("_n > 1")
+    r = rows.join(sizes, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(F.least(F.col("_b"), j).alias("lo"), F.greatest(F.col("_b"), j).alias("hi"))))
+    side = r.select(*keys, "id", "_b", met.alias("_m"))
+    j = side.select(*keys, "_m", F.col("id").alias("a"), F.col("_b").alias("_ba")).join(side.select(*keys, "_m", F.col("id").alias("b"), F.col("_b").alias("_bb")), [*keys, "_m"])
+    # two rows of different blocks meet under one key, those of one block under the key of that block alone
+    once = F.when(F.col("_ba") == F.col("_bb"), F.col("_m.lo") == F.col("_m.hi")).otherwise(True)
+    return j.where((F.col("a") < F.col("b")) & once).select(*keys, "a", "b")
+
+
 def _pairs(rows: DataFrame, day: str) -> DataFrame:
     """(a, b, way): rows(id, day, venue_id, venue, address, city) of one day and place, by the best of three ways to be so: an equi-join on place keys."""
     p = lambda c: F.nullif(plain(F.col(c)), F.lit(""))
     name = F.when(p("venue") != "venue tba", p("venue"))
     keys = F.array(F.concat(F.lit("0"), F.col("venue_id").cast("string")), F.concat(F.lit("1"), p("city"), F.lit("|"), p("address")), F.concat(F.lit("2"), p("city"), F.lit("|"), name))
     k = rows.where(F.col(day).isNotNull()).select("id", F.col(day).alias("_day"), F.explode(F.array_compact(keys)).alias("_k"))
-    j = k.select("_day", "_k", F.col("id").alias("a")).join(k.select("_day", "_k", F.col("id").alias("b")), ["_day", "_k"]).where("a < b")
+    j = pairs_within(k, ["_day", "_k"])
     return j.groupBy("a", "b").agg(F.element_at(F.array(*(F.lit(w) for w in WAYS)), F.min(F.left("_k", F.lit(1))).cast("int") + 1).alias("way"))
 
 
@@ -46,7 +63,7 @@ def same_place(rows: DataFrame, day: str = "start_date") -> DataFrame:
 def shared_link_pairs(rows: DataFrame, day: str = "start_date") -> DataFrame:
     """(a, b) of one day, start and link."""
     k = rows.select("id", F.col(day).alias("_day"), start_minute(F.col("time"), F.col("all_day")).alias("_t"), F.explode(F.array_distinct(F.array_compact(F.array(*(F.when(F.col(c).rlike("(?i)^https?://"), F.trim(F.col(c))) for c in ("event_url", "ticket_url")))))).alias("_u")).where("_t is not null")
-    return k.select("_day", "_t", "_u", F.col("id").alias("a")).join(k.select("_day", "_t", "_u", F.col("id").alias("b")), ["_day", "_t", "_u"]).where("a < b").select("a", "b").distinct()
+    return pairs_within(k, ["_day", "_t", "_u"]).select("a", "b").distinct()
 
 
 def cross_source(rows: DataFrame, day: str = "start_date") -> DataFrame:

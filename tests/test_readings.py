@@ -194,3 +194,14 @@ def test_one_right_row_fills_one_left_row(spark):
     right = spark.createDataFrame([("r1", "Show | Hall", date(2026, 6, 1), None, "i1"), ("r2", "SHOW", date(2026, 6, 1), date(2026, 6, 2), "i2"), ("r3", "New", date(2026, 6, 1), None, "i3")], kind)
     got = {r["external_id"]: (r["image_url"], r["kept_from"], r["review"]) for r in merging.two_sources(left, right).collect()}
     assert got == {"l1": ("i1", "left", True), "l2": (None, "left", False), "l3": (None, "left", False), "r3": ("i3", "right", False)}
+
+
+def test_pairs_of_large_groups(spark):
+    """All pairs of each group once, whatever the blocks."""
+    from quarry.operators import pairs
+
+    rows = [(i, "hot" if i < 60 else f"k{i % 7}") for i in range(90)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id int, k string")
+    want = sorted((k, a, b) for a, k in rows for b, x in rows if k is not None and k == x and a < b)
+    for block in (1, 7, 500):
+        assert sorted(tuple(r) for r in pairs.pairs_within(df, ["k"], block).collect()) == want
