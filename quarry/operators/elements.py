@@ -66,7 +66,8 @@ def attribute(token: Column, name: str) -> Column:
 
 def cards(pages: DataFrame, key: str, html: str, containers: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
     """key, card (its position), tag, class, fields: array of struct(pre, tag, href, text) in page order, of every container of a page."""
-    rows = tokens(pages, key, html)
+    # one shuffle of the pages that all readers share; what follows stays with them. Pages without a key have no cards.
+    rows = tokens(pages.select(key, html).where(F.col(key).isNotNull()).repartition(key), key, html)
     boxes = elements(rows, key, containers)
     inner = elements(rows, key, fields)
     texts = rows.where("tag is null").select(key, "pos", "token")
