@@ -117,14 +117,16 @@ def sections(pages: DataFrame, keys: list[str], lines: Column, labels: list[str]
 _MONTHS = "January February March April May June July August September October November December".split()
 MENU = "home about events shop contact menu ticket tickets newsletter subscribe instagram facebook twitter donate directions hours faq".split()
 LONGEST_TITLE = 120
+# What tells a year, a line in brackets, a place, a presenter and a price from a title.
+YEAR_ALONE, BRACKETS, PLACE_AFTER, PRESENTER, PRICES = r"^(20\d{2})$", r"^\(.+\)$", r"^(?:at|in)\s+[A-Z]", r"(?i)\bpresents?$", r"\$\d.*|tickets?:.*"
 
 #: A page of dates: a year or a day as a heading, titles below; a line in brackets or a place goes on with the title before it, one that ends
 #: with 'presents' stands in front of the next.
 DATED_LISTING = Machine(
     states=("none", "dated", "listed", "held", "held_listed"),
     classes=(
-        ("year", r"^(20\d{2})$"), ("day", rf"(?i)^((?:{'|'.join(_MONTHS)})\s+\d{{1,2}}(?:,?\s*\d{{4}})?)$"),
-        ("noise", rf"(?i)^(?:.{{0,2}}|.{{{LONGEST_TITLE + 1},}}|coming soon|{'|'.join(MENU)}|https?://.*|.*@.*|closed\b.*)$"), ("bracket", r"^\(.+\)$"), ("place", r"^(?:at|in)\s+[A-Z]"), ("presents", r"(?i)\bpresents?$"),
+        ("year", YEAR_ALONE), ("day", rf"(?i)^((?:{'|'.join(_MONTHS)})\s+\d{{1,2}}(?:,?\s*\d{{4}})?)$"),
+        ("noise", rf"(?i)^(?:.{{0,2}}|.{{{LONGEST_TITLE + 1},}}|coming soon|{'|'.join(MENU)}|https?://.*|.*@.*|closed\b.*)$"), ("bracket", BRACKETS), ("place", PLACE_AFTER), ("presents", PRESENTER),
     ),
     moves={
         **{(s, k): ("none" if k == "year" else "dated", None) for s in ("none", "dated", "listed", "held", "held_listed") for k in ("year", "day")},
@@ -151,7 +153,7 @@ _MONTH_DAY = rf"(?:{'|'.join(m[:3] for m in _MONTHS)})[a-z]*\.?\s+\d{{1,2}}(?:st
 #: A page of titles, each with a line of days below it; prices and menus between are no titles.
 TITLED_DATES = Machine(
     states=("none", "titled"),
-    classes=(("days", rf"(?i)^(.*{_MONTH_DAY}.*)$"), ("noise", rf"(?i)^(?:.{{0,2}}|.{{101,}}|{'|'.join(MENU)}|\$\d.*|tickets?:.*)$")),
+    classes=(("days", rf"(?i)^(.*{_MONTH_DAY}.*)$"), ("noise", rf"(?i)^(?:.{{0,2}}|.{{101,}}|{'|'.join(MENU)}|{PRICES})$")),
     moves={("none", "other"): ("titled", "hold"), ("titled", "other"): ("titled", "hold"), ("titled", "days"): ("none", "start")},
     registers={"days": {"days": 1}},
 )
