@@ -58,7 +58,8 @@ def missed(slots: DataFrame, runs: DataFrame, slot: str, ts: str, width: str = "
 def sessions(events: DataFrame, by: str, ts: str, gap_minutes: int) -> DataFrame:
     """(by, session, first_ts, last_ts, n): a new session after gap_minutes without an event."""
     w = Window.partitionBy(by).orderBy(ts)
-    t = events.withColumn("_new", F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w) > gap_minutes * 60).cast("int"), F.lit(1)))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))  # a fraction of a second over the gap is over it
+    t = events.withColumn("_new", F.coalesce((at - F.lag(at).over(w) > gap_minutes * 60_000_000).cast("int"), F.lit(1)))
     return t.withColumn("session", F.sum("_new").over(w)).groupBy(by, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
