@@ -4,7 +4,9 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from quarry.operators import pairs, series
+from quarry import cases
+from quarry.functions import addresses, hours, integrity
+from quarry.operators import pairs, series, venues
 
 DAY = date(2024, 1, 1)
 
@@ -80,3 +82,13 @@ def test_copies_are_not_paired(spark):
     """3,000 equal listings of one place: as many rows as listings in each of the three ways, and one class of links."""
     q = spark.range(3000).select("id", F.lit(DAY).alias("start_date"), *(F.lit(v).alias(k) for k, v in {"venue_id": 1, "venue": "Hall", "city": "Troy", "address": "1 Main St", "time": "7 PM", "all_day": False, "source": "x", "title": "Jazz", "event_url": "https://a.org", "ticket_url": "https://a.org"}.items()))
     assert [f(q).count() for f in (pairs.same_place_classes, pairs.cross_source_classes, pairs.shared_link_classes)] == [8997, 8997, 2999]
+
+
+def test_each_step_of_a_text_is_stated_once(spark):
+    """A step that later ones name several times is bound: its pattern occurs in the plan as often as texts are read, not once for each use."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1_000_000)
+    plan = lambda x: spark.range(1).select(F.lit("a").alias("t"), F.lit(None).cast("string").alias("u")).select(x.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(venues.cities_differ(F.col("t"), F.col("u"))).count("[^a-z0-9 ]") == 2
+    assert plan(F.struct(addresses.street(F.col("t")), addresses.address(F.col("u")))).count("split(") <= 5
+    assert plan(integrity.integrity({"title": F.col("t"), "event_url": F.col("u")})).count("a.m.|p.m.") <= 1
+    assert plan(cases._map(hours.weekly_hours(F.col("t")))).count("noon|midnight)") == plan(hours.weekly_hours(F.col("t"))).count("noon|midnight)")
