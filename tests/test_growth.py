@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from quarry import cases
-from quarry.functions import addresses, hours, integrity
+from quarry.functions import addresses, hours, integrity, titles
 from quarry.operators import pairs, series, venues
 
 DAY = date(2024, 1, 1)
@@ -92,3 +92,4 @@ def test_each_step_of_a_text_is_stated_once(spark):
     assert plan(F.struct(addresses.street(F.col("t")), addresses.address(F.col("u")))).count("split(") <= 5
     assert plan(integrity.integrity({"title": F.col("t"), "event_url": F.col("u")})).count("a.m.|p.m.") <= 1
     assert plan(cases._map(hours.weekly_hours(F.col("t")))).count("noon|midnight)") == plan(hours.weekly_hours(F.col("t"))).count("noon|midnight)")
+    assert plan(titles.title_case(F.col("t"))).count("[^ /]+|[ /]+") == 1
