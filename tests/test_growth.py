@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry import cases
 from quarry.functions import addresses, hours, integrity, titles
 from quarry.operators import pairs, series, venues
+from quarry.sources import calendar
 
 DAY = date(2024, 1, 1)
 
@@ -93,3 +94,16 @@ def test_each_step_of_a_text_is_stated_once(spark):
     assert plan(integrity.integrity({"title": F.col("t"), "event_url": F.col("u")})).count("a.m.|p.m.") <= 1
     assert plan(cases._map(hours.weekly_hours(F.col("t")))).count("noon|midnight)") == plan(hours.weekly_hours(F.col("t"))).count("noon|midnight)")
     assert plan(titles.title_case(F.col("t"))).count("[^ /]+|[ /]+") == 1
+
+
+def test_each_part_of_a_rule_is_read_once(spark):
+    """Parts of a rule and lines of an event are searched for once, and a rule makes its occurrences alone."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1_000_000)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    ics = spark.range(1).select(F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), "id", F.lit("\r\nDTSTART:19970611T100000Z\r\nRRULE:FREQ=WEEKLY;INTERVAL=2;COUNT=3\r\nEND:VEVENT")).alias("ics"))
+    read = calendar.vevents(ics, "ics")
+    assert plan(read).count("(?m)^DTSTART") == 1 and plan(read).count("(?m)^EXDATE") == 1
+    rows = read.localCheckpoint()
+    days = calendar.expand(rows, F.lit(date(2400, 1, 1)))
+    assert plan(days).count("INTERVAL=") <= 2 and "_over" in plan(days)
+    assert [r["day"] for r in days.orderBy("day").collect()] == [date(1997, 6, 11), date(1997, 6, 25), date(1997, 7, 9)]
