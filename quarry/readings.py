@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cues, hours
-from .lineage import shared_folder
+from .lineage import shared_folder, spread
 from .operators import boundary, elements, families, quality, repair, report, snapshots, venues
 from .sources import calendar, feeds
 from .sources import lines as L
@@ -117,7 +117,7 @@ z AS (SELECT id, name, sqrt((ax + k * dx) ** 2 + (ay + k * dy) ** 2) AS metres F
 SELECT id, round(min(metres), 3) AS metres, min_by(name, metres) AS name FROM z GROUP BY id""")
 def edge_metres(spark, d):
     k = c("c_custkey")
-    points = t(spark, d, "customer").select(k.alias("id"), (F.lit(-83.5) + (k % 97) * 0.013).alias("lng"), (F.lit(42.0) + (k % 89) * 0.017).alias("lat"))
+    points = spread(t(spark, d, "customer").select(k), "c_custkey").select(k.alias("id"), (F.lit(-83.5) + (k % 97) * 0.013).alias("lng"), (F.lit(42.0) + (k % 89) * 0.017).alias("lat"))
     return boundary.edge_metres(points, _areas(spark, d)).select("id", F.round("metres", 3).alias("metres"), "name")
 
 
@@ -140,7 +140,7 @@ def parcel_areas(spark, d):
     areas = _areas(spark, d)
     at = areas.select("name", ((c("rings")[0][0][0] + c("rings")[0][2][0]) / 2).alias("x"), c("rings")[0][0][1].alias("y"))
     k = c("c_custkey")
-    homes = t(spark, d, "customer").select(k, F.concat(F.lit("A"), (1 + k % 10).cast("string")).alias("name")).join(at, "name")
+    homes = spread(t(spark, d, "customer").select(k), "c_custkey").select(k, F.concat(F.lit("A"), (1 + k % 10).cast("string")).alias("name")).join(at, "name")
     x, y = c("x") + (k % 23 - 11) * 0.0011, c("y") + (k % 19 - 9) * 0.0011
     ring = F.array(F.array(x, y), F.array(x + 0.0003, y), F.array(x + 0.0003, y + 0.0002), F.array(x, y + 0.0002), F.array(x, y))
     parcels = homes.select(k.alias("name_"), F.array(ring).alias("rings"), F.when(k % 5 < 4, c("name")).otherwise("elsewhere").alias("recorded")).withColumnRenamed("name_", "name")

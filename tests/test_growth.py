@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import cases
 from quarry.functions import addresses, hours, integrity, titles
-from quarry.operators import pairs, series, venues
+from quarry.operators import boundary, pairs, series, venues
 from quarry.sources import calendar
 
 DAY = date(2024, 1, 1)
@@ -107,3 +107,29 @@ def test_each_part_of_a_rule_is_read_once(spark):
     days = calendar.expand(rows, F.lit(date(2400, 1, 1)))
     assert plan(days).count("INTERVAL=") <= 2 and "_over" in plan(days)
     assert [r["day"] for r in days.orderBy("day").collect()] == [date(1997, 6, 11), date(1997, 6, 25), date(1997, 7, 9)]
+
+
+def test_points_of_one_place_are_looked_up_once(spark):
+    """4,000 points of two places and an edge list that no cell holds whole: what meets edges are places, and each point has its answer."""
+    points = spark.range(4000).select("id", (F.col("id") % 2 * 0.004).alias("lng"), F.lit(0.0).alias("lat")).union(spark.createDataFrame([(-1, None, 0.0)], "id long, lng double, lat double"))
+    square = lambda i: [[[0.001 * i + x, 0.003 + y] for x, y in ((0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.0))]]
+    polygons = spark.createDataFrame([(f"p{i:02}", square(i)) for i in range(40)], "name string, rings array<array<array<double>>>")
+    met = []
+    metres = boundary._metres
+    boundary._metres = lambda *a: met.append(1) or metres(*a)
+    try:
+        got = boundary.edge_metres(points, polygons)
+    finally:
+        boundary._metres = metres
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and {(r["id"] % 2 if r["id"] >= 0 else -1, None if r["metres"] is None else round(r["metres"]), r["name"]) for r in got.collect()} == {(-1, None, None), (0, 334, "p00"), (1, 334, "p03")}
+    assert got.count() == 4001
+
+
+def test_parcels_meet_areas_without_rows_of_points(spark):
+    """A parcel of 800 points meets its two areas as two rows."""
+    box = lambda a, b, c, d: [[[a, b], [c, b], [c, d], [a, d], [a, b]]]
+    areas = spark.createDataFrame([("A", box(0.0, 0.0, 1.0, 1.0)), ("B", box(1.0, 0.0, 2.0, 1.0)), ("C", box(5.0, 5.0, 6.0, 6.0))], "name string, rings array<array<array<double>>>")
+    parcels = spark.createDataFrame([(1, box(0.9, 0.4, 1.1, 0.5), "A"), (2, box(0.2, 0.2, 0.3, 0.3), " a "), (3, box(1.2, 0.2, 1.3, 0.3), "A"), (4, box(8.0, 8.0, 8.1, 8.1), "A"), (5, box(-0.1, 0.2, 0.1, 0.3), "A"), (6, [[[0.0, 0.0]]], "A")], "name int, rings array<array<array<double>>>, recorded string")
+    assert boundary._areas_near(parcels.where("name = 1"), areas).count() == 2
+    assert {(r["name"], r["status"], r["area"]) for r in boundary.parcel_areas(parcels, areas).collect()} == {(1, "crosses_boundary", None), (2, "settled", "A"), (3, "record_and_drawing_disagree", None), (4, "outside", None), (5, "crosses_boundary", None), (6, "no_geometry", None)}
