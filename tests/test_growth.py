@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from quarry import cases
-from quarry.functions import addresses, hours, integrity, titles
+from quarry.functions import addresses, clocktext, hours, integrity, titles
 from quarry.operators import boundary, pairs, series, venues
 from quarry.sources import calendar
 
@@ -133,3 +133,54 @@ def test_parcels_meet_areas_without_rows_of_points(spark):
     parcels = spark.createDataFrame([(1, box(0.9, 0.4, 1.1, 0.5), "A"), (2, box(0.2, 0.2, 0.3, 0.3), " a "), (3, box(1.2, 0.2, 1.3, 0.3), "A"), (4, box(8.0, 8.0, 8.1, 8.1), "A"), (5, box(-0.1, 0.2, 0.1, 0.3), "A"), (6, [[[0.0, 0.0]]], "A")], "name int, rings array<array<array<double>>>, recorded string")
     assert boundary._areas_near(parcels.where("name = 1"), areas).count() == 2
     assert {(r["name"], r["status"], r["area"]) for r in boundary.parcel_areas(parcels, areas).collect()} == {(1, "crosses_boundary", None), (2, "settled", "A"), (3, "record_and_drawing_disagree", None), (4, "outside", None), (5, "crosses_boundary", None), (6, "no_geometry", None)}
+
+
+def test_a_range_of_days_is_read_by_one_pattern(spark):
+    """Each of the four forms, and texts that are none of them; the month is looked for once a pattern and the text is read once."""
+    said = {
+        "June 5, 1997 - July 2, 1997": ("1997-06-05", "1997-07-02"), "Dec 30 – Jan 2, 1998": ("1997-12-30", "1998-01-02"), "June 5 - 9 1997": ("1997-06-05", "1997-06-09"), "sept 5, 1997": ("1997-09-05", None), "June 5, 1997 - 9, 1997": (None, None),
+        "June 31, 1997 - July 2, 1997": (None, None), "July 2, 1998 - June 5, 1997": (None, None), "June 5 1997-June 6 1997": ("1997-06-05", "1997-06-06"), "June 5": (None, None), "June 5 - July 9": (None, None), "June 5, 97": (None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", clocktext.date_range(F.col("t")).alias("x"))
+    assert {r["t"]: tuple(None if v is None else str(v) for v in r["x"]) for r in rows.collect()} == said
+    assert rows._jdf.queryExecution().analyzed().toString().count("(jan(?:uary)?") <= 12
+
+
+def test_a_guarded_listing_asks_the_state_once_a_key(spark):
+    """1,000 listings of four keys and titles: the state is asked for each key once, and answers are those of a scan."""
+    import pandas as pd
+
+    from quarry.streaming import guard
+
+    class State(dict):
+        asked = 0
+
+        def containsKey(self, k):
+            State.asked += 1
+            return k in self
+
+        def getValue(self, k):
+            State.asked += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def iterator(self):
+            return iter(self.items())
+
+    s = guard.SeenBefore(400)
+    s.titles, s.venues, s.known = State(), State(), State()
+    rows = [(i, f"k{i * 7 % 4}", ("jazz", "jazz night", "", "night")[i % 4], ("hall", "loft", None)[i % 3], ("2024-01-01", "2024-01-02")[i % 5 == 0], i % 5 > 0, i) for i in range(1000)]
+    got = list(s.handleInputRows(("2024-01-01",), iter([pd.DataFrame(rows, columns=["id", "key", "title", "venue", "day", "judged", "at"])]), None))[0]
+    titles, venues, known, want = {}, {}, {}, []
+    for i, k, t, v, day, judged, _ in rows:
+        if judged:
+            near = {x for (u, _), x in titles.items() if u and t and (u in t or t in u)} | ({venues[v, day]} if v and (v, day) in venues else set())
+            want.append((i, "already_exists" if k in known else "possible_duplicate" if near else "created", [known[k]] if k in known else sorted(near)))
+            known.setdefault(k, i)
+        if t:
+            titles.setdefault((t, day), i)
+        if v:
+            venues.setdefault((v, day), i)
+    assert [tuple(r) for r in got.itertuples(index=False)] == want and State.asked <= 8
