@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), split into pieces at `[.,;:!?\\x0A-\\x0D]` and these into words `[^\\x20\\x09]+`; everything is counted per
 language. A first pass counts words, and pairs of neighbours in a fixed number of hashed counters: a pair whose counter stays below
 `min_count` is rarer than that, so no frequent phrase holds it. A second pass writes from each word on the suffix of at most `max_n` words,
-which ends early at a rare pair, the end of a piece or of the text; equal suffixes of a slice are one row. The suffixes are shuffled by
+which ends early at a rare pair, the end of a piece or of the text; equal suffixes of a task's slices are one row, as far as it holds them. The suffixes are shuffled by
 ranges of (first word, next words), the word's key holding its language, so a word that begins a third of all suffixes is split by what
 follows it; each task sorts its range in reverse lexicographic order and counts all prefixes with one stack of open ones. Prefixes at the
 ends of a range may go on in the next; their counts are added up. Parts of phrases are joined afterwards.
@@ -35,6 +35,8 @@ _WORD = ~_BREAK
 _WORD[[9, 32]] = False
 #: Bytes of text a step takes, and counters in one row.
 STEP, CHUNK = 1 << 22, 1 << 12
+#: Different suffixes that a task holds before it writes them (some 60 bytes each).
+HELD = 1 << 19
 MAX_BITS = 27
 
 
@@ -120,10 +122,25 @@ def _frequent_pairs(counts: DataFrame, bits: int, min_count: int) -> np.ndarray:
 
 
 def _suffixes(texts: DataFrame, bitmap: np.ndarray, bits: int, seed: int, max_n: int) -> DataFrame:
-    """(suffix, n): the keys of two to max_n words, eight bytes each, and how often a slice has them."""
+    """(suffix, n): the keys of two to max_n words, eight bytes each, and how often slices that are held together have them."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
+    def merged(words: np.ndarray, size: np.ndarray, n: np.ndarray):
+        """Equal suffixes as one, with their counts added up."""
+        order = np.argsort(chain(words.ravel(), max_n)[::max_n] + size.astype(np.uint64) if len(size) else size, kind="stable")
+        words, size, n = words[order], size[order], n[order]
+        new = np.ones(len(size), bool)
+        new[1:] = (words[1:] != words[:-1]).any(axis=1) | (size[1:] != size[:-1])
+        first = np.flatnonzero(new)
+        return words[first], size[first], np.add.reduceat(n, first) if len(first) else n
+
+    def rows(words: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        raw = words.astype(">u8").view(np.uint8).reshape(len(size), 8 * max_n)[np.arange(8 * max_n) < 8 * size[:, None]]
+        ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())]), pa.array(n)], names=["suffix", "n"])
+
     def cut_up(batches):
+        held = None  # suffixes of the slices so far, which later ones add to
         for _, keys, _, _, follows in _steps(batches, seed):
             if len(keys) < 2:
                 continue
@@ -138,16 +155,13 @@ def _suffixes(texts: DataFrame, bitmap: np.ndarray, bits: int, seed: int, max_n:
                 alive &= ok[start + k - 1]
                 size += alive
                 words[alive, k] = keys[start[alive] + k]
-            order = np.argsort(chain(words.ravel(), max_n)[::max_n] + size.astype(np.uint64) if len(start) else size, kind="stable")
-            words, size = words[order], size[order]
-            new = np.ones(len(size), bool)
-            new[1:] = (words[1:] != words[:-1]).any(axis=1) | (size[1:] != size[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(size)))
-            words, size = words[first], size[first]
-            raw = words.astype(">u8").view(np.uint8).reshape(len(first), 8 * max_n)[np.arange(8 * max_n) < 8 * size[:, None]]
-            ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())]), pa.array(n.astype(np.int64))], names=["suffix", "n"])
+            own = merged(words, size, np.ones(len(size), np.int64))
+            held = own if held is None else merged(*(np.concatenate(x) for x in zip(held, own, strict=True)))
+            if len(held[1]) >= HELD:
+                yield rows(*held)
+                held = None
+        if held is not None:
+            yield rows(*held)
 
     return texts.mapInArrow(cut_up, "suffix binary, n long")
 
