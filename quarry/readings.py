@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cues, hours
-from .lineage import shared_folder, spread
+from .lineage import read_once, shared_folder, spread
 from .operators import boundary, elements, families, quality, repair, report, snapshots, venues
 from .sources import calendar, feeds
 from .sources import lines as L
@@ -263,8 +263,7 @@ def order_hours(spark, d):
     a, b = day(k % 7), day((k + 2 + u % 3) % 7)
     spec = F.when(k % 3 == 0, F.concat(a, F.lit(" – "), b, F.lit(": "))).when(k % 3 == 1, F.concat(F.substring(a, 1, 3), F.lit(". & "), b, F.lit("s, open from "))).otherwise(F.concat(a, F.lit("s at ")))
     text = F.concat(F.lit("Seats for 12. "), spec, (7 + u % 4).cast("string"), F.lit(":30 AM to "), (1 + k % 5).cast("string"), F.lit(" p.m., later by call"))
-    read = hours.weekly_hours(c("text"))
-    rows = t(spark, d, "orders").select(k.alias("id"), text.alias("text")).withColumn("h", read)
+    rows = read_once(t(spark, d, "orders").select(k.alias("id"), text.alias("text")), "text", "h", hours.weekly_hours)
     return rows.select("id", F.array_join(F.transform(F.array_sort(F.map_keys("h")), lambda x: F.concat(x.cast("string"), F.lit("="), F.element_at(c("h"), x))), ",").alias("hours"))
 
 

@@ -4,9 +4,9 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from quarry import cases
+from quarry import cases, lineage
 from quarry.functions import addresses, clocktext, hours, integrity, titles
-from quarry.operators import boundary, pairs, series, venues
+from quarry.operators import articles, boundary, pairs, series, venues
 from quarry.sources import calendar
 
 DAY = date(2024, 1, 1)
@@ -184,3 +184,25 @@ def test_a_guarded_listing_asks_the_state_once_a_key(spark):
         if v:
             venues.setdefault((v, day), i)
     assert [tuple(r) for r in got.itertuples(index=False)] == want and State.asked <= 8
+
+
+def test_a_text_of_many_rows_is_read_once(spark):
+    """The reading stands on the different texts: 1,000 rows of three texts and of none read four values."""
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("t"))
+    seen = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda x: seen.add(1) or f"<{x}>", "string")
+    got = lineage.read_once(rows, "t", "x", read).collect()
+    assert len(got) == 1000 and all(r["x"] == f"<{r['t']}>" for r in got) and seen.value == 4
+
+
+def test_few_phrases_go_to_the_words(spark):
+    """Words of texts are not shuffled to meet few phrases."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(1, "the grand old hall tonight"), (2, "megrand old"), (3, "grands of old")], "article_id int, hay string")
+        got = articles.phrases_in(texts, spark.createDataFrame([("grand old",), ("grand old hall",), ("tonight",)], "phrase string"))
+        assert {tuple(r) for r in got.collect()} == {(1, "grand old"), (1, "grand old hall"), (1, "tonight"), (2, "grand old")}
+        assert "BroadcastHashJoin [key" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
