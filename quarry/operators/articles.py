@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_in, plain
+from ..lineage import cut
 
 #: Shortest title or venue that is sought, most days between an article and an event at a venue it names.
 LEAST_CHARS, VENUE_DAYS = 6, 21
+#: Phrases that are broadcast; each is one key.
+FEW = 50_000
 
 
-def _phrase_keys(phrases: DataFrame, words: DataFrame, m: int) -> DataFrame:
+def _phrase_keys(phrases: DataFrame, words: DataFrame, m: int, near: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(phrase, key): a word that any text with the phrase has, the one in fewest texts; of short phrases a piece of a word.
 
     Containment is by characters, so the first and last word of a phrase may be parts of longer words. Phrases of three words or more
@@ -21,7 +25,7 @@ def _phrase_keys(phrases: DataFrame, words: DataFrame, m: int) -> DataFrame:
     """
     p = phrases.withColumn("t", F.split("phrase", " "))
     inner = p.where(F.size("t") > 2).select("phrase", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("w"))
-    texts = words.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    texts = words.join(near(inner.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
     rarest = inner.join(texts, "w", "left").groupBy("phrase").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
     first = F.get("t", F.lit(0))
     return (
@@ -39,9 +43,14 @@ def _text_keys(words: DataFrame, m: int) -> DataFrame:
 
 
 def phrases_in(articles: DataFrame, phrases: DataFrame, m: int = LEAST_CHARS) -> DataFrame:
-    """(article_id, phrase): the phrases, at least m characters long, that articles(article_id, hay) contain; both in plain form."""
+    """(article_id, phrase): the phrases, at least m characters long, that articles(article_id, hay) contain; both in plain form.
+
+    Up to FEW phrases go to every task, so words and pieces of words that no phrase has are dropped where they are made; more are joined.
+    """
+    phrases = cut(phrases)
+    near = F.broadcast if phrases.count() <= FEW else (lambda df: df)
     words = articles.select("article_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("w")).where("w <> ''")
-    keys = _phrase_keys(phrases, words, m)
+    keys = near(cut(_phrase_keys(phrases, words, m, near)))
     maybe = _text_keys(words, m).join(keys, "key").select("article_id", "phrase").distinct()
     return maybe.join(articles.select("article_id", "hay"), "article_id").where(F.contains("hay", F.col("phrase"))).select("article_id", "phrase")
 
