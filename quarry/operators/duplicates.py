@@ -6,13 +6,16 @@ from collections import namedtuple
 from datetime import timedelta
 from itertools import groupby, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import squish, tokens
+from ..lineage import cut
 
 
 def start_time(time: Column) -> Column:
@@ -114,23 +117,96 @@ def plan(rows: DataFrame, order: list[Column]) -> DataFrame:
     return decisions(rows, order).where("kind = 'merge'").drop("kind")
 
 
+#: Counters that words are hashed into to order them by how rare they are; documents of a bucket whose words one task holds, and that it is asked about.
+COUNTERS, HELD, ASKED = 1 << 20, 1 << 14, 1 << 17
+#: Meetings that are counted at once (a row's own at least).
+STEP = 1 << 21
+#: Ids that are sent to every task to pick out the sets that are compared.
+SENT = 1 << 20
+
+
+def _rarest_first(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (columns, h) with each set's hashed words from the rarest to the most frequent; the same order in all rows."""
+    at = F.pmod(F.col("w"), F.lit(COUNTERS))
+    counts = np.zeros(COUNTERS, np.int64)
+    rows = sets.select(F.explode("h").alias("w")).groupBy(at.alias("at")).agg(F.count("*").alias("n")).toArrow()  # COUNTERS rows at most
+    counts[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def order(batches):
+        for b in batches:
+            h = b.column(len(columns))
+            size, w = pc.list_value_length(h).to_numpy(), h.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            w = w[np.lexsort((w, shared.value[w % COUNTERS], owner))]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(w))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], lists], names=[*columns, "h"])
+
+    return sets.select(*columns, "h").mapInArrow(order, sets.select(*columns, "h").schema)
+
+
+def _met(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """(x, y): each asked row and those held that are no smaller and have `hits` of its words at least."""
+    y, sy = held.column("id").to_numpy(), held.column("size").to_numpy()
+    hy = held.column("h").combine_chunks()
+    words, owner = hy.flatten().to_numpy(), np.repeat(np.arange(len(y)), pc.list_value_length(hy).to_numpy())
+    o = np.argsort(words, kind="stable")
+    words, owner = words[o], owner[o]
+    x, sx, hits = (asked.column(c).to_numpy() for c in ("id", "size", "hits"))
+    hx = asked.column("h").combine_chunks()
+    n = pc.list_value_length(hx).to_numpy()
+    w = hx.flatten().to_numpy()
+    lo, hi = np.searchsorted(words, w, "left"), np.searchsorted(words, w, "right")
+    ends = np.r_[0, np.cumsum(n)]
+    work = np.r_[0, np.cumsum(hi - lo)][ends]  # meetings before each row
+    found, i = [], 0
+    while i < len(x):
+        j = min(max(i + 1, int(np.searchsorted(work, work[i] + STEP, "right")) - 1), len(x))
+        a, m = lo[ends[i] : ends[j]], (hi - lo)[ends[i] : ends[j]]
+        at = owner[np.arange(m.sum()) + np.repeat(a - np.r_[0, np.cumsum(m)[:-1]], m)]
+        row = np.repeat(np.repeat(np.arange(i, j), n[i:j]), m)
+        pair, times = np.unique(row * len(y) + at, return_counts=True)
+        p, q = pair // max(len(y), 1), pair % max(len(y), 1)
+        keep = (times >= hits[p]) & ((sx[p] < sy[q]) | ((sx[p] == sy[q]) & (x[p] < y[q])))
+        found.append((x[p[keep]], y[q[keep]]))
+        i = j
+    both = [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1)]
+    return pa.table({"x": pa.array(both[0], pa.int64()), "y": pa.array(both[1], pa.int64())})
+
+
 def contained_pairs(docs: DataFrame, by: list[str], id_: str, text: str, least: int = 20, share: float = 0.85) -> DataFrame:
-    """Pairs in one bucket whose smaller token set is nearly contained in the other's.
+    """(a, b, shared, copy): documents of one bucket whose smaller word set is nearly contained in the other's.
+
+    Documents of a bucket with equal sets are a class, its first one stands for it. With copy, b is another document of a's class; else each
+    of a's class is linked with each of b's. Ids are whole numbers; a null bucket has no links.
 
-    A set that has at least `share` of its words in a larger one has one of its rarest (1 - share) * size + 1 there: only these are
-    joined with the words of sets that are no smaller. Words are counted before they are joined back, so a word that all rows have is
-    counted in every task; only ids and words travel, the sets of a pair come last.
+    Of a set that has `share` of its words in a larger one at most (1 - share) * size are not there, so of its rarest words all but so
+    many are. Only these are sent, to tasks that each hold the hashed words of a block of a bucket's sets; those that meet often enough are
+    compared on the words themselves. Any order of words gives all links; that of hashed counters makes meetings few. Blocks of a bucket
+    meet in pairs, which is quadratic in a bucket of many blocks, in what is sent as in the work; memory is bounded by the blocks.
     """
-    t = docs.select(*by, F.col(id_).alias("id"), tokens(F.col(text)).alias("t")).where(F.size("t") >= least).withColumn("size", F.size("t"))
-    one = t.select(*by, "id", "size", F.explode("t").alias("w"))
-    counts = one.groupBy(*by, "w").agg(F.count("*").alias("n")).where("n > 1")  # a word of one set alone joins nothing
-    ranked = one.join(counts, [*by, "w"]).groupBy(*by, "id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("rare"), F.count("*").alias("met"))
-    # words of one set alone are its rarest: they use up places of the prefix
-    places = F.floor((1 - share) * F.col("size")).cast("int") + 1 - (F.col("size") - F.col("met")).cast("int")
-    prefix = ranked.where(places > 0).select(*by, F.col("id").alias("x"), F.col("size").alias("sx"), F.explode(F.slice("rare", F.lit(1), places)).alias("r")).select(*by, "x", "sx", F.col("r.w").alias("w"))
-    others = one.join(counts.select(*by, "w"), [*by, "w"], "left_semi").select(*by, "w", F.col("id").alias("y"), F.col("size").alias("sy"))
-    pairs = prefix.join(others, [*by, "w"]).where("(sx < sy or (sx = sy and x < y))").select(*by, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    a, b = t.select(*by, F.col("id").alias("a"), F.col("t").alias("ta")), t.select(*by, F.col("id").alias("b"), F.col("t").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    full = pairs.join(a, [*by, "a"]).join(b, [*by, "b"]).select("a", "b", shared.alias("shared"), F.least(F.size("ta"), F.size("tb")).alias("small"))
-    return full.where((F.col("shared") >= least) & (F.col("shared") >= share * F.col("small"))).select("a", "b", F.col("shared").cast("long").alias("shared"))
+    d = docs.select(*by, F.col(id_).cast("long").alias("id"), F.col(text).alias("_text")).where(" and ".join(f"`{c}` is not null" for c in by))
+    t = d.select(*by, "id", tokens(F.col("_text")).alias("t")).where(F.size("t") >= least)
+    sets = cut(t.select(*by, "id", F.size("t").alias("size"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("set"), F.transform("t", lambda w: F.hash(w)).alias("h")))
+    classes = sets.groupBy(*by, "set").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    copies = sets.select(*by, "set", "id", "size").join(classes.where("n > 1"), [*by, "set"]).where("id <> rep")
+    one = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("size").cast("long").alias("shared"), F.lit(True).alias("copy"))
+    first = sets.join(copies.select(*by, "id"), [*by, "id"], "left_anti")
+    ranked = _rarest_first(first, [*by, "id", "size"])
+    blocks = first.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.ceil(F.col("_n") / HELD).cast("int").alias("_held"), F.ceil(F.col("_n") / ASKED).cast("int").alias("_asked"))
+    ranked = ranked.join(blocks, by)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    need = F.greatest(F.lit(least), F.ceil(share * F.col("size") - 1e-9).cast("int"))
+    sent = F.least(F.col("size"), F.col("size") - need + 2 + (F.col("size") / 16).cast("int"))
+    new = [F.col(c).alias(c) for c in (*by, "id", "size")]  # else the two sides of the cogroup can't be told apart
+    asked = ranked.select(*new, every("_held").alias("_y"), own("_asked").alias("_x"), (sent - (F.col("size") - need)).alias("hits"), F.slice("h", F.lit(1), sent).alias("h"))
+    held = ranked.select(*by, own("_held").alias("_y"), every("_asked").alias("_x"), "id", "size", "h")
+    keys = [*by, "_y", "_x"]
+    met = cut(asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_met, "x long, y long"))
+    ids = met.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    words = d.join(F.broadcast(ids) if met.count() <= SENT else ids, "id", "left_semi").select("id", tokens(F.col("_text")).alias("t"))
+    a, b = (words.select(F.col("id").alias(n), F.col("t").alias(f"t{n}")) for n in "xy")
+    shared = F.size(F.array_intersect("tx", "ty"))
+    full = met.join(a, "x").join(b, "y").select("x", "y", shared.alias("shared"), F.least(F.size("tx"), F.size("ty")).alias("small")).where((F.col("shared") >= least) & (F.col("shared") >= share * F.col("small")))
+    return one.unionByName(full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("shared").cast("long").alias("shared"), F.lit(False).alias("copy")))

@@ -1,12 +1,13 @@
 """Whole jobs on groups of many rows: what an operator returns and meets grows with the rows, not with their square."""
 
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from quarry import cases, lineage
 from quarry.functions import addresses, clocktext, hours, integrity, titles
-from quarry.operators import articles, boundary, pairs, series, venues
+from quarry.operators import articles, boundary, duplicates, pairs, series, venues
 from quarry.sources import calendar
 
 DAY = date(2024, 1, 1)
@@ -206,3 +207,27 @@ def test_few_phrases_go_to_the_words(spark):
         assert "BroadcastHashJoin [key" in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_contained_sets_over_blocks(spark, monkeypatch):
+    """Small blocks, few counters, many copies and near copies, null buckets: all links of different sets, and each copy once, with its class."""
+    for name, n in (("HELD", 40), ("ASKED", 70), ("COUNTERS", 16), ("STEP", 50)):
+        monkeypatch.setattr(duplicates, name, n)
+    rng = random.Random(3)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(15, 90))]
+        rows.append((i, rng.choice(["a", "b"]), " ".join(base)))
+        if i % 3 == 0:
+            rows.append((1000 + i, rows[-1][1], " ".join(base[:-2]) + " more"))
+    rows += [(2000 + i, "a", "copy " + " ".join(f"w{k}" for k in range(30))) for i in range(120)] + [(3000, None, rows[0][2]), (3001, None, rows[0][2]), (3002, "a", None)]
+    sets = {(b, frozenset(t.split())): [] for i, b, t in rows if b and t and len(set(t.split())) >= 20}
+    for i, b, t in rows:
+        if (b, frozenset((t or "").split())) in sets:
+            sets[b, frozenset(t.split())].append(i)
+    want = {(min(m), x, len(w), True) for (_, w), m in sets.items() for x in m if x != min(m)}
+    for (b, v), m in sets.items():
+        want |= {(min(m), min(n), len(v & w), False) for (c, w), n in sets.items() if b == c and min(m) < min(n) and len(v & w) >= max(20, 0.85 * min(len(v), len(w)))}
+    docs = spark.createDataFrame(rows, "doc int, b string, text string").repartition(5)
+    out = duplicates.contained_pairs(docs, ["b"], "doc", "text")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len(want) > 200
