@@ -2,11 +2,10 @@
 
 Texts are lower-cased (A-Z), split into pieces at `[.,;:!?\\x0A-\\x0D]` and these into words `[^\\x20\\x09]+`; everything is counted per
 language. A first pass counts words, and pairs of neighbours in a fixed number of hashed counters: a pair whose counter stays below
-`min_count` is rarer than that, so no frequent phrase holds it. A second pass writes from each word on the suffix of at most `max_n` words,
-which ends early at a rare pair, the end of a piece or of the text; equal suffixes of a task's slices are one row, as far as it holds them. The suffixes are shuffled by
-ranges of (first word, next words), the word's key holding its language, so a word that begins a third of all suffixes is split by what
-follows it; each task sorts its range in reverse lexicographic order and counts all prefixes with one stack of open ones. Prefixes at the
-ends of a range may go on in the next; their counts are added up. Parts of phrases are joined afterwards.
+`min_count` is rarer than that, so no frequent phrase holds it. A second pass counts so the triples of which both pairs are left. A third pass
+writes from each word on the suffix of at most `max_n` words, which ends early at a rare pair or triple, the end of a piece or of the text.
+Equal suffixes are counted, in each task first, so that a suffix which all texts have is a row a task; what is left are little more than
+the different frequent phrases, and the prefixes of these are added up in the same way. Parts of phrases are joined afterwards.
 
 Keys are 64-bit hashes of (language, word); should two words share one, the words are counted anew with another seed. The counters take
 at most 2**27 places (a bitmap of 16 MB is broadcast); they only spare work, so a corpus that fills them is counted as exactly.
@@ -35,8 +34,6 @@ _WORD = ~_BREAK
 _WORD[[9, 32]] = False
 #: Bytes of text a step takes, and counters in one row.
 STEP, CHUNK = 1 << 22, 1 << 12
-#: Different suffixes that a task holds before it writes them (some 60 bytes each).
-HELD = 1 << 19
 MAX_BITS = 27
 
 
@@ -65,8 +62,16 @@ def _bytes_of(w: Words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.string())
 
 
-def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (chain(keys, 2) >> _U(64 - bits)).astype(np.int64)
+def _bucket(keys: np.ndarray, bits: int, k: int = 2) -> np.ndarray:
+    """The counter of the k words from each word on."""
+    return (chain(keys, k) >> _U(64 - bits)).astype(np.int64)
+
+
+def _chunks(counters: np.ndarray):
+    """(numbers, bytes) of a task's counters, some rows at a time."""
+    for k in range(0, len(counters), CHUNK * 1024):
+        rows = [counters[c : c + CHUNK].tobytes() for c in range(k, min(k + CHUNK * 1024, len(counters)), CHUNK)]
+        yield pa.array(np.arange(len(rows)) + k // CHUNK, pa.int32()), pa.array(rows, pa.binary())
 
 
 def _counts(texts: DataFrame, bits: int, seed: int) -> DataFrame:
@@ -81,16 +86,42 @@ def _counts(texts: DataFrame, bits: int, seed: int) -> DataFrame:
             if len(keys) > 1:
                 at, n = np.unique(_bucket(keys, bits)[follows], return_counts=True)
                 pairs[at] = np.minimum(pairs[at] + n.astype(np.int64), 65535)
-        for k in range(0, len(pairs), CHUNK * 1024):
-            rows = [pairs[c : c + CHUNK].tobytes() for c in range(k, min(k + CHUNK * 1024, len(pairs)), CHUNK)]
-            number = pa.array(np.arange(len(rows)) + k // CHUNK, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64()), number, pa.array(rows, pa.binary())], names=list(names_))
+        for number, raw in _chunks(pairs):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(raw), pa.int64()), pa.nulls(len(raw), pa.string()), pa.nulls(len(raw), pa.string()), pa.nulls(len(raw), pa.int64()), number, raw], names=list(names_))
 
     names_ = ("key", "lang", "word", "n", "chunk", "counters")
     return texts.mapInArrow(count, "key long, lang string, word string, n long, chunk int, counters binary")
 
 
-def _frequent_pairs(counts: DataFrame, bits: int, min_count: int) -> np.ndarray:
+def _follow(keys: np.ndarray, follows: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """For each bitmap (pairs, then triples): whether the two (three) words from each word on may be frequent together."""
+    out, before = [], np.concatenate([follows, [False]])
+    for k, bitmap in enumerate(bitmaps, 2):
+        at, ok = _bucket(keys, bits, k), np.zeros(len(keys), bool)
+        ok[: len(at)] = before[: len(at)] & (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        out.append(ok)
+        before = ok & np.concatenate([ok[1:], [False]])
+    return out
+
+
+def _triples(texts: DataFrame, pairs: np.ndarray, bits: int, seed: int) -> DataFrame:
+    """Rows (chunk, counters) of tasks' triples of which both pairs may be frequent."""
+    shared = texts.sparkSession.sparkContext.broadcast(pairs)
+
+    def count(batches):
+        triples = np.zeros(1 << bits, np.uint16)
+        for _, keys, _, _, follows in _steps(batches, seed):
+            if len(keys) > 2:
+                ok = _follow(keys, follows, [shared.value], bits)[0]
+                at, n = np.unique(_bucket(keys, bits, 3)[ok[:-2] & ok[1:-1]], return_counts=True)
+                triples[at] = np.minimum(triples[at] + n.astype(np.int64), 65535)
+        for number, raw in _chunks(triples):
+            yield pa.RecordBatch.from_arrays([number, raw], names=["chunk", "counters"])
+
+    return texts.mapInArrow(count, "chunk int, counters binary")
+
+
+def _frequent(counts: DataFrame, bits: int, min_count: int) -> np.ndarray:
     """A bit for each counter that reaches min_count over all tasks (at most 2**MAX_BITS bits come to the driver)."""
 
     def add(batches):
@@ -121,106 +152,34 @@ def _frequent_pairs(counts: DataFrame, bits: int, min_count: int) -> np.ndarray:
     return bitmap
 
 
-def _suffixes(texts: DataFrame, bitmap: np.ndarray, bits: int, seed: int, max_n: int) -> DataFrame:
-    """(suffix, n): the keys of two to max_n words, eight bytes each, and how often slices that are held together have them."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-
-    def merged(words: np.ndarray, size: np.ndarray, n: np.ndarray):
-        """Equal suffixes as one, with their counts added up."""
-        order = np.argsort(chain(words.ravel(), max_n)[::max_n] + size.astype(np.uint64) if len(size) else size, kind="stable")
-        words, size, n = words[order], size[order], n[order]
-        new = np.ones(len(size), bool)
-        new[1:] = (words[1:] != words[:-1]).any(axis=1) | (size[1:] != size[:-1])
-        first = np.flatnonzero(new)
-        return words[first], size[first], np.add.reduceat(n, first) if len(first) else n
-
-    def rows(words: np.ndarray, size: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        raw = words.astype(">u8").view(np.uint8).reshape(len(size), 8 * max_n)[np.arange(8 * max_n) < 8 * size[:, None]]
-        ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())]), pa.array(n)], names=["suffix", "n"])
+def _suffixes(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, seed: int, max_n: int) -> DataFrame:
+    """(suffix): from each word on, the keys of two to max_n words, eight bytes each."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def cut_up(batches):
-        held = None  # suffixes of the slices so far, which later ones add to
         for _, keys, _, _, follows in _steps(batches, seed):
             if len(keys) < 2:
                 continue
-            at = _bucket(keys, bits)
-            ok = np.concatenate([follows & (shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool), np.zeros(max_n, bool)])
-            start = np.flatnonzero(ok[: len(keys)])
-            size = np.ones(len(start), np.int64)
-            alive = np.ones(len(start), bool)
-            words = np.zeros((len(start), max_n), np.uint64)
-            words[:, 0] = keys[start]
-            for k in range(1, max_n):
-                alive &= ok[start + k - 1]
+            pairs, *triples = (np.concatenate([x, np.zeros(max_n, bool)]) for x in _follow(keys, follows, shared.value, bits))
+            start = np.flatnonzero(pairs)
+            size, alive = np.full(len(start), 2), np.ones(len(start), bool)
+            for k in range(max_n - 2):
+                alive = alive & (triples[0] if triples else pairs[1:])[start + k]
                 size += alive
-                words[alive, k] = keys[start[alive] + k]
-            own = merged(words, size, np.ones(len(size), np.int64))
-            held = own if held is None else merged(*(np.concatenate(x) for x in zip(held, own, strict=True)))
-            if len(held[1]) >= HELD:
-                yield rows(*held)
-                held = None
-        if held is not None:
-            yield rows(*held)
+            words = keys[np.minimum(start[:, None] + np.arange(max_n), len(keys) - 1)]
+            raw = words.astype(">u8").view(np.uint8).reshape(len(start), 8 * max_n)[np.arange(8 * max_n) < 8 * size[:, None]]
+            ends = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])], names=["suffix"])
 
-    return texts.mapInArrow(cut_up, "suffix binary, n long")
+    return texts.mapInArrow(cut_up, "suffix binary")
 
 
-def _prefixes(suffixes: DataFrame, min_count: int, max_n: int) -> DataFrame:
+def _prefixes(suffixes: DataFrame, min_count: int) -> DataFrame:
     """(phrase, n) for every prefix of two words or more that occurs min_count times."""
-
-    def count(batches):
-        opened: dict[int, list] = {}  # the stack: of each length the open prefix, its count, and whether the range began with it
-        out: list = []
-
-        def close(k):
-            prefix, n, edge = opened[k]
-            if n >= min_count or edge:
-                out.append((prefix, n))
-
-        def flush():
-            rows = [*out]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["phrase", "n"])
-
-        for b in batches:
-            column, n = b.column(0), np.array(b.column(1))
-            if not len(n):
-                continue
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(n) + 1]
-            data, size = np.frombuffer(column.buffers()[2], np.uint8), np.diff(ends) // 8
-            words = np.zeros((len(n), 8 * max_n), np.uint8)
-            words[np.arange(8 * max_n) < 8 * size[:, None]] = data[ends[0] : ends[-1]]
-            words = words.view(">u8").astype(np.uint64)
-            equal = np.cumprod(words[1:] == words[:-1], axis=1)  # how far neighbours agree
-            for k in range(2, max_n + 1):
-                rows = np.flatnonzero(size >= k)
-                if not len(rows):
-                    continue
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:] != rows[:-1] + 1) | ~equal[rows[1:] - 1, k - 1].astype(bool)
-                first = np.flatnonzero(new)
-                total = np.add.reduceat(n[rows], first)
-                prefix = lambda i: words[rows[first[i]], :k].astype(">u8").tobytes()  # noqa: B023, E731
-                if k in opened and opened[k][0] == prefix(0):
-                    opened[k][1] += int(total[0])
-                else:
-                    edge = k not in opened
-                    if not edge:
-                        close(k)
-                    opened[k] = [prefix(0), int(total[0]), edge]
-                if len(first) > 1:
-                    close(k)
-                    out += [(prefix(i), int(total[i])) for i in np.flatnonzero(total[1:-1] >= min_count) + 1]
-                    opened[k] = [prefix(len(first) - 1), int(total[-1]), False]
-            yield flush()
-        for k in opened:
-            opened[k][2] = True
-            close(k)
-        yield flush()
-
-    ranges = suffixes.repartitionByRange("suffix").sortWithinPartitions(F.desc("suffix"))
-    return ranges.mapInArrow(count, "phrase binary, n long").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    each = suffixes.groupBy("suffix").agg(F.count("*").alias("n"))
+    size = (F.octet_length("suffix") / 8).cast("int")
+    prefixes = each.select("n", F.explode(F.sequence(F.lit(2), size)).alias("k"), "suffix").select(F.expr("substring(suffix, 1, 8 * k)").alias("phrase"), "n")
+    return prefixes.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def frequent(docs: DataFrame, max_n: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -236,8 +195,12 @@ def frequent(docs: DataFrame, max_n: int = 5, min_count: int = 100) -> tuple[Dat
         words = cut(counts.where("key is not null").groupBy("key").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"), (F.min("word") != F.max("word")).alias("a"), (F.min("lang") != F.max("lang")).alias("b")).select(key, "lang", "word", "n", (F.col("a") | F.col("b")).alias("shared")))
         if words.where("shared").isEmpty():
             break
-    bitmap = _frequent_pairs(counts, bits, min_count)
-    return words.drop("shared"), cut(_prefixes(_suffixes(texts, bitmap, bits, seed, max_n), min_count, max_n))
+    bitmaps = [_frequent(counts, bits, min_count)]
+    if max_n > 2:
+        to = f"{shared_dir(spark)}/phrases-{uuid.uuid4().hex}"
+        _triples(texts, bitmaps[0], bits, seed).write.option("compression", "zstd").parquet(to)
+        bitmaps.append(_frequent(spark.read.parquet(to), bits, min_count))
+    return words.drop("shared"), cut(_prefixes(_suffixes(texts, bitmaps, bits, seed, max_n), min_count))
 
 
 def collocations(docs: DataFrame, max_n: int = 5, min_count: int = 100, share: int = 100, top: int = 2000) -> DataFrame:

@@ -65,6 +65,18 @@ def test_ranges_that_cut_prefixes(spark):
             spark.conf.set(k, v)
 
 
+def test_suffixes_end_at_rare_triples(spark):
+    """Pairs a b and b c are frequent, the triple a b c is not: no suffix is written for it, however many pairs there are."""
+    rows = [("en", "a b")] * 30 + [("en", "b c")] * 30 + [("en", "a b c")] * 2 + [("en", "x y z")] * 20
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    bits = 12
+    pairs = P._frequent(P._counts(texts, bits, 0), bits, 20)
+    triples = P._frequent(P._triples(texts, pairs, bits, 0), bits, 20)
+    sizes = Counter(len(r["suffix"]) // 8 for r in P._suffixes(texts, [pairs, triples], bits, 0, 5).collect())
+    assert sizes == {2: 30 + 30 + 2 * 2 + 20, 3: 20}
+    assert rows_of(P.collocations(texts, 5, 20)) == plain(rows, 5, 20, 100, 2000)
+
+
 def test_words_that_share_a_key(spark, monkeypatch):
     """With a seed under which all words share one key, the words are counted anew."""
     real, seeds = P._steps, []
