@@ -31,7 +31,7 @@ K1, B = 1.2, 0.75
 #: Lists that more than this share of documents is in are bounded by block maxima, the others scored at once.
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
-CELLS = 1 << 19
+CELLS = 1 << 18
 #: Bytes of text in a row of the index; a longer text makes a row of its own.
 ROW_BYTES = 1 << 20
 #: A list has one posting at least and 32 at most; tf takes four bytes in a row where some word occurs more than 255 times in a text.
@@ -103,21 +103,24 @@ class Shard:
 
     def __init__(self, queries: list, n_docs: int, mean: float, k: int):
         self.ids = np.array([q[0] for q in queries], np.int64)
-        terms = np.concatenate([np.frombuffer(q[1], np.int64).view(np.uint64) for q in queries])
-        times, df = (np.concatenate([np.frombuffer(q[c], np.int64) for q in queries]) for c in (2, 3))
-        owner = np.repeat(np.arange(len(queries)), [len(q[1]) // 8 for q in queries])
-        self.vocabulary, at = np.unique(terms, return_inverse=True)
-        weight = times * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        self.vocabulary, at = np.unique(np.concatenate([np.frombuffer(q[1], np.int64).view(np.uint64) for q in queries]), return_inverse=True)
+        at = at.astype(np.int32)
+        df = np.concatenate([np.frombuffer(q[3], np.int64) for q in queries]).astype(np.float64)
         share = np.zeros(len(self.vocabulary))
         share[at] = df / max(n_docs, 1)
+        weight = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        del df
+        weight *= np.concatenate([np.frombuffer(q[2], np.int64) for q in queries])
+        owner = np.repeat(np.arange(len(queries), dtype=np.int32), [len(q[1]) // 8 for q in queries])
         self.is_frequent = share > FREQUENT
         self.frequent = np.cumsum(self.is_frequent) - 1
         dense = self.is_frequent[at]
         self.q = np.zeros((len(queries), int(self.is_frequent.sum())))
         self.q[owner[dense], self.frequent[at[dense]]] = weight[dense]
-        o = np.argsort(at[~dense], kind="stable")
-        self.rare_query, self.rare_weight = owner[~dense][o], weight[~dense][o]
-        self.rare_at = np.searchsorted(at[~dense][o], np.arange(len(self.vocabulary) + 1))
+        at, owner, weight = at[~dense], owner[~dense], weight[~dense]
+        o = np.argsort(at, kind="stable")
+        self.rare_query, self.rare_weight, at = owner[o], weight[o], at[o]
+        self.rare_at = np.searchsorted(at, np.arange(len(self.vocabulary) + 1))
         self.mean, self.k = max(mean, 1e-9), k
         self.score, self.doc = np.zeros((len(queries), k)), np.full((len(queries), k), np.iinfo(np.int64).max)
         self.scored = self.blocks = 0
@@ -160,7 +163,7 @@ class Shard:
         a, e = self.rare_at[place[~dense]], self.rare_at[place[~dense] + 1]
         n = e - a
         at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
-        rare = np.bincount(self.rare_query[at] * nd + np.repeat(doc[~dense], n), np.repeat(impact[~dense], n) * self.rare_weight[at], nq * nd).reshape(nq, blocks, BLOCK)
+        rare = np.bincount(self.rare_query[at].astype(np.int64) * nd + np.repeat(doc[~dense], n), np.repeat(impact[~dense], n) * self.rare_weight[at], nq * nd).reshape(nq, blocks, BLOCK)
         low = self.score[:, -1]
         bound = self.q @ maxima + rare.max(2)
         pivot = (bound > 0) & (bound >= low[:, None] - 1e-6)
@@ -230,7 +233,7 @@ def _scored(index: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFra
     return index.mapInArrow(run, _FOUND)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 1_000_000, block_queries: int = 1 << 13) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 400_000, block_queries: int = 1 << 13) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents for each row of queries(doc_id, text)."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"

@@ -1,8 +1,10 @@
 """Top-k search against brute force, with its edge cases."""
 
+import inspect
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -88,6 +90,21 @@ def test_blocks_are_skipped():
     assert shard.scored == before + 1 and shard.doc.tolist() == [[0, 1]]
 
 
+def test_a_block_of_queries_takes_little_memory():
+    """As many words' weights as a block has by default: what a task holds of them, and what it takes to set it up."""
+    rng, n = np.random.default_rng(1), inspect.signature(search).parameters["query_terms"].default
+    asked = []
+    for q in range(n // 200):
+        terms = np.unique(rng.integers(0, 100_000, 200).astype(np.uint64))
+        asked.append((q, *packed(terms, np.ones(len(terms)), 1 + terms % 50)[1:]))
+    tracemalloc.start()
+    shard = Shard(asked, 100_000, 200.0, 10)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 16 << 20 and most < 40 << 20, (held, most)
+    assert shard.q.shape == (len(asked), 0) and len(shard.rare_query) == sum(len(q[1]) // 8 for q in asked)
+
+
 def test_best_of_nothing():
     none = np.zeros(0, np.int64)
     docs, scores = best(none, none, np.zeros(0), np.array([3, 5]), 2)
