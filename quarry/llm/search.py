@@ -31,7 +31,7 @@ K1, B = 1.2, 0.75
 #: Lists that more than this share of documents is in are bounded by block maxima, the others scored at once.
 FREQUENT, BLOCK, STEP = 0.09, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
-CELLS = 1 << 18
+CELLS = 1 << 19
 #: Bytes of text in a row of the index; a longer text makes a row of its own.
 ROW_BYTES = 1 << 20
 #: A list has one posting at least and 32 at most; tf takes four bytes in a row where some word occurs more than 255 times in a text.
@@ -233,7 +233,7 @@ def _scored(index: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFra
     return index.mapInArrow(run, _FOUND)
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 400_000, block_queries: int = 1 << 13) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int = 600_000, block_queries: int = 1 << 13) -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents for each row of queries(doc_id, text)."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
