@@ -17,11 +17,12 @@ the best score counts; very long texts are indexed whole. Other columns are igno
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_text, shared_dir, slices
@@ -34,6 +35,9 @@ FREQUENT, BLOCK, STEP = 0.09, 32, 512
 CELLS = 1 << 19
 #: Bytes of text in a row of the index; a longer text makes a row of its own.
 ROW_BYTES = 1 << 20
+#: Rows are large: a file of the index is cut after each few MB (else after a hundred rows at the earliest), and a task is sent few rows or texts at once.
+_FILES = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(1 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+ROWS_AT_ONCE, TEXTS_AT_ONCE = 4, 2000
 #: A list has one posting at least and 32 at most; tf takes four bytes in a row where some word occurs more than 255 times in a text.
 _INDEX = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "list_term": np.int32, "list_n": np.uint8, "block_at": np.int32, "docs": np.uint8, "tf": np.uint8}
 _FOUND = "query_id long, docs binary, scores binary"
@@ -219,6 +223,17 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([c[a:e].tobytes() for a, e in zip(off[:-1], off[1:], strict=True)], pa.binary()) for c in cols), b.column(2).cast(pa.int64())], names=["query_id", "term", "n", "df", "block"])
 
 
+@contextlib.contextmanager
+def _at_once(spark: SparkSession, n: int):
+    """What is run meanwhile sends at most n rows to a task's Python at once."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def _scored(index: DataFrame, rows, n_docs: int, mean: float, k: int) -> DataFrame:
     """The k best of each query of a block in each shard."""
 
@@ -238,14 +253,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    texts.mapInArrow(_index, ", ".join(f"{c} binary" for c in _INDEX)).write.parquet(f"{folder}/index")
+    with _at_once(spark, TEXTS_AT_ONCE):
+        texts.mapInArrow(_index, ", ".join(f"{c} binary" for c in _INDEX)).write.options(**_FILES).parquet(f"{folder}/index")
     index = spark.read.schema(", ".join(f"{c} binary" for c in _INDEX)).parquet(f"{folder}/index")
-    counts = cut(index.select("lengths", "terms", "list_term", "list_n").mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
+    with _at_once(spark, ROWS_AT_ONCE):
+        counts = cut(index.select("lengths", "terms", "list_term", "list_n").mapInArrow(_statistics, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
     n_docs, n_words = counts.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     asked = queries.select(F.col("doc_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).where("query_id is not null")
     asked = asked.groupBy("query_id").agg(F.min("text").alias("text"))  # of several texts of one id, the first by code points
     asked = map_text(asked, _query_terms, "terms array<struct<term:bigint,n:bigint>>").select("query_id", F.explode("terms").alias("t")).select("query_id", "t.term", "t.n")
-    weighed = cut(asked.join(counts.select("term", "df"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "n", "df")).alias("terms")))
+    with _at_once(spark, TEXTS_AT_ONCE):
+        weighed = cut(asked.join(counts.select("term", "df"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "n", "df")).alias("terms")))
     n_queries, n_terms = weighed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(1, -(-n_terms // query_terms), -(-n_queries // block_queries))
     packed = cut(weighed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).mapInArrow(_pack, "query_id long, term binary, n binary, df binary, block long"))
@@ -253,7 +271,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int =
         rows = [tuple(r)[:4] for r in packed.where(F.col("block") == block).collect()]  # bounded by query_terms and block_queries
         if rows:
             held = spark.sparkContext.broadcast(rows)
-            _scored(index, held, n_docs, n_words / max(n_docs, 1), k).write.mode("append").parquet(f"{folder}/found")
+            with _at_once(spark, ROWS_AT_ONCE):
+                _scored(index, held, n_docs, n_words / max(n_docs, 1), k).write.mode("append").parquet(f"{folder}/found")
             held.destroy()
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")

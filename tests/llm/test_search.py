@@ -1,5 +1,6 @@
 """Top-k search against brute force, with its edge cases."""
 
+import glob
 import inspect
 import math
 import random
@@ -8,9 +9,12 @@ import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import search as module
+from quarry.llm.common import shared_dir
 from quarry.llm.search import Shard, best, search
 
 VOCAB = [f"w{i}" for i in range(300)] + ["the", "of"] * 60
@@ -105,6 +109,19 @@ def test_a_block_of_queries_takes_little_memory():
     assert shard.q.shape == (len(asked), 0) and len(shard.rare_query) == sum(len(q[1]) // 8 for q in asked)
 
 
+def test_large_rows_are_read_a_few_at_once(spark, monkeypatch):
+    """A task neither reads nor is sent its whole part of the index at once; the session keeps its own setting."""
+    name, scored, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", module._scored, []
+    monkeypatch.setattr(module, "_scored", lambda *a: seen.append(spark.conf.get(name)) or scored(*a))
+    before, was = {*glob.glob(f"{shared_dir(spark).removeprefix('file:')}/search-*")}, spark.conf.get(name)
+    docs = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1600), i -> cast(hash(id, i) AS string)), ' ') AS text")
+    assert search(docs, docs.where("doc_id % 600 = 0"), 3).where("rank = 1 AND doc_id = query_id").count() == 2
+    (folder,) = {*glob.glob(f"{shared_dir(spark).removeprefix('file:')}/search-*")} - before
+    groups = [m.row_group(i) for m in map(pq.read_metadata, glob.glob(f"{folder}/index/*.parquet")) for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 12 and max(g.num_rows for g in groups) <= 6
+    assert seen == [str(module.ROWS_AT_ONCE)] and spark.conf.get(name) == was
+
+
 def test_best_of_nothing():
     none = np.zeros(0, np.int64)
     docs, scores = best(none, none, np.zeros(0), np.array([3, 5]), 2)
