@@ -31,7 +31,8 @@ PLACE = "struct<status:string,name:string,address:string,city:string,region:stri
 def category_by_words(title: Column, text: Column, table: Mapping[str, tuple[str, ...]] = CATEGORIES) -> Column:
     """The first category one of whose words a title or text has; null if none."""
     both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
-    return F.coalesce(*(F.when(says(both, words), name) for name, words in table.items()))
+    any_word = tuple(w for words in table.values() for w in words)
+    return bound(both, lambda x: F.when(says(x, any_word), F.coalesce(*(F.when(says(x, words), name) for name, words in table.items()))))
 
 
 def _place(status: str, **parts: Column) -> Column:
@@ -43,34 +44,63 @@ def _place(status: str, **parts: Column) -> Column:
 def _listed(t: Column) -> Column:
     """'Name, street, city, region, postal code, country', read from its end; the region or the postal code has to be there."""
 
-    def parts(p: Column) -> Column:
-        last = lambda a, k: F.try_element_at(a, F.lit(-k))
+    last = lambda a, k: F.try_element_at(a, F.lit(-k))
+    less = lambda a, cond: F.when(cond, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+
+    def country(p: Column) -> Column:
         land = F.lower(last(p, 1)).isin(*COUNTRIES)
-        a = F.when(land, F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
-        code = F.regexp_extract(last(a, 1), rf"({_ZIP}|{_POSTAL})", 1)
-        b = F.when(code != "", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
-        region = last(b, 1).rlike("^[A-Za-z]{2}$") | last(b, 1).isin(*REGIONS)
-        c = F.when(region, F.slice(b, F.lit(1), F.size(b) - 1)).otherwise(b)
-        fits = ((code != "") | region) & (F.size(c) >= 3)
-        return F.when(fits, _place("parsed", name=F.array_join(F.slice(c, F.lit(1), F.size(c) - 2), ", "), address=last(c, 2), city=last(c, 1), region=F.when(region, last(b, 1)), postal=code, country=F.when(land, last(p, 1))))
+        return F.struct(less(p, land).alias("parts"), F.when(land, last(p, 1)).alias("country"))
+
+    def code(x: Column) -> Column:
+        found = F.regexp_extract(last(x["parts"], 1), rf"({_ZIP}|{_POSTAL})", 1)
+        return bound(found, lambda k: F.struct(less(x["parts"], k != "").alias("parts"), x["country"].alias("country"), k.alias("code")))
+
+    def region(x: Column) -> Column:
+        end = last(x["parts"], 1)
+        known = end.rlike("^[A-Za-z]{2}$") | end.isin(*REGIONS)
+        return F.struct(x["parts"].alias("parts"), x["country"].alias("country"), x["code"].alias("code"), known.alias("known"), F.when(known, end).alias("region"))
+
+    def place(x: Column) -> Column:
+        def fit(c: Column) -> Column:
+            fits = ((x["code"] != "") | x["known"]) & (F.size(c) >= 3)
+            return F.when(fits, _place("parsed", name=F.array_join(F.slice(c, F.lit(1), F.size(c) - 2), ", "), address=last(c, 2), city=last(c, 1), region=x["region"], postal=x["code"], country=x["country"]))
 
-    return bound(F.transform(F.split(t, ","), lambda x: F.trim(x)), parts)
+        return bound(less(x["parts"], x["known"]), fit)
+
+    out = F.transform(F.split(t, ","), lambda x: F.trim(x))
+    for step in (country, code, region, place):
+        out = bound(out, step)
+    return out
 
 
 def _dashed(t: Column) -> Column:
     """'Name - street  city ST 12345', with a name, a street, both or neither; two spaces part street and city."""
     tail = rf"^(.*\S)\s+([A-Z]{{2}})\s+({_ZIP})$"
-    head, region, postal = (F.regexp_extract(t, tail, k) for k in (1, 2, 3))
-    at = F.length(head) - F.instr(F.reverse(head), " - ")  # the last dash that stands alone
-    dash = F.instr(F.reverse(head), " - ") > 0
-    name = F.when(F.startswith(head, F.lit("- ")) & ~dash, F.lit("")).when(dash, F.substr(head, F.lit(1), at - 1))
-    rest = F.when(F.startswith(head, F.lit("- ")) & ~dash, F.substring(head, 3, 10_000)).when(dash, F.substr(head, at + 2))
-    rest = F.ltrim(rest)
-    street, city = F.regexp_extract(rest, r"^(\S.*?)\s{2,}(\S.*)$", 1), F.regexp_extract(rest, r"^(\S.*?)\s{2,}(\S.*)$", 2)
-    with_street = (street != "") & street.rlike(r"\d") & (F.length(F.trim(city)) <= LONGEST_CITY)
-    city_only = (street == "") & ~rest.rlike(r"\d") & (F.length(F.trim(rest)) <= LONGEST_CITY)
-    short = F.length(F.trim(name)) <= LONGEST_NAME
-    return F.when((head != "") & short & with_street, _place("parsed", name=name, address=street, city=city, region=region, postal=postal)).when((head != "") & short & city_only, _place("parsed", name=name, city=rest, region=region, postal=postal))
+    ends = F.struct(*(F.regexp_extract(t, tail, k).alias(n) for k, n in enumerate(("head", "region", "postal"), 1)))
+
+    def split(x: Column) -> Column:
+        head = x["head"]
+        from_end = F.instr(F.reverse(head), " - ")  # the last dash that stands alone
+        return bound(from_end, lambda n: named(x, n))
+
+    def named(x: Column, n: Column) -> Column:
+        head, dash, at = x["head"], n > 0, F.length(x["head"]) - n
+        bare = F.startswith(head, F.lit("- ")) & ~dash
+        name = F.when(bare, F.lit("")).when(dash, F.substr(head, F.lit(1), at - 1))
+        rest = F.ltrim(F.when(bare, F.substring(head, 3, 10_000)).when(dash, F.substr(head, at + 2)))
+        return bound(F.struct(name.alias("name"), rest.alias("rest")), lambda y: parted(x, y))
+
+    def parted(x: Column, y: Column) -> Column:
+        two = F.struct(*(F.regexp_extract(y["rest"], r"^(\S.*?)\s{2,}(\S.*)$", k).alias(n) for k, n in enumerate(("street", "city"), 1)))
+        return bound(two, lambda z: place(x, y["name"], y["rest"], z["street"], z["city"]))
+
+    def place(x: Column, name: Column, rest: Column, street: Column, city: Column) -> Column:
+        with_street = (street != "") & street.rlike(r"\d") & (F.length(F.trim(city)) <= LONGEST_CITY)
+        city_only = (street == "") & ~rest.rlike(r"\d") & (F.length(F.trim(rest)) <= LONGEST_CITY)
+        fits = F.length(F.trim(name)) <= LONGEST_NAME
+        return F.when(fits & with_street, _place("parsed", name=name, address=street, city=city, region=x["region"], postal=x["postal"])).when(fits & city_only, _place("parsed", name=name, city=rest, region=x["region"], postal=x["postal"]))
+
+    return bound(ends, lambda x: F.when(x["head"] != "", split(x)))
 
 
 def stated_place(text: Column, cities: tuple[str, ...] = ()) -> Column:
@@ -96,9 +126,12 @@ def stated_place(text: Column, cities: tuple[str, ...] = ()) -> Column:
 
 def link_or_none(url: Column, base: Column) -> Column:
     """An absolute http(s) address of a link, or null where it is none, has blanks, or is a feed's export."""
-    u = resolve(present(url), base)
-    path, query = F.split_part(u, F.lit("?"), F.lit(1)), F.split_part(F.concat(u, F.lit("?")), F.lit("?"), F.lit(2))
-    return F.when(u.rlike(r"(?i)^https?://[^\s/]+\.[^\s]+$") & ~is_export(path, query), u)
+
+    def usable(u: Column) -> Column:
+        path, query = F.split_part(u, F.lit("?"), F.lit(1)), F.split_part(F.concat(u, F.lit("?")), F.lit("?"), F.lit(2))
+        return F.when(u.rlike(r"(?i)^https?://[^\s/]+\.[^\s]+$") & ~is_export(path, query), u)
+
+    return bound(bound(present(url), lambda u: resolve(u, base)), usable)
 
 
 def present_links(row: DataFrame, fields: tuple[str, ...] = ("ticket_url", "event_url")) -> DataFrame:
@@ -129,6 +162,17 @@ def _external_id(own: Column) -> Column:
     return F.substring(F.concat(F.lit("feed-"), F.col("f.id").cast("string"), F.lit("-"), own), 1, LONGEST_ID)
 
 
+def _of_feeds(rows: DataFrame, feeds: DataFrame, name: str, title: str, found: Column) -> DataFrame:
+    """Rows with what is found in them and with their feeds; those where nothing is found and titles that are no events are left out.
+
+    Both are worked out in a list of one, as a filter on them would else be pushed down to the file, where everything that they are read from is read again for each
+    time it is named. Feeds are a list that people keep, so it goes to the rows: dealt by feed, all rows of a large feed would be one task.
+    """
+    one = F.array(F.struct(found.alias("found"), F.when(found.isNotNull(), non_event(F.col(title))).alias("rule")))
+    read = rows.select("*", F.explode_outer(one).alias("_read")).where(F.col("_read.found").isNotNull() & F.col("_read.rule").isNull())
+    return read.alias(name).join(F.broadcast(feeds.alias("f")), F.col(f"{name}.feed_id") == F.col("f.id"))
+
+
 def calendar_rows(events: DataFrame, feeds: DataFrame, cities: tuple[str, ...] = ()) -> DataFrame:
     """Rows of events(feed_id, and the columns of calendar.vevents) of feeds(id, venue_name, feed_url, website, default_category, location_per_event).
 
@@ -136,8 +180,7 @@ def calendar_rows(events: DataFrame, feeds: DataFrame, cities: tuple[str, ...] =
     parsed as the name; others give their own. An end at 23:59 or on another day is no end time; only whole days have an end date. A link that cannot be used is not among
     the columns that are present.
     """
-    e, f = events.alias("e"), feeds.alias("f")
-    j = e.join(f, F.col("e.feed_id") == F.col("f.id")).where(F.col("e.start_date").isNotNull() & non_event(F.col("e.summary")).isNull())
+    j = _of_feeds(events, feeds, "e", "summary", F.col("start_date"))
     j = j.withColumn("place", F.when(F.col("f.location_per_event"), stated_place(F.col("e.location"), cities)))
     minute = lambda x: F.hour(x) * 60 + F.minute(x)
     start, end, whole = F.col("e.start_at"), F.col("e.end_at"), F.col("e.all_day")
@@ -160,11 +203,12 @@ def rss_rows(items: DataFrame, feeds: DataFrame) -> DataFrame:
 
     Items with neither title nor text, without any day, or that are no events are left out; no time is ever invented.
     """
-    i, f = items.alias("i"), feeds.alias("f")
-    said = explicit_date(F.concat_ws(" ", F.coalesce("i.title", F.lit("")), F.coalesce("i.summary", F.lit(""))))
-    published = F.to_date(F.from_utc_timestamp(rfc822(F.col("i.published")), ZONE))
-    j = i.join(f, F.col("i.feed_id") == F.col("f.id")).withColumn("said", said).withColumn("day", F.coalesce("said", published))
-    j = j.where(F.col("day").isNotNull() & (~blank(F.col("i.title")) | ~blank(F.col("i.summary"))) & non_event(F.col("i.title")).isNull())
+    said = explicit_date(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    published = F.to_date(F.from_utc_timestamp(rfc822(F.col("published")), ZONE))
+    days = bound(said, lambda x: F.struct(x.alias("said"), F.coalesce(x, published).alias("day")))
+    told = ~blank(F.col("title")) | ~blank(F.col("summary"))
+    j = _of_feeds(items, feeds, "i", "title", F.when(told, bound(days, lambda x: F.when(x["day"].isNotNull(), x))))
+    j = j.withColumn("said", F.col("i._read.found.said")).withColumn("day", F.col("i._read.found.day"))
     link = link_or_none(F.col("i.link"), F.col("f.feed_url"))
     own = F.coalesce(present(F.col("i.guid")), present(F.col("i.link")), F.concat(F.col("day").cast("string"), F.lit("-"), F.substring(F.coalesce("i.title", F.lit("")), 1, 40)))
     none = F.lit(None).cast("string")

@@ -1,7 +1,10 @@
 """Places that feeds state, and rows of calendars and RSS."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from quarry.functions import nonevents
 from quarry.sources import calendar, feeds, pages
 
 PLACES = [
@@ -67,3 +70,26 @@ def test_rss_rows(spark):
 def test_present_links(spark):
     rows = spark.createDataFrame([("https://a.org/x", "nope", ["id", "ticket_url", "event_url"]), ("", None, ["id"])], "ticket_url string, event_url string, present array<string>")
     assert [sorted(r["present"]) for r in feeds.present_links(rows).collect()] == [["id", "ticket_url"], ["id"]]
+
+
+def test_feeds_go_to_their_rows(spark):
+    """Rows are not dealt by feed, so a large feed is not one task; each line is looked for once, and steps of a place are not stated again for each use."""
+    table = spark.createDataFrame([(1, "Troy Hall", "https://city.org/feed.ics", "https://city.org", "community", True)], FEEDS)
+    read = calendar.vevents(spark.createDataFrame([(1, "")], "feed_id long, ics string"), "ics")
+    items = spark.createDataFrame([(1, "a", "b", "c", "d", "e")], "feed_id long, title string, link string, guid string, published string, summary string")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (feeds.calendar_rows(read, table), feeds.rss_rows(items, table))]
+    assert all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in plans)
+    assert plans[0].count("^SUMMARY") == plans[0].count("^DTSTART") == 1
+    place = str(feeds.stated_place(F.col("t"))._jc)
+    assert place.count("regexp_extract(") < 40, place.count("regexp_extract(")
+
+
+def test_titles_without_a_needed_word(spark, monkeypatch):
+    """The words that a title must hold leave out no title that a rule holds for."""
+    rng, words = random.Random(5), [*nonevents._NOTICE, *nonevents._MEETING, *nonevents.NEEDED * 5, "-", ":", "(", ")", "5pm", "12", "city hall", "Board’s", "clo'sed", "open house", "truth in taxation", "Jazz"]
+    df = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))),) for _ in range(2000)], "t string")
+    df = df.union(spark.createDataFrame([("Clo'sed: library clo’sed",), ("Library CLOSED",), ("Board’s meeting",)], "t string"))
+    with_them = nonevents.non_event(F.col("t")).alias("a")
+    monkeypatch.setattr(nonevents, "NEEDED", ("",))
+    got = df.select(with_them, nonevents.non_event(F.col("t")).alias("b")).cache()
+    assert got.where("not a <=> b").count() == 0 and got.where("b is not null").count() > 20
