@@ -5,7 +5,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from quarry import cases, lineage
+from quarry import cases, lineage, queries
 from quarry.functions import addresses, clocktext, hours, integrity, titles
 from quarry.operators import articles, boundary, duplicates, pairs, series, venues
 from quarry.sources import calendar
@@ -80,6 +80,33 @@ def test_classes_of_links_hold_all_pairs(spark):
     assert {(x, y) for m in members.values() for x in m for y in m if x < y} == {tuple(r) for r in pairs.shared_link_pairs(rows).collect()}
 
 
+def few_listings(spark, folder):
+    """Four equal listings and one of another source; all their pairs."""
+    rows = [(k, 12, DAY, "1-URGENT") for k in (1, 13, 25, 37)] + [(49, 12, DAY, "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    return [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]]
+
+
+def test_query_of_places_returns_all_pairs(spark, tmp_path):
+    every = few_listings(spark, tmp_path)
+    assert sorted(tuple(r) for r in queries.QUERIES["same_place_pairs"](spark, str(tmp_path)).collect()) == [(a, b, "same_venue_same_start_review", "venue_id") for a, b in every]
+
+
+def test_pairs_of_two_links_count_once(spark):
+    """Rows that share both links, in either order, or one of them."""
+    rows = spark.createDataFrame([(1, "https://a.org", "https://b.org"), (2, "https://b.org", "https://a.org"), (3, "https://b.org", None), (4, "https://a.org", "https://b.org")], "id long, event_url string, ticket_url string")
+    rows = rows.select("*", F.lit(DAY).alias("start_date"), F.lit("7 PM").alias("time"), F.lit(False).alias("all_day"))
+    assert sorted(tuple(r) for r in pairs.shared_link_pairs(rows).collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows are shuffled to meet; what they make is not."""
+    rows = listings(spark, 20)
+    for out in (pairs.same_place(rows), pairs.cross_source(rows), pairs.shared_link_pairs(rows)):
+        above, top = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)
+        assert "Aggregate" not in above and "_ba#" in top.split("\n")[0]  # the last join is that of blocks
+
+
 def test_copies_are_not_paired(spark):
     """3,000 equal listings of one place: as many rows as listings in each of the three ways, and one class of links."""
     q = spark.range(3000).select("id", F.lit(DAY).alias("start_date"), *(F.lit(v).alias(k) for k, v in {"venue_id": 1, "venue": "Hall", "city": "Troy", "address": "1 Main St", "time": "7 PM", "all_day": False, "source": "x", "title": "Jazz", "event_url": "https://a.org", "ticket_url": "https://a.org"}.items()))
