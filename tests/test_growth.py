@@ -97,6 +97,11 @@ def test_query_of_sources_returns_all_pairs(spark, tmp_path):
     assert sorted(tuple(r)[:3] for r in queries.QUERIES["cross_source_pairs"](spark, str(tmp_path)).collect()) == [(a, b, "same_start_similar_title") for a, b in every if b == 49]
 
 
+def test_query_of_links_returns_all_pairs(spark, tmp_path):
+    every = few_listings(spark, tmp_path)
+    assert sorted(tuple(r) for r in queries.QUERIES["shared_link_pairs"](spark, str(tmp_path)).collect()) == every
+
+
 def test_pairs_of_two_links_count_once(spark):
     """Rows that share both links, in either order, or one of them."""
     rows = spark.createDataFrame([(1, "https://a.org", "https://b.org"), (2, "https://b.org", "https://a.org"), (3, "https://b.org", None), (4, "https://a.org", "https://b.org")], "id long, event_url string, ticket_url string")
