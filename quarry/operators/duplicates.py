@@ -210,3 +210,26 @@ def contained_pairs(docs: DataFrame, by: list[str], id_: str, text: str, least:
     shared = F.size(F.array_intersect("tx", "ty"))
     full = met.join(a, "x").join(b, "y").select("x", "y", shared.alias("shared"), F.least(F.size("tx"), F.size("ty")).alias("small")).where((F.col("shared") >= least) & (F.col("shared") >= share * F.col("small")))
     return one.unionByName(full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("shared").cast("long").alias("shared"), F.lit(False).alias("copy")))
+
+
+#: Documents of a class that travel in one row, to be paired with as many others.
+CHUNK = 500
+
+
+def all_contained_pairs(docs: DataFrame, by: list[str], id_: str, text: str, least: int = 20, share: float = 0.85) -> DataFrame:
+    """(a, b, shared) with a < b: contained_pairs() expanded into all pairs of documents, which is quadratic in a class.
+
+    Links stay those of classes until the end; a class travels as lists of CHUNK ids, and each two lists that meet are a row of their own,
+    dealt over all tasks, so no task has a whole large class.
+    """
+    links = contained_pairs(docs, by, id_, text, least, share)
+    copies = links.where("copy")
+    classes = copies.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n"), F.min("shared").alias("shared"))  # a class has one size
+    members = copies.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(classes.select("rep", F.col("rep").alias("id")))
+    lists = members.join(classes.select("rep", F.ceil((F.col("n") + 1) / CHUNK).alias("n")), "rep").groupBy("rep", F.pmod(F.xxhash64("id"), "n").alias("c")).agg(F.collect_list("id").alias("ids"))
+    pairs = links.where("not copy").select("a", "b", "shared").unionByName(classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "shared"))
+    for x in ("a", "b"):
+        ids = F.coalesce(f"{x}s", F.array(x))  # a class of one document has no list
+        pairs = pairs.join(lists.select(F.col("rep").alias(x), F.col("ids").alias(f"{x}s")), x, "left").withColumn(f"{x}s", ids)
+    pairs = pairs.repartition(F.get("as", F.lit(0)), F.get("bs", F.lit(0))).select("a", "b", "shared", F.explode("as").alias("x"), "bs").select("a", "b", "shared", "x", F.explode("bs").alias("y"))
+    return pairs.where("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")

@@ -268,3 +268,15 @@ def test_contained_sets_over_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc int, b string, text string").repartition(5)
     out = duplicates.contained_pairs(docs, ["b"], "doc", "text")
     assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len(want) > 200
+
+
+def test_containment_query_returns_all_pairs(spark, tmp_path, monkeypatch):
+    """Two classes of copies, one contained in the other, a document contained in both, and one of another source: every pair, each once, over small lists."""
+    monkeypatch.setattr(duplicates, "CHUNK", 2)
+    small, large = (" ".join(f"w{k}" for k in range(n)) for n in (30, 34))
+    texts = {5: small, 2: small, 9: small, 4: large, 7: large, 1: large, 8: large, 3: " ".join(f"w{k}" for k in range(29)) + " x", 6: " ".join(f"v{k}" for k in range(30))}
+    rows = [(i, "en", "s", t) for i, t in texts.items()] + [(10, "en", "other", small), (11, None, "s", small)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: set(t.split()) for i, t in texts.items()}
+    want = [(a, b, len(words[a] & words[b])) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.85 * min(len(words[a]), len(words[b]))]
+    assert sorted(tuple(r) for r in queries.QUERIES["containment_pairs"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 28
