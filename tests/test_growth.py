@@ -280,3 +280,21 @@ def test_containment_query_returns_all_pairs(spark, tmp_path, monkeypatch):
     words = {i: set(t.split()) for i, t in texts.items()}
     want = [(a, b, len(words[a] & words[b])) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.85 * min(len(words[a]), len(words[b]))]
     assert sorted(tuple(r) for r in queries.QUERIES["containment_pairs"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 28
+
+
+def test_orders_of_cases_are_dealt_over_tasks(spark):
+    """The orders of a small file are one task when read; the codes are worked out in as many as shuffles have, in compiled steps."""
+    out = queries.QUERIES["integrity_verdict"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "date.malformed_start" in x]
+    assert len(lines) == 1 and "lambda" not in lines[0].split("date.malformed_start")[0]
+
+
+def test_steps_find_what_the_column_finds(spark):
+    """Codes of rows with blanks of all kinds around their texts, by steps and by one column."""
+    rows = [(" Jazz\u000b", " 1997-06-20\t", " ", " Troy, MI 48084 ", "Troy", "Novi", " /e/1 ", "jazz "), ("  ", None, "1997-06-31 ", "", "Venue TBA", "Troy", "", ""), (None,) * 8, ("Circuit #15", "1997-06-20", "1998-07-20", "Troy", "Troy ", None, "https://a.org", "Kart monthly")]
+    names = ("title", "start_date", "end_date", "raw_city", "raw_name", "venue_city", "event_url", "description")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    fields = {n: F.col(n) for n in names}
+    got = integrity.with_integrity(df, fields, "v").select("v", integrity.integrity(fields).alias("w")).collect()
+    assert all(r["v"] == r["w"] for r in got) and [len(r["v"]["codes"]) for r in got] == [7, 8, 7, 6]
