@@ -6,8 +6,9 @@ avgdl)), with N, df and avgdl of all documents.
 
 The index is built once and written to the shared folder: a row holds some MB of documents as blocks of 32, each block its posting lists
 in order of term. All statistics come from it. A task is a shard. A query's pivot is the next block where the maxima of its lists sum up
-to the query's current k-th score; the blocks before it are skipped, the pivot's documents are scored in full. Rare lists are so short
-that their exact sums take the place of their maxima. Shards send packed lists of k, which are merged by query.
+to the query's current k-th score; the blocks before it are skipped. The pivots' documents are scored in single precision, and those in
+full that reach the k-th score within its error. Rare lists are so short that their exact sums take the place of their maxima. Shards send
+packed lists of k, which are merged by query.
 
 Queries go in blocks of at most about `query_terms` words' weights and `block_queries` queries; one block after another is broadcast, run,
 written and released. Scores are rounded to six digits, ties go to the smaller doc_id, documents that share no word with a query are not
@@ -30,9 +31,11 @@ from .kernel import ALNUM, Words
 
 K1, B = 1.2, 0.75
 #: Lists that more than this share of documents is in are bounded by block maxima, the others scored at once.
-FREQUENT, BLOCK, STEP = 0.09, 32, 512
+FREQUENT, BLOCK, STEP = 0.07, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
 CELLS = 1 << 19
+#: Scores of a row of the index that a task keeps before they are merged with the best so far.
+FOUND = 1 << 15
 #: Bytes of text in a row of the index; a longer text makes a row of its own.
 ROW_BYTES = 1 << 20
 #: Rows are large: a file of the index is cut after each few MB (else after a hundred rows at the earliest), and a task is sent few rows or texts at once.
@@ -121,12 +124,15 @@ class Shard:
         dense = self.is_frequent[at]
         self.q = np.zeros((len(queries), int(self.is_frequent.sum())))
         self.q[owner[dense], self.frequent[at[dense]]] = weight[dense]
+        self.q32 = np.ascontiguousarray(self.q.T.astype(np.float32))
         at, owner, weight = at[~dense], owner[~dense], weight[~dense]
         o = np.argsort(at, kind="stable")
-        self.rare_query, self.rare_weight, at = owner[o], weight[o], at[o]
+        self.rare_query, self.rare_weight, at = owner[o].astype(np.int64), weight[o], at[o]
         self.rare_at = np.searchsorted(at, np.arange(len(self.vocabulary) + 1))
         self.mean, self.k = max(mean, 1e-9), k
         self.score, self.doc = np.zeros((len(queries), k)), np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.low = np.zeros(len(queries))  # the k-th best score is no lower
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # not merged yet
         self.scored = self.blocks = 0
 
     def add(self, ids, lengths, terms, list_term, list_n, block_at, docs, tf) -> None:
@@ -157,41 +163,70 @@ class Shard:
                 x, y = posting[lo], posting[hi]
                 self._step(ids[a * BLOCK : b * BLOCK], b - a, place[lo:hi], block[lo:hi] - a, most[lo:hi], place[of[x:y]], doc[x:y] - a * BLOCK, impact[x:y])
             a = b
+        if self.found:
+            self._merge()
 
     def _step(self, ids, blocks: int, list_place, list_block, most, place, doc, impact) -> None:
-        nq, nd = len(self.ids), blocks * BLOCK
+        nq, nd, width = len(self.ids), blocks * BLOCK, self.q.shape[1]
         is_list = self.is_frequent[list_place]
-        maxima = np.zeros((self.q.shape[1], blocks))
-        maxima[self.frequent[list_place[is_list]], list_block[is_list]] = most[is_list]
+        maxima = np.zeros((blocks, width), np.float32)
+        maxima[list_block[is_list], self.frequent[list_place[is_list]]] = most[is_list]
         dense = self.is_frequent[place]
-        a, e = self.rare_at[place[~dense]], self.rare_at[place[~dense] + 1]
-        n = e - a
+        r_place, r_doc, r_impact = place[~dense], doc[~dense], impact[~dense]
+        a = self.rare_at[r_place]
+        n = self.rare_at[r_place + 1] - a
         at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
-        rare = np.bincount(self.rare_query[at].astype(np.int64) * nd + np.repeat(doc[~dense], n), np.repeat(impact[~dense], n) * self.rare_weight[at], nq * nd).reshape(nq, blocks, BLOCK)
-        low = self.score[:, -1]
-        bound = self.q @ maxima + rare.max(2)
-        pivot = (bound > 0) & (bound >= low[:, None] - 1e-6)
-        f_place, f_doc, f_impact = self.frequent[place[dense]], doc[dense], impact[dense]
-        cuts = np.searchsorted(f_doc // BLOCK, np.arange(blocks + 1))
-        found = []
-        for k in np.flatnonzero(pivot.any(0)):
-            alive, x, y = np.flatnonzero(pivot[:, k]), cuts[k], cuts[k + 1]
-            d = np.zeros((BLOCK, self.q.shape[1]))
-            d[f_doc[x:y] - k * BLOCK, f_place[x:y]] = f_impact[x:y]
-            s = np.round(self.q[alive] @ d.T + rare[alive, k], 6)
-            i, j = np.nonzero((s > 0) & (s >= low[alive, None]))
-            keep = j + k * BLOCK < len(ids)
-            if keep.any():
-                found.append((alive[i[keep]], ids[j[keep] + k * BLOCK], s[i[keep], j[keep]]))
+        weights = self.rare_weight[at]
+        weights *= np.repeat(r_impact, n)
+        cell = self.rare_query[at]
+        cell += np.repeat(r_doc * nq, n)
+        rare = np.bincount(cell, weights, nq * nd).reshape(nd, nq)  # of one document all queries side by side, as its postings come together
+        # sums of half the digits first: all terms are positive, so they are off by as many roundings as there are terms at most
+        off = np.float32((width + 64) * 2.0**-22)
+        low = (self.low * (1 - off) - 1e-5).astype(np.float32)
+        bound = maxima @ self.q32 + rare.reshape(blocks, BLOCK, nq).max(1)
+        pivot = (bound > 0) & (bound * (1 + off) >= low)
         self.scored, self.blocks = self.scored + int(pivot.sum()), self.blocks + pivot.size
-        if found:
-            self._merge(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    def _merge(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        some = np.flatnonzero(pivot.any(1))
+        if not len(some):
+            return
+        d = np.zeros((nd, width))
+        d[doc[dense], self.frequent[place[dense]]] = impact[dense]
+        if len(some) < blocks:
+            cols = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cols = cols[cols < len(ids)]
+            near = d[cols].astype(np.float32) @ self.q32
+            near += rare[cols]
+        else:
+            cols = np.arange(nd)
+            near = d.astype(np.float32) @ self.q32
+            near += rare
+        hit = near >= np.maximum(low, np.float32(1e-30))
+        if np.count_nonzero(hit) > nq * self.k // 4 and len(cols) > self.k and len(np.unique(ids)) == len(ids):
+            # many are still as good: the k-th best of these documents, if all are different, bounds the k-th best of all
+            self.low = np.maximum(self.low, np.partition(near, -self.k, axis=0)[-self.k] * (1 - off))
+            low = (self.low * (1 - off) - 1e-5).astype(np.float32)
+            hit = near >= np.maximum(low, np.float32(1e-30))
+        j, query = np.nonzero(hit)
+        j = cols[j]
+        score = rare[j, query].astype(np.float64)
+        for x in range(0, len(j), 4096):
+            y = slice(x, x + 4096)
+            score[y] += np.einsum("ij,ij->i", self.q[query[y]], d[j[y]])
+        self.found.append((query, ids[j], np.round(score, 6)))
+        if sum(len(f[0]) for f in self.found) > FOUND:
+            self._merge()
+
+    def _merge(self) -> None:
+        query, doc, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        self.found = []
+        keep = (score > 0) & (score >= self.score[query, -1])
+        query, doc, score = query[keep], doc[keep], score[keep]
         changed = np.unique(query)
         query = np.concatenate([query, np.repeat(changed, self.k)])
         doc, score = np.concatenate([doc, self.doc[changed].ravel()]), np.concatenate([score, self.score[changed].ravel()])
         self.doc[changed], self.score[changed] = best(query, doc, score, changed, self.k)
+        self.low = np.maximum(self.low, self.score[:, -1])
 
     def rows(self):
         for i in np.flatnonzero(self.score[:, 0] > 0):
