@@ -34,6 +34,8 @@ K1, B = 1.2, 0.75
 FREQUENT, BLOCK, STEP = 0.07, 32, 512
 #: A step takes whole blocks, as many as keep it to this number of (query, document) cells and of weighted postings.
 CELLS = 1 << 19
+#: Weighted postings that are summed at once.
+PART = 1 << 17
 #: Scores of a row of the index that a task keeps before they are merged with the best so far.
 FOUND = 1 << 15
 #: Bytes of text in a row of the index; a longer text makes a row of its own.
@@ -175,12 +177,22 @@ class Shard:
         r_place, r_doc, r_impact = place[~dense], doc[~dense], impact[~dense]
         a = self.rare_at[r_place]
         n = self.rare_at[r_place + 1] - a
-        at = np.arange(n.sum()) + np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n)
-        weights = self.rare_weight[at]
-        weights *= np.repeat(r_impact, n)
-        cell = self.rare_query[at]
-        cell += np.repeat(r_doc * nq, n)
-        rare = np.bincount(cell, weights, nq * nd).reshape(nd, nq)  # of one document all queries side by side, as its postings come together
+        rare = np.empty((nd, nq))  # of one document all queries side by side, as its postings come together
+        ends = np.searchsorted(r_doc // BLOCK, np.arange(blocks + 1))
+        before = np.r_[0, np.cumsum(n)]
+        x = 0
+        while x < blocks:  # a part takes whole blocks, so few that what it makes stays in the processor's own memory
+            z = min(max(x + 1, int(np.searchsorted(before[ends], before[ends[x]] + PART, "right")) - 1), blocks)
+            p = slice(ends[x], ends[z])
+            times, first = n[p], before[p]
+            at = np.arange(first[0], before[ends[z]]) if len(times) else np.zeros(0, np.int64)
+            at += np.repeat(a[p] - first, times)
+            weights = self.rare_weight[at]
+            weights *= np.repeat(r_impact[p], times)
+            cell = self.rare_query[at]
+            cell += np.repeat((r_doc[p] - x * BLOCK) * nq, times)
+            rare[x * BLOCK : z * BLOCK] = np.bincount(cell, weights, (z - x) * BLOCK * nq).reshape(-1, nq)
+            x = z
         # sums of half the digits first: all terms are positive, so they are off by as many roundings as there are terms at most
         off = np.float32((width + 64) * 2.0**-22)
         low = (self.low * (1 - off) - 1e-5).astype(np.float32)
@@ -209,7 +221,7 @@ class Shard:
             hit = near >= np.maximum(low, np.float32(1e-30))
         j, query = np.nonzero(hit)
         j = cols[j]
-        score = rare[j, query].astype(np.float64)
+        score = rare[j, query]
         for x in range(0, len(j), 4096):
             y = slice(x, x + 4096)
             score[y] += np.einsum("ij,ij->i", self.q[query[y]], d[j[y]])
